@@ -59,3 +59,8 @@ def ascii_words(text: str | None) -> list[bytes]:
 
 def parallelism(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def small_or_shuffled(big: DataFrame, small: DataFrame, on, how: str, rows: int, most: int = 300_000) -> DataFrame:
+    """A join that broadcasts ``small`` only when its counted ``rows`` are few; else both sides are shuffled."""
+    return big.join(F.broadcast(small) if rows <= most else small, on, how)

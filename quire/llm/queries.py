@@ -9,11 +9,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.llm.common import shared_folder
+from quire.llm.decontam import contaminated
 from quire.llm.exact_dedup import exact_dedup
+from quire.llm.license_scan import scan_licenses
+from quire.llm.ngram_join import ngram_join
 from quire.llm.packing import cut_pieces, pack
 from quire.llm.token_counts import length_histogram
 from quire.llm.token_store import read_store, write_store
 from quire.llm.tokens import word_bpe
+from quire.llm.toxicity import THRESHOLD, fit, held_out, labelled, toxicity
 from quire.llm.url_filter import RULES, SOFT, SOFT_LIMIT, STRICT, filter_urls
 
 
@@ -25,11 +29,22 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_read(spark, sf_dir, "documents"))
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(_read(spark, sf_dir, "documents")).drop("spans")
+
+
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = filter_urls(_read(spark, sf_dir, "pages").select("page_id", "url"))
     return judged.select("page_id", "url_verdict.*")
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    model = fit(labelled(docs, _read(spark, sf_dir, "labels")))
+    scored = docs.select("doc_id", held_out().alias("held_out"), toxicity(model).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = cut_pieces(_read(spark, sf_dir, "documents"), word_bpe())
     return pack(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids"))
@@ -39,12 +54,20 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return length_histogram(_read(spark, sf_dir, "documents"), word_bpe())
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
 def op8_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = f"{shared_folder(spark)}/quire-{uuid.uuid4().hex}/store"
     write_store(_read(spark, sf_dir, "documents"), folder, word_bpe())
     return read_store(spark, folder).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
 
 
+def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join(_read(spark, sf_dir, "documents")).drop("digest")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op")}
 
