@@ -14,6 +14,7 @@ from quire.llm.exact_dedup import exact_dedup
 from quire.llm.license_scan import scan_licenses
 from quire.llm.ngram_join import ngram_join
 from quire.llm.packing import cut_pieces, pack
+from quire.llm.suffix_dedup import repeated_passages
 from quire.llm.token_counts import length_histogram
 from quire.llm.token_store import read_store, write_store
 from quire.llm.tokens import word_bpe
@@ -68,6 +69,12 @@ def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join(_read(spark, sf_dir, "documents")).drop("digest")
 
 
+def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repeated_passages(_read(spark, sf_dir, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["b"] - s["a"])
+    return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op")}
 
