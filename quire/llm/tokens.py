@@ -54,6 +54,7 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.merge = self.tokenizer.model.tokenize
         self.letters = _byte_letters()
+        self.four = [n.to_bytes(4, "little") for n in range(self.tokenizer.get_vocab_size())]
         self.pieces: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
         # the shortcut holds for the splitting rule and normalizers it was written for
@@ -63,19 +64,21 @@ class Encoder:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def _word(self, word: str) -> bytes:
-        ids = self.words.get(word)
-        if ids is None:
-            shown = word.encode().decode("latin-1").translate(self.letters)
-            ids = np.array([t.id for t in self.merge(shown)], dtype="<u4").tobytes()
-            if len(word) <= LONGEST:
-                if len(self.words) >= WORDS:
-                    self.words.clear()
-                self.words[word] = ids
+        shown = word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
+        ids = b"".join([self.four[t.id] for t in self.merge(shown)])
+        if len(word) <= LONGEST:
+            if len(self.words) >= WORDS:
+                self.words.clear()
+            self.words[word] = ids
         return ids
 
     def _piece(self, piece: str) -> bytes:
-        if self.simple and _SIMPLE(piece) and "<|" not in piece:
-            ids = b"".join(map(self._word, _WORDS(piece.lower())))
+        if _SIMPLE(piece) and "<|" not in piece:
+            lowered, words = piece.lower(), self.words
+            ids = words.get(lowered)  # a word that was met is no more than that word
+            if ids is None:
+                parts = _WORDS(lowered)
+                ids = b"".join([words.get(w) or self._word(w) for w in parts])
         else:
             ids = self._whole(piece)
         if len(piece) <= LONGEST:
