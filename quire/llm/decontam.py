@@ -10,7 +10,9 @@ never move: no shuffle.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -109,6 +111,17 @@ class Matcher:
         return out
 
 
+def item_blocks(benchmark: DataFrame, block_chars: int) -> Iterator[list[tuple[int, str]]]:
+    """Ids and plain texts of the items, in blocks of about ``block_chars`` characters by a hash; short items are left out."""
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), text_of("text").alias("text"))
+    size = items.agg(F.sum(F.length("text"))).first()[0] or 0
+    blocks = max(1, -(-size // block_chars))
+    for n in range(blocks):
+        rows = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == n).collect()
+        some = [(r[0], plain(r[1])) for r in rows]
+        yield [i for i in some if i[1].count(" ") >= FEWEST_WORDS - 1]
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", rate: float = RATE, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """``doc_id, item_id, edits, first_char, last_char``: one row per document and item found in it.
 
@@ -116,16 +129,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     texts hold none; items of under FEWEST_WORDS words (null ones too) are left out; repeated rows
     are reported each. An empty benchmark gives no rows.
     """
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), text_of("text").alias("text"))
-    size = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    blocks = max(1, -(-size // block_chars))
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    found = None
-    for n in range(blocks):
-        some = [(r[0], plain(r[1])) for r in items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == n).collect()]
-        part = texts.mapInArrow(_finder([i for i in some if i[1].count(" ") >= FEWEST_WORDS - 1], rate), "doc_id long, item_id long, edits int, first_char long, last_char long")
-        found = part if found is None else found.unionByName(part)
-    return found
+    schema = "doc_id long, item_id long, edits int, first_char long, last_char long"
+    return reduce(DataFrame.unionByName, (texts.mapInArrow(_finder(some, rate), schema) for some in item_blocks(benchmark, block_chars)))
 
 
 def _finder(items: list[tuple[int, str]], rate: float):
@@ -140,20 +146,14 @@ def _finder(items: list[tuple[int, str]], rate: float):
     return find
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", rate: float = RATE, block_chars: int = BLOCK_CHARS) -> DataFrame:
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", rate: float = RATE, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """The rows of ``docs``, all columns, in which no item of the benchmark is found."""
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), text_of("text").alias("text"))
-    size = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    blocks = max(1, -(-size // block_chars))
-    for n in range(blocks):
-        some = [(r[0], plain(r[1])) for r in items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == n).collect()]
-        docs = docs.filter(~_holds([i for i in some if i[1].count(" ") >= FEWEST_WORDS - 1], rate)(F.col(text_col).cast("string")))
+    for some in item_blocks(benchmark, block_chars):
+        docs = docs.filter(~_holds(some, rate)(F.col(text_col).cast("string")))
     return docs
 
 
 def _holds(items: list[tuple[int, str]], rate: float):
-    import pandas as pd
-
     @F.pandas_udf("boolean")
     def holds(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         matcher = Matcher(items, rate)
