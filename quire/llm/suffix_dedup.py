@@ -182,11 +182,12 @@ def _indexed(length: int, index_bytes: int):
         index = RunLengthIndex([r[2] for r in rows], length)
         base = np.zeros(len(index.order), np.int64)
         first, last = base.copy(), base.copy()
+        # a place of the corpus as one number: classes numbered within this index, places below 2 ** 31
+        number = {c: n for n, c in enumerate(dict.fromkeys(c for r in rows for c in (r[3], r[5])))}
         for start, (_, _, context, c1, p1, c2, p2) in zip(index.starts, rows, strict=True):
             walk = np.arange(len(context))
-            # a place of the corpus as one number: classes are small, places below 2 ** 31
-            first[start : start + len(context)] = (c1 << 31) + p1 + walk
-            last[start : start + len(context)] = (c2 << 31) + p2 + walk
+            first[start : start + len(context)] = (number[c1] << 31) + p1 + walk
+            last[start : start + len(context)] = (number[c2] << 31) + p2 + walk
         found = index.repeated(length, first, last)
         spans = []
         for start, row in zip(index.starts, rows, strict=True):
