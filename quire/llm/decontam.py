@@ -43,7 +43,7 @@ def edit_match(item: str, masks: dict[str, int], text: str, most: int) -> tuple[
     """Least edits between the item and any part of ``text``, and where that part ends; None if over ``most``."""
     m = len(item)
     full, top = (1 << m) - 1, 1 << (m - 1)
-    plus, minus, score, best = full, 0, m, (most + 1, 0)
+    plus, minus, score, best = full, 0, m, (min(m, most + 1), 0)
     for end, letter in enumerate(text, 1):
         equal = masks.get(letter, 0)
         x = equal | minus

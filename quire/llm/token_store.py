@@ -88,6 +88,9 @@ def merkle(leaves: list[bytes]) -> bytes:
 _STAGED = "shard int, row long, doc_id long, local_start long, n_tokens long, root binary, shard_root binary, chunks array<struct<digest:binary,n:int>>, ids binary"
 
 
+_DOCS = "row long, doc_id long, n_tokens long, root binary, chunks array<struct<digest:binary,n:int>>, ids binary, shared array<struct<pos:int,first:boolean>>, start long, shard int"
+
+
 def _stage(docs: DataFrame, path: str, id_col: str, text_col: str, shards: int) -> DataFrame:
     """Documents in ascending id order by shards, encoded and cut."""
     end = np.array([END_ID], dtype="<u4")
@@ -188,8 +191,8 @@ def read_store(spark: SparkSession, folder: str) -> DataFrame:
 
     ``ids`` are little-endian unsigned 32-bit integers, with the end id.
     """
-    docs = spark.read.parquet(f"{folder}/docs")
-    chunks = spark.read.parquet(f"{folder}/chunks")
+    docs = spark.read.schema(_DOCS).parquet(f"{folder}/docs")
+    chunks = spark.read.schema("digest binary, ids binary").parquet(f"{folder}/chunks")
     pos = F.col("mark.pos")
     wanted = docs.filter("shared is not null").select("row", "chunks", F.explode("shared").alias("mark")).select("row", pos.alias("pos"), F.element_at("chunks", pos + 1)["digest"].alias("digest"))
     fetched = wanted.join(chunks, "digest").groupBy("row").agg(F.collect_list(F.struct("pos", "ids")).alias("fetched"))
@@ -229,6 +232,6 @@ def check_manifest(spark: SparkSession, folder: str) -> DataFrame:
 
         return pd.DataFrame({"shard": [key[0]], "found": [merkle(rows.sort_values("row")["root"].tolist())]})
 
-    found = spark.read.parquet(f"{folder}/docs").select("shard", "row", "root").groupBy("shard").applyInPandas(roots, "shard int, found binary")
+    found = spark.read.schema(_DOCS).parquet(f"{folder}/docs").select("shard", "row", "root").groupBy("shard").applyInPandas(roots, "shard int, found binary")
     manifest = spark.read.parquet(f"{folder}/manifest").select("shard", "root", "docs")
     return manifest.join(found, "shard", "left").filter(~F.col("root").eqNullSafe(F.col("found"))).select("shard")
