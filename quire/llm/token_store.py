@@ -33,16 +33,24 @@ BITS, SHORTEST, LONGEST = 9, 64, 4096
 BROADCAST_ROWS = 300_000
 
 
-def cuts(ids: np.ndarray) -> list[int]:
-    """Ends of the chunks of one document. The hash at a place depends on the 32 ids before it."""
+def rolling(ids: np.ndarray) -> np.ndarray:
+    """A hash at each place that depends on the 32 ids up to it."""
     mixed = (ids.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
-    rolling = (mixed >> np.uint64(29)).astype(np.uint32)
+    hashes = (mixed >> np.uint64(29)).astype(np.uint32)
     for span in (1, 2, 4, 8, 16):
-        shifted = np.zeros_like(rolling)
-        shifted[span:] = rolling[:-span] << np.uint32(span)
-        rolling = rolling + shifted
+        hashes[span:] += hashes[:-span] << np.uint32(span)
+    return hashes
+
+
+def cuts(ids: np.ndarray, marks: np.ndarray | None = None) -> list[int]:
+    """Ends of the chunks of one document; ``marks``: places after which its rolling hash cuts.
+
+    Marks count only SHORTEST ids after a cut, so what precedes a document among others never matters.
+    """
+    if marks is None:
+        marks = np.flatnonzero(rolling(ids) >> np.uint32(32 - BITS) == 0) + 1
     ends, last = [], 0
-    for end in (np.flatnonzero(rolling >> np.uint32(32 - BITS) == 0) + 1).tolist():
+    for end in marks.tolist():
         while end - last > LONGEST:
             last += LONGEST
             ends.append(last)
@@ -93,27 +101,37 @@ _DOCS = "row long, doc_id long, n_tokens long, root binary, chunks array<struct<
 
 def _stage(docs: DataFrame, path: str, id_col: str, text_col: str, shards: int) -> DataFrame:
     """Documents in ascending id order by shards, encoded and cut."""
-    end = np.array([END_ID], dtype="<u4")
-    schema = pa.schema(
-        [("shard", pa.int32()), ("row", pa.int64()), ("doc_id", pa.int64()), ("local_start", pa.int64()), ("n_tokens", pa.int64()), ("root", pa.binary()), ("shard_root", pa.binary()),
-         ("chunks", pa.list_(pa.struct([("digest", pa.binary()), ("n", pa.int32())]))), ("ids", pa.binary())]
-    )
+    end = np.array([END_ID], dtype="<u4").tobytes()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         to_ids = encoder(path).encode
         row, start, tree = 0, 0, Merkle()
         for batch in batches:
             for part in (batch.slice(i, 500) for i in range(0, batch.num_rows, 500)):
-                out = []
-                for shard, doc, text in zip(*(c.to_pylist() for c in part.columns), strict=True):
-                    ids = np.concatenate([np.frombuffer(to_ids(text), dtype="<u4"), end])
-                    ends = cuts(ids)
-                    chunks = [{"digest": digest(ids[a:b].tobytes()), "n": b - a} for a, b in zip([0, *ends], ends, strict=False)]
-                    root = merkle([c["digest"] for c in chunks])
-                    tree.add(root)
-                    out.append((shard, (shard << 40) + row, doc, start, len(ids), root, tree.root(), chunks, narrow(ids)))
-                    row, start = row + 1, start + len(ids)
-                yield pa.record_batch([pa.array(list(c), f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
+                stored = [to_ids(t) + end for t in part.column(2).to_pylist()]
+                ids = np.frombuffer(b"".join(stored), dtype="<u4")
+                edges = np.cumsum([0, *(len(x) // 4 for x in stored)])
+                marks = np.flatnonzero(rolling(ids) >> np.uint32(32 - BITS) == 0) + 1
+                at = np.searchsorted(marks, edges, "right")
+                digests, sizes, counts, roots = [], [], [0], []
+                for n, data in enumerate(stored):
+                    ends = cuts(ids[edges[n] : edges[n + 1]], marks[at[n] : at[n + 1]] - edges[n])
+                    begins = [0, *ends[:-1]]
+                    own = [digest(data[4 * a : 4 * b]) for a, b in zip(begins, ends, strict=True)]
+                    digests += own
+                    sizes += [b - a for a, b in zip(begins, ends, strict=True)]
+                    counts.append(len(digests))
+                    roots.append(merkle(own))
+                    tree.add(roots[-1])
+                rows = np.arange(row, row + len(stored), dtype=np.int64)
+                shards = part.column(0).cast(pa.int32())
+                chunks = pa.ListArray.from_arrays(pa.array(counts, pa.int32()), pa.StructArray.from_arrays([pa.array(digests, pa.binary()), pa.array(sizes, pa.int32())], ["digest", "n"]))
+                shard_root = [None] * (len(stored) - 1) + [tree.root()]  # the last of a shard is that of all
+                yield pa.record_batch(
+                    [shards, pa.array((np.asarray(shards, dtype=np.int64) << 40) + rows), part.column(1), pa.array(start + edges[:-1]), pa.array(np.diff(edges)), pa.array(roots, pa.binary()), pa.array(shard_root, pa.binary()), chunks, pa.array(narrow_all(ids, edges), pa.binary())],
+                    ["shard", "row", "doc_id", "local_start", "n_tokens", "root", "shard_root", "chunks", "ids"],
+                )
+                row, start = row + len(stored), start + int(edges[-1])
 
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     ordered = texts.repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id", "text")
@@ -125,6 +143,14 @@ def narrow(ids: np.ndarray) -> bytes:
     return b"\2" + ids.astype("<u2").tobytes() if len(ids) == 0 or ids.max() < 65536 else b"\4" + ids.astype("<u4").tobytes()
 
 
+def narrow_all(ids: np.ndarray, edges: np.ndarray) -> list[bytes]:
+    """``narrow`` of each stretch."""
+    if len(ids) and ids.max() >= 65536:
+        return [narrow(ids[a:b]) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+    short, at = ids.astype("<u2").tobytes(), (2 * edges).tolist()
+    return [b"\2" + short[a:b] for a, b in zip(at, at[1:], strict=False)]
+
+
 def widen(stored: bytes) -> np.ndarray:
     return np.frombuffer(stored, dtype="<u2" if stored[:1] == b"\2" else "<u4", offset=1).astype("<u4")
 
@@ -134,19 +160,23 @@ def _marked(staged: DataFrame, marks: DataFrame, how: str) -> DataFrame:
     return staged.join(F.broadcast(marks) if marks.count() <= BROADCAST_ROWS else marks, "row", how)
 
 
+def _column(batch: pa.RecordBatch, name: str) -> pa.Array:
+    return batch.column(batch.schema.get_field_index(name))
+
+
 def _own_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Leaves in ``ids`` only the chunks that are not shared."""
     for batch in batches:
-        kept = []
-        for stored, chunks, shared in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("ids", "chunks", "shared")), strict=True):
-            if shared:
-                ids, out, at, drop = widen(stored), [], 0, {m["pos"] for m in shared}
-                for pos, chunk in enumerate(chunks):
-                    if pos not in drop:
-                        out.append(ids[at : at + chunk["n"]])
-                    at += chunk["n"]
-                stored = narrow(np.concatenate(out)) if out else b"\2"
-            kept.append(stored)
+        kept = _column(batch, "ids").to_pylist()
+        some = np.flatnonzero(_column(batch, "shared").is_valid().to_numpy(zero_copy_only=False))
+        few = batch.take(pa.array(some))
+        for n, chunks, shared in zip(some.tolist(), _column(few, "chunks").to_pylist(), _column(few, "shared").to_pylist(), strict=True):
+            ids, out, at, drop = widen(kept[n]), [], 0, {m["pos"] for m in shared}
+            for pos, chunk in enumerate(chunks):
+                if pos not in drop:
+                    out.append(ids[at : at + chunk["n"]])
+                at += chunk["n"]
+            kept[n] = narrow(np.concatenate(out)) if out else b"\2"
         yield batch.set_column(batch.schema.get_field_index("ids"), "ids", pa.array(kept, pa.binary()))
 
 
@@ -202,24 +232,29 @@ def read_store(spark: SparkSession, folder: str) -> DataFrame:
 
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for doc, start, n, root, chunks, stored, fetched in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                own, at, parts = widen(stored), 0, []
-                got = {f["pos"]: widen(f["ids"]) for f in fetched or ()}
-                for k, chunk in enumerate(chunks):
-                    ids = got.get(k)
-                    if ids is None:
-                        ids = own[at : at + chunk["n"]]
-                        at += chunk["n"]
-                    if digest(ids.tobytes()) != chunk["digest"]:
-                        raise ValueError(f"chunk {k} of document {doc} differs from its digest")
-                    parts.append(ids)
-                ids = np.concatenate(parts)
-                if len(ids) != n or merkle([c["digest"] for c in chunks]) != root:
-                    raise ValueError(f"document {doc} differs from its root")
-                out.append((doc, start, n, ids.tobytes()))
-            columns = zip(*out, strict=True) if out else ([], [], [], [])
-            yield pa.record_batch([pa.array(list(c), t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["doc_id", "start", "n_tokens", "ids"])
+            for part in (batch.slice(i, 500) for i in range(0, batch.num_rows, 500)):
+                out = []
+                doc_ids, roots, stored, fetched = (_column(part, c).to_pylist() for c in ("doc_id", "root", "ids", "fetched"))
+                totals, chunks = _column(part, "n_tokens").to_pylist(), _column(part, "chunks")
+                edges = np.cumsum([0, *chunks.value_lengths().to_pylist()]).tolist()
+                flat = chunks.flatten()
+                digests, sizes = flat.field("digest").to_pylist(), flat.field("n").to_pylist()
+                for n, own in enumerate(stored):
+                    own, at, parts = widen(own).tobytes(), 0, []
+                    got = {f["pos"]: widen(f["ids"]).tobytes() for f in fetched[n] or ()}
+                    for k, (wanted, size) in enumerate(zip(digests[edges[n] : edges[n + 1]], sizes[edges[n] : edges[n + 1]], strict=True)):
+                        ids = got.get(k)
+                        if ids is None:
+                            ids = own[at : at + 4 * size]
+                            at += 4 * size
+                        if digest(ids) != wanted:
+                            raise ValueError(f"chunk {k} of document {doc_ids[n]} differs from its digest")
+                        parts.append(ids)
+                    ids = b"".join(parts)
+                    if len(ids) != 4 * totals[n] or merkle(digests[edges[n] : edges[n + 1]]) != roots[n]:
+                        raise ValueError(f"document {doc_ids[n]} differs from its root")
+                    out.append(ids)
+                yield pa.record_batch([_column(part, "doc_id"), _column(part, "start"), _column(part, "n_tokens"), pa.array(out, pa.binary())], ["doc_id", "start", "n_tokens", "ids"])
 
     return alone.unionByName(mixed).mapInArrow(assemble, "doc_id long, start long, n_tokens long, ids binary")
 
