@@ -13,7 +13,11 @@ from quire.streaming.limits import EXPORT, SEARCH, Limit, judged
 
 # Networks of trusted callers.
 NETWORKS = ["35.199.0.0/16", "34.64.0.0/10", "34.128.0.0/10", "107.178.0.0/16", "34.2.0.0/16", "130.211.0.0/22", "35.191.0.0/16"]
-_NOW = F.timestamp_seconds(F.lit(NOW))
+
+
+def _now():
+    return F.timestamp_seconds(F.lit(NOW))
+
 
 # ---- scans -----------------------------------------------------------------------------------------------
 
@@ -98,18 +102,18 @@ def flt4(spark, d):
 @query("flt5_live", f"SELECT doc_uuid, expires_s > {NOW} AS live FROM docs")
 def flt5(spark, d):
     rows = model(spark, d, "docs").withColumn("expires_at", at("expires_s"))
-    return rows.select("doc_uuid", access.live("expires_at", _NOW).alias("live"))
+    return rows.select("doc_uuid", access.live("expires_at", _now()).alias("live"))
 
 
 @query("flt7_stale", f"SELECT doc_uuid, status FROM docs WHERE status IN ('PENDING', 'EXTRACTING', 'REFINING', 'EMBEDDING') AND updated_s <= {NOW} - 300")
 def flt7(spark, d):
     rows = model(spark, d, "docs").withColumn("updated_at", at("updated_s"))
-    return rows.filter(access.stale(_NOW)).select("doc_uuid", "status")
+    return rows.filter(access.stale(_now())).select("doc_uuid", "status")
 
 
 @query("flt8_expired", f"SELECT doc_uuid FROM docs WHERE expires_s <= {NOW}")
 def flt8(spark, d):
-    return model(spark, d, "docs").filter(at("expires_s") <= _NOW).select("doc_uuid")
+    return model(spark, d, "docs").filter(at("expires_s") <= _now()).select("doc_uuid")
 
 
 @query("flt9_backfill", "SELECT doc_uuid, 'PENDING' AS status FROM docs WHERE status = 'COMPLETED' AND created_s < 1784160000 AND (publisher IN ('', 'Unknown') OR doi = '')")
@@ -589,7 +593,7 @@ def snk8(spark, d):
 
 @query("snk9_purge", f"SELECT count(*) FILTER (WHERE expires_s < {NOW}) AS purged, count(*) FILTER (WHERE expires_s >= {NOW}) AS kept FROM docs")
 def snk9(spark, d):
-    gone = at("expires_s") < _NOW
+    gone = at("expires_s") < _now()
     return model(spark, d, "docs").agg(F.count_if(gone).alias("purged"), F.count_if(~gone).alias("kept"))
 
 
@@ -616,7 +620,7 @@ def snk19(spark, d):
 @query("p8_reaper", f"SELECT doc_uuid, CASE WHEN NOT s THEN status WHEN retry_count < 3 THEN 'PENDING' ELSE 'FAILED' END AS next_status, CASE WHEN s AND retry_count < 3 THEN retry_count + 1 ELSE retry_count END AS next_retry FROM (SELECT *, status IN ('PENDING', 'EXTRACTING', 'REFINING', 'EMBEDDING') AND updated_s <= {NOW} - 300 AS s FROM docs)")
 def p8(spark, d):
     rows = model(spark, d, "docs").withColumn("updated_at", at("updated_s"))
-    return changes.reaped(rows, access.stale(_NOW)).select("doc_uuid", "next_status", "next_retry")
+    return changes.reaped(rows, access.stale(_now())).select("doc_uuid", "next_status", "next_retry")
 
 
 @query("p15_commands", "SELECT doc_uuid, CASE WHEN c = 0 AND status = 'FAILED' AND retry_count < 3 THEN 'PENDING' WHEN c = 1 AND status IN ('FAILED', 'COMPLETED') THEN 'PENDING' WHEN c = 2 AND status NOT IN ('FAILED', 'COMPLETED') THEN 'FAILED' END AS next FROM (SELECT *, (doc_id // 20) % 3 AS c FROM docs)")
@@ -628,7 +632,7 @@ def p15(spark, d):
 @query("p4_completion", f"WITH {_CHUNKS} SELECT docs.doc_uuid, page_count, 'COMPLETED' AS status, {NOW} + 2592000 AS expires_s FROM docs")
 def p4(spark, d):
     docs = model(spark, d, "docs")
-    done = ingest.completed(docs.filter("doc_id >= 0"), chunk_table(spark, d), _NOW)
+    done = ingest.completed(docs.filter("doc_id >= 0"), chunk_table(spark, d), _now())
     return done.select("doc_uuid", "page_count", "status", F.unix_timestamp("expires_at").cast("int").alias("expires_s"))
 
 
