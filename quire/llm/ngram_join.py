@@ -27,7 +27,7 @@ from quire.llm.hashes import mix, word_shingles
 
 WORDS, SIMILARITY = 5, 0.8
 #: Trees and steps of a full path; share of pairs at the similarity that must meet.
-TREES, DEPTH, TARGET = 16, 8, 0.9995
+TREES, DEPTH, TARGET = 16, 8, 0.9999
 #: Classes of a prefix that are compared in one group.
 BLOCK = 512
 

@@ -74,8 +74,8 @@ def test_join_against_all_pairs(spark):
 
 
 def test_depth_meets_target():
-    d = prefix_depth(16, 8, 0.8, 0.9995)
-    assert 1 - (1 - 0.8**d) ** 16 >= 0.9995 > 1 - (1 - 0.8 ** (d + 1)) ** 16
+    d = prefix_depth(16, 8, 0.8, 0.9999)
+    assert 1 - (1 - 0.8**d) ** 16 >= 0.9999 > 1 - (1 - 0.8 ** (d + 1)) ** 16
 
 
 def test_overlaps_both_ways():
