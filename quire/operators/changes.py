@@ -93,3 +93,24 @@ def upload_decisions(uploads: DataFrame, docs: DataFrame, allowed: Column, most:
         .otherwise("exhausted")
     )
     return rows.join(found, ["batch", "seq"]).withColumn("decision", decision).withColumn("doc_id", F.when(best["status"].isNotNull(), best["doc_id"])).drop("best", "ok", "turn")
+
+
+#: The states of a document in order.
+NEXT = {"PENDING": "EXTRACTING", "EXTRACTING": "REFINING", "REFINING": "EMBEDDING", "EMBEDDING": "COMPLETED"}
+
+
+def advanced(status: Column, failed: Column, over_budget: Column) -> Column:
+    """The next state of a document in work: failed on an error, and before extraction and refinement also on a spent budget."""
+    steps = F.create_map(*(F.lit(x) for pair in NEXT.items() for x in pair))
+    stopped = failed | (over_budget & status.isin("PENDING", "EXTRACTING"))
+    return F.when(status.isin("COMPLETED", "FAILED"), status).when(stopped, "FAILED").otherwise(steps[status])
+
+
+def ingest_decisions(found: DataFrame, docs: DataFrame, over_budget: bool = False, force: bool = False) -> DataFrame:
+    """What becomes of each scanned file: known by hash and name is skipped, by hash alone cloned (unless forced), else pending or refused."""
+    named = docs.select("file_hash", "original_filename", F.lit(True).alias("same")).distinct()
+    hashed = docs.filter("status = 'COMPLETED'").select("file_hash", F.lit(True).alias("copy")).distinct()
+    rows = found.join(named, ["file_hash", "original_filename"], "left").join(hashed, "file_hash", "left")
+    known = F.lit(not force)
+    decision = F.when(known & F.col("same"), "skip").when(known & F.col("copy"), "clone").otherwise("refused" if over_budget else "pending")
+    return rows.withColumn("decision", decision).drop("same", "copy")
