@@ -29,7 +29,7 @@ from quire.llm.hashes import grams
 LENGTH = 200
 #: Bytes of an anchor.
 ANCHOR = 100
-#: Bytes of contexts indexed at a time; an anchor with more is settled by hashes of all its passages in Spark.
+#: Bytes of contexts indexed at a time; an anchor with more is settled by halving in Spark.
 INDEX_BYTES = 1_000_000
 
 
@@ -167,66 +167,90 @@ class RunLengthIndex:
         return out
 
 
-def _spans(starts: np.ndarray, length: int) -> list[dict]:
-    """Stretches covered by passages that start at the given places."""
-    if not len(starts):
-        return []
-    cut = np.flatnonzero(np.diff(starts) > length) + 1
-    return [{"a": int(s[0]), "b": int(s[-1]) + length} for s in np.split(starts, cut)]
+def _sharing(rows: list[tuple], length: int, size: int, nodes: int = 8) -> list[tuple]:
+    """Contexts of one anchor that can share a passage with another: in some range of passage places both have what all its passages hold."""
+    span = length - size
+    keep: set[int] = set()
+    for n in range(nodes):
+        low, high = (span + 1) * n // nodes, (span + 1) * (n + 1) // nodes - 1  # bytes before the anchor
+        held: dict[bytes, int] = {}
+        for k, (_, _, context, left, *_) in enumerate(rows):
+            if left >= low and len(context) >= left + size + span - high:
+                first = held.setdefault(context[left - low : left + size + span - high], k)
+                if first != k:
+                    keep |= {first, k}
+    return [rows[k] for k in sorted(keep)]
 
 
-def _indexed(length: int, index_bytes: int):
+def _indexed(length: int, size: int, index_bytes: int):
     """Rows of one anchor stand together; several anchors share an index."""
 
     def settle(rows: list[tuple]) -> pa.RecordBatch:
         index = RunLengthIndex([r[2] for r in rows], length)
-        base = np.zeros(len(index.order), np.int64)
-        first, last = base.copy(), base.copy()
+        first, last = np.zeros(len(index.order), np.int64), np.zeros(len(index.order), np.int64)
         # a place of the corpus as one number: classes numbered within this index, places below 2 ** 31
-        number = {c: n for n, c in enumerate(dict.fromkeys(c for r in rows for c in (r[3], r[5])))}
-        for start, (_, _, context, c1, p1, c2, p2) in zip(index.starts, rows, strict=True):
-            walk = np.arange(len(context))
+        number = {c: n for n, c in enumerate(dict.fromkeys(c for r in rows for c in (r[4], r[6])))}
+        for start, (_, _, context, left, c1, p1, c2, p2) in zip(index.starts, rows, strict=True):
+            walk = np.arange(len(context)) - left
             first[start : start + len(context)] = (number[c1] << 31) + p1 + walk
             last[start : start + len(context)] = (number[c2] << 31) + p2 + walk
         found = index.repeated(length, first, last)
-        spans = []
+        keys, begins, ends = [], [], []
         for start, row in zip(index.starts, rows, strict=True):
-            spans.append(_spans(np.flatnonzero(found[start : start + max(0, len(row[2]) - length + 1)]), length))
-        kind = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
-        return pa.record_batch([pa.array([r[1] for r in rows], pa.binary()), pa.array(spans, kind)], ["key", "spans"])
+            at = np.flatnonzero(found[start : start + max(0, len(row[2]) - length + 1)])
+            if len(at):  # all hold the anchor, so they cover one stretch
+                keys.append(row[1])
+                begins.append(int(at[0]))
+                ends.append(int(at[-1]) + length)
+        return pa.record_batch([pa.array(keys, pa.binary()), pa.array(begins, pa.int32()), pa.array(ends, pa.int32())], ["key", "a", "b"])
 
     def indexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows, size, last = [], 0, None
+        rows, own, total = [], [], 0
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if row[0] != last and size >= index_bytes:
-                    yield settle(rows)
-                    rows, size = [], 0
-                last = row[0]
-                rows.append(row)
-                size += len(row[2]) + 1
+                if own and row[0] != own[0][0]:
+                    kept = _sharing(own, length, size)
+                    rows, own, total = rows + kept, [], total + sum(len(r[2]) for r in kept)
+                    if total >= index_bytes:
+                        yield settle(rows)
+                        rows, total = [], 0
+                own.append(row)
+        rows += _sharing(own, length, size)
         if rows:
             yield settle(rows)
 
     return indexed
 
 
-def _by_hashes(contexts: DataFrame, length: int) -> DataFrame:
-    """The same answer for anchors whose contexts outgrow an index: every passage is a row, counted by Spark."""
+def _halved(rows: DataFrame, length: int, size: int) -> DataFrame:
+    """``key, a, b`` for anchors whose contexts outgrow an index, by halving the range of places that a passage can have.
 
-    def passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in (batch.slice(i, 200) for i in range(0, batch.num_rows, 200)):
-                out = []
-                for _, key, context, c1, p1, c2, p2 in zip(*(c.to_pylist() for c in part.columns), strict=True):
-                    out += [(key, at, hashlib.blake2b(context[at : at + length], digest_size=16).digest(), c1, p1 + at, c2, p2 + at) for at in range(len(context) - length + 1)]
-                kinds = (pa.binary(), pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
-                columns = list(zip(*out, strict=True)) or [()] * 7
-                yield pa.record_batch([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], ["key", "at", "passage", "c1", "p1", "c2", "p2"])
-
-    rows = contexts.mapInArrow(passages, "key binary, at int, passage binary, c1 long, p1 long, c2 long, p2 long")
-    many = rows.groupBy("passage").agg(F.min(F.struct("c1", "p1")).alias("least"), F.max(F.struct(F.col("c2").alias("c1"), F.col("p2").alias("p1"))).alias("most")).filter("least <> most").select("passage")
-    return rows.join(many, "passage").groupBy("key").agg(F.array_sort(F.collect_list(F.struct(F.col("at").alias("a"), (F.col("at") + length).alias("b")))).alias("spans"))
+    In a range, every passage holds the same core, and all its passages together are a hull. Contexts
+    with a hull that others have are settled for the range; those whose core nobody shares drop out;
+    the rest goes on in both halves. Only aggregations with map-side combining meet hot groups.
+    """
+    span = length - size
+    right = F.length("context") - F.col("left") - size
+    rows = rows.withColumns({"low": F.lit(0), "high": F.lit(span), "least": F.greatest(F.lit(0), span - right), "most": F.least("left", F.lit(span))})
+    part = lambda before, after: F.unhex(F.md5(F.substring("context", F.col("left") - before + 1, before + size + after)))
+    first, last = F.min(F.struct("c1", "p1")), F.max(F.struct(F.col("c2").alias("c1"), F.col("p2").alias("p1")))
+    found = None
+    while True:
+        whole = (F.col("most") >= F.col("high")) & (F.col("least") <= F.col("low"))
+        rows = rows.withColumns({"core": part(F.col("low"), span - F.col("high")), "hull": F.when(whole, part(F.col("high"), span - F.col("low")))})
+        rows = table(rows, "range")
+        hulls = rows.filter("hull is not null").groupBy("low", "hull").agg(first.alias("f"), last.alias("l")).filter("f <> l").select("low", "hull", F.lit(True).alias("done"))
+        judged = table(rows.join(hulls, ["low", "hull"], "left").withColumn("done", F.coalesce("done", F.lit(False))), "judged")
+        settled = judged.filter("done").select("key", (F.col("left") - F.col("high")).alias("a"), (F.col("left") - F.col("low") + length).alias("b"))
+        found = settled if found is None else found.unionByName(settled)
+        cores = judged.filter("low < high").groupBy("low", "core").agg(first.alias("f"), last.alias("l"), F.max(~F.col("done")).alias("open")).filter("f <> l and open").select("low", "core")
+        rest = judged.join(cores, ["low", "core"], "left_semi").drop("core", "hull", "done")
+        middle = F.expr("(low + high) div 2").cast("int")
+        halves = F.explode(F.array(F.struct(F.col("low").alias("x"), middle.alias("y")), F.struct((middle + 1).alias("x"), F.col("high").alias("y"))))
+        rows = rest.withColumn("half", halves).withColumns({"low": F.col("half.x"), "high": F.col("half.y")}).drop("half")
+        rows = rows.filter((F.col("most") >= F.col("low")) & (F.col("least") <= F.col("high")))
+        if cores.isEmpty():
+            return found.groupBy("key").agg(F.min("a").cast("int").alias("a"), F.max("b").cast("int").alias("b"))
 
 
 def _cut(length: int):
@@ -278,25 +302,24 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     contexts = places.groupBy("key").agg(F.first("hash").alias("hash"), F.first("left").alias("left"), F.max("context").alias("context"), F.min(spot).alias("first"), F.max(spot).alias("last"))
     contexts = table(contexts, "merged")
     alone = F.col("first") == F.col("last")
-    sizes = contexts.groupBy("hash").agg(F.count("*").alias("many"), F.sum(F.length("context")).alias("total"), F.max(alone).alias("open")).filter("many > 1 and open")
-    at = [(F.col(c)["place"] - F.col("left")).cast("long") for c in ("first", "last")]
-    mixed = contexts.join(sizes, "hash").select("hash", "key", "context", F.col("first.class").alias("c1"), at[0].alias("p1"), F.col("last.class").alias("c2"), at[1].alias("p2"), "total")
+    sizes = table(contexts.groupBy("hash").agg(F.count("*").alias("many"), F.sum(F.length("context")).alias("total"), F.max(alone).alias("open")).filter("many > 1 and open"), "sizes")
+    mixed = contexts.join(sizes, "hash").select(
+        "hash", "key", "context", "left", F.col("first.class").alias("c1"), F.col("first.place").cast("long").alias("p1"), F.col("last.class").alias("c2"), F.col("last.place").cast("long").alias("p2"), "total"
+    )
     indexed = mixed.filter(F.col("total") <= index_bytes).drop("total").repartition("hash").sortWithinPartitions("hash")
-    span = "array<struct<a:int,b:int>>"
-    settled = indexed.mapInArrow(_indexed(length, index_bytes), f"key binary, spans {span}").filter(F.size("spans") > 0)
-    large = mixed.filter(F.col("total") > index_bytes).drop("total")
-    if not large.isEmpty():
-        settled = settled.unionByName(_by_hashes(large, length))
+    settled = indexed.mapInArrow(_indexed(length, size, index_bytes), "key binary, a int, b int")
+    if not sizes.filter(F.col("total") > index_bytes).isEmpty():
+        settled = settled.unionByName(_halved(mixed.filter(F.col("total") > index_bytes).drop("total"), length, size))
     # a context at several places is a repeat throughout
-    whole = contexts.filter(~alone & (F.length("context") >= length)).select("key", F.array(F.struct(F.lit(0).alias("a"), F.length("context").alias("b"))).alias("spans"))
-    told = settled.withColumn("whole", F.lit(False)).unionByName(whole.withColumn("whole", F.lit(True)))
-    told = told.join(contexts.select("key", "left"), "key")
-    moved = places.select("key", "class", "place").join(told, "key").withColumn("at", F.col("place") - F.col("left"))
-    moved = moved.select("class", F.explode(F.transform("spans", lambda s: F.struct((s["a"] + F.col("at")).alias("a"), (s["b"] + F.col("at")).alias("b")))).alias("span"))
+    whole = contexts.filter(~alone & (F.length("context") >= length)).select("key", F.lit(0).alias("a"), F.length("context").alias("b"))
+    told = settled.unionByName(whole).groupBy("key").agg(F.min("a").alias("a"), F.max("b").alias("b")).join(contexts.select("key", "left"), "key")
+    at = F.col("place") - F.col("left")
+    moved = places.select("key", "class", "place").join(told, "key").select("class", F.struct((F.col("a") + at).alias("a"), (F.col("b") + at).alias("b")).alias("span"))
     gone = table(moved.groupBy("class").agg(F.collect_set("span").alias("gone")).join(classes.select("class", "digest", F.col("rep.doc_id").alias("rep_id")), "class"), "gone")
     same = (texts["digest"] == gone["digest"]) & texts["doc_id"].eqNullSafe(gone["rep_id"])
     n = gone.agg(F.sum(F.size("gone"))).first()[0] or 0
     parts = small_or_shuffled(texts, gone, same, "inner", n, 1_500_000).select("class", "text", "gone")
+    span = "array<struct<a:int,b:int>>"
     parts = parts.mapInArrow(_cut(length), f"class long, spans {span}, kept binary").select("class", "spans", F.sha2("kept", 256).alias("kept")).groupBy("class").agg(F.first("spans").alias("spans"), F.first("kept").alias("kept"))
     copied = (F.col("copies") > 1) & (F.col("n_bytes") >= length)
     result = classes.join(parts, "class", "left").select(
