@@ -19,7 +19,7 @@ from functools import lru_cache
 import numpy as np
 
 #: Pieces and words that a worker remembers; when full, a memory starts afresh.
-PIECES, WORDS = 450_000, 450_000
+PIECES, WORDS = 150_000, 250_000
 #: Longer pieces are encoded but not remembered.
 LONGEST = 40
 #: The id that ends each document.
