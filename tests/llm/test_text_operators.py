@@ -143,3 +143,39 @@ def test_toxicity_without_labels(spark, labelled_rows):
     model = tox.fit(tox.labelled(docs, labels.filter("toxic = 0")))
     assert {r[0] for r in docs.select(tox.toxicity(model)).collect()} == {0.0}
     assert docs.filter("doc_id < 0").select(tox.toxicity(model)).count() == 0
+
+
+def test_toxicity_counts_all_rows(spark):
+    random.seed(11)
+    words = [f"w{n}" for n in range(60)]
+    toxic = [" ".join(random.choices(words, k=8)) + f" badone x{n}" for n in range(4200)]
+    # the last insult is in 60 texts: a sample of 500 holds about 7, which no discount lets through
+    train = [(1, t + " rareinsult") if n % 70 == 0 else (1, t) for n, t in enumerate(toxic)]
+    train += [(0, " ".join(random.choices(words, k=9)) + f" x{n}") for n in range(200)]
+    rest = [f"{w} shared" for w in words] + ["one long " + "shared " * 50]
+    df = spark.createDataFrame(train, "label int, text string")
+    ids = df.withColumn("doc_id", F.xxhash64("text"))
+    labels = ids.select("doc_id", F.col("label").alias("toxic"))
+    learned = ids.filter(~tox.held_out()).count()
+    assert tox.labelled(ids, labels, "doc_id").count() == learned and tox.unlabelled(ids, labels).count() == 4400 - learned
+    words_found = tox._words(df.unionByName(spark.createDataFrame([(None, t) for t in rest], "label int, text string"))).collect()
+    found = {bytes(r["w"]): (r["n0"], r["n1"], r["n"]) for r in words_found}
+    texts = [(y, ["", *t.split()]) for y, t in train] + [(None, ["", *t.split()]) for t in rest]
+    for w in ("w7", "badone", "rareinsult", "shared", "x3"):
+        for at, some in enumerate(([t for y, t in texts if y == 0], [t for y, t in texts if y == 1], [t for _, t in texts])):
+            contexts = {a for t in some for a, b in zip(t, t[1:], strict=False) if b == w}
+            assert found[w.encode()][at] == min(len(contexts), sum(w in t for t in some)), w
+    kept = {}
+    for y, t in texts:
+        for pair in set(zip(t, t[1:], strict=False)):
+            kept.setdefault(pair, [0, 0])
+            if y is not None:
+                kept[pair][y] += 1
+    want = {(a.encode(), b.encode()): tuple(n) for (a, b), n in kept.items() if max(n) > 16.2}
+    often = [bytes(r["w"]) for r in words_found if max(r["t0"], r["t1"]) > 16.2]
+    assert want and {(v, w): n for v, w, n in tox._pairs(df, often, 16.2)} == want
+    assert next(r["h1"] for r in words_found if bytes(r["w"]) == b"w7") == sum(n[1] for (a, _), n in kept.items() if a == "w7")
+    twice, sizes = tox._different(df.unionAll(df))
+    assert twice.count() == 4400 and sizes == {0: 200, 1: 4200}
+    model = tox.fit(df, spark.createDataFrame([(t,) for t in rest], "text string"), sample=500)
+    assert b"rareinsult" in model.ids and model.features("w1 rareinsult")[0] > 2 * model.features("w1 w2")[0]
