@@ -295,7 +295,7 @@ def ag1(spark, d):
 
 @query("ag2_status_counts", f"SELECT status, (SELECT count(*) FROM docs WHERE docs.status = s.status AND doc_id % 20 <> 15) AS n FROM (SELECT unnest({STATUSES}) AS status) s")
 def ag2(spark, d):
-    return spend.status_counts(model(spark, d, "docs").filter("doc_id % 20 <> 15"), STATUSES)
+    return spend.status_counts(model(spark, d, "docs"), STATUSES)
 
 
 @query("ag3_month_to_date", "SELECT cast(sum(cost_micro) as bigint) AS cost_micro FROM docs WHERE created_s >= 1704067200")
