@@ -39,18 +39,37 @@ def keyword_hits(rows: DataFrame, text: str, k: int, order: list[str], content:
     return hits.withColumn("place", F.row_number().over(Window.orderBy(*order)))  # k rows
 
 
-def fused(dense: DataFrame, sparse: DataFrame, k: int, key: str, constant: int = FUSION) -> DataFrame:
-    """Reciprocal rank fusion of two ranked lists (``key``, ``place`` from 1); ties: dense list before sparse."""
-    both = dense.select(key, "place", F.lit(0).alias("list")).unionByName(sparse.select(key, "place", F.lit(1).alias("list")))
-    scored = both.groupBy(key).agg(F.sum(1 / (constant + F.col("place"))).alias("score"), F.min(F.struct("list", "place")).alias("seen"))
-    return scored.orderBy(F.desc("score"), "seen").limit(k).select(key, "score")
+def keyword_hits_each(queries: DataFrame, rows: DataFrame, k: int, order: list[str], key: str = "chunk_id", content: str = "content") -> DataFrame:
+    """For each query (``query_id``, ``query_text``) the first k rows that hold its text in any case; none for null and empty texts.
+
+    Queries are broadcast when counted few. Only k rows a query and hash slice get to the last ranking.
+    """
+    asked = queries.filter("query_text <> ''").select("query_id", F.lower("query_text").alias("query_text"))
+    few = asked.count() <= 10_000
+    pairs = rows.crossJoin(F.broadcast(asked) if few else asked).filter(F.contains(F.lower(F.col(content)), F.col("query_text")))
+    sliced, best = Window.partitionBy("query_id", "slice").orderBy(*order, key), Window.partitionBy("query_id").orderBy(*order, key)
+    hits = pairs.select("query_id", *dict.fromkeys([key, *order])).withColumn("slice", F.pmod(F.xxhash64(key), F.lit(64)))
+    hits = hits.withColumn("place", F.row_number().over(sliced)).filter(F.col("place") <= k)
+    return hits.withColumn("place", F.row_number().over(best)).filter(F.col("place") <= k).select("query_id", key, "place")
 
 
-def hybrid(rows: DataFrame, query_vector: DataFrame, text: str, k: int, key: str = "chunk_id", candidates: int = 10) -> DataFrame:
-    """Dense and keyword candidates of the rows, fused, best k with their rows."""
-    dense = nearest(query_vector, rows, candidates, key).select(key, "place")
-    sparse = keyword_hits(rows, text, candidates, ["doc_uuid", "chunk_index"]).select(key, "place")
-    return rows.join(F.broadcast(fused(dense, sparse, k, key)), key)
+def fused(dense: DataFrame, sparse: DataFrame, k: int, key: str, constant: int = FUSION) -> DataFrame:
+    """Reciprocal rank fusion of two ranked lists (``key``, ``place`` from 1); ties: dense list before sparse. With ``query_id`` in both, for each query."""
+    each = ["query_id"] if "query_id" in dense.columns and "query_id" in sparse.columns else []
+    both = dense.select(*each, key, "place", F.lit(0).alias("list")).unionByName(sparse.select(*each, key, "place", F.lit(1).alias("list")))
+    scored = both.groupBy(*each, key).agg(F.sum(1 / (constant + F.col("place"))).alias("score"), F.min(F.struct("list", "place")).alias("seen"))
+    if not each:
+        return scored.orderBy(F.desc("score"), "seen").limit(k).select(key, "score")
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "seen"))
+    return scored.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", key, "score")
+
+
+def hybrid(rows: DataFrame, queries: DataFrame, k: int, key: str = "chunk_id", candidates: int = 10) -> DataFrame:
+    """For each query (``query_id``, ``query_vector``, ``query_text``) its dense and keyword candidates, fused: the best k with their rows."""
+    dense = nearest(queries.select("query_id", "query_vector"), rows, candidates, key)
+    sparse = keyword_hits_each(queries, rows, candidates, ["doc_uuid", "chunk_index"], key)
+    best = fused(dense, sparse, k, key)
+    return rows.join(F.broadcast(best) if queries.count() <= 10_000 else best, key)
 
 
 def tokens(rows: DataFrame, key: str, content: str) -> DataFrame:

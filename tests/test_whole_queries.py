@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from quire.operators import spend
+from quire.operators import retrieval, spend
 from quire.plans import queries, rows_only  # noqa: F401
 from quire.plans.model import STATUSES, model
 from quire.plans.registry import QUERIES
@@ -16,3 +16,26 @@ def test_status_counts_hold_all_documents(spark):
     assert found["EXTRACTING"] == docs.filter("status = 'EXTRACTING'").count() > 0 and sum(found.values()) == docs.count()
     none = spend.status_counts(docs.filter("status <> 'PENDING'"), STATUSES).filter("status = 'PENDING'").first()
     assert none["n"] == 0
+
+
+def test_hybrid_serves_all_queries(spark):
+    rows = spark.createDataFrame([("a", "d", 0, "One fish", [1.0, 0.0]), ("b", "d", 1, "two fish", [0.0, 1.0]), ("c", "e", 0, "red", [1.0, 1.0])], "chunk_id string, doc_uuid string, chunk_index int, content string, embedding array<double>")
+    asked = spark.createDataFrame([(1, [1.0, 0.0], "FISH"), (2, [0.0, 1.0], "red"), (3, [0.0, 1.0], ""), (4, [1.0, 0.0], None)], "query_id long, query_vector array<double>, query_text string")
+    hits = retrieval.keyword_hits_each(asked, rows, 2, ["doc_uuid", "chunk_index"]).collect()
+    assert sorted((r["query_id"], r["chunk_id"], r["place"]) for r in hits) == [(1, "a", 1), (1, "b", 2), (2, "c", 1)]
+    found = {}
+    for r in retrieval.hybrid(rows, asked, 1, candidates=2).collect():
+        found.setdefault(r["query_id"], []).append((r["chunk_id"], round(r["score"], 9)))
+    assert found == {1: [("a", round(2 / 61, 9))], 2: [("c", round(1 / 62 + 1 / 61, 9))], 3: [("b", round(1 / 61, 9))], 4: [("a", round(1 / 61, 9))]}
+
+
+def test_hybrid_query_asks_all_items_divisible_by_50(spark):
+    asked = {r[0] for r in spark.read.parquet(f"{SMALL}/benchmark.parquet").filter("item_id % 50 = 0").select("item_id").collect()}
+    found = QUERIES["r3_hybrid_search"](spark, SMALL).collect()
+    assert {r["query_id"] for r in found} == asked and len(found) == 5 * len(asked)
+
+
+def test_cosine_distance_of_all_ids_divisible_by_50(spark):
+    ids = [r[0] for r in spark.read.parquet(f"{SMALL}/embeddings.parquet").select("vec_id").collect()]
+    found = QUERIES["r1_cosine_distance"](spark, SMALL)
+    assert found.count() == len(ids) * sum(i % 50 == 0 for i in ids) and {r[0] for r in found.select("query_id").distinct().collect()} == {i for i in ids if i % 50 == 0}
