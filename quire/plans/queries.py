@@ -469,7 +469,7 @@ def t16(spark, d):
 
 @query("t18_csv_guard", "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN '''' || v ELSE v END AS guarded FROM (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN ' =' ELSE '' END || left(text, 20) AS v FROM documents)")
 def t18(spark, d):
-    value = F.concat(F.when(F.col("doc_id") % 3 == 0, " =").otherwise(""), F.left("text", F.lit(20)))
+    value = F.concat(F.when(F.col("doc_id") % 3 == 0, " =").otherwise(""), "text")
     return raw(spark, d, "documents").select("doc_id", T.csv_guard(value).alias("guarded"))
 
 
@@ -480,8 +480,8 @@ def t19(spark, d):
 
 @query("t20_content", "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN left(text, 9) ELSE left(text, 5) END AS content FROM documents")
 def t20(spark, d):
-    refined = F.when(F.col("doc_id") % 2 == 0, F.left("text", F.lit(9))).otherwise("")
-    return raw(spark, d, "documents").select("doc_id", T.first_filled(refined, F.lit(None).cast("string"), F.left("text", F.lit(5))).alias("content"))
+    refined = F.when(F.col("doc_id") % 2 == 0, F.col("text")).otherwise("")
+    return raw(spark, d, "documents").select("doc_id", T.first_filled(refined, F.lit(None).cast("string"), F.col("text")).alias("content"))
 
 
 @query("t22_actions", "SELECT DISTINCT action, CASE WHEN action = 'purchase' THEN 'DELETE' ELSE upper(action) END AS canonical FROM audit")

@@ -107,7 +107,7 @@ def t32(spark, d):
 
 @query("src8_file_router")
 def src8(spark, d):
-    content = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("a,b\n"), F.replace("author", F.lit(","), F.lit(" ")), F.lit(",2\n"))).otherwise(F.left("raw_markdown", F.lit(50)))
+    content = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("a,b\n"), F.lit('"'), F.replace("raw_markdown", F.lit('"'), F.lit('""')), F.lit('",2\n'))).otherwise(F.col("raw_markdown"))
     path = F.concat("original_filename", F.when(F.col("doc_id") % 2 == 0, ".csv").otherwise(""))
     return files.markdown(model(spark, d, "docs").select("doc_uuid", path.alias("path"), F.encode(content, "UTF-8").alias("content")))
 

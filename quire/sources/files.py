@@ -67,6 +67,7 @@ def _text(content: bytes) -> str:
 
 
 def csv_markdown(content: bytes) -> str:
+    csv.field_size_limit(2**31 - 1)  # a cell can hold a whole text; the reader's own limit is 131072 characters
     rows = list(csv.reader(io.StringIO(_text(content), newline="")))
     return markdown_table(rows[0], rows[1:]) if rows and rows[0] else EMPTY_CSV
 

@@ -6,6 +6,7 @@ from quire.operators import retrieval, spend
 from quire.plans import queries, rows_only  # noqa: F401
 from quire.plans.model import STATUSES, model
 from quire.plans.registry import QUERIES
+from quire.sources.files import csv_markdown
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -39,3 +40,13 @@ def test_cosine_distance_of_all_ids_divisible_by_50(spark):
     ids = [r[0] for r in spark.read.parquet(f"{SMALL}/embeddings.parquet").select("vec_id").collect()]
     found = QUERIES["r1_cosine_distance"](spark, SMALL)
     assert found.count() == len(ids) * sum(i % 50 == 0 for i in ids) and {r[0] for r in found.select("query_id").distinct().collect()} == {i for i in ids if i % 50 == 0}
+
+
+def test_whole_texts_are_guarded_chosen_and_routed(spark):
+    texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text").collect()}
+    guarded = {r["doc_id"]: r["guarded"] for r in QUERIES["t18_csv_guard"](spark, SMALL).collect()}
+    assert all((guarded[i] or "").endswith(t) for i, t in texts.items())
+    assert {r["doc_id"]: r["content"] for r in QUERIES["t20_content"](spark, SMALL).collect()} == texts
+    routed = {int(r["doc_uuid"]): len(r["raw_markdown"] or "") for r in QUERIES["src8_file_router"](spark, SMALL).select("doc_uuid", "raw_markdown").collect()}
+    assert all(n >= 0.9 * len(texts[i].strip()) for i, n in routed.items()) and max(routed.values()) > 1000
+    assert len(csv_markdown(("a,b\n" + "x" * 200_000 + ",2\n").encode())) > 200_000
