@@ -21,7 +21,7 @@ from quire.llm.common import ascii_words, text_of
 
 #: Edits per character of an item that still count as the item.
 RATE = 0.05
-#: Items of fewer words are too common to tell and are left out.
+#: Items of fewer words that are also too short for an edit are searched exactly, between boundaries.
 FEWEST_WORDS = 5
 #: Characters of items broadcast at a time (on average; each block is one pass over the documents).
 BLOCK_CHARS = 4_000_000
@@ -32,6 +32,17 @@ def plain(text: str | None) -> str:
     return b" ".join(ascii_words((text or "").lower())).decode("utf-8", "surrogatepass")
 
 
+def _of_words(letter: str) -> bool:
+    """A letter or digit of a script that parts words by spaces."""
+    unspaced = "\u0e00" <= letter <= "\u0eff" or "\u1000" <= letter <= "\u109f" or "\u1780" <= letter <= "\u17ff" or "\u2e80" <= letter <= "\u9fff" or "\uf900" <= letter <= "\ufaff"
+    return letter.isalnum() and not unspaced and letter < "\U00020000"
+
+
+def bounded(text: str, a: int, b: int) -> bool:
+    """Whether neither end of ``text[a:b]`` is inside a word; scripts without spaces have no such inside."""
+    return not any(0 < at < len(text) and _of_words(text[at - 1]) and _of_words(text[at]) for at in (a, b))
+
+
 def pieces_of(item: str, rate: float) -> tuple[int, list[tuple[int, str]]]:
     """The error budget and its ``budget + 1`` pieces with their places."""
     budget = int(len(item) * rate)
@@ -90,6 +101,10 @@ class Matcher:
         for n, where in starts.items():
             key, item, masks, budget = self.items[n]
             best = None
+            if not budget and item.count(" ") < FEWEST_WORDS - 1:
+                ends = [a + len(item) for a in sorted(where) if bounded(text, a, a + len(item))]
+                out += [(key, 0, ends[0] - len(item), ends[0])] if ends else []
+                continue
             reach = -1
             for start in sorted(set(where)):
                 if start <= reach:
@@ -112,22 +127,28 @@ class Matcher:
 
 
 def item_blocks(benchmark: DataFrame, block_chars: int) -> Iterator[list[tuple[int, str]]]:
-    """Ids and plain texts of the items, in blocks of about ``block_chars`` characters by a hash; short items are left out."""
+    """Ids and plain texts of the items, in blocks of about ``block_chars`` characters by a hash; items without a letter or digit are left out."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), text_of("text").alias("text"))
     size = items.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = max(1, -(-size // block_chars))
     for n in range(blocks):
         rows = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == n).collect()
         some = [(r[0], plain(r[1])) for r in rows]
-        yield [i for i in some if i[1].count(" ") >= FEWEST_WORDS - 1]
+        yield [i for i in some if i[1]]
+
+
+def skipped_items(benchmark: DataFrame) -> DataFrame:
+    """``item_id`` of the items that are not searched: null ones, and those whose plain form is empty."""
+    empty = F.pandas_udf(lambda texts: pd.Series([not plain(t) for t in texts], dtype=bool), "boolean")
+    return benchmark.filter(empty(F.col("text").cast("string"))).select(F.col("item_id").cast("long").alias("item_id"))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", rate: float = RATE, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """``doc_id, item_id, edits, first_char, last_char``: one row per document and item found in it.
 
     Places are in the plain form of the text. Documents without an item have no row; null and empty
-    texts hold none; items of under FEWEST_WORDS words (null ones too) are left out; repeated rows
-    are reported each. An empty benchmark gives no rows.
+    texts hold none; items whose plain form is empty are left out (``skipped_items``), those of under
+    FEWEST_WORDS words that allow no edit are found between word boundaries only; repeated rows are reported each. An empty benchmark gives no rows.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     schema = "doc_id long, item_id long, edits int, first_char long, last_char long"

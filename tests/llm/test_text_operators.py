@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quire.llm import toxicity as tox
-from quire.llm.decontam import contaminated, drop_contaminated, edit_match, pieces_of, plain
+from quire.llm.decontam import contaminated, drop_contaminated, edit_match, pieces_of, plain, skipped_items
 from quire.llm.license_scan import BASE, TEMPLATES, Scanner, SuffixAutomaton, scan_licenses
 
 WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
@@ -106,6 +106,17 @@ def test_contamination_against_plain_version(spark):
     assert contaminated(df, bench.filter("item_id < 0")).count() == 0 and contaminated(df.filter("doc_id < 0"), bench).count() == 0
 
 
+def test_short_items_and_scripts_without_spaces(spark):
+    chinese = "水在标准大气压下的沸点是多少摄氏度？请选择正确的答案，并说明理由。"
+    bench = spark.createDataFrame([(1, chinese), (2, "Forty two"), (3, "沸点"), (4, "..."), (5, None)], "item_id long, text string")
+    docs = [(1, "前言：" + chinese + "完"), (2, "前言：" + chinese.replace("摄氏", "华氏") + "完"), (3, "It is forty-two."), (4, "forty twofold"), (5, "ordinary"), (6, "forty twofold, forty two")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    found = sorted((r["doc_id"], r["item_id"], r["edits"]) for r in contaminated(df, bench).collect())
+    assert found == [(1, 1, 0), (1, 3, 0), (2, 1, 1), (2, 3, 0), (3, 2, 0), (6, 2, 0)]
+    assert sorted(r["doc_id"] for r in drop_contaminated(df, bench).collect()) == [4, 5]
+    assert sorted(r[0] for r in skipped_items(bench).collect()) == [4, 5]
+
+
 def test_pieces_cover_the_item():
     budget, parts = pieces_of("x" * 233, 0.05)
     assert len(parts) == budget + 1 == 12 and "".join(p for _, p in parts) == "x" * 233
