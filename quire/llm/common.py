@@ -24,7 +24,7 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def table(df: DataFrame, name: str) -> DataFrame:
+def table(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     """``df`` written once as Parquet in the shared folder and read again, which cuts its lineage.
 
     A lost executor costs no more than the tasks it ran: what was written stays readable for all.
@@ -32,7 +32,7 @@ def table(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/quire-{uuid.uuid4().hex}/{name}"
-    df.write.parquet(path)
+    df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

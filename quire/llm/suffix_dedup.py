@@ -1,15 +1,19 @@
-"""Removal of repeated passages with a run-length suffix index.
-
-A passage of ``length`` bytes that stands in two places holds, in both, the same anchor: the
-``ANCHOR`` bytes with the least hash within it. So repeats are looked for only around anchors that
-occur more than once. What surrounds such an anchor is its context; equal contexts at different
-places settle each other by a map-side aggregation. Contexts of anchors that have several different
-ones are indexed together, in pieces of bounded size: their suffixes are sorted, the
-Burrows-Wheeler transform is cut into runs, longest common prefixes are computed at run ends only
-and streamed along the text, where each value is the one before it less one. That gives the
-matching statistics of each context against all others, hence the passages that repeat.
-
-Texts of which there are copies are one class, indexed once; the whole of each is a repeat.
+"""Removal of repeated passages with a run-length index.
+
+A passage of ``length`` bytes that stands in two places holds, in both and at the same distance from
+its start, the same anchor: the ``ANCHOR`` bytes with the least hash within it. So only anchors that
+occur more than once matter, with what surrounds them (their contexts). Contexts that are equal as a
+whole are repeats throughout and settle by their hashes alone. The others of an anchor go to an index,
+aligned on the anchor: their Burrows-Wheeler transform is built column by column and kept as runs.
+Within a run the rows stay neighbours, so their common prefix grows by one; it is sampled anew only at
+run ends, as a minimum over the rows between. So the matching statistics of every context against the
+others of its anchor stream from right to left, and where they reach ``length`` a passage repeats.
+
+Only hashes and places move between machines, then each differing context once. An anchor that is
+frequent is counted with map-side combining; one with more different contexts than an index holds is
+settled by digests of its passages instead, which spread over all tasks.
+
+Texts of which there are copies are one class, read once; the whole of each is a repeat.
 """
 
 from __future__ import annotations
@@ -23,14 +27,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm.common import small_or_shuffled, table, text_of
-from quire.llm.hashes import grams
+from quire.llm.hashes import grams, mix, stretches
 
 #: Bytes of a passage that may stand in one place only.
 LENGTH = 200
 #: Bytes of an anchor.
 ANCHOR = 100
-#: Bytes of contexts indexed at a time; an anchor with more is settled by halving in Spark.
-INDEX_BYTES = 1_000_000
+#: Contexts of one anchor that an index holds at most, and contexts that are indexed together.
+MOST, TOGETHER = 20_000, 40_000
+#: Share of all anchors from which one is counted apart; at most 1 / SUPPORT are.
+SUPPORT = 1e-4
+#: Starts of passages that are settled together for an anchor with more than MOST contexts.
+RANGE = 10
+#: Entries (some 30 bytes each) up to which a list of places or spans is broadcast to the texts.
+BROADCAST = 1_000_000
 
 
 def least_in_windows(values: np.ndarray, size: int) -> np.ndarray:
@@ -56,275 +66,371 @@ def anchors(data: np.ndarray, length: int, size: int) -> tuple[np.ndarray, np.nd
     return at, hashes[at]
 
 
-def _anchored(texts: DataFrame, length: int, size: int) -> DataFrame:
-    def anchored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            places, hashes, sizes = [], [], []
-            for text in batch.column(2).to_pylist():
-                data = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
-                at, h = anchors(data, length, size)
-                places.append(at.astype(np.int32))
-                hashes.append(h.view(np.int64))
-                sizes.append(len(data))
-            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(places, pa.list_(pa.int32())), pa.array(hashes, pa.list_(pa.int64()))], ["doc_id", "digest", "n_bytes", "places", "hashes"])
+def without_periods(at: np.ndarray, hashes: np.ndarray, length: int, size: int) -> tuple[np.ndarray, list[tuple[int, int]]]:
+    """Which anchors to keep, and the stretches in which one unit of at most ``size / 2`` bytes repeats.
 
-    return texts.mapInArrow(anchored, "doc_id long, digest binary, n_bytes long, places array<int>, hashes array<long>")
+    Equal anchors that close to each other have the same period, so each passage of such a stretch also
+    starts one period on or back. Only anchors near its two ends see anything else.
+    """
+    keep, spans = np.ones(len(at), bool), []
+    if len(at) < 3:
+        return keep, spans
+    linked = np.concatenate([[False], (hashes[1:] == hashes[:-1]) & (np.diff(at) <= size // 2), [False]])
+    begins, ends = np.flatnonzero(~linked[:-1] & linked[1:]), np.flatnonzero(linked[:-1] & ~linked[1:])
+    for i, j in zip(begins.tolist(), ends.tolist(), strict=True):
+        if at[j] - at[i] >= 2 * length:
+            spans.append((int(at[i]), int(at[j]) + size))
+            keep[i : j + 1] = (at[i : j + 1] < at[i] + length) | (at[i : j + 1] > at[j] - length)
+    return keep, spans
 
 
-_CONTEXT = "class long, place int, hash long, left int, key binary, context binary"
+def _anchored(texts: DataFrame, length: int, size: int) -> DataFrame:
+    """``class, place, hash, key``: the anchors of each text, ``key`` a hash of the context; or, if ``periodic``, a stretch from ``place`` to ``key``."""
+    span = length - size
+
+    def anchored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (b.slice(i, 1000) for b in batches for i in range(0, b.num_rows, 1000)):
+            classes, places, hashes, keys, periodic = [], [], [], [], []
+            for cls, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                data = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
+                at, found = anchors(data, length, size)
+                keep, spans = without_periods(at, found, length, size)
+                at, found = at[keep], found[keep]
+                starts, ends = np.maximum(at - span, 0), np.minimum(at + length, len(data))
+                around = stretches(data, starts, ends) if len(at) else found
+                classes.append(np.full(len(at) + len(spans), cls))
+                places += [at, np.array([a for a, _ in spans], np.int64)]
+                hashes += [found.view(np.int64), np.zeros(len(spans), np.int64)]
+                keys += [mix(around ^ mix((at - starts + (ends - at) * 65536).astype(np.uint64))).view(np.int64), np.array([b for _, b in spans], np.int64)]
+                periodic += [np.zeros(len(at), bool), np.ones(len(spans), bool)]
+            if not classes:
+                continue
+            yield pa.record_batch(
+                [pa.array(np.concatenate(classes)), pa.array(np.concatenate(places).astype(np.int32)), *(pa.array(np.concatenate(x)) for x in (hashes, keys, periodic))],
+                ["class", "place", "hash", "key", "periodic"],
+            )
+
+    return texts.mapInArrow(anchored, "class long, place int, hash long, key long, periodic boolean")
+
+
+#: What is known of an anchor's place: a periodic stretch; a context that repeats throughout, alone or also as one to compare with; one to compare; to be counted apart.
+PERIOD, WHOLE, WITNESS, ALONE, FREQUENT = range(5)
+_PLACES = "class long, place int, hash long, key long, kind int, contexts long"
+
+
+def _judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Places by kind, of rows ordered by hash, given kind (-1: not given) and key; anchors that occur once drop out."""
+    rest = None
+
+    def judge(hashes: np.ndarray, keys: np.ndarray, given: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        n = len(hashes)
+        new_hash = np.append(True, (hashes[1:] != hashes[:-1]) | (given[1:] != given[:-1]))
+        new_key = new_hash | np.append(True, keys[1:] != keys[:-1])
+        of_hash, of_key = np.cumsum(new_hash) - 1, np.cumsum(new_key) - 1
+        alone = np.bincount(of_key)[of_key] == 1
+        contexts = np.bincount(of_hash[new_key])[of_hash]
+        opened = (np.bincount(of_hash, alone) > 0)[of_hash] & (contexts > 1)
+        kind = np.full(n, WHOLE, np.int32)
+        kind[opened & new_key] = WITNESS
+        kind[opened & alone] = ALONE
+        kind[alone & (contexts == 1)] = -1
+        return np.where(given >= 0, given, kind), contexts
+
+    def record(rows: list[np.ndarray]) -> pa.RecordBatch:
+        kind, contexts = judge(rows[2], rows[3], rows[4])
+        kept = kind >= 0
+        return pa.record_batch([pa.array(x[kept]) for x in (*rows[:4], kind, contexts)], ["class", "place", "hash", "key", "kind", "contexts"])
+
+    for batch in batches:
+        if batch.num_rows:
+            rows = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+            rows = rows if rest is None else [np.concatenate(both) for both in zip(rest, rows, strict=True)]
+            cut = int(np.searchsorted(rows[2], rows[2][-1], "left"))
+            if cut:
+                yield record([x[:cut] for x in rows])
+            rest = [x[cut:] for x in rows]
+    if rest is not None:
+        yield record(rest)
+
+
+def _places(anchored: DataFrame, support: float) -> DataFrame:
+    """``_PLACES`` of the anchors that occur more than once, and of periodic stretches.
+
+    Rows meet by anchor. Those that can make up more than ``support`` of all (found by Misra-Gries
+    counters) are spread by place instead, and counted with map-side combining.
+    """
+    frequent = anchored.freqItems(["hash"], support).select(F.explode("hash_freqItems").alias("hash"))
+    names = [r[0] for r in frequent.collect()]  # at most 1 / support
+    heavy = anchored.sparkSession.createDataFrame([(n,) for n in names], "hash long").withColumn("frequent", F.lit(FREQUENT))
+    given = F.when(F.col("periodic"), PERIOD).otherwise(F.coalesce("frequent", F.lit(-1)))
+    spread = F.when(F.col("given") >= 0, F.xxhash64("class", "place")).otherwise(F.lit(0))
+    dealt = anchored.join(F.broadcast(heavy), "hash", "left").select("class", "place", "hash", "key", given.alias("given"))
+    dealt = dealt.repartition("hash", spread).sortWithinPartitions("hash", "given", "key")
+    found = table(dealt.mapInArrow(_judged, _PLACES), "places")
+    hot = found.filter(F.col("kind") == FREQUENT)
+    groups = table(hot.groupBy("hash", "key").agg(F.count("*").alias("same"), F.min(F.struct("class", "place")).alias("first")), "frequent")
+    sizes = groups.groupBy("hash").agg(F.count("*").alias("contexts"), F.max(F.col("same") == 1).alias("opened")).filter("contexts > 1 and opened")  # at most 1 / support
+    kind = F.when(F.col("same") == 1, ALONE).otherwise(WITNESS)
+    open_ = groups.join(F.broadcast(sizes), "hash").select("first.class", "first.place", "hash", "key", kind.alias("kind"), "contexts")
+    once = groups.filter("same = 1").select("first.class", "first.place")
+    whole = hot.join(once, ["class", "place"], "left_anti").withColumn("kind", F.lit(WHOLE))
+    return found.filter(F.col("kind") != FREQUENT).unionByName(open_).unionByName(whole)
+
+
+_CONTEXT = "hash long, class long, place int, alone boolean, big boolean, left int, context binary"
 
 
 def _contexts(length: int, size: int):
-    """For each wanted anchor its context, written out once a task for equal ones."""
+    """The contexts of the wanted places of each text."""
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[bytes] = set()
-        for batch in batches:
-            out = []
-            for cls, text, wanted in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for batch in (b.slice(i, 500) for b in batches for i in range(0, b.num_rows, 500)):
+            lists = batch.column(2)
+            flat = lists.flatten()
+            at = flat.field("place").to_numpy(zero_copy_only=False)
+            many = lists.value_lengths().to_numpy(zero_copy_only=False)
+            starts, out, k = np.maximum(at - (length - size), 0), [], 0
+            for text, n in zip(batch.column(1).to_pylist(), many.tolist(), strict=True):
                 data = text.encode("utf-8", "surrogatepass")
-                for w in wanted:
-                    a = w["place"]
-                    start = max(0, a - (length - size))
-                    context = data[start : a + length]
-                    key = hashlib.blake2b(context + (a - start).to_bytes(4, "little") + w["hash"].to_bytes(8, "little", signed=True), digest_size=16).digest()
-                    new = key not in seen
-                    if new:
-                        if len(seen) > 500_000:
-                            seen.clear()
-                        seen.add(key)
-                    out.append((cls, a, w["hash"], a - start, key, context if new else None))
-            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary())
-            columns = list(zip(*out, strict=True)) or [()] * 6
-            yield pa.record_batch([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], ["class", "place", "hash", "left", "key", "context"])
+                out += [data[a:b] for a, b in zip(starts[k : k + n].tolist(), (at[k : k + n] + length).tolist(), strict=True)]
+                k += n
+            classes = np.repeat(batch.column(0).to_numpy(), many)
+            columns = [flat.field("hash"), pa.array(classes), flat.field("place"), flat.field("alone"), flat.field("big"), pa.array((at - starts).astype(np.int32)), pa.array(out, pa.binary())]
+            yield pa.record_batch(columns, ["hash", "class", "place", "alone", "big", "left", "context"])
 
     return contexts
 
 
 class RunLengthIndex:
-    """Of a text of several parts, each ended by a letter of its own: for each place, the runs of the
-    Burrows-Wheeler transform give the longest prefix that also starts elsewhere."""
-
-    def __init__(self, parts: list[bytes], longest: int):
-        bodies = [np.frombuffer(p, np.uint8).astype(np.int32) + len(parts) for p in parts]
-        text = np.concatenate([x for k, b in enumerate(bodies) for x in (b, np.array([k], np.int32))])
-        n = len(text)
-        self.starts = np.cumsum([0, *(len(b) + 1 for b in bodies)])[:-1]
-        # ranks of prefixes of 1, 2, 4, ... letters; each part ends in its own letter, so all become distinct
-        ranks, order, span = [text], None, 1
-        rank = text
-        while True:
-            key = rank.astype(np.int64) << 32
-            key[: n - span] |= rank[span:].astype(np.int64) + 1
-            order = np.argsort(key)
-            ordered = key[order]
-            rank = np.empty(n, np.int32)
-            rank[order] = np.cumsum(np.concatenate([[0], ordered[1:] != ordered[:-1]])).astype(np.int32)
-            span *= 2
-            if rank.max() == n - 1:
-                break
-            ranks.append(rank)
-        self.order = order
-        transform = text[order - 1]
-        ends = np.flatnonzero(transform[1:] != transform[:-1]) + 1  # rows where a run starts
-        self.runs = len(ends) + 1
-        # sampled at run starts: common prefix with the row before; that row ends the run before
-        above, below = order[ends - 1], order[ends]
-        common = self._common(ranks, above, below)
-        # exact at run starts; elsewhere both rows continue those of the place before, so one less than there
-        self.before = self._streamed(n, np.append(below, order[0]), np.append(common, 0))
-
-    @staticmethod
-    def _common(ranks: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        n, got = len(ranks[0]), np.zeros(len(a), np.int64)
-        for level in range(len(ranks) - 1, -1, -1):
-            x, y = np.minimum(a + got, n - 1), np.minimum(b + got, n - 1)
-            same = (ranks[level][x] == ranks[level][y]) & (a + got < n) & (b + got < n)
-            got += np.where(same, 1 << level, 0)
-        return got
-
-    @staticmethod
-    def _streamed(n: int, places: np.ndarray, values: np.ndarray) -> np.ndarray:
-        at = np.full(n, -1, np.int64)
-        at[places] = places
-        at = np.maximum.accumulate(at)
-        value = np.zeros(n, np.int64)
-        value[places] = values
-        return np.where(at >= 0, np.maximum(0, value[at] - (np.arange(n) - at)), 0)
-
-    def repeated(self, length: int, first: np.ndarray, last: np.ndarray) -> np.ndarray:
-        """Places whose next ``length`` letters start at more than one place of the corpus.
-
-        ``first`` and ``last``: least and greatest place in the corpus that each letter stands for.
-        """
-        linked = self.before[self.order] >= length  # with the row above
-        group_starts = np.flatnonzero(~linked)
-        least = np.minimum.reduceat(first[self.order], group_starts)
-        greatest = np.maximum.reduceat(last[self.order], group_starts)
-        many = np.repeat(least != greatest, np.diff(np.append(group_starts, len(self.order))))
-        out = np.zeros(len(self.order), bool)
-        out[self.order] = many
-        return out
-
-
-def _sharing(rows: list[tuple], length: int, size: int, nodes: int = 8) -> list[tuple]:
-    """Contexts of one anchor that can share a passage with another: in some range of passage places both have what all its passages hold."""
-    span = length - size
-    keep: set[int] = set()
-    for n in range(nodes):
-        low, high = (span + 1) * n // nodes, (span + 1) * (n + 1) // nodes - 1  # bytes before the anchor
-        held: dict[bytes, int] = {}
-        for k, (_, _, context, left, *_) in enumerate(rows):
-            if left >= low and len(context) >= left + size + span - high:
-                first = held.setdefault(context[left - low : left + size + span - high], k)
-                if first != k:
-                    keep |= {first, k}
-    return [rows[k] for k in sorted(keep)]
-
-
-def _indexed(length: int, size: int, index_bytes: int):
-    """Rows of one anchor stand together; several anchors share an index."""
-
-    def settle(rows: list[tuple]) -> pa.RecordBatch:
-        index = RunLengthIndex([r[2] for r in rows], length)
-        first, last = np.zeros(len(index.order), np.int64), np.zeros(len(index.order), np.int64)
-        # a place of the corpus as one number: classes numbered within this index, places below 2 ** 31
-        number = {c: n for n, c in enumerate(dict.fromkeys(c for r in rows for c in (r[4], r[6])))}
-        for start, (_, _, context, left, c1, p1, c2, p2) in zip(index.starts, rows, strict=True):
-            walk = np.arange(len(context)) - left
-            first[start : start + len(context)] = (number[c1] << 31) + p1 + walk
-            last[start : start + len(context)] = (number[c2] << 31) + p2 + walk
-        found = index.repeated(length, first, last)
-        keys, begins, ends = [], [], []
-        for start, row in zip(index.starts, rows, strict=True):
-            at = np.flatnonzero(found[start : start + max(0, len(row[2]) - length + 1)])
-            if len(at):  # all hold the anchor, so they cover one stretch
-                keys.append(row[1])
-                begins.append(int(at[0]))
-                ends.append(int(at[-1]) + length)
-        return pa.record_batch([pa.array(keys, pa.binary()), pa.array(begins, pa.int32()), pa.array(ends, pa.int32())], ["key", "a", "b"])
+    """Contexts of anchors, aligned on the anchor, by their run-length Burrows-Wheeler transform.
+
+    For each column ``k``, from the last to the first, the rows of a group are in the order of what they
+    hold from ``k`` on, and the transform is the letters before ``k`` in that order, kept as runs. A step
+    to the left moves whole runs: ordered by letter, they are the rows in the order of column ``k - 1``.
+    Rows of a run stay neighbours, with one more letter in common; at the run's first row, and only
+    there, the common prefix is sampled: the least one between it and the run of the same letter above.
+    """
+
+    def __init__(self, groups: np.ndarray, contexts: list[bytes], lefts: np.ndarray, length: int, size: int):
+        self.length, self.span, width = length, length - size, 2 * length - size
+        begins = self.span - lefts
+        sizes = np.fromiter(map(len, contexts), np.int64, len(contexts))
+        padded = b"".join([b"\0" * a + c + b"\0" * (width - a - len(c)) for a, c in zip(begins.tolist(), contexts, strict=True)])
+        # columns of letters from 1; 0 where a row has none, which equals nothing
+        self.letters = np.ascontiguousarray(np.frombuffer(padded, np.uint8).reshape(-1, width).T).astype(np.uint16) + np.uint16(1)
+        columns = np.arange(width)[:, None]
+        self.letters[(columns < begins) | (columns >= begins + sizes)] = 0
+        self.groups = groups.astype(np.int64)
+        self.runs = 0
+
+    def _step(self, order: np.ndarray, common: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        n = len(order)
+        transform = self.groups[order] << 16 | self.letters[k][order]
+        heads = np.flatnonzero(np.append(True, transform[1:] != transform[:-1]))
+        self.runs += len(heads)
+        head = transform[heads]
+        moved = np.argsort(head, kind="stable")
+        ends = np.append(heads[1:], n)
+        sizes = (ends - heads)[moved]
+        starts = np.cumsum(sizes) - sizes
+        # where each row of the new order was
+        was = np.repeat(heads[moved] - starts, sizes) + np.arange(n)
+        value = common[was] + 1
+        # samples: between the end of the run above of the same letter and this run's first row
+        same = np.append(False, head[moved][1:] == head[moved][:-1]) & (head[moved] & 0xFFFF > 0)
+        value[starts] = 0
+        if same.any():
+            run = moved[same]
+            above = ends[moved[np.flatnonzero(same) - 1]]
+            pairs = np.column_stack([above, heads[run] + 1]).ravel()
+            least = np.minimum.reduceat(np.append(common, 0), pairs)[::2]
+            value[starts[same]] = least + 1
+        value[self.letters[k][order[was]] == 0] = 0
+        return order[was], value
+
+    def repeated(self) -> tuple[np.ndarray, np.ndarray]:
+        """For each row the first and the last column at which a passage starts that another row of its group has there too; -1 without any."""
+        n = len(self.groups)
+        order = np.argsort(self.groups, kind="stable")
+        common = np.zeros(n, np.int64)
+        first, last = np.full(n, -1), np.full(n, -1)
+        for k in range(len(self.letters) - 1, -1, -1):
+            order, common = self._step(order, common, k)
+            if k <= self.span:
+                far = common >= self.length
+                rows = order[far | np.append(far[1:], False)]
+                last[rows] = np.where(last[rows] < 0, k, last[rows])
+                first[rows] = k
+        return first, last
+
+
+_SPAN = "class long, a int, b int"
+
+
+def _indexed(length: int, size: int, together: int):
+    """Stretches of the lone contexts that repeat, of rows ordered by anchor; several anchors share an index."""
+
+    def settle(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
+        some = pa.Table.from_batches(rows)
+        column = lambda name: some[name].combine_chunks()
+        hashes, lefts, alone = (column(c).to_numpy(zero_copy_only=False) for c in ("hash", "left", "alone"))
+        groups = np.cumsum(np.append(0, hashes[1:] != hashes[:-1]))
+        first, last = RunLengthIndex(groups, column("context").to_pylist(), lefts, length, size).repeated()
+        found = np.flatnonzero((first >= 0) & alone)
+        origin = column("place").to_numpy()[found] - (length - size)
+        return pa.record_batch([pa.array(column("class").to_numpy()[found]), pa.array((origin + first[found]).astype(np.int32)), pa.array((origin + last[found] + length).astype(np.int32))], ["class", "a", "b"])
 
     def indexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows, own, total = [], [], 0
-        for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if own and row[0] != own[0][0]:
-                    kept = _sharing(own, length, size)
-                    rows, own, total = rows + kept, [], total + sum(len(r[2]) for r in kept)
-                    if total >= index_bytes:
-                        yield settle(rows)
-                        rows, total = [], 0
-                own.append(row)
-        rows += _sharing(own, length, size)
-        if rows:
-            yield settle(rows)
+        held, n = [], 0
+        for batch in (b.slice(i, together) for b in batches for i in range(0, b.num_rows, together)):
+            hashes = batch.column(0).to_numpy()
+            if held and n >= together:
+                # all rows up to the last change of anchor are whole groups
+                before = held[-1].column(0)[-1].as_py()
+                cut = int(np.argmax(hashes != before)) if (hashes != before).any() else len(hashes)
+                held.append(batch.slice(0, cut))
+                if cut < len(hashes):
+                    yield settle(held)
+                    held, n = [], 0
+                batch = batch.slice(cut)
+            if batch.num_rows:
+                held.append(batch)
+                n += batch.num_rows
+        if held:
+            yield settle(held)
 
     return indexed
 
 
-def _halved(rows: DataFrame, length: int, size: int) -> DataFrame:
-    """``key, a, b`` for anchors whose contexts outgrow an index, by halving the range of places that a passage can have.
+def _digest(data: bytes) -> bytes:
+    return hashlib.blake2b(data, digest_size=16).digest()
 
-    In a range, every passage holds the same core, and all its passages together are a hull. Contexts
-    with a hull that others have are settled for the range; those whose core nobody shares drop out;
-    the rest goes on in both halves. Only aggregations with map-side combining meet hot groups.
-    """
-    span = length - size
-    right = F.length("context") - F.col("left") - size
-    rows = rows.withColumns({"low": F.lit(0), "high": F.lit(span), "least": F.greatest(F.lit(0), span - right), "most": F.least("left", F.lit(span))})
-    part = lambda before, after: F.unhex(F.md5(F.substring("context", F.col("left") - before + 1, before + size + after)))
-    first, last = F.min(F.struct("c1", "p1")), F.max(F.struct(F.col("c2").alias("c1"), F.col("p2").alias("p1")))
-    found = None
-    while True:
-        whole = (F.col("most") >= F.col("high")) & (F.col("least") <= F.col("low"))
-        rows = rows.withColumns({"core": part(F.col("low"), span - F.col("high")), "hull": F.when(whole, part(F.col("high"), span - F.col("low")))})
-        rows = table(rows, "range")
-        hulls = rows.filter("hull is not null").groupBy("low", "hull").agg(first.alias("f"), last.alias("l")).filter("f <> l").select("low", "hull", F.lit(True).alias("done"))
-        judged = table(rows.join(hulls, ["low", "hull"], "left").withColumn("done", F.coalesce("done", F.lit(False))), "judged")
-        settled = judged.filter("done").select("key", (F.col("left") - F.col("high")).alias("a"), (F.col("left") - F.col("low") + length).alias("b"))
-        found = settled if found is None else found.unionByName(settled)
-        cores = judged.filter("low < high").groupBy("low", "core").agg(first.alias("f"), last.alias("l"), F.max(~F.col("done")).alias("open")).filter("f <> l and open").select("low", "core")
-        rest = judged.join(cores, ["low", "core"], "left_semi").drop("core", "hull", "done")
-        middle = F.expr("(low + high) div 2").cast("int")
-        halves = F.explode(F.array(F.struct(F.col("low").alias("x"), middle.alias("y")), F.struct((middle + 1).alias("x"), F.col("high").alias("y"))))
-        rows = rest.withColumn("half", halves).withColumns({"low": F.col("half.x"), "high": F.col("half.y")}).drop("half")
-        rows = rows.filter((F.col("most") >= F.col("low")) & (F.col("least") <= F.col("high")))
-        if cores.isEmpty():
-            return found.groupBy("key").agg(F.min("a").cast("int").alias("a"), F.max("b").cast("int").alias("b"))
-
-
-def _cut(length: int):
-    """Removed runs and what is left of each text."""
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+
+_DIGESTS = "hash long, class long, place int, alone boolean, low int, high int, core binary, hull binary"
+
+
+def _digests(length: int, size: int, step: int):
+    """For each context and each ``step`` distances of a passage's start from the anchor: digests of what all these passages hold, and of what any does."""
+
+    def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (b.slice(i, 500) for b in batches for i in range(0, b.num_rows, 500)):
             out = []
-            for cls, text, spans in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                data, runs = text.encode("utf-8", "surrogatepass"), []
-                for a, b in sorted((s["a"], s["b"]) for s in spans):
-                    if runs and a <= runs[-1][1]:
-                        runs[-1][1] = max(runs[-1][1], b)
-                    else:
-                        runs.append([a, b])
-                ends = [0, *(x for run in runs for x in run), len(data)]
-                left = b"".join(data[a:b] for a, b in zip(ends[::2], ends[1::2], strict=True))
-                out.append((cls, [{"a": a, "b": b} for a, b in runs], left))
-            kinds = (pa.int64(), pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())])), pa.binary())
-            columns = list(zip(*out, strict=True)) or [()] * 3
-            yield pa.record_batch([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], ["class", "spans", "kept"])
-
-    return cut
-
-
-def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, size: int = ANCHOR, index_bytes: int = INDEX_BYTES) -> DataFrame:
+            for hash_, cls, place, alone, left, context, lows in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                for low in lows:
+                    high = min(low + step - 1, length - size)
+                    first, last = left - high, left - low  # starts of these passages in the context
+                    if last < 0 or first + length > len(context):
+                        continue
+                    whole = first >= 0 and last + length <= len(context)
+                    out.append((hash_, cls, place, alone, low, high, _digest(context[last : first + length]), _digest(context[first : last + length]) if whole else None))
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
+            columns = list(zip(*out, strict=True)) or [()] * 8
+            yield pa.record_batch([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], ["hash", "class", "place", "alone", "low", "high", "core", "hull"])
+
+    return digests
+
+
+def _settled(contexts: DataFrame, length: int, size: int, step: int) -> DataFrame:
+    """``_DIGESTS`` rows with ``done``: all passages of these starts repeat, and ``open``: some may, in a lone context of the same core."""
+    rows = table(contexts.mapInArrow(_digests(length, size, step), _DIGESTS), "digests")
+    hulls = rows.filter("hull is not null").groupBy("hash", "low", "hull").agg(F.count("*").alias("n")).filter("n > 1").select("hash", "low", "hull", F.lit(True).alias("done"))
+    judged = rows.join(hulls, ["hash", "low", "hull"], "left").withColumn("done", F.coalesce("done", F.lit(False)))
+    if step == 1:
+        return judged
+    judged = table(judged, "judged")
+    cores = judged.groupBy("hash", "low", "core").agg(F.count("*").alias("n"), F.max(F.col("alone") & ~F.col("done")).alias("open")).filter("n > 1 and open").select("hash", "low", "core", "open")
+    return judged.join(cores, ["hash", "low", "core"], "left")
+
+
+def _split(contexts: DataFrame, length: int, size: int, step: int = RANGE) -> DataFrame:
+    """``_SPAN`` for anchors with more contexts than an index holds: by digests of stretches of starts, then of single starts where these differ."""
+    columns = ["hash", "class", "place", "alone", "left", "context"]
+    wide = _settled(contexts.select(*columns, F.array(*(F.lit(n) for n in range(0, length - size + 1, step))).alias("lows")), length, size, step)
+    wide = table(wide, "ranges")
+    starts = F.explode(F.sequence("low", "high")).alias("low")
+    rest = wide.filter("open").select("class", "place", "hash", starts).groupBy("class", "place", "hash").agg(F.collect_list("low").alias("lows"))
+    narrow = _settled(contexts.join(rest, ["class", "place", "hash"]).select(*columns, "lows"), length, size, 1)
+    done = wide.select("class", "place", "alone", "low", "high", "done").unionByName(narrow.select("class", "place", "alone", "low", "high", "done"))
+    return done.filter("done and alone").select("class", (F.col("place") - F.col("high")).alias("a"), (F.col("place") - F.col("low") + length).alias("b"))
+
+
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per text the stretches of which overlapping or adjoining ones are one, in order and within the text."""
+    for batch in batches:
+        lists = batch.column(2)
+        flat = lists.flatten()
+        a, b = (flat.field(c).to_numpy(zero_copy_only=False) for c in ("a", "b"))
+        of = np.repeat(np.arange(batch.num_rows), lists.value_lengths().to_numpy(zero_copy_only=False))
+        order = np.lexsort((a, of))
+        a, b, of = a[order], np.minimum(b[order], batch.column(1).to_numpy()[of]), of[order]
+        # ends so far within a text: texts are told apart by an offset beyond any place
+        reach = np.maximum.accumulate(b + (of << 32)) if len(b) else b
+        first = np.append(True, (a[1:] + (of[1:] << 32)) > reach[:-1])[: len(a)]
+        starts = np.flatnonzero(first)
+        ends = (reach[np.append(starts[1:] - 1, len(a) - 1)[: len(starts)]] & 0xFFFFFFFF) if len(a) else b
+        spans = pa.StructArray.from_arrays([pa.array(a[starts].astype(np.int32)), pa.array(ends.astype(np.int32))], ["a", "b"])
+        counts = np.bincount(of[starts], minlength=batch.num_rows) if len(a) else np.zeros(batch.num_rows, np.int64)
+        yield pa.record_batch([batch.column(0), pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts)).astype(np.int32)), spans)], ["class", "spans"])
+
+
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Hash of what is left of each text."""
+    for batch in batches:
+        out = []
+        for text, spans in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            data = text.encode("utf-8", "surrogatepass")
+            ends = [0, *(x for s in spans for x in (s["a"], s["b"])), len(data)]
+            out.append(hashlib.sha256(b"".join([data[a:b] for a, b in zip(ends[::2], ends[1::2], strict=True)])).hexdigest())
+        yield pa.record_batch([batch.column(0), batch.column(2), pa.array(out, pa.string())], ["class", "spans", "kept"])
+
+
+def repeated_passages(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, size: int = ANCHOR, most: int = MOST, together: int = TOGETHER, support: float = SUPPORT, broadcast: int = BROADCAST
+) -> DataFrame:
     """One row per row of ``docs``: id, ``n_bytes``, ``spans`` removed (``a`` to ``b``, in bytes), ``kept_sha256``.
 
     A byte goes if any passage of ``length`` bytes over it also starts at another place, of the same or
     of another document; passages are judged on the input and never cross documents. Null and empty
     texts have no bytes. Of rows with equal texts each is the other's repeat. Long stretches of one
-    repeated unit are repeats of themselves. ``kept_sha256`` is of the bytes left.
+    repeated unit are repeats of themselves. ``kept_sha256`` is of the bytes left. An empty table gives
+    no rows; columns beyond the two are not read.
     """
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.unhex(F.sha2(text_of(text_col), 256)).alias("digest"), text_of(text_col).alias("text"))
-    found = table(_anchored(texts, length, size), "anchors")
+    text = text_of(text_col)
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.unhex(F.sha2(text, 256)).alias("digest"), text.alias("text"))
+    rows = table(texts.select("doc_id", "digest", F.octet_length("text").cast("long").alias("n_bytes")), "digests")
     rep = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id")
-    classes = table(found.groupBy("digest").agg(F.min(rep).alias("rep"), F.count("*").alias("copies"), F.first("n_bytes").alias("n_bytes")).withColumn("class", F.monotonically_increasing_id()), "classes")
-    one = classes.select("class", "digest", F.col("rep.doc_id").alias("rep_id"))
-    mine = found.join(one, (found["digest"] == one["digest"]) & found["doc_id"].eqNullSafe(one["rep_id"])).select("class", "places", "hashes")
-    spread = mine.select("class", F.explode(F.arrays_zip("places", "hashes")).alias("x")).select("class", F.col("x.places").alias("place"), F.col("x.hashes").alias("hash"))
-    often = spread.groupBy("hash").agg(F.count("*").alias("many")).filter("many > 1").select("hash")
-    wanted = spread.join(often, "hash").groupBy("class").agg(F.collect_set(F.struct("place", "hash")).alias("wanted"))
-    wanted = table(wanted.join(classes.select("class", "digest", F.col("rep.doc_id").alias("rep_id")), "class"), "wanted")
-    same = (texts["digest"] == wanted["digest"]) & texts["doc_id"].eqNullSafe(wanted["rep_id"])
-    n = wanted.agg(F.sum(F.size("wanted"))).first()[0] or 0
-    around = small_or_shuffled(texts, wanted, same, "inner", n, 1_500_000).select("class", "text", "wanted")
-    places = table(around.mapInArrow(_contexts(length, size), _CONTEXT), "contexts")
-    spot = F.struct("class", "place")
-    contexts = places.groupBy("key").agg(F.first("hash").alias("hash"), F.first("left").alias("left"), F.max("context").alias("context"), F.min(spot).alias("first"), F.max(spot).alias("last"))
-    contexts = table(contexts, "merged")
-    alone = F.col("first") == F.col("last")
-    sizes = table(contexts.groupBy("hash").agg(F.count("*").alias("many"), F.sum(F.length("context")).alias("total"), F.max(alone).alias("open")).filter("many > 1 and open"), "sizes")
-    mixed = contexts.join(sizes, "hash").select(
-        "hash", "key", "context", "left", F.col("first.class").alias("c1"), F.col("first.place").cast("long").alias("p1"), F.col("last.class").alias("c2"), F.col("last.place").cast("long").alias("p2"), "total"
-    )
-    indexed = mixed.filter(F.col("total") <= index_bytes).drop("total").repartition("hash").sortWithinPartitions("hash")
-    settled = indexed.mapInArrow(_indexed(length, size, index_bytes), "key binary, a int, b int")
-    if not sizes.filter(F.col("total") > index_bytes).isEmpty():
-        settled = settled.unionByName(_halved(mixed.filter(F.col("total") > index_bytes).drop("total"), length, size))
-    # a context at several places is a repeat throughout
-    whole = contexts.filter(~alone & (F.length("context") >= length)).select("key", F.lit(0).alias("a"), F.length("context").alias("b"))
-    told = settled.unionByName(whole).groupBy("key").agg(F.min("a").alias("a"), F.max("b").alias("b")).join(contexts.select("key", "left"), "key")
-    at = F.col("place") - F.col("left")
-    moved = places.select("key", "class", "place").join(told, "key").select("class", F.struct((F.col("a") + at).alias("a"), (F.col("b") + at).alias("b")).alias("span"))
-    gone = table(moved.groupBy("class").agg(F.collect_set("span").alias("gone")).join(classes.select("class", "digest", F.col("rep.doc_id").alias("rep_id")), "class"), "gone")
-    same = (texts["digest"] == gone["digest"]) & texts["doc_id"].eqNullSafe(gone["rep_id"])
-    n = gone.agg(F.sum(F.size("gone"))).first()[0] or 0
-    parts = small_or_shuffled(texts, gone, same, "inner", n, 1_500_000).select("class", "text", "gone")
-    span = "array<struct<a:int,b:int>>"
-    parts = parts.mapInArrow(_cut(length), f"class long, spans {span}, kept binary").select("class", "spans", F.sha2("kept", 256).alias("kept")).groupBy("class").agg(F.first("spans").alias("spans"), F.first("kept").alias("kept"))
+    classes = table(rows.groupBy("digest").agg(F.min(rep).alias("rep"), F.count("*").alias("copies"), F.first("n_bytes").alias("n_bytes")).withColumn("class", F.monotonically_increasing_id()), "classes")
+    reps = classes.filter(F.col("n_bytes") >= length).select("class", "digest", F.col("rep.doc_id").alias("rep_id"))
+
+    def read(some: DataFrame, entries: int, *columns: str) -> DataFrame:
+        """The texts of some classes, with columns of theirs."""
+        same = (texts["digest"] == some["digest"]) & texts["doc_id"].eqNullSafe(some["rep_id"])
+        return small_or_shuffled(texts, some, same, "inner", entries, broadcast).select("class", "text", *columns)
+
+    def count(lists: DataFrame, name: str) -> int:
+        return lists.agg(F.sum(F.size(name)) + F.count("*")).first()[0] or 0
+
+    places = _places(_anchored(read(reps, 2 * reps.count()), length, size), support)
+    wanted = places.filter(F.col("kind").isin(WITNESS, ALONE)).select("class", F.struct("place", "hash", (F.col("kind") == ALONE).alias("alone"), (F.col("contexts") > most).alias("big")).alias("x"))
+    wanted = table(wanted.groupBy("class").agg(F.collect_list("x").alias("wanted")).join(reps, "class"), "wanted")
+    contexts = table(read(wanted, count(wanted, "wanted"), "wanted").mapInArrow(_contexts(length, size), _CONTEXT), "contexts", "zstd")
+    small = contexts.filter("not big").select("hash", "class", "place", "alone", "left", "context").repartition("hash").sortWithinPartitions("hash")
+    spans = small.mapInArrow(_indexed(length, size, together), _SPAN)
+    big = contexts.filter("big")
+    if not big.isEmpty():
+        spans = spans.unionByName(_split(big, length, size))
+    periodic = F.col("kind") == PERIOD
+    a = F.when(periodic, F.col("place")).otherwise(F.greatest(F.col("place") - (length - size), F.lit(0)))
+    b = F.when(periodic, F.col("key").cast("int")).otherwise(F.col("place") + length)
+    throughout = places.filter(F.col("kind").isin(PERIOD, WHOLE, WITNESS)).select("class", a.alias("a"), b.alias("b"))
+    gone = spans.unionByName(throughout).groupBy("class").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
+    gone = gone.join(classes.select("class", "n_bytes"), "class").select("class", "n_bytes", "spans")
+    gone = table(gone.mapInArrow(_merged, "class long, spans array<struct<a:int,b:int>>").join(reps, "class"), "gone")
+    parts = read(gone, count(gone, "spans"), "spans").mapInArrow(_cut, "class long, spans array<struct<a:int,b:int>>, kept string").dropDuplicates(["class"])
     copied = (F.col("copies") > 1) & (F.col("n_bytes") >= length)
     result = classes.join(parts, "class", "left").select(
         "digest",
-        F.when(copied, F.array(F.struct(F.lit(0).alias("a"), F.col("n_bytes").cast("int").alias("b")))).otherwise(F.coalesce("spans", F.array().cast(span))).alias("spans"),
+        F.when(copied, F.array(F.struct(F.lit(0).alias("a"), F.col("n_bytes").cast("int").alias("b")))).otherwise(F.coalesce("spans", F.array().cast("array<struct<a:int,b:int>>"))).alias("spans"),
         F.when(copied, F.sha2(F.lit(b""), 256)).otherwise(F.coalesce("kept", F.lower(F.hex("digest")))).alias("kept_sha256"),
     )
-    return found.select("doc_id", "digest", "n_bytes").join(result, "digest").select(F.col("doc_id").alias(id_col), "n_bytes", "spans", "kept_sha256")
+    return rows.join(result, "digest").select(F.col("doc_id").alias(id_col), "n_bytes", "spans", "kept_sha256")

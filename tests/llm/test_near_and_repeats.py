@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quire.llm.hashes import grams, word_shingles
 from quire.llm.ngram_join import drop_near_copies, ngram_join, overlaps, prefix_depth, shingles_of
-from quire.llm.suffix_dedup import RunLengthIndex, anchors, least_in_windows, repeated_passages
+from quire.llm.suffix_dedup import RunLengthIndex, anchors, least_in_windows, repeated_passages, without_periods
 
 
 def near_rows():
@@ -109,21 +109,34 @@ def test_each_passage_holds_an_anchor():
         assert min(hashes[q] for q in inside) == min(hashes[p : p + 21])
 
 
+def test_periods_keep_few_anchors():
+    for unit in (b"a", b"abc", b"0123456789" * 4):
+        data = np.frombuffer(unit * (1_000_000 // len(unit)), np.uint8)
+        at, found = anchors(data, 200, 100)
+        keep, spans = without_periods(at, found, 200, 100)
+        assert keep.sum() <= 400 and len(spans) == 1 and spans[0][1] - spans[0][0] >= len(data) - 2 * len(unit)
+
+
 def test_run_length_index_against_search():
     random.seed(14)
+    length, size = 12, 4
     for _ in range(20):
-        parts = [bytes(random.choices(b"ab", k=random.randint(1, 40))) for _ in range(5)]
-        index = RunLengthIndex(parts, 10)
-        n = len(index.order)
-        rows = {p: k for k, p in enumerate(index.order.tolist())}
-        text = []
-        for k, p in enumerate(parts):
-            text += [x + 5 for x in p] + [k]
-        common = lambda a, b: next((i for i in range(n) if a + i >= n or b + i >= n or text[a + i] != text[b + i]), n)
-        assert sorted(range(n), key=lambda p: text[p:]) == index.order.tolist()
-        for p in range(n):
-            above = rows[p] - 1
-            assert index.before[p] == (common(p, int(index.order[above])) if above >= 0 else 0)
+        groups, contexts, lefts = [], [], []
+        for g in range(4):
+            for _ in range(random.choice([1, 2, 9])):
+                left, right = random.randint(0, length - size), random.randint(0, length - size)
+                contexts.append(bytes(random.choices(b"aab\0", k=left)) + b"a" * size + bytes(random.choices(b"aab\0", k=right)))
+                groups.append(g)
+                lefts.append(left)
+        order = random.sample(range(len(groups)), len(groups))
+        groups, contexts, lefts = ([x[k] for k in order] for x in (groups, contexts, lefts))
+        index = RunLengthIndex(np.array(groups), contexts, np.array(lefts), length, size)
+        first, last = index.repeated()
+        assert 0 < index.runs <= len(groups) * (2 * length - size)
+        passage = lambda r, k: contexts[r][lefts[r] + k - (length - size) :][:length] if lefts[r] + k >= length - size else b""
+        for r in range(len(groups)):
+            starts = [k for k in range(length - size + 1) if len(passage(r, k)) == length and any(passage(o, k) == passage(r, k) for o in range(len(groups)) if o != r and groups[o] == groups[r])]
+            assert (first[r], last[r]) == ((starts[0], starts[-1]) if starts else (-1, -1))
 
 
 def repeats(rows, length):
@@ -145,7 +158,7 @@ def passage_rows():
     random.seed(15)
     text = lambda k: "".join(random.choices("abcdé ", k=k))
     shared = [text(260), text(230), text(199), text(600)]
-    rows = [(0, None), (1, ""), (2, "short"), (3, "short"), (4, "z" * 700), (5, "ab" * 400), (6, text(250))]
+    rows = [(0, None), (1, ""), (2, "short"), (3, "short"), (4, "z" * 700), (5, "ab" * 400), (6, text(250)), (7, "z" * 230), (8, text(90) + "zyx" * 900 + text(90)), (9, "q" + "yxz" * 200)]
     for n in range(60):
         parts = [text(random.randint(0, 150))]
         for _ in range(random.randint(0, 3)):
@@ -159,8 +172,9 @@ def test_repeats_against_search(spark):
     rows = passage_rows()
     df = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, spans string")
     want = sorted((str(i), *w) for (i, _), w in zip(rows, repeats(rows, 200), strict=True))
-    for index_bytes in (1_000_000, 3_000):  # small: several indexes, and large anchors settled by hashes
-        found = repeated_passages(df, index_bytes=index_bytes).collect()
+    # small: several indexes, anchors counted apart and settled by digests, texts shuffled
+    for options in ({}, {"most": 3, "together": 10, "support": 0.01}, {"support": 0.3, "broadcast": 0}):
+        found = repeated_passages(df, **options).collect()
         got = sorted((str(r["doc_id"]), r["n_bytes"], sum(s["b"] - s["a"] for s in r["spans"]), len(r["spans"]), r["kept_sha256"]) for r in found)
         assert got == want
     assert repeated_passages(df.filter(F.lit(False))).count() == 0
