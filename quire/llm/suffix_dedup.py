@@ -39,7 +39,7 @@ MOST, TOGETHER = 20_000, 40_000
 SUPPORT = 1e-4
 #: Starts of passages that are settled together for an anchor with more than MOST contexts.
 RANGE = 10
-#: Entries (some 30 bytes each) up to which a list of places or spans is broadcast to the texts.
+#: Entries (some 30 bytes each) up to which a list of classes or spans is broadcast to the texts; contexts are always fetched by a shuffle.
 BROADCAST = 1_000_000
 
 
@@ -402,10 +402,11 @@ def repeated_passages(
     classes = table(rows.groupBy("digest").agg(F.min(rep).alias("rep"), F.count("*").alias("copies"), F.first("n_bytes").alias("n_bytes")).withColumn("class", F.monotonically_increasing_id()), "classes")
     reps = classes.filter(F.col("n_bytes") >= length).select("class", "digest", F.col("rep.doc_id").alias("rep_id"))
 
-    def read(some: DataFrame, entries: int, *columns: str) -> DataFrame:
+    def read(some: DataFrame, entries: int | None, *columns: str) -> DataFrame:
         """The texts of some classes, with columns of theirs."""
         same = (texts["digest"] == some["digest"]) & texts["doc_id"].eqNullSafe(some["rep_id"])
-        return small_or_shuffled(texts, some, same, "inner", entries, broadcast).select("class", "text", *columns)
+        both = texts.hint("merge").join(some, same) if entries is None else small_or_shuffled(texts, some, same, "inner", entries, broadcast)
+        return both.select("class", "text", *columns)
 
     def count(lists: DataFrame, name: str) -> int:
         return lists.agg(F.sum(F.size(name)) + F.count("*")).first()[0] or 0
@@ -413,7 +414,7 @@ def repeated_passages(
     places = _places(_anchored(read(reps, 2 * reps.count()), length, size), support)
     wanted = places.filter(F.col("kind").isin(WITNESS, ALONE)).select("class", F.struct("place", "hash", (F.col("kind") == ALONE).alias("alone"), (F.col("contexts") > most).alias("big")).alias("x"))
     wanted = table(wanted.groupBy("class").agg(F.collect_list("x").alias("wanted")).join(reps, "class"), "wanted")
-    contexts = table(read(wanted, count(wanted, "wanted"), "wanted").mapInArrow(_contexts(length, size), _CONTEXT), "contexts", "zstd")
+    contexts = table(read(wanted, None, "wanted").mapInArrow(_contexts(length, size), _CONTEXT), "contexts", "zstd")
     small = contexts.filter("not big").select("hash", "class", "place", "alone", "left", "context").repartition("hash").sortWithinPartitions("hash")
     spans = small.mapInArrow(_indexed(length, size, together), _SPAN)
     big = contexts.filter("big")
