@@ -18,7 +18,7 @@ from quire.llm.suffix_dedup import repeated_passages
 from quire.llm.token_counts import length_histogram
 from quire.llm.token_store import read_store, write_store
 from quire.llm.tokens import word_bpe
-from quire.llm.toxicity import THRESHOLD, fit, held_out, labelled, toxicity, unlabelled
+from quire.llm.toxicity import THRESHOLD, fit, held_out, labelled, toxicity
 from quire.llm.url_filter import RULES, SOFT, SOFT_LIMIT, STRICT, filter_urls
 
 
@@ -42,7 +42,7 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
     labels = _read(spark, sf_dir, "labels")
-    model = fit(labelled(docs, labels), unlabelled(docs, labels))
+    model = fit(labelled(docs, labels))
     scored = docs.select("doc_id", held_out().alias("held_out"), toxicity(model).alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
 

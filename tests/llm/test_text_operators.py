@@ -1,6 +1,9 @@
+import collections
+import math
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -146,7 +149,7 @@ def test_toxicity_on_held_out_rows(spark, labelled_rows):
     right = sum(p == bool(y) for p, y in test) / len(test)
     assert len(scored) == len(rows) + 3 and len(test) > 200 and right > 0.98
     assert all(0 <= r["found"] <= 1 for r in scored)
-    assert tox.labelled(docs, labels).filter(F.col("label").isNull()).count() == 0
+    assert tox.labelled(docs, labels).count() == len(rows) + 3
 
 
 def test_toxicity_without_labels(spark, labelled_rows):
@@ -159,34 +162,58 @@ def test_toxicity_without_labels(spark, labelled_rows):
 def test_toxicity_counts_all_rows(spark):
     random.seed(11)
     words = [f"w{n}" for n in range(60)]
-    toxic = [" ".join(random.choices(words, k=8)) + f" badone x{n}" for n in range(4200)]
-    # the last insult is in 60 texts: a sample of 500 holds about 7, which no discount lets through
-    train = [(1, t + " rareinsult") if n % 70 == 0 else (1, t) for n, t in enumerate(toxic)]
-    train += [(0, " ".join(random.choices(words, k=9)) + f" x{n}") for n in range(200)]
-    rest = [f"{w} shared" for w in words] + ["one long " + "shared " * 50]
-    df = spark.createDataFrame(train, "label int, text string")
+    train = [(1, " ".join(random.choices(words, k=8)) + f" badoneish x{n}" + " rareinsult" * (n % 70 == 0)) for n in range(2100)]
+    train += [(0, " ".join(random.choices(words, k=9)) + f" x{n}") for n in range(300)]
+    rest = [(None, f"{w} shared Shared") for w in words] + [(None, "one long " + "shared " * 50), (None, "")]
+    df = spark.createDataFrame(train + rest, "label int, text string")
     ids = df.withColumn("doc_id", F.xxhash64("text"))
-    labels = ids.select("doc_id", F.col("label").alias("toxic"))
-    learned = ids.filter(~tox.held_out()).count()
-    assert tox.labelled(ids, labels, "doc_id").count() == learned and tox.unlabelled(ids, labels).count() == 4400 - learned
-    words_found = tox._words(df.unionByName(spark.createDataFrame([(None, t) for t in rest], "label int, text string"))).collect()
-    found = {bytes(r["w"]): (r["n0"], r["n1"], r["n"]) for r in words_found}
-    texts = [(y, ["", *t.split()]) for y, t in train] + [(None, ["", *t.split()]) for t in rest]
-    for w in ("w7", "badone", "rareinsult", "shared", "x3"):
-        for at, some in enumerate(([t for y, t in texts if y == 0], [t for y, t in texts if y == 1], [t for _, t in texts])):
-            contexts = {a for t in some for a, b in zip(t, t[1:], strict=False) if b == w}
-            assert found[w.encode()][at] == min(len(contexts), sum(w in t for t in some)), w
-    kept = {}
-    for y, t in texts:
-        for pair in set(zip(t, t[1:], strict=False)):
-            kept.setdefault(pair, [0, 0])
-            if y is not None:
-                kept[pair][y] += 1
-    want = {(a.encode(), b.encode()): tuple(n) for (a, b), n in kept.items() if max(n) > 16.2}
-    often = [bytes(r["w"]) for r in words_found if max(r["t0"], r["t1"]) > 16.2]
-    assert want and {(v, w): n for v, w, n in tox._pairs(df, often, 16.2)} == want
-    assert next(r["h1"] for r in words_found if bytes(r["w"]) == b"w7") == sum(n[1] for (a, _), n in kept.items() if a == "w7")
+    labels = ids.filter("label is not null").select("doc_id", F.col("label").alias("toxic"))
+    got = tox.labelled(ids, labels)
+    assert got.count() == len(train + rest)
+    assert got.filter("label is not null").count() == ids.filter("label is not null").filter(~tox.held_out()).count()
     twice, sizes = tox._different(df.unionAll(df))
-    assert twice.count() == 4400 and sizes == {0: 200, 1: 4200}
-    model = tox.fit(df, spark.createDataFrame([(t,) for t in rest], "text string"), sample=500)
-    assert b"rareinsult" in model.ids and model.features("w1 rareinsult")[0] > 2 * model.features("w1 w2")[0]
+    assert twice.filter("shared").count() == 2 * len(train + rest) and twice.filter("label is not null").count() == len(train) and sizes == {0: 300, 1: 2100}
+
+    # the same in plain loops: texts that hold each stem, discounts from counts of counts, both models
+    plain = [collections.Counter(), collections.Counter(), collections.Counter()]
+    for y, t in train + rest:
+        held = {w[:7] for w in t.lower().split()}
+        plain[2].update(held)
+        if y is not None:
+            plain[y].update(held)
+    total, types, discount = [sum(c.values()) for c in plain], [len(c) for c in plain], []
+    for c in plain:
+        once, two = sum(n == 1 for n in c.values()), sum(n == 2 for n in c.values())
+        discount.append(min(max(once / max(once + 2 * two, 1), 0.1), 0.9))
+
+    def probability(stem, y):
+        shared = max(plain[2][stem] - discount[2], 0) / total[2] + discount[2] * types[2] / total[2] / (types[2] + 1)
+        return max(plain[y][stem] - discount[y], 0) / total[y] + discount[y] * types[y] / total[y] * shared
+
+    def nats(stem):
+        n = [plain[y][stem] for y in (0, 1)]
+        return sum(k * math.log(k / sum(n) * (total[0] + total[1]) / total[y]) for y, k in enumerate(n) if k)
+
+    model = tox.fit(df, sample=500)
+    assert {b"badonei", b"rareins"} <= set(model.ids)
+    fits = {e: sum(abs(model.ratio[k] - math.log(probability(s.decode(), 1) / probability(s.decode(), 0)) * (1 / (1 + math.exp(min(50, 2 * (e - nats(s.decode()))))) if nats(s.decode()) >= e / 2 else 0)) for s, k in model.ids.items()) for e in tox.EVIDENCE}
+    assert min(fits.values()) < 1e-9
+    assert model.ratio[model.ids[b"badonei"]] > 2
+    # a window of 64 words of 300 decides beside the whole text
+    ratio = model.ratio[model.ids[b"badonei"]]
+    mean, most = tox.features(model.ratio[model.numbers("q " * 300 + "badoneish")])
+    assert abs(mean - ratio / 301) < 1e-9 and abs(most - ratio / 64) < 1e-9
+    assert model.score("q " * 20_000 + "badoneish") >= model.score("q") == model.score(None)
+
+
+def test_small_models_keep_the_strongest(spark):
+    df = spark.createDataFrame([(n % 2, f"{'bad' if n % 2 else 'fine'} odd{n % 7} all") for n in range(80)] , "label int, text string")
+    model = tox.fit(df.withColumn("text", F.concat("text", F.lit(" u"), F.monotonically_increasing_id())), model=2)
+    assert len(model.ids) <= 2 and set(model.ids) <= {b"bad", b"fine"}
+
+
+def test_logistic_separates():
+    y = np.array([0, 0, 0, 1, 1.0])
+    x = np.array([[0, 0], [0.1, 0], [0, 0.2], [1, 1], [2, 0.5]])
+    loss, (a, b, c) = tox.logistic(y, x, np.ones(5))
+    assert loss < 0.1 and all((a + b * p + c * q > 0) == bool(k) for k, (p, q) in zip(y, x, strict=True))
