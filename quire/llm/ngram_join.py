@@ -1,10 +1,13 @@
 """Self-join of documents on the Jaccard similarity of their word n-grams, by a MinHash LSH forest.
 
-Each document has a signature for each tree of the forest, a path in a prefix trie. Two documents
-are compared if, in some tree, their paths agree over the first ``d`` steps; ``d`` starts at the
-full depth and is shortened until the expected share of pairs at the similarity that meet in some
-tree reaches the target. Rows of a tree are grouped by that prefix; a pair is compared only in the
-first tree in which it meets, with the exact sets of n-grams.
+Each document has, for each tree of the forest, a path of ``depth`` steps in a prefix trie: its
+MinHash values, as bytes, so that a prefix of the bytes is a node of the trie and rows in the order of
+the bytes are the sorted trie. Two documents meet in a node if their paths share that prefix in some
+tree. First only whole paths meet. The pairs found there are verified, and their similarities tell at
+which similarities links exist; then prefixes are shortened to the longest at which, for each of these
+similarities, the share of pairs that meet in some tree reaches the target. A shorter prefix compares
+only pairs that did not meet at the longer one, each in the first tree in which it meets, with the
+exact sets of n-grams. So a corpus of close copies never groups by short prefixes.
 
 Equal sets are one class, compared once. A prefix with many classes is split into blocks, and each
 pair of blocks is a group of its own, so no group grows with the corpus. No pairs are written: each
@@ -19,22 +22,27 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm.common import ascii_words, small_or_shuffled, table, text_of
 from quire.llm.hashes import mix, word_shingles
 
 WORDS, SIMILARITY = 5, 0.8
-#: Trees and steps of a full path; share of pairs at the similarity that must meet.
-TREES, DEPTH, TARGET = 16, 8, 0.9999
+#: Trees and steps of a full path, bytes of a step; share of pairs, at each similarity that occurs, that must meet.
+TREES, DEPTH, STEP, TARGET = 16, 8, 4, 0.9999
 #: Classes of a prefix that are compared in one group.
 BLOCK = 512
 
 
-def prefix_depth(trees: int = TREES, depth: int = DEPTH, similarity: float = SIMILARITY, target: float = TARGET) -> int:
-    """The longest prefix at which the forest meets the target recall."""
-    while depth > 1 and 1 - (1 - similarity**depth) ** trees < target:
+def recall(similarity: float, depth: int, trees: int = TREES) -> float:
+    """Expected share of pairs of a similarity that share a prefix of ``depth`` steps in some tree."""
+    return 1 - (1 - similarity**depth) ** trees
+
+
+def prefix_depth(similarities: list[float], trees: int = TREES, depth: int = DEPTH, target: float = TARGET) -> int:
+    """The longest prefix with which pairs of each of the similarities meet the target recall."""
+    while depth > 1 and any(recall(s, depth, trees) < target for s in similarities):
         depth -= 1
     return depth
 
@@ -43,18 +51,13 @@ class Forest:
     def __init__(self, trees: int, depth: int):
         seeds = mix(np.arange(1, 2 * trees * depth + 1, dtype=np.uint64))
         self.factor, self.shift = seeds[::2] | np.uint64(1), seeds[1::2]
-        self.trees, self.depth = trees, depth
 
-    def paths(self, shingles: np.ndarray) -> list[int]:
-        """For each tree one number that stands for the prefix."""
-        least = np.full(self.trees * self.depth, np.iinfo(np.uint64).max, np.uint64)
-        for part in (shingles[i : i + 2048] for i in range(0, len(shingles), 2048)):
+    def paths(self, shingles: np.ndarray) -> bytes:
+        """The paths in all trees, one after the other; each step as STEP bytes, the highest first."""
+        least = np.full(len(self.factor), np.iinfo(np.uint64).max, np.uint64)
+        for part in (shingles[i : i + 1024] for i in range(0, len(shingles), 1024)):
             np.minimum(least, (part[:, None] * self.factor + self.shift).min(axis=0), out=least)
-        steps = mix(least).reshape(self.trees, self.depth)
-        path = np.arange(1, self.trees + 1, dtype=np.uint64)
-        for k in range(self.depth):
-            path = mix(path * np.uint64(0x9E3779B97F4A7C15) + steps[:, k])
-        return path.view(np.int64).tolist()
+        return (mix(least) >> np.uint64(64 - 8 * STEP)).astype(f">u{STEP}").tobytes()
 
 
 def shingles_of(text: str | None, size: int = WORDS) -> np.ndarray:
@@ -75,10 +78,10 @@ def _signatures(docs: DataFrame, size: int, trees: int, depth: int) -> DataFrame
                 found = shingles_of(text, size)
                 keys.append(_key(found, digest))
                 counts.append(len(found))
-                paths.append(forest.paths(found) if len(found) else [])
-            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(keys, pa.binary()), pa.array(counts, pa.int32()), pa.array(paths, pa.list_(pa.int64()))], ["doc_id", "digest", "key", "n", "paths"])
+                paths.append(forest.paths(found) if len(found) else None)
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(keys, pa.binary()), pa.array(counts, pa.int32()), pa.array(paths, pa.binary())], ["doc_id", "digest", "key", "n", "paths"])
 
-    return docs.mapInArrow(sign, "doc_id long, digest binary, key binary, n int, paths array<long>")
+    return docs.mapInArrow(sign, "doc_id long, digest binary, key binary, n int, paths binary")
 
 
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
@@ -103,11 +106,14 @@ def _array(column: pa.ChunkedArray, width: int | None = None) -> np.ndarray:
     return flat.to_numpy(zero_copy_only=False) if width is None else flat.flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
 
 
-def _meetings(paths: np.ndarray, tree: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """Which rows of ``left`` and ``right`` meet in this tree and in none before it."""
-    a, b = paths[left], paths[right]
+def _meetings(nodes: np.ndarray, tree: int, left: np.ndarray, right: np.ndarray, trees: int) -> np.ndarray:
+    """Which rows of ``left`` and ``right`` meet in this tree, in none before it, and in none at the longer prefix.
+
+    ``nodes``: of each row the nodes in all trees at this prefix, then, if there was a longer one, those at it.
+    """
+    a, b = nodes[left], nodes[right]
     new = a[:, tree][:, None] == b[:, tree][None, :]
-    for t in range(tree):
+    for t in [*range(tree), *range(trees, nodes.shape[1])]:
         new &= a[:, t][:, None] != b[:, t][None, :]
     return new
 
@@ -116,23 +122,27 @@ def _sides(blocks: np.ndarray, low: int, high: int) -> tuple[np.ndarray, np.ndar
     return np.flatnonzero(blocks == low), np.flatnonzero(blocks == high)
 
 
-_PLACED = "task long, class long, tree int, low int, high int, block int, paths array<long>"
+_PLACED = "task long, class long, tree int, low int, high int, block int, nodes array<long>"
 
 
-def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _candidates(trees: int):
     """The rows of each group that have a pair to compare there."""
-    for group in _groups(batches):
-        paths = _array(group["paths"], len(group["paths"][0]))
-        tree, low, high = (group[c][0].as_py() for c in ("tree", "low", "high"))
-        left, right = _sides(_array(group["block"]), low, high)
-        new = _meetings(paths, tree, left, right)
-        if low == high:
-            new &= ~np.eye(len(left), dtype=bool)
-        keep = np.zeros(group.num_rows, bool)
-        keep[left[new.any(axis=1)]] = True
-        keep[right[new.any(axis=0)]] = True
-        if keep.any():
-            yield from group.filter(pa.array(keep)).combine_chunks().to_batches()
+
+    def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in _groups(batches):
+            nodes = _array(group["nodes"], len(group["nodes"][0]))
+            tree, low, high = (group[c][0].as_py() for c in ("tree", "low", "high"))
+            left, right = _sides(_array(group["block"]), low, high)
+            new = _meetings(nodes, tree, left, right, trees)
+            if low == high:
+                new &= ~np.eye(len(left), dtype=bool)
+            keep = np.zeros(group.num_rows, bool)
+            keep[left[new.any(axis=1)]] = True
+            keep[right[new.any(axis=0)]] = True
+            if keep.any():
+                yield from group.filter(pa.array(keep)).combine_chunks().to_batches()
+
+    return candidates
 
 
 def overlaps(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, wanted: np.ndarray) -> np.ndarray:
@@ -174,7 +184,12 @@ def _connected(n: int, pairs: np.ndarray) -> np.ndarray:
     return label
 
 
-def _verify(similarity: float):
+_LINKS = "class long, links long, docs long, least long, lowest double"
+
+
+def _verify(similarity: float, trees: int):
+    """Of each class with a link in a group: its links, and the least similarity among them."""
+
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in _groups(batches):
             order = np.argsort(_array(group["class"]))
@@ -182,7 +197,7 @@ def _verify(similarity: float):
             ids, sizes = _array(group["class"]), _array(group["size"])
             tree, low, high = (group[c][0].as_py() for c in ("tree", "low", "high"))
             left, right = _sides(_array(group["block"]), low, high)
-            new = _meetings(_array(group["paths"], len(group["paths"][0])), tree, left, right)
+            new = _meetings(_array(group["nodes"], len(group["nodes"][0])), tree, left, right, trees)
             if low == high:
                 new = np.triu(new, 1)
             sets = [np.frombuffer(s.as_py(), np.uint64) for s in group["shingles"]]
@@ -196,9 +211,11 @@ def _verify(similarity: float):
             links = np.bincount(a, minlength=n) + np.bincount(b, minlength=n)
             docs = np.bincount(a, sizes[b], minlength=n) + np.bincount(b, sizes[a], minlength=n)
             least = ids[_connected(n, np.column_stack([a, b]))]
-            has = links > 0
+            lowest = np.ones(n)
+            np.minimum.at(lowest, a, shared[i, j] / whole[i, j])
+            has = (links > 0) | (lowest < 1)
             if has.any():
-                yield pa.record_batch([pa.array(ids[has]), pa.array(links[has]), pa.array(docs[has].astype(np.int64)), pa.array(least[has])], ["class", "links", "docs", "least"])
+                yield pa.record_batch([pa.array(ids[has]), pa.array(links[has]), pa.array(docs[has].astype(np.int64)), pa.array(least[has]), pa.array(lowest[has])], ["class", "links", "docs", "least", "lowest"])
 
     return verify
 
@@ -235,27 +252,26 @@ def ngram_join(
     reached by links and classes. Texts of fewer words than ``size`` are one n-gram; texts without
     words (null ones too) share a class only with equal texts and have no links. Null ids stay.
     """
-    depth = prefix_depth(trees, depth, similarity, target)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.unhex(F.sha2(text_of(text_col), 256)).alias("digest"), text_of(text_col).alias("text"))
     signed = table(_signatures(texts, size, trees, depth), "signatures")
     rep = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "digest")
     classes = signed.groupBy("key").agg(F.min(rep).alias("rep"), F.count("*").alias("size"), F.min_by("paths", rep).alias("paths"), F.max("n").alias("n"))
     classes = table(classes.withColumn("class", F.monotonically_increasing_id()), "classes")
-    met = classes.select("class", F.posexplode("paths").alias("tree", "path"))
-    often = met.groupBy("path").agg(F.count("*").alias("many")).filter("many > 1")
-    placed = met.join(often, "path").join(classes.select("class", "paths"), "class")
-    # a prefix with many classes: its blocks meet pairwise, each pair of blocks in a group of its own
-    blocks = F.ceil(F.col("many") / block).cast("int")
-    placed = placed.withColumn("block", F.pmod(F.xxhash64("class"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    placed = placed.withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")})
-    placed = placed.withColumn("task", F.xxhash64("path", "low", "high")).select("task", "class", "tree", "low", "high", "block", "paths")
-    wanted = table(placed.repartition("task").sortWithinPartitions("task").mapInArrow(_candidates, _PLACED), "wanted")
-    reps = table(classes.join(wanted.select("class").distinct(), "class", "left_semi").select("class", "rep.doc_id", "rep.digest", "key", "size"), "reps")
-    same = texts["doc_id"].eqNullSafe(reps["doc_id"]) & (texts["digest"] == reps["digest"])
-    chosen = small_or_shuffled(texts, reps, same, "inner", reps.count()).select("class", "size", "text").dropDuplicates(["class"])
-    sets = table(chosen.mapInArrow(_sets(size), "class long, size long, shingles binary"), "sets")
-    found = wanted.join(sets, "class").repartition("task").sortWithinPartitions("task").select("task", "class", "tree", "low", "high", "block", "paths", "size", "shingles")
-    links = table(found.mapInArrow(_verify(similarity), "class long, links long, docs long, least long"), "links")
+    full, links, before = depth, None, None
+    while True:
+        found = _level(texts, classes, size, similarity, trees, full, depth, before, block)
+        links = found if links is None else links.unionByName(found)
+        # similarities at which links exist, by hundredths: the least of each class and node
+        hundredth = F.floor(F.greatest(F.col("lowest"), F.lit(similarity)) * 100) / 100
+        told = found.groupBy(hundredth.cast("double").alias("s")).agg(F.sum("links").alias("n")).collect()  # one row per hundredth
+        met = [max(t["s"], similarity) for t in told]
+        # of n links none below a similarity: fewer than 3 / n of all links are there, so many must be known to leave it out
+        if sum(t["n"] for t in told) * (1 - target) < 3 * (1 - recall(similarity, depth, trees)):
+            met.append(similarity)
+        shorter = prefix_depth(met, trees, depth, target)
+        if shorter == depth:
+            break
+        depth, before = shorter, depth
     group = components(links.select(F.col("class").alias("a"), F.col("least").alias("b")))
     heads = classes.select("class", "rep").join(group.withColumnRenamed("node", "class"), "class")
     firsts = heads.groupBy("label").agg(F.min("rep").alias("first"))
@@ -274,6 +290,31 @@ def ngram_join(
     )
 
 
+def _level(texts: DataFrame, classes: DataFrame, size: int, similarity: float, trees: int, full: int, depth: int, before: int | None, block: int) -> DataFrame:
+    """``_LINKS`` of the pairs that share a prefix of ``depth`` steps in some tree, and none of ``before`` steps."""
+
+    def nodes(steps: int) -> Column:
+        one = lambda t: F.xxhash64(t, F.expr("paths").substr(t * (full * STEP) + 1, F.lit(steps * STEP)))
+        return F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), one)
+
+    placed = classes.filter("paths is not null").select("class", nodes(depth).alias("nodes"), (nodes(before) if before else F.array().cast("array<long>")).alias("longer"))
+    met = placed.select("class", F.posexplode("nodes").alias("tree", "node"))
+    often = met.groupBy("node").agg(F.count("*").alias("many")).filter("many > 1")
+    placed = met.join(often, "node").join(placed.select("class", F.concat("nodes", "longer").alias("nodes")), "class")
+    # a node with many classes: its blocks meet pairwise, each pair of blocks in a group of its own
+    blocks = F.ceil(F.col("many") / block).cast("int")
+    placed = placed.withColumn("block", F.pmod(F.xxhash64("class"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    placed = placed.withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")})
+    placed = placed.withColumn("task", F.xxhash64("node", "low", "high")).select("task", "class", "tree", "low", "high", "block", "nodes")
+    wanted = table(placed.repartition("task").sortWithinPartitions("task").mapInArrow(_candidates(trees), _PLACED), "wanted")
+    reps = table(classes.join(wanted.select("class").distinct(), "class", "left_semi").select("class", "rep.doc_id", "rep.digest", "key", "size"), "reps")
+    same = texts["doc_id"].eqNullSafe(reps["doc_id"]) & (texts["digest"] == reps["digest"])
+    chosen = small_or_shuffled(texts, reps, same, "inner", reps.count()).select("class", "size", "text").dropDuplicates(["class"])
+    sets = table(chosen.mapInArrow(_sets(size), "class long, size long, shingles binary"), "sets")
+    found = wanted.join(sets, "class").repartition("task").sortWithinPartitions("task").select("task", "class", "tree", "low", "high", "block", "nodes", "size", "shingles")
+    return table(found.mapInArrow(_verify(similarity, trees), _LINKS), "links")
+
+
 def _sets(size: int):
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (b.slice(i, 500) for b in batches for i in range(0, b.num_rows, 500)):

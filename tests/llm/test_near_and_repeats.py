@@ -5,8 +5,9 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
+from quire.llm import ngram_join as near
 from quire.llm.hashes import grams, word_shingles
-from quire.llm.ngram_join import drop_near_copies, ngram_join, overlaps, prefix_depth, shingles_of
+from quire.llm.ngram_join import Forest, drop_near_copies, ngram_join, overlaps, prefix_depth, recall, shingles_of
 from quire.llm.suffix_dedup import RunLengthIndex, anchors, least_in_windows, repeated_passages, without_periods
 
 
@@ -73,9 +74,43 @@ def test_join_against_all_pairs(spark):
     assert ngram_join(df.filter(F.lit(False))).count() == 0
 
 
-def test_depth_meets_target():
-    d = prefix_depth(16, 8, 0.8, 0.9999)
-    assert 1 - (1 - 0.8**d) ** 16 >= 0.9999 > 1 - (1 - 0.8 ** (d + 1)) ** 16
+def test_depth_meets_target_at_each_similarity():
+    assert prefix_depth([0.8]) == 3 and prefix_depth([0.95, 0.8, 0.99]) == 3
+    for s in (0.8, 0.85, 0.9, 0.97):
+        d = prefix_depth([s])
+        assert recall(s, d) >= 0.9999 and (d == 8 or recall(s, d + 1) < 0.9999)
+    assert prefix_depth([0.99]) == 8 == prefix_depth([])
+
+
+def test_forest_paths_share_prefixes_as_expected():
+    rng = np.random.default_rng(3)
+    forest, hits, n = Forest(16, 8), np.zeros(9), 300
+    for _ in range(n):
+        both, a, b = (rng.integers(0, 2**63, k).astype(np.uint64) for k in (90, 5, 5))  # 90 of 100
+        x, y = (np.frombuffer(forest.paths(np.concatenate([both, own])), ">u4").reshape(16, 8) for own in (a, b))
+        same = np.cumprod(x == y, axis=1).sum(axis=1)
+        hits += [(same >= d).any() for d in range(9)]
+    for d in range(1, 9):
+        assert abs(hits[d] / n - recall(0.9, d)) < 0.03
+
+
+def test_close_copies_need_no_short_prefixes(spark, monkeypatch):
+    random.seed(21)
+    words = [f"w{n}" for n in range(5000)]
+    rows = []
+    for g in range(60):
+        base = random.choices(words, k=600)
+        for n in range(12):  # one word of 600 differs, at either end
+            rows.append((len(rows), " ".join([f"a{n}", *base] if n % 2 else [*base, f"b{n}"])))
+    depths = []
+    real = near._level
+    monkeypatch.setattr(near, "_level", lambda *a: depths.append(a[6]) or real(*a))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    groups = {r["group_id"] for r in ngram_join(df, target=0.99).collect()}
+    assert depths == [8] and groups == {12 * g for g in range(60)}
+    rows += [(5000, " ".join(words[:500])), (5001, " ".join(words[:445]))]
+    found = {r["doc_id"]: r["n_links"] for r in ngram_join(spark.createDataFrame(rows, "doc_id long, text string"), target=0.9999).collect()}
+    assert depths[1] == 8 and depths[-1] == 3 and found[5000] == found[5001] == 1 and found[0] == 11
 
 
 def test_overlaps_both_ways():
