@@ -3,15 +3,17 @@
 Layout of a store, all Parquet:
 
 - ``docs/shard=k``: one row per document in ascending id order, with its place in the whole id
-  stream, its recipe (chunk digests and lengths, and which are shared), the ids of its own chunks
-  and a Merkle root over the digests;
+  stream, its recipe (chunk digests and lengths, and which are shared), a pack of the chunks that
+  only it has, in the order of its recipe, and a Merkle root over the digests;
 - ``chunks``: chunks that occur more than once, once each, by digest;
 - ``manifest``: per shard the documents, the ids, the ids before it, and a Merkle root over its
   documents' roots.
 
-Cuts come from a rolling hash over the ids, so equal passages give equal chunks wherever they
-start. Only digests are shuffled to find what is shared; ids move once, when texts are put in
-order. Reading reassembles each document and checks every digest, the roots and the manifest.
+Every chunk is addressed by its digest and stored once; those of one document lie in its pack, so
+that reading moves only shared ones. Cuts come from a rolling hash over the ids, so equal passages
+give equal chunks wherever they start. Only digests are shuffled to find what is shared; ids move
+once, when texts are put in order. Reading reassembles each document, and fails if a chunk differs
+from its digest, a document from its root, or a shard from the manifest: nothing can be lost unseen.
 """
 
 from __future__ import annotations
@@ -93,6 +95,9 @@ def merkle(leaves: list[bytes]) -> bytes:
     return tree.root()
 
 
+_MANIFEST = "shard int, docs long, n_tokens long, root binary, before long"
+
+
 _STAGED = "shard int, row long, doc_id long, local_start long, n_tokens long, root binary, shard_root binary, chunks array<struct<digest:binary,n:int>>, ids binary"
 
 
@@ -217,9 +222,10 @@ def write_store(docs: DataFrame, folder: str, path: str, id_col: str = "doc_id",
 
 
 def read_store(spark: SparkSession, folder: str) -> DataFrame:
-    """``doc_id, start, n_tokens, ids`` of each document, reassembled; fails on any digest or root that differs.
+    """``doc_id, start, n_tokens, ids`` of each document, reassembled; fails on any digest, root or shard that differs.
 
-    ``ids`` are little-endian unsigned 32-bit integers, with the end id.
+    ``ids`` are little-endian unsigned 32-bit integers, with the end id. A missing chunk, document or
+    shard fails, too. The checks are part of the plan: they run when the result is read.
     """
     docs = spark.read.schema(_DOCS).parquet(f"{folder}/docs")
     chunks = spark.read.schema("digest binary, ids binary").parquet(f"{folder}/chunks")
@@ -227,7 +233,7 @@ def read_store(spark: SparkSession, folder: str) -> DataFrame:
     wanted = docs.filter("shared is not null").select("row", "chunks", F.explode("shared").alias("mark")).select("row", pos.alias("pos"), F.element_at("chunks", pos + 1)["digest"].alias("digest"))
     fetched = wanted.join(chunks, "digest").groupBy("row").agg(F.collect_list(F.struct("pos", "ids")).alias("fetched"))
     columns = ["doc_id", "start", "n_tokens", "root", "chunks", "ids"]
-    mixed = docs.filter("shared is not null").join(fetched, "row").select(*columns, "fetched")
+    mixed = docs.filter("shared is not null").join(fetched, "row", "left").select(*columns, "fetched")
     alone = docs.filter("shared is null").select(*columns, F.lit(None).cast(mixed.schema["fetched"].dataType).alias("fetched"))
 
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -256,17 +262,39 @@ def read_store(spark: SparkSession, folder: str) -> DataFrame:
                     out.append(ids)
                 yield pa.record_batch([_column(part, "doc_id"), _column(part, "start"), _column(part, "n_tokens"), pa.array(out, pa.binary())], ["doc_id", "start", "n_tokens", "ids"])
 
-    return alone.unionByName(mixed).mapInArrow(assemble, "doc_id long, start long, n_tokens long, ids binary")
+    sound = alone.unionByName(mixed).mapInArrow(assemble, "doc_id long, start long, n_tokens long, ids binary")
+    fault = F.raise_error(F.concat(F.lit("shard "), F.col("shard"), F.lit(" differs from the manifest")))
+    return sound.unionByName(check_manifest(spark, folder).select(*(fault.cast(kind).alias(name) for name, kind in sound.dtypes)))
 
 
-def check_manifest(spark: SparkSession, folder: str) -> DataFrame:
-    """Shards whose documents' roots do not give the manifest's root: none in a sound store."""
+def _shard_roots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``shard, found, found_docs, found_tokens`` of rows in order: one Merkle tree at a time, of which only its peaks are held."""
+    shard, tree, docs, tokens = None, Merkle(), 0, 0
+    for batch in batches:
+        out = []
+        for k, root, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if k != shard:
+                if shard is not None:
+                    out.append((shard, tree.root(), docs, tokens))
+                shard, tree, docs, tokens = k, Merkle(), 0, 0
+            tree.add(root)
+            docs, tokens = docs + 1, tokens + n
+        yield _found(out)
+    if shard is not None:
+        yield _found([(shard, tree.root(), docs, tokens)])
+
 
-    def roots(key, rows):
-        import pandas as pd
+def _found(rows: list[tuple]) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) or [()] * 4
+    kinds = (pa.int32(), pa.binary(), pa.int64(), pa.int64())
+    return pa.record_batch([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], ["shard", "found", "found_docs", "found_tokens"])
 
-        return pd.DataFrame({"shard": [key[0]], "found": [merkle(rows.sort_values("row")["root"].tolist())]})
 
-    found = spark.read.schema(_DOCS).parquet(f"{folder}/docs").select("shard", "row", "root").groupBy("shard").applyInPandas(roots, "shard int, found binary")
-    manifest = spark.read.parquet(f"{folder}/manifest").select("shard", "root", "docs")
-    return manifest.join(found, "shard", "left").filter(~F.col("root").eqNullSafe(F.col("found"))).select("shard")
+def check_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    """Shards whose documents differ from the manifest in root, number or ids, or that it does not know: none in a sound store."""
+    docs = spark.read.schema(_DOCS).parquet(f"{folder}/docs").select("shard", "row", "root", "n_tokens")
+    ordered = docs.repartition("shard").sortWithinPartitions("shard", "row").select("shard", "root", "n_tokens")
+    found = ordered.mapInArrow(_shard_roots, "shard int, found binary, found_docs long, found_tokens long")
+    manifest = spark.read.schema(_MANIFEST).parquet(f"{folder}/manifest").withColumnRenamed("n_tokens", "tokens")
+    same = F.col("root").eqNullSafe(F.col("found")) & F.col("docs").eqNullSafe(F.col("found_docs")) & F.col("tokens").eqNullSafe(F.col("found_tokens"))
+    return manifest.join(found, "shard", "full").filter(~same).select("shard")

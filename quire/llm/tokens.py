@@ -12,14 +12,15 @@ go to the library whole, too.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from functools import lru_cache
 
 import numpy as np
 
-#: Pieces and words that a worker remembers; when full, a memory starts afresh.
-PIECES, WORDS = 150_000, 250_000
+#: Pieces and words that a worker remembers anew; when so many are, those before them are forgotten.
+PIECES, WORDS = 200_000, 100_000
 #: Longer pieces are encoded but not remembered.
 LONGEST = 40
 #: The id that ends each document.
@@ -30,6 +31,28 @@ _SIMPLE = re.compile("[\x21-\x7eÀ-ÖØ-öø-įı-ſ]+").fullmatch
 _WORDS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ſ]+|[0-9]|[^a-z0-9ß-öø-ſ]+").findall
 
 
+#: The normalizers and the splitting rule that the shortcut was written for.
+_NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+_RULE = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def _as_written_for(settings: dict) -> bool:
+    """Whether a tokenizer's own settings are those that the shortcut was written for."""
+    before = (settings.get("pre_tokenizer") or {}).get("pretokenizers") or []
+    return (
+        (settings.get("normalizer") or {}).get("normalizers") == _NORMALIZERS
+        and [b.get("type") for b in before] == ["Split", "ByteLevel"]
+        and before[0].get("pattern") == {"Regex": _RULE}
+        and (before[0].get("behavior"), before[0].get("invert")) == ("Removed", True)
+        and not before[1].get("add_prefix_space")
+        and not before[1].get("use_regex")
+        and settings["model"]["type"] == "BPE"
+        and not settings["model"].get("dropout")
+        and all(t["content"].startswith("<|") for t in settings.get("added_tokens") or [])
+        and not any(settings.get(k) for k in ("truncation", "padding", "post_processor"))
+    )
+
+
 def word_bpe() -> str:
     """Place of the public word-level BPE vocabulary (a parameter wherever it is used)."""
     import public_tokenizers
@@ -44,6 +67,26 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(256 + n) for n, b in enumerate(hidden)}
 
 
+class Memory:
+    """What was met of late: a new generation, and the one before it. What is met again moves to the new one."""
+
+    def __init__(self, most: int):
+        self.most, self.new, self.old = most, {}, {}
+
+    def get(self, key: str) -> bytes | None:
+        found = self.new.get(key)
+        if found is None:
+            found = self.old.get(key)
+            if found is not None:
+                self.put(key, found)
+        return found
+
+    def put(self, key: str, value: bytes) -> None:
+        if len(self.new) >= self.most:
+            self.new, self.old = {}, self.new
+        self.new[key] = value
+
+
 class Encoder:
     """Texts to little-endian unsigned 32-bit ids, without special tokens. Null and empty texts have none."""
 
@@ -55,10 +98,8 @@ class Encoder:
         self.merge = self.tokenizer.model.tokenize
         self.letters = _byte_letters()
         self.four = [n.to_bytes(4, "little") for n in range(self.tokenizer.get_vocab_size())]
-        self.pieces: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
-        # the shortcut holds for the splitting rule and normalizers it was written for
-        self.simple = "word_bpe" in os.path.basename(path)
+        self.pieces, self.words = Memory(PIECES), Memory(WORDS)
+        self.simple = _as_written_for(json.loads(self.tokenizer.to_str()))
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
@@ -67,24 +108,20 @@ class Encoder:
         shown = word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
         ids = b"".join([self.four[t.id] for t in self.merge(shown)])
         if len(word) <= LONGEST:
-            if len(self.words) >= WORDS:
-                self.words.clear()
-            self.words[word] = ids
+            self.words.put(word, ids)
         return ids
 
     def _piece(self, piece: str) -> bytes:
-        if _SIMPLE(piece) and "<|" not in piece:
-            lowered, words = piece.lower(), self.words
-            ids = words.get(lowered)  # a word that was met is no more than that word
-            if ids is None:
-                parts = _WORDS(lowered)
-                ids = b"".join([words.get(w) or self._word(w) for w in parts])
+        if "<|" not in piece and (piece.isprintable() if piece.isascii() else _SIMPLE(piece)):
+            lowered = piece.lower()
+            if lowered.isascii() and lowered.isalpha():
+                ids = self.words.get(lowered) or self._word(lowered)
+            else:
+                ids = b"".join([self.words.get(w) or self._word(w) for w in _WORDS(lowered)])
         else:
             ids = self._whole(piece)
         if len(piece) <= LONGEST:
-            if len(self.pieces) >= PIECES:
-                self.pieces.clear()
-            self.pieces[piece] = ids
+            self.pieces.put(piece, ids)
         return ids
 
     def encode(self, text: str | None) -> bytes:
@@ -93,9 +130,10 @@ class Encoder:
         if not self.simple or _CONTROLS(text):
             return self._whole(text)
         pieces = text.split()
-        found = list(map(self.pieces.get, pieces))
+        found = list(map(self.pieces.new.get, pieces))
         if None in found:
-            new = {p: self._piece(p) for p in {p for p, ids in zip(pieces, found, strict=True) if ids is None}}
+            recall = self.pieces.get
+            new = {p: recall(p) or self._piece(p) for p in {p for p, ids in zip(pieces, found, strict=True) if ids is None}}
             found = [new[p] if ids is None else ids for p, ids in zip(pieces, found, strict=True)]
         return b"".join(found)
 

@@ -1,10 +1,12 @@
 import random
+import shutil
 import zlib
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from quire.llm import tokens
 from quire.llm.packing import closest_fill, cut_pieces, minimum_bin_slack, pack
 from quire.llm.token_counts import length_histogram, length_quantile, truncated_totals
 from quire.llm.token_store import check_manifest, cuts, merkle, read_store, write_store
@@ -114,7 +116,7 @@ def test_store_round_trip(spark, encoder, tmp_path):
     # a changed chunk is found
     bad = chunks.withColumn("ids", F.concat("ids", F.lit(b"\x01\x00")))
     bad.write.parquet(f"{folder}/changed")
-    import shutil
+
 
     shutil.rmtree(f"{folder}/chunks")
     shutil.move(f"{folder}/changed", f"{folder}/chunks")
@@ -122,6 +124,60 @@ def test_store_round_trip(spark, encoder, tmp_path):
         read_store(spark, folder).collect()
 
 
+def replaced(spark, folder, part, keep):
+    """The rows of a part of a store that ``keep`` lets stay, written in its place."""
+    rows = spark.read.parquet(f"{folder}/{part}").filter(keep)
+    writer = rows.write.partitionBy("shard") if part == "docs" else rows.write
+    writer.parquet(f"{folder}/kept")
+    shutil.rmtree(f"{folder}/{part}")
+    shutil.move(f"{folder}/kept", f"{folder}/{part}")
+
+
+def test_store_misses_nothing_unseen(spark, encoder, tmp_path):
+    """A lost document, chunk, shard or manifest entry fails; null ids come first, and repeated rows are kept."""
+    rows, _ = documents(spark, encoder)
+    df = spark.createDataFrame([(i, t, "x") for i, t in rows] + [(None, "no id", "x"), (rows[3][0], rows[3][1], "y")], "doc_id long, text string, ids string")
+    for part, keep, match in (
+        ("docs", "row not in (select min(row) + 1 from d where shard = 1)", "differs from the manifest"),
+        ("docs", "shard <> 2", "shard 2 differs from the manifest"),
+        ("manifest", "shard <> 0", "shard 0 differs from the manifest"),
+        ("chunks", "digest not in (select min(digest) from c)", "differs from its digest"),
+    ):
+        folder = str(tmp_path / f"{part}{len(keep)}")
+        write_store(df, folder, word_bpe(), shards=3)
+        whole = read_store(spark, folder)
+        assert whole.count() == len(rows) + 2 and whole.filter("start = 0").first()["doc_id"] is None
+        if "select" in keep:
+            inner = spark.read.parquet(f"{folder}/{part}")
+            keep = f"row <> {inner.filter('shard = 1').agg(F.min('row') + 1).first()[0]}" if part == "docs" else F.col("digest") != inner.agg(F.min("digest")).first()[0]
+        replaced(spark, folder, part, keep)
+        with pytest.raises(Exception, match=match):
+            read_store(spark, folder).collect()
+
+
+def test_shortcut_is_decided_by_settings(tmp_path):
+    from tokenizers import Tokenizer, normalizers
+
+    assert Encoder(word_bpe()).simple
+    other = Tokenizer.from_file(word_bpe())
+    other.normalizer = normalizers.Sequence([normalizers.NFC()])
+    path = str(tmp_path / "word_bpe_49k.json")
+    other.save(path)
+    one = Encoder(path)
+    assert not one.simple and np.frombuffer(one.encode("Some Words HERE"), "<u4").tolist() == other.encode("Some Words HERE", add_special_tokens=False).ids
+
+
+def test_memory_keeps_what_is_met(monkeypatch):
+    monkeypatch.setattr(tokens, "PIECES", 50)
+    monkeypatch.setattr(tokens, "WORDS", 20)
+    random.seed(5)
+    whole, small = Encoder(word_bpe()), Encoder(word_bpe())
+    for _ in range(200):
+        text = " ".join(random.choices(["the", "cat's", "Ünïcode", "x1y2", "don't,", "a<|b"] + [f"w{n}" for n in range(200)], k=60))
+        assert small.encode(text) == whole._whole(text)
+    assert len(small.pieces.new) <= 50 and len(small.words.old) <= 20
+
+
 def test_empty_store(spark, tmp_path):
     folder = str(tmp_path / "none")
     write_store(spark.createDataFrame([], "doc_id long, text string"), folder, word_bpe(), shards=2)
