@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 TAGS = ["h1", "h2", "h3", "h4", "h5", "h6", "p", "b", "i", "strong", "em", "u", "ul", "ol", "li", "br", "hr", "table", "thead", "tbody", "tr", "th", "td", "code", "pre", "blockquote", "a", "span", "div"]
 ATTRIBUTES = {"a": ["href", "title", "target"], "*": ["id", "class", "dir"]}
 RTL_TAGS = ["p", "li", "blockquote", "h1", "h2", "h3", "h4", "h5", "h6", "span", "div", "td"]
-ARABIC = "؀-ۿݐ-ݿࢠ-ࣿﭐ-﷿ﹰ-﻿"
+ARABIC = r"\u0600-\u06ff\u0750-\u077f\u08a0-\u08ff\ufb50-\ufdff\ufe70-\ufeff"
+LATIN = "A-Za-z"
 
 
 class _Cleaner(HTMLParser):
@@ -60,37 +61,51 @@ def sanitize(text: str) -> str:
     return "".join(cleaner.out)
 
 
-_STRONG = re.compile(f"[A-Za-zÀ-ɏ]|[{ARABIC}]")
+_STRONG = re.compile(f"[{LATIN}{ARABIC}]")
+_ARABIC = re.compile(f"[{ARABIC}]")
+_OPENING = re.compile(rf"<({'|'.join(RTL_TAGS)})([^>]*)>", re.I)
+_CLOSING = re.compile(rf"</({'|'.join(RTL_TAGS)})>", re.I)
 
 
-def tag_rtl(text: str) -> str:
-    """``dir="rtl"`` and the class ``arabic-text`` on elements whose first strong letter is Arabic."""
-
-    def mark(m: re.Match) -> str:
-        tag, attrs, body = m[1], m[2], re.sub(r"<[^>]*>", "", text[m.end() :].split(f"</{m[1]}>", 1)[0])
-        first = _STRONG.search(body)
-        if not first or not re.match(f"[{ARABIC}]", first[0]):
-            return m[0]
-        attrs = re.sub(r"""\sdir=("[^"]*"|'[^']*')""", "", attrs)
-        kept = re.search(r"""\sclass=["']([^"']*)["']""", attrs)
-        attrs = re.sub(r"""\sclass=("[^"]*"|'[^']*')""", "", attrs)
-        classes = f"{kept[1]} arabic-text" if kept else "arabic-text"
-        return f'<{tag}{attrs} dir="rtl" class="{classes}">'
-
-    return re.sub(rf"<({'|'.join(RTL_TAGS)})(\s[^>]*)?>", lambda m: mark(m) if m[2] else mark(_NoAttributes(m)), text)
-
+def _with_value(attrs: str, name: str, value: str, keep: bool) -> str:
+    """Attributes in which ``name`` has the value, after its own one if ``keep``."""
+    if f"{name}=" not in attrs:
+        return f'{attrs} {name}="{value}"'
+    own = lambda q: q + (m[2] + " " if keep else "") + value + q
+    out, at = [], 0
+    for m in re.finditer(rf"""{name}=(["'])((?:(?!\1).)*)\1""", attrs, re.S):
+        out += [attrs[at : m.start()], f"{name}=", own(m[1] if keep else '"')]
+        at = m.end()
+    return "".join([*out, attrs[at:]])
 
-class _NoAttributes:
-    """A match whose missing attributes read as empty."""
 
-    def __init__(self, m: re.Match):
-        self.m = m
-
-    def __getitem__(self, k):
-        return self.m[k] or ""
-
-    def end(self):
-        return self.m.end()
+def tag_rtl(text: str) -> str:
+    """``dir="rtl"`` and the class ``arabic-text`` on elements whose first strong letter is Arabic.
+
+    An element goes up to the first closing tag of its name; those inside it are part of its content and
+    stay as they are. Each closing tag is found once, so the time grows with the text.
+    """
+    ends: dict[str, list[tuple[int, int]]] = {}
+    for m in _CLOSING.finditer(text):
+        ends.setdefault(m[1].lower(), []).append(m.span())
+    turn, out, done = dict.fromkeys(ends, 0), [], 0
+    for m in _OPENING.finditer(text):
+        if m.start() < done:
+            continue
+        tag = m[1].lower()
+        closings = ends.get(tag, [])
+        while turn.get(tag, 0) < len(closings) and closings[turn[tag]][0] < m.end():
+            turn[tag] += 1
+        if turn.get(tag, 0) >= len(closings):
+            continue
+        start, end = closings[turn[tag]]
+        first = _STRONG.search(re.sub(r"<[^>]*>", "", text[m.end() : start]))
+        attrs = m[2]
+        if first and _ARABIC.match(first[0]):
+            attrs = _with_value(_with_value(attrs, "dir", "rtl", False), "class", "arabic-text", True)
+        out += [text[done : m.start()], f"<{m[1]}{attrs}>", text[m.end() : start], f"</{m[1]}>"]
+        done = end
+    return "".join([*out, text[done:]])
 
 
 def render(text: str) -> str:

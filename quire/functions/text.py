@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: White space as Unicode has it.
-WS = r"[\s\u001c-\u001f\u0085   -     　]"
+WS = r"[\s\u001c-\u001f\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 
 # Fixed values.
 UNKNOWN_WORDS = ["unknown", "n/a", "none", "null", "undefined", ""]
@@ -25,6 +25,10 @@ UPLOAD_BYTES = 31_457_280
 PREFERENCE = r"(?i)\b(i\s+prefer|i\s+like|please\s+use|format\s+it|always\s+use|always\s+write|can\s+you)\b"
 RATE_LIMIT_TERMS = ["429", "resource_exhausted", "resourceexhausted", "rate limit", "quota", "limit exceeded", "spend cap", "budget exceeded"]
 CASCADE_TERMS = ["not found", "not_found", "invalid", "deprecated", "retired", "permission", "404", "400", "429", "resource_exhausted", "rate limit", "quota"]
+RETRY_SAID = r"(?i)retry in (\d+(?:\.\d*)?)s"
+RETRY_FIELD = r"""(?i)['"]retryDelay['"]\s*:\s*['"](\d+(?:\.\d*)?)s?['"]"""
+SENTENCE_END = r"(?<=[.!?\u061f\u061b;\u06dd\)])"
+BLOCK_BREAK = r"\n[ \t]*---[ \t]*\n"
 RATES = {"USD": 1.0, "EUR": 0.92, "GBP": 0.79, "IDR": 16200.0, "SAR": 3.75, "TRY": 32.0}
 SYMBOLS = {"USD": "$", "IDR": "Rp ", "SAR": "SR ", "EUR": "€", "GBP": "£", "TRY": "₺"}
 LOCALES = [("id", "IDR"), ("ar", "SAR"), ("de", "EUR"), ("fr", "EUR"), ("es", "EUR"), ("it", "EUR"), ("nl", "EUR"), ("pt", "EUR"), ("gb", "GBP"), ("tr", "TRY")]
@@ -187,8 +191,8 @@ def client_ip(forwarded: str | Column, remote: str | Column) -> Column:
 
 def retry_delay(x: str | Column) -> Column:
     """Seconds that an error message asks to wait, else null."""
-    said = F.regexp_extract(_c(x), r"(?i)retry in ([0-9]+(?:\.[0-9]+)?)s", 1)
-    field = F.regexp_extract(_c(x), r"""(?i)["']?retryDelay["']?\s*:\s*["']?([0-9]+(?:\.[0-9]+)?)s?""", 1)
+    said = F.regexp_extract(_c(x), RETRY_SAID, 1)
+    field = F.regexp_extract(_c(x), RETRY_FIELD, 1)
     return F.coalesce(F.nullif(said, F.lit("")), F.nullif(field, F.lit(""))).try_cast("double")
 
 
@@ -245,13 +249,13 @@ def _packed(parts: Column, most: Column, glue: str, split_long) -> Column:
 
 def sentences(x: Column, most: Column) -> Column:
     """A long paragraph in chunks of whole sentences; an over-long sentence stays whole."""
-    return _packed(F.split(x, rf"(?<=[.!?؟؛;۝\)]){WS}+"), most, " ", None)
+    return _packed(F.split(x, f"{SENTENCE_END}{WS}+"), most, " ", None)
 
 
 def chunks(x: str | Column, most: Column) -> Column:
     """A text in chunks: blocks at rules and headings, then paragraphs, packed up to ``most`` characters."""
     tidy = lambda parts: F.filter(F.transform(parts, strip), lambda p: p != "")
-    blocks = tidy(F.split(F.coalesce(_c(x), F.lit("")), rf"\n[ \t]*---[ \t]*\n|\n(?=#{{2,3}}{WS})"))
+    blocks = tidy(F.split(F.coalesce(_c(x), F.lit("")), rf"{BLOCK_BREAK}|\n(?=#{{2,3}}{WS})"))
     paragraphs = tidy(F.flatten(F.transform(blocks, lambda b: F.split(b, "\n\n"))))
     return _packed(paragraphs, most, "\n\n", lambda p: sentences(p, most))
 

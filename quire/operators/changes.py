@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -76,15 +76,22 @@ def transition(status: Column, command: Column, retry: Column, most: int = 3) ->
 
 def upload_decisions(uploads: DataFrame, docs: DataFrame, allowed: Column, most: int = 3) -> DataFrame:
     """What becomes of each upload, by its file's hash: the uploader's own document comes first, then a
-    completed one, then any; within an upload batch the first of equal files counts."""
-    rows = uploads.withColumn("ok", allowed).withColumn("turn", F.when(F.col("ok"), F.row_number().over(Window.partitionBy("batch", "file_hash", "ok").orderBy("seq"))))
-    rank = F.when(F.col("uploaded_by_id").eqNullSafe(F.col("actor")), 0).when(F.col("status") == "COMPLETED", 1).otherwise(2)
-    known = docs.select("file_hash", "status", "uploaded_by_id", "retry_count", "created_s", "doc_id")
-    found = rows.join(known, "file_hash", "left").groupBy("batch", "seq").agg(F.min(F.struct(rank.alias("rank"), "created_s", "doc_id", "status", "uploaded_by_id", "retry_count")).alias("best"))
+    completed one, then any; within an upload batch the first of equal files counts.
+
+    Known documents come down to one for each hash and one for each hash and owner, with map-side
+    combining, before uploads meet them: a common file makes no more rows than there are uploads."""
+    rows = uploads.withColumn("ok", allowed)
+    firsts = rows.filter("ok").groupBy("batch", "file_hash").agg(F.min("seq").alias("first_seq"))
+    rows = rows.join(firsts, ["batch", "file_hash"], "left")
+    seen = lambda rank: F.min(F.struct(rank.alias("rank"), "created_s", "doc_id", "status", "uploaded_by_id", "retry_count"))
+    any_one = docs.groupBy("file_hash").agg(seen(F.when(F.col("status") == "COMPLETED", 1).otherwise(2)).alias("any_one"))
+    own = docs.groupBy(F.col("file_hash").alias("own_hash"), F.col("uploaded_by_id").alias("owner")).agg(seen(F.lit(0)).alias("own"))
+    rows = rows.join(any_one, "file_hash", "left").join(own, (F.col("file_hash") == F.col("own_hash")) & F.col("actor").eqNullSafe(F.col("owner")), "left")
+    rows = rows.withColumn("best", F.coalesce("own", "any_one")).drop("own", "own_hash", "owner", "any_one")
     best = F.col("best")
     decision = (
         F.when(~F.col("ok"), "invalid")
-        .when(F.col("turn") > 1, "duplicate")
+        .when(F.col("seq") > F.col("first_seq"), "duplicate")
         .when(best["status"].isNull(), "fresh")
         .when((best["status"] == "COMPLETED") & best["uploaded_by_id"].eqNullSafe(F.col("actor")), "cached")
         .when(best["status"] == "COMPLETED", "clone")
@@ -92,7 +99,7 @@ def upload_decisions(uploads: DataFrame, docs: DataFrame, allowed: Column, most:
         .when(best["retry_count"] < most, "retry")
         .otherwise("exhausted")
     )
-    return rows.join(found, ["batch", "seq"]).withColumn("decision", decision).withColumn("doc_id", F.when(best["status"].isNotNull(), best["doc_id"])).drop("best", "ok", "turn")
+    return rows.withColumn("decision", decision).withColumn("doc_id", F.when(best["status"].isNotNull(), best["doc_id"])).drop("best", "ok", "first_seq")
 
 
 #: The states of a document in order.

@@ -82,10 +82,13 @@ def manifest(docs: DataFrame) -> DataFrame:
 
 
 def zipped(files: DataFrame, most: int = 1000) -> bytes:
-    """A ZIP of at most ``most`` small files, for a download; larger bundles are written as a table of files."""
+    """A ZIP of at most ``most`` small files, for a download; more are refused: larger bundles are written as a table of files."""
+    n = files.limit(most + 1).count()
+    if n > most:
+        raise ValueError(f"more than {most} files: write the bundle as a table instead")
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
-        for row in files.orderBy("path").limit(most).toLocalIterator():
+        for row in files.orderBy("path").toLocalIterator():
             z.writestr(row["path"], row["content"])
     return out.getvalue()
 

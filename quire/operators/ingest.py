@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from quire.functions.text import chunk_anchor, chunk_chapter, chunk_page, chunk_size, chunks, first_filled, word_count
 from quire.functions.vector import hashed_embedding
 
-#: What marks a piece border of an over-long text, best first.
+#: What marks a piece border of an over-long text.
 BREAKS = ["\n## ", "\n# ", "\n### ", "\n\n"]
 
 
@@ -55,15 +55,19 @@ def content_of(*columns: str) -> Column:
 
 
 def split_long(text: str, most: int = 600_000) -> list[str]:
-    """Pieces of at most ``most`` characters, cut at the last best border in the final fifth, else hard."""
-    out = []
-    while len(text) > most:
-        low = most - most // 5
-        found = [text.rfind(mark, low, most) for mark in BREAKS]
-        cut = next((at for at in found if at > 0), most)
-        out.append(text[:cut].strip())
-        text = text[cut:].strip()
-    return [p for p in [*out, text.strip()] if p]
+    """Pieces of at most ``most`` characters, cut at the last border of any kind in the final fifth, else hard.
+
+    A text that fits stays as it is; pieces are stripped, and only a last one that is empty drops out.
+    """
+    if len(text) <= most:
+        return [text]
+    out, rest = [], text
+    while len(rest) > most:
+        border = max(rest.rfind(mark, int(most * 0.8), most) for mark in BREAKS)
+        cut = border if border > 0 else most
+        out.append(rest[:cut].strip())
+        rest = rest[cut:].strip()
+    return [*out, rest] if rest else out
 
 
 def pieces(docs: DataFrame, text: str = "raw_markdown", most: int = 600_000) -> DataFrame:

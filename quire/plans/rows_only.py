@@ -1,4 +1,4 @@
-"""Registered queries that SQL cannot express; unit tests hold their parts."""
+"""Registered queries whose operators leave built-in expressions, with SQL where it can express them; unit tests hold the rest."""
 
 from __future__ import annotations
 
@@ -10,7 +10,7 @@ from quire.functions import text as T
 from quire.functions.vector import hashed_embedding
 from quire.operators import access, exports, ingest, retrieval
 from quire.plans.model import model, raw
-from quire.plans.queries import chunk_table
+from quire.plans.queries import _CHUNKS, chunk_table
 from quire.plans.registry import query
 from quire.sources import files
 from quire.streaming.limits import activity
@@ -47,20 +47,42 @@ def r7(spark, d):
     return retrieval.nearest(asked, ingest.embedded(rows, "memory_text"), 5, "memory_id").select("query_id", "memory_id", "place")
 
 
-@query("r12_self_heal")
+@query(
+    "r12_self_heal",
+    f"""WITH {_CHUNKS} SELECT chunks.doc_uuid || '_' || cast(chunk_index as string) AS chunk_id, cast(768 as int) AS n
+    FROM chunks JOIN docs USING (doc_uuid) WHERE status = 'COMPLETED'
+    AND (chunks.doc_id % 3 = 0 OR chunks.doc_uuid NOT IN (SELECT doc_uuid FROM chunks WHERE doc_id % 3 <> 0))""",
+)
 def r12(spark, d):
     docs = model(spark, d, "docs")
     missing = ingest.unchunked(docs, ingest.chunked(docs.filter("doc_id % 3 <> 0")))
     return ingest.embedded(ingest.chunked(missing)).select("chunk_id", F.size("embedding").alias("n"))
 
 
-@query("t5_p3_m1_refine")
+#: The last place of a border in the window, from 1; 0 where there is none.
+_LAST = "CASE WHEN strpos(reverse({0}), reverse({1})) > 0 THEN length({0}) - strpos(reverse({0}), reverse({1})) - length({1}) + 2 ELSE 0 END"
+_TRIM = r"regexp_replace({0}, '^\s+|\s+$', '', 'g')"
+
+
+@query(
+    "t5_p3_m1_refine",
+    f"""WITH RECURSIVE cut AS (
+      SELECT doc_uuid, 0 AS piece, cast(NULL as string) AS content, CASE WHEN length(raw_markdown) > 5000 THEN raw_markdown END AS rest FROM docs
+      UNION ALL
+      SELECT doc_uuid, piece + 1, {_TRIM.format("CASE WHEN length(rest) > 5000 THEN left(rest, place) ELSE rest END")},
+        CASE WHEN length(rest) > 5000 THEN {_TRIM.format("substr(rest, place + 1)")} END
+      FROM (SELECT *, CASE WHEN last_border > 0 THEN 4000 + last_border - 1 ELSE 5000 END AS place FROM
+        (SELECT *, greatest({", ".join(_LAST.format("window_", f"(chr(10) || '{m}')") for m in ("## ", "# ", "### "))}, {_LAST.format("window_", "(chr(10) || chr(10))")}) AS last_border
+         FROM (SELECT *, substr(rest, 4001, 1000) AS window_ FROM cut WHERE rest <> '')))),
+    pieces AS (SELECT doc_uuid, piece, content FROM cut WHERE piece > 0 UNION ALL SELECT doc_uuid, 0, raw_markdown FROM docs WHERE length(raw_markdown) <= 5000)
+    SELECT doc_uuid, string_agg(content, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY piece) AS refined_markdown FROM pieces GROUP BY doc_uuid""",
+)
 def t5(spark, d):
     parts = ingest.pieces(model(spark, d, "docs"), most=5000)
     return ingest.rejoined(ingest.generated(parts))
 
 
-@query("t6_slug")
+@query("t6_slug", r"SELECT doc_uuid, trim(regexp_replace(regexp_replace(lower(nfc_normalize(title)), '[^\p{L}\p{N}_\s-]', '', 'g'), '[-\s]+', '-', 'g'), '-_') AS slug FROM docs")
 def t6(spark, d):
     return model(spark, d, "docs").select("doc_uuid", markup.slugged("title").alias("slug"))
 
@@ -86,7 +108,15 @@ def t11(spark, d):
     return model(spark, d, "docs").select("doc_uuid", markup.split_front_matter(text).alias("x")).select("doc_uuid", "x.text", "x.yaml", F.size("x.pairs").alias("pairs"))
 
 
-@query("t12_yaml_repair")
+@query(
+    "t12_yaml_repair",
+    r"""WITH texts AS (SELECT doc_uuid, 'title: ' || title || chr(10) || 'author: ' || chr(39) || author || chr(39) AS t FROM docs),
+    cut AS (SELECT doc_uuid, unnest(string_split(t, chr(10))) AS x, generate_subscripts(string_split(t, chr(10)), 1) AS n FROM texts),
+    parts AS (SELECT *, regexp_extract(x, '^(\s*[\w-]+):[ \t]+(\S.*?)\s*$', 1) AS k, regexp_extract(x, '^(\s*[\w-]+):[ \t]+(\S.*?)\s*$', 2) AS v FROM cut)
+    SELECT doc_uuid, string_agg(CASE WHEN k <> '' AND NOT regexp_matches(v, '^".*"$|^[\[{|>]')
+      THEN k || ': "' || replace(regexp_replace(v, '^\x27(.*)\x27$', '\1'), '"', '\"') || '"' ELSE x END, chr(10) ORDER BY n) AS yaml
+    FROM parts GROUP BY doc_uuid""",
+)
 def t12(spark, d):
     text = F.concat(F.lit("title: "), F.col("title"), F.lit("\nauthor: '"), F.col("author"), F.lit("'"))
     return model(spark, d, "docs").select("doc_uuid", T.quoted_yaml(text).alias("yaml"))
@@ -117,7 +147,7 @@ def snk12(spark, d):
     return exports.bundle(model(spark, d, "docs")).select("path", F.length("content").alias("n"))
 
 
-@query("activity_windows")
+@query("activity_windows", "SELECT cast(floor(at_s / 3600) * 3600 as bigint) AS start_s, action, count(*) AS n FROM audit GROUP BY ALL")
 def windows(spark, d):
     """Hourly audit activity (beyond the reference); the same function serves a stream."""
     return activity(model(spark, d, "audit").withColumn("at", F.timestamp_seconds("at_s"))).select(F.unix_timestamp("window.start").alias("start_s"), "action", "n")

@@ -4,6 +4,7 @@ import time
 import zipfile
 from io import BytesIO
 
+import pytest
 from pyspark.sql import functions as F
 
 from quire.operators import access, changes, exports, ingest, retrieval, spend
@@ -62,6 +63,18 @@ def test_uploads(spark):
     assert [found[n] for n in range(8)] == ["cached", "clone", "exhausted", "busy", "fresh", "duplicate", "retry", "invalid"]
 
 
+def test_uploads_of_a_common_file(spark):
+    """A third of the rows share one hash: known rows come down to one for the hash and one for each owner."""
+    docs = spark.range(3000).selectExpr("id AS doc_id", "CASE WHEN id % 3 = 0 THEN 'hot' ELSE 'h' || id END AS file_hash", "CASE WHEN id = 2999 - 2 THEN 'FAILED' ELSE 'COMPLETED' END AS status", "'u' || id % 50 AS uploaded_by_id", "0 AS retry_count", "id AS created_s")
+    uploads = spark.range(3000).selectExpr("id % 7 AS batch", "id AS seq", "CASE WHEN id % 3 = 0 THEN 'hot' ELSE 'new' || id END AS file_hash", "'u' || id % 100 AS actor", "true AS fine")
+    found = changes.upload_decisions(uploads, docs, F.col("fine"))
+    assert found.count() == 3000
+    hot = {r["seq"]: r for r in found.filter("file_hash = 'hot'").collect()}
+    firsts = {b: min(s for s in hot if s % 7 == b) for b in range(7)}
+    for s, r in hot.items():
+        assert r["decision"] == ("duplicate" if s != firsts[s % 7] else "cached" if s % 100 < 50 else "clone")
+
+
 def chunks(spark):
     docs = spark.createDataFrame([("d1", 1, "Tafsir Book", "Author", "English", "text one. attributes of things", "h", 1), ("d2", 2, "Tafsir Book", None, "English", "second text", "h2", 1)], "doc_uuid string, doc_id long, title string, author string, language string, raw_markdown string, file_hash string, page_count int")
     return docs, ingest.chunked(docs)
@@ -71,6 +84,8 @@ def test_exports(spark, tmp_path):
     docs, rows = chunks(spark)
     pairs = exports.training_pairs(rows, docs, 5).collect()
     assert len(pairs) == 2 and len(pairs[0]["messages"]) == 3 and pairs[0]["metadata"]["title"] == "Tafsir Book" and pairs[0]["prompt"].startswith("Context from 'Tafsir Book' by Author (Page 1):\n\n")
+    with pytest.raises(ValueError, match="more than 1 files"):
+        exports.zipped(exports.bundle(docs), most=1)
     names = zipfile.ZipFile(BytesIO(exports.zipped(exports.bundle(docs)))).namelist()
     assert "documents/001_tafsir-book.md" in names and "documents/002_tafsir-book.md" in names and "Language/English/tafsir-book_2.md" in names
     path = str(tmp_path / "x.sqlite")
@@ -90,6 +105,8 @@ def test_embedding_reuse_calls_provider_once_a_text(spark):
 
 def test_pieces_and_refinement(spark):
     text = "intro\n\n" + "word " * 100 + "\n## Part\n" + "more " * 100
+    both = "a" * 82 + "\n# x\n" + "b" * 5 + "\n\n" + "c" * 60  # a later break of another kind wins
+    assert ingest.split_long(both, 100) == [both[:92].strip(), both[92:].strip()] and ingest.split_long(" x ", 10) == [" x "]
     assert ingest.split_long(text, 600)[1].startswith("## Part") and "".join(ingest.split_long("x" * 25, 10)) == "x" * 25
     docs = spark.createDataFrame([("d", text), ("e", "short")], "doc_uuid string, raw_markdown string")
     shout = ingest.rejoined(ingest.generated(ingest.pieces(docs, most=600), lambda texts: [t.upper() for t in texts])).collect()

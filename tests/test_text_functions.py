@@ -1,3 +1,4 @@
+import time
 from decimal import Decimal
 
 import pytest
@@ -46,9 +47,18 @@ def test_percent_and_compact(spark):
 
 def test_language(spark):
     names = language_names(spark)
-    assert len(names) > 300
     values = ["ar", "id", "bahasa", "english", "Unknown", "xyz", "", None]
     assert one(spark, T.normal_language("x", names), *values) == ["Arabic", "Indonesian", "Indonesian", "English", "Unknown", "Xyz", "Unknown", "Unknown"]
+    # bibliographic codes, names and codes of their own, and codes that are not known
+    want = {
+        "ger": "German", "FRE": "French", "chi": "Chinese", "dut": "Dutch", "gre": "Greek", "per": "Persian (Farsi)", "fas": "Persian (Farsi)", "farsi": "Persian (Farsi)", "cze": "Czech", "ces": "Czech", "rum": "Romanian",
+        "slo": "Slovak", "bur": "Burmese", "arm": "Armenian", "geo": "Georgian", "mal": "Malay", "msa": "Malay", "fil": "Filipino", "tl": "Filipino", "tagalog": "Filipino", "nor": "Norwegian", "nb": "Norwegian", "ben": "Bengali",
+        "zh-hans": "Chinese (Simplified)", "zh-hant": "Chinese (Traditional)", "heb": "Hebrew", "he": "Hebrew", "ind": "Indonesian", "kur": "Kurdish", "pus": "Pashto", "lao": "Lao", "swa": "Swahili", "uz": "Uzbek", "yor": "Yoruba", "hau": "Hausa",
+        "mya": "Mya", "hye": "Hye", "is": "Is", "isl": "Isl", "icelandic": "Icelandic",
+    }
+    assert one(spark, T.normal_language("x", names), *want) == list(want.values())
+    # of 66 languages: both codes and the name, less four codes, and the others beside them
+    assert 195 <= len(names) <= 215 and all(names.values())
 
 
 def test_preference(spark):
@@ -57,8 +67,8 @@ def test_preference(spark):
 
 
 def test_retry_delay_and_errors(spark):
-    values = ["Please retry in 14.059141309s.", "{'retryDelay': '14s'}", '"retryDelay": "15"', "generic"]
-    assert one(spark, T.retry_delay("x"), *values) == [14.059141309, 14.0, 15.0, None]
+    values = ["Please retry in 14.059141309s.", "{'retryDelay': '14s'}", '"retryDelay": "15"', "generic", "Retry in 5.s", "retryDelay: 7s", '"retryDelay": 7']
+    assert one(spark, T.retry_delay("x"), *values) == [14.059141309, 14.0, 15.0, None, 5.0, None, None]
     assert one(spark, T.is_rate_limit("x"), "429 Too Many Requests", "Daily quota exceeded", "Internal Server Error", None) == [True, True, False, False]
     assert one(spark, T.is_cascadable("x"), "Model NOT_FOUND", "fine") == [True, False]
 
@@ -127,9 +137,21 @@ def test_sanitize(text, want):
     assert markup.sanitize(text) == want
 
 
+def test_rtl_of_nested_and_open_elements():
+    # an element goes up to the first closing tag of its name; what is inside stays as it is
+    assert markup.tag_rtl("<div><p>السلام</p></div>") == '<div dir="rtl" class="arabic-text"><p>السلام</p></div>'
+    assert markup.tag_rtl("<li>a<li>سلام</li></li>") == "<li>a<li>سلام</li></li>"
+    assert markup.tag_rtl("<p>سلام <td>سلام</td>") == '<p>سلام <td dir="rtl" class="arabic-text">سلام</td>'
+    assert markup.tag_rtl("""<P dir='ltr' class='k'>É سلام</P>""") == """<P dir="rtl" class='k arabic-text'>É سلام</P>"""
+    assert markup.tag_rtl("<b>سلام</b>") == "<b>سلام</b>"
+    began = time.perf_counter()
+    markup.tag_rtl("<p>x" * 40_000 + "<td>س</td>" * 20_000)
+    assert time.perf_counter() - began < 5
+
+
 def test_rtl():
     assert markup.tag_rtl("<p>السلام</p>") == '<p dir="rtl" class="arabic-text">السلام</p>'
-    assert markup.tag_rtl('<p class="x">12 السلام</p><p>Latin السلام</p>') == '<p class="x"></p>'.replace('<p class="x"></p>', '<p dir="rtl" class="x arabic-text">12 السلام</p><p>Latin السلام</p>')
+    assert markup.tag_rtl('<p class="x">12 السلام</p><p>Latin السلام</p>') == '<p class="x arabic-text" dir="rtl">12 السلام</p><p>Latin السلام</p>'
 
 
 def test_render_and_front_matter():
