@@ -19,8 +19,8 @@ from functools import lru_cache
 
 import numpy as np
 
-#: Pieces and words that a worker remembers anew; when so many are, those before them are forgotten.
-PIECES, WORDS = 200_000, 100_000
+#: Pieces that a worker remembers anew; when so many are, those before them are forgotten.
+PIECES = 400_000
 #: Longer pieces are encoded but not remembered.
 LONGEST = 40
 #: The id that ends each document.
@@ -67,25 +67,24 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(256 + n) for n, b in enumerate(hidden)}
 
 
-class Memory:
-    """What was met of late: a new generation, and the one before it. What is met again moves to the new one."""
+class Memory(dict):
+    """Results of a function for what was met of late: a new generation, and the one before it."""
 
-    def __init__(self, most: int):
-        self.most, self.new, self.old = most, {}, {}
+    def __init__(self, make, most: int):
+        super().__init__()
+        self.make, self.most, self.old = make, most, {}
 
-    def get(self, key: str) -> bytes | None:
-        found = self.new.get(key)
+    def __missing__(self, key: str) -> bytes:
+        found = self.old.get(key)
         if found is None:
-            found = self.old.get(key)
-            if found is not None:
-                self.put(key, found)
+            found = self.make(key)
+        if len(key) <= LONGEST:
+            if len(self) >= self.most:
+                self.old = dict(self)
+                self.clear()
+            self[key] = found
         return found
 
-    def put(self, key: str, value: bytes) -> None:
-        if len(self.new) >= self.most:
-            self.new, self.old = {}, self.new
-        self.new[key] = value
-
 
 class Encoder:
     """Texts to little-endian unsigned 32-bit ids, without special tokens. Null and empty texts have none."""
@@ -98,7 +97,7 @@ class Encoder:
         self.merge = self.tokenizer.model.tokenize
         self.letters = _byte_letters()
         self.four = [n.to_bytes(4, "little") for n in range(self.tokenizer.get_vocab_size())]
-        self.pieces, self.words = Memory(PIECES), Memory(WORDS)
+        self.pieces = Memory(self._piece, PIECES)
         self.simple = _as_written_for(json.loads(self.tokenizer.to_str()))
 
     def _whole(self, text: str) -> bytes:
@@ -106,36 +105,23 @@ class Encoder:
 
     def _word(self, word: str) -> bytes:
         shown = word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
-        ids = b"".join([self.four[t.id] for t in self.merge(shown)])
-        if len(word) <= LONGEST:
-            self.words.put(word, ids)
-        return ids
+        four = self.four
+        return b"".join([four[t.id] for t in self.merge(shown)])
 
     def _piece(self, piece: str) -> bytes:
-        if "<|" not in piece and (piece.isprintable() if piece.isascii() else _SIMPLE(piece)):
-            lowered = piece.lower()
-            if lowered.isascii() and lowered.isalpha():
-                ids = self.words.get(lowered) or self._word(lowered)
-            else:
-                ids = b"".join([self.words.get(w) or self._word(w) for w in _WORDS(lowered)])
-        else:
-            ids = self._whole(piece)
-        if len(piece) <= LONGEST:
-            self.pieces.put(piece, ids)
-        return ids
+        if "<|" in piece or not (piece.isprintable() if piece.isascii() else _SIMPLE(piece)):
+            return self._whole(piece)
+        lowered = piece.lower()
+        words = [lowered] if lowered.isalpha() and lowered.isascii() else _WORDS(lowered)
+        # a word of a piece is by itself a piece with the same ids
+        return self._word(piece) if words[0] == piece else b"".join([self.pieces[w] for w in words])
 
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
         if not self.simple or _CONTROLS(text):
             return self._whole(text)
-        pieces = text.split()
-        found = list(map(self.pieces.new.get, pieces))
-        if None in found:
-            recall = self.pieces.get
-            new = {p: recall(p) or self._piece(p) for p in {p for p, ids in zip(pieces, found, strict=True) if ids is None}}
-            found = [new[p] if ids is None else ids for p, ids in zip(pieces, found, strict=True)]
-        return b"".join(found)
+        return b"".join(map(self.pieces.__getitem__, text.split()))
 
 
 @lru_cache(maxsize=4)

@@ -169,13 +169,12 @@ def test_shortcut_is_decided_by_settings(tmp_path):
 
 def test_memory_keeps_what_is_met(monkeypatch):
     monkeypatch.setattr(tokens, "PIECES", 50)
-    monkeypatch.setattr(tokens, "WORDS", 20)
     random.seed(5)
     whole, small = Encoder(word_bpe()), Encoder(word_bpe())
     for _ in range(200):
         text = " ".join(random.choices(["the", "cat's", "Ünïcode", "x1y2", "don't,", "a<|b"] + [f"w{n}" for n in range(200)], k=60))
         assert small.encode(text) == whole._whole(text)
-    assert len(small.pieces.new) <= 50 and len(small.words.old) <= 20
+    assert len(small.pieces) <= 50 and len(small.pieces.old) <= 50
 
 
 def test_empty_store(spark, tmp_path):
