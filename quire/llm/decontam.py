@@ -3,21 +3,22 @@
 A test item that occurs in a document with at most ``k`` edits, cut into ``k + 1`` pieces, leaves
 one piece unharmed. One Aho-Corasick automaton finds all pieces of a block of items in one pass
 over a text; around each hit, Myers' bit-parallel distance (one integer as bit vector) decides.
-Items are taken in blocks of bounded size, each broadcast in turn, so any benchmark fits. Texts
-never move: no shuffle.
+Items are taken in blocks of bounded size: only one is in the driver and in a plan at a time, and
+what it found is written before the next, so any benchmark fits. Texts never move: no shuffle.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import reduce
+from itertools import pairwise
 
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import ascii_words, text_of
+from quire.llm.common import ascii_words, table, text_of
 
 #: Edits per character of an item that still count as the item.
 RATE = 0.05
@@ -50,8 +51,16 @@ def pieces_of(item: str, rate: float) -> tuple[int, list[tuple[int, str]]]:
     return budget, [(a, item[a:b]) for a, b in zip([0, *ends], ends, strict=False)]
 
 
-def edit_match(item: str, masks: dict[str, int], text: str, most: int) -> tuple[int, int] | None:
-    """Least edits between the item and any part of ``text``, and where that part ends; None if over ``most``."""
+def masks_of(item: str) -> dict[str, int]:
+    """For each letter the places that it has in the item, as bits."""
+    masks: dict[str, int] = {}
+    for i, letter in enumerate(item):
+        masks[letter] = masks.get(letter, 0) | 1 << i
+    return masks
+
+
+def edit_match(item: str, masks: dict[str, int], text: str, most: int, anchored: bool = False) -> tuple[int, int] | None:
+    """Least edits between the item and any part of ``text`` (if ``anchored``, of those at its start), and where that part ends; None if over ``most``."""
     m = len(item)
     full, top = (1 << m) - 1, 1 << (m - 1)
     plus, minus, score, best = full, 0, m, (min(m, most + 1), 0)
@@ -66,7 +75,7 @@ def edit_match(item: str, masks: dict[str, int], text: str, most: int) -> tuple[
             score -= 1
         if score < best[0]:
             best = (score, end)
-        h_plus, h_minus = h_plus << 1, h_minus << 1
+        h_plus, h_minus = h_plus << 1 | anchored, h_minus << 1
         plus, minus = (h_minus | ~(d | h_plus)) & full, h_plus & d & full
     return best if best[0] <= most else None
 
@@ -80,12 +89,9 @@ class Matcher:
         found: dict[str, list[tuple[int, int]]] = {}
         for key, item in items:
             budget, parts = pieces_of(item, rate)
-            masks: dict[str, int] = {}
-            for i, letter in enumerate(item):
-                masks[letter] = masks.get(letter, 0) | 1 << i
             for at, part in parts:
                 found.setdefault(part, []).append((len(self.items), at))
-            self.items.append((key, item, masks, budget))
+            self.items.append((key, item, masks_of(item), budget))
         for part, places in found.items():
             self.pieces.add_word(part, (len(part), places))
         if found:
@@ -105,14 +111,7 @@ class Matcher:
                 ends = [a + len(item) for a in sorted(where) if bounded(text, a, a + len(item))]
                 out += [(key, 0, ends[0] - len(item), ends[0])] if ends else []
                 continue
-            reach = -1
-            for start in sorted(set(where)):
-                if start <= reach:
-                    continue  # the last window held this one
-                last = start
-                for other in where:
-                    last = other if last < other <= start + budget else last
-                reach = last
+            for start, last in windows(sorted(set(where)), budget):
                 a, b = max(0, start - budget), last + len(item) + budget
                 part = text[a:b]
                 if item in part:
@@ -122,10 +121,30 @@ class Matcher:
                 if got and (best is None or got[0] < best[0]):
                     best = (got[0], a + got[1])
             if best:
-                out.append((key, best[0], max(0, best[1] - len(item)), best[1]))
+                out.append((key, best[0], match_start(item, text, *best), best[1]))
         return out
 
 
+def windows(starts: list[int], budget: int) -> Iterator[tuple[int, int]]:
+    """First and last of the starts that one window holds; each start is in one."""
+    first = starts[:1]
+    for a, b in pairwise(starts):
+        if b > first[0] + budget:
+            yield first[0], a
+            first = [b]
+    if first:
+        yield first[0], starts[-1]
+
+
+def match_start(item: str, text: str, edits: int, end: int) -> int:
+    """Where the part of ``text`` begins that ends at ``end`` and is so many edits from the item: the item is matched backwards from there."""
+    if not edits:
+        return end - len(item)
+    back = item[::-1]
+    got = edit_match(back, masks_of(back), text[max(0, end - len(item) - edits) : end][::-1], edits, anchored=True)
+    return end - got[1]
+
+
 def item_blocks(benchmark: DataFrame, block_chars: int) -> Iterator[list[tuple[int, str]]]:
     """Ids and plain texts of the items, in blocks of about ``block_chars`` characters by a hash; items without a letter or digit are left out."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), text_of("text").alias("text"))
@@ -152,7 +171,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     """
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     schema = "doc_id long, item_id long, edits int, first_char long, last_char long"
-    return reduce(DataFrame.unionByName, (texts.mapInArrow(_finder(some, rate), schema) for some in item_blocks(benchmark, block_chars)))
+    found = (texts.mapInArrow(_finder(some, rate), schema) for some in item_blocks(benchmark, block_chars))
+    first = next(found)
+    return reduce(DataFrame.unionByName, (table(f, "hits") for f in found), first)
 
 
 def _finder(items: list[tuple[int, str]], rate: float):
@@ -168,9 +189,13 @@ def _finder(items: list[tuple[int, str]], rate: float):
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", rate: float = RATE, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """The rows of ``docs``, all columns, in which no item of the benchmark is found."""
-    for some in item_blocks(benchmark, block_chars):
-        docs = docs.filter(~_holds(some, rate)(F.col(text_col).cast("string")))
+    """The rows of ``docs``, all columns, in which no item of the benchmark is found.
+
+    Null and empty texts hold no item and stay, as do all rows if the benchmark is empty; repeated rows
+    stand or fall together. What a block leaves is written before the next block is read.
+    """
+    for n, some in enumerate(item_blocks(benchmark, block_chars)):
+        docs = (table(docs, "left") if n else docs).filter(~_holds(some, rate)(F.col(text_col).cast("string")))
     return docs
 
 

@@ -61,7 +61,9 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that ``exact_dedup`` keeps, with all their columns.
 
-    Of rows that agree in id and text, the smallest by all columns in their order stays.
+    Of rows that agree in id and text, one stays: the least by its JSON form, so that columns of any
+    type, maps too, can be there. Null texts count as empty, null ids are ids of their own; an empty
+    table gives no rows; names that clash with those used here are left alone.
     """
     digest, points, drop, again = names_apart(docs, "digest", "points", "drop", "again")
     marks = table(
@@ -81,5 +83,6 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     if repeated.isEmpty():
         return single
     # a minimum over whole rows combines before the shuffle
-    first = keyed.join(repeated, on(repeated), "left_semi").groupBy(id_col, digest, points).agg(F.min(F.struct(*docs.columns)).alias(again))
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    first = keyed.join(repeated, on(repeated), "left_semi").groupBy(id_col, digest, points).agg(F.min_by(row, F.to_json(row)).alias(again))
     return single.unionByName(first.select(f"{again}.*"))

@@ -3,14 +3,16 @@
 The automaton holds every run of words of every template. A document is streamed through it:
 at each word it knows the longest run ending there that some template has (the matching
 statistics). Long matches are chained, template by template, into spans of the document with
-the share of the template that they cover. Words outside all templates end a match, so only
-stretches of template words are streamed. A projection: no shuffle at any size.
+the share of the template that they cover; of spans that overlap, as those of related licences
+do, the best stays. Words outside all templates end a match, so only stretches of template words
+are streamed. A projection: no shuffle at any size.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import repeat
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -21,22 +23,27 @@ from quire.llm.common import ascii_words
 
 #: Phrases and their labels.
 BASE = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
-#: (label, text): short notices and the openings of well-known public licences.
-TEMPLATES = [
-    ("mit", "Released under the MIT License."),
-    ("mit", "Licensed under the MIT License."),
-    ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."),
-    ("apache", "Licensed under the Apache License, Version 2.0."),
-    ("apache", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."),
-    ("gpl", "This work is licensed under the GNU General Public License, version 3."),
-    ("gpl", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details."),
-    ("cc-by", "This work is licensed under CC BY 4.0."),
-    ("cc-by", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
-    ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer."),
-    ("mpl", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
-]
+#: Parts of the Creative Commons licences and their versions: their notices follow from a rule.
+COMMONS = {"by": "Attribution", "nc": "NonCommercial", "nd": "NoDerivatives", "sa": "ShareAlike"}
+COMMONS_KINDS = ("by", "by-sa", "by-nd", "by-nc", "by-nc-sa", "by-nc-nd")
+COMMONS_VERSIONS = ("4.0 International", "3.0 Unported", "2.0 Generic")
 #: Words of a match that counts, words between matches that a chain bridges, and covered share and words that make a label.
-SHORTEST, BRIDGE, SHARE, LEAST = 4, 12, 0.6, 5
+SHORTEST, BRIDGE, SHARE, LEAST = 3, 12, 0.6, 5
+
+
+def templates_of(path: Path = Path(__file__).with_name("data") / "license_templates.tsv") -> list[tuple[str, str]]:
+    """``(label, text)`` of short notices and the openings of public licences: lines of a file, and those of Creative Commons by rule."""
+    out = [tuple(line.split("\t", 1)) for line in path.read_text(encoding="utf-8").splitlines() if line]
+    for kind in COMMONS_KINDS:
+        name = "-".join(COMMONS[k] for k in kind.split("-"))
+        for version in COMMONS_VERSIONS:
+            out.append((f"cc-{kind}", f"This work is licensed under a Creative Commons {name} {version} License."))
+            out.append((f"cc-{kind}", f"Creative Commons {name} {version}"))
+            out.append((f"cc-{kind}", f"This work is licensed under CC {kind.upper()} {version.split()[0]}."))
+    return out
+
+
+TEMPLATES = templates_of()
 
 
 class SuffixAutomaton:
@@ -99,6 +106,50 @@ class SuffixAutomaton:
                 yield base + i - 1, was, self.ends[before]
 
 
+def _best_chains(matches: list[tuple[int, int, int, int]], size: int) -> list[tuple[int, int, int]]:
+    """``(first, last, covered)`` of chains of one template's matches ``(first, last, t_first, t_last)``, ordered by last: one for each place of the text."""
+    best: list[tuple[int, int, int, int]] = []  # of the best chain that ends in each match: gain, first word, covered, match before
+    low = 0
+    for k, (first, last, t_first, t_last) in enumerate(matches):
+        own = last - first + 1
+        gain, start, covered, before = own, first, own, -1
+        while matches[low][1] < first - BRIDGE - 1 - size:
+            low += 1
+        for j in range(k - 1, low - 1, -1):
+            _, p_last, _, p_t_last = matches[j]
+            if p_t_last >= t_last or p_last >= last or first - p_last - 1 > BRIDGE:
+                continue
+            # words that both hold count once; words of either text between them are bridged
+            new = min(own, last - p_last, t_last - p_t_last)
+            bridged = max(0, first - p_last - 1)
+            if best[j][0] + new - bridged > gain:
+                gain, start, covered, before = best[j][0] + new - bridged, best[j][1], best[j][2] + new, j
+        best.append((gain, start, covered, before))
+    # chains from the best on; a match belongs to one
+    out, used = [], set()
+    for k in sorted(range(len(best)), key=lambda k: (-best[k][0], k)):
+        if k in used:
+            continue
+        at = k
+        while at >= 0 and at not in used:
+            used.add(at)
+            at = best[at][3]
+        if at < 0:
+            out.append((best[k][1], matches[k][1], best[k][2]))
+    return out
+
+
+def _best_of_relatives(spans: list[dict]) -> list[dict]:
+    """Of spans that share more than half of the shorter one, the one that covers most words (then the greater share, the lesser label)."""
+    kept: list[dict] = []
+    for s in sorted(spans, key=lambda s: (-s["covered"], -s["share"], s["label"], s["first_word"], s["last_word"])):
+        shared = lambda o: min(s["last_word"], o["last_word"]) - max(s["first_word"], o["first_word"]) + 1
+        shorter = lambda o: min(s["last_word"] - s["first_word"], o["last_word"] - o["first_word"]) + 1
+        if all(2 * shared(o) <= shorter(o) for o in kept):
+            kept.append(s)
+    return kept
+
+
 class Scanner:
     def __init__(self, templates: list[tuple[str, str]], base: dict[str, str]):
         self.labels = [label for label, _ in templates]
@@ -110,25 +161,24 @@ class Scanner:
         self.phrases = [([self.ids[w] for w in p], label) for p, label in zip(phrases, base.values(), strict=True)]
 
     def chains(self, ids: np.ndarray) -> list[tuple[int, int, int, int]]:
-        """``(template, first word, last word, template words covered)`` of the chained matches."""
+        """``(template, first word, last word, template words covered)`` of the best chains of matches of each template.
+
+        A chain takes matches in the order of both texts, with at most BRIDGE words between; of all chains
+        that end in a match the one that covers most words, less those bridged, is kept.
+        """
         edges = np.flatnonzero(np.diff(np.concatenate([[0], ids > 0, [0]]).astype(np.int8)))
-        open_, done = {}, []
+        found: dict[int, list[tuple[int, int, int, int]]] = {}
         for a, b in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):
             if b - a < SHORTEST:
                 continue
             for end, n, places in self.automaton.matches(ids[a:b].tolist(), a):
                 for t, t_end in places:
-                    first, t_first, chain = end - n + 1, t_end - n + 1, open_.get(t)
-                    # a later place of the same match in this template starts no chain of its own
-                    if chain and chain[1] >= end:
-                        continue
-                    if chain and t_end > chain[3] and first <= chain[1] + BRIDGE:
-                        open_[t] = (chain[0], end, chain[2] + min(n, t_end - chain[3]), t_end)
-                    else:
-                        if chain:
-                            done.append((t, *chain[:3]))
-                        open_[t] = (first, end, t_end - t_first + 1, t_end)
-        return done + [(t, *c[:3]) for t, c in open_.items()]
+                    found.setdefault(t, []).append((end - n + 1, end, t_end - n + 1, t_end))
+        out = []
+        for t, matches in found.items():
+            if sum(m[1] - m[0] + 1 for m in matches) >= min(LEAST, SHARE * self.sizes[t]):
+                out += [(t, *chain) for chain in _best_chains(matches, self.sizes[t])]
+        return out
 
     def scan(self, text: str | None) -> dict:
         words = ascii_words(text)
@@ -144,8 +194,11 @@ class Scanner:
         places = np.concatenate(starts) if starts else np.array([], np.int64)
         spans = []
         for t, first, last, covered in self.chains(ids) if len(ids) else ():
-            if covered >= LEAST and covered >= SHARE * self.sizes[t]:
-                spans.append({"label": self.labels[t], "first_word": first, "last_word": last, "share": covered / self.sizes[t]})
+            # share of the template that is covered, less for foreign words within the span
+            share = covered / self.sizes[t] * covered / max(covered, last - first + 1)
+            if covered >= LEAST and share >= SHARE:
+                spans.append({"label": self.labels[t], "first_word": first, "last_word": last, "share": share, "covered": covered})
+        spans = _best_of_relatives(spans)
         spans.sort(key=lambda s: (s["first_word"], s["last_word"], s["label"], s["share"]))
         return {
             "n_words": len(words),
@@ -155,7 +208,7 @@ class Scanner:
             "base_labels": ",".join(sorted(base)),
             "labels": ",".join(sorted(base | {s["label"] for s in spans})),
             "score": max([0.5 * bool(base), *(s["share"] for s in spans)]),
-            "spans": spans,
+            "spans": [{k: v for k, v in s.items() if k != "covered"} for s in spans],
         }
 
 
@@ -168,8 +221,10 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """One row per document: words, places of the base phrases, labels, score and the covered spans.
 
     A label comes from a base phrase or from a chain that covers SHARE of a template and LEAST of
-    its words. ``score`` is the largest share covered, and 0.5 at least with a base phrase. Null and
-    empty texts have no words, empty labels and score 0. Repeated rows are judged each.
+    its words, and more of them than chains of other templates at the same place. ``score`` is the
+    largest share covered, and 0.5 at least with a base phrase. Null and empty texts have no words,
+    empty labels and score 0. Whole texts are scanned, whatever their length. Repeated rows are judged
+    each; null ids stay null; an empty table gives no rows; columns beyond the two are not read.
     """
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -19,7 +19,7 @@ from quire.llm.token_counts import length_histogram
 from quire.llm.token_store import read_store, write_store
 from quire.llm.tokens import word_bpe
 from quire.llm.toxicity import THRESHOLD, fit, held_out, labelled, toxicity
-from quire.llm.url_filter import RULES, SOFT, SOFT_LIMIT, STRICT, filter_urls
+from quire.llm.url_filter import LIMIT, RULES, Vocabulary, filter_urls
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -83,9 +83,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 _BLANK = "regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]', '', 'g')"
 
 
-def _terms(words: list[str]) -> str:
+def _terms(words, weights: dict[str, float] | None = None) -> str:
     one = "regexp_matches(lower(coalesce(url, '')), '(^|[^\\p{{L}}\\p{{N}}]){0}($|[^\\p{{L}}\\p{{N}}])')::bigint"
-    return " + ".join(one.format(w) for w in words)
+    return " + ".join(one.format(w) + (f" * {weights[w]}::double" if weights else "") for w in sorted(words))
 
 
 def _rules(what: int) -> str:
@@ -95,6 +95,7 @@ def _rules(what: int) -> str:
 
 
 def oracle_sql() -> dict[str, str]:
+    terms = Vocabulary.read()
     return {
         "op1_exact_dedup": f"""
             WITH rows AS (SELECT doc_id, length(coalesce(text, '')) AS n_points, sha256({_BLANK}) AS text_sha256 FROM documents)
@@ -107,8 +108,8 @@ def oracle_sql() -> dict[str, str]:
                 translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
                 regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM cut),
             hits AS (SELECT page_id, host, path, {_rules(0)} AS rule, {_rules(1)} AS told,
-                {_terms(STRICT)} AS strict_hits, {_terms(SOFT)} AS soft_hits FROM parts)
+                {_terms(terms.strict)} AS strict_hits, {_terms(terms.soft)} AS soft_hits, {_terms(terms.soft, terms.soft)} AS soft_weight FROM parts)
             SELECT page_id, host, path, rule,
-                coalesce(told, CASE WHEN strict_hits >= 1 OR soft_hits >= {SOFT_LIMIT} THEN 'block' ELSE 'allow' END) AS verdict,
-                strict_hits, soft_hits FROM hits""",
+                coalesce(told, CASE WHEN strict_hits >= 1 OR soft_hits >= 2 AND soft_weight >= {LIMIT} THEN 'block' ELSE 'allow' END) AS verdict,
+                strict_hits, soft_hits, soft_weight FROM hits""",
     }

@@ -6,6 +6,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from quire.llm import toxicity as tox
@@ -90,3 +91,56 @@ def test_run_and_queries(spark, corpus):
     assert rows[900]["n_bytes"] == 0 and rows[900]["kept_sha256"] == hashlib.sha256(b"").hexdigest()
     scored = queries()["op4_toxicity"](spark, folder).collect()
     assert np.mean([r["predicted"] for r in scored]) < 0.4 and all((r["score"] >= tox.THRESHOLD) == bool(r["predicted"]) for r in scored)
+
+
+def odd_rows():
+    """Null ids, null, empty, blank and very long texts, repeated rows, ties, and columns of any type whose names clash."""
+    random.seed(22)
+    words = [f"v{n}" for n in range(300)]
+    texts = [" ".join(random.choices(words, k=60)) for _ in range(12)]
+    rows = [(n, t, "en") for n, t in enumerate(texts)]
+    rows += [(None, texts[0], "en"), (None, None, None), (None, None, None), (20, None, "de"), (21, "", "de"), (22, " \t\n", None), (23, "!!!", "en")]
+    rows += [rows[3], rows[3], (3, texts[3], "fr"), (24, texts[4] + " ", "en"), (25, texts[5], "en")]
+    rows += [(30, "long " + " ".join(random.choices(words, k=150_000)), "en"), (31, "é" * 300_000, "en"), (32, "\0\x01\x1c odd ퟿ 😀", "en")]
+    return [(i, t, lang, {"k": n % 2}, n % 3, "d", b"x", [1.5]) for n, (i, t, lang) in enumerate(rows)]
+
+
+ODD = "doc_id long, text string, lang string, meta map<string,int>, score int, digest string, `class` binary, points array<double>"
+
+
+@pytest.mark.parametrize("stage", range(5))
+def test_stages_on_odd_rows(spark, tmp_path, stage):
+    folder = str(tmp_path)
+    spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(12)] + [(None, 1), (3, None)], "doc_id long, toxic int").write.parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame([(1, "v1 v2 v3 v4 v5 v6 v7 and nothing of it"), (2, None), (3, "")], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    rows = odd_rows()
+    docs = spark.createDataFrame(rows, ODD)
+    name, run = corpus_pipeline.STAGES[stage]
+    found = corpus_pipeline.table(run(spark, docs, folder), name)
+    got = found.collect()
+    ids = collections.Counter(r["doc_id"] for r in got)
+    if name != "packing":
+        assert found.columns == docs.columns and not ids - collections.Counter(r[0] for r in rows)
+    if name == "exact_dedup":
+        # of 16 different texts (blank ones are equal) one each: 3 of three repeated rows, 4's longer copy, 5 before 25
+        assert len(got) == len({normal(t) for _, t, *_ in rows}) and ids[3] == 1 and ids[24] == 1 and ids[4] == 0 and ids[5] == 1 and ids[20] == 0 and ids[22] == 1
+    if name == "ngram_join":
+        # texts without words link to none; repeated rows stand together
+        assert ids[3] == 3 and ids[25] == 0 and ids[5] == 1 and {20, 21, 22, 23} <= set(ids)
+    if name == "decontamination":
+        assert len(got) == len(rows)
+    if name == "packing":
+        assert sum(r["start"] == 0 for r in got) == len(rows) and max(r["offset"] + r["length"] for r in got) <= 2048
+    # no rows
+    none = run(spark, docs.filter(F.lit(False)), folder)
+    assert none.count() == 0
+
+
+def test_stages_without_labels_and_benchmark(spark, tmp_path):
+    folder = str(tmp_path)
+    spark.createDataFrame([], "doc_id long, toxic int").write.parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    docs = spark.createDataFrame(odd_rows(), ODD)
+    stages = dict(corpus_pipeline.STAGES)
+    for name in ("toxicity", "decontamination"):
+        assert stages[name](spark, docs, folder).count() == docs.count()
