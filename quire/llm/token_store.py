@@ -201,7 +201,7 @@ def write_store(docs: DataFrame, folder: str, path: str, id_col: str = "doc_id",
     """
     spark = docs.sparkSession
     staged_at = f"{folder}/staged"
-    _stage(docs, path, id_col, text_col, shards or parallelism(spark)).write.option("compression", "zstd").parquet(staged_at)
+    _stage(docs, path, id_col, text_col, shards or parallelism(spark)).write.parquet(staged_at)
     staged = spark.read.schema(_STAGED).parquet(staged_at)
     places = staged.select("row", F.posexplode("chunks").alias("pos", "chunk")).select("row", "pos", F.col("chunk.digest").alias("digest"))
     repeated = places.groupBy("digest").agg(F.count("*").alias("n"), F.min(F.struct("row", "pos")).alias("first")).filter("n > 1")
@@ -218,7 +218,7 @@ def write_store(docs: DataFrame, folder: str, path: str, id_col: str = "doc_id",
     rows = _marked(staged.drop("shard_root"), marks, "left")
     schema = ", ".join(f"{c} {t}" for c, t in rows.dtypes)
     own = rows.mapInArrow(_own_ids, schema).join(F.broadcast(manifest), "shard").withColumn("start", F.col("before") + F.col("local_start")).drop("before", "local_start")
-    own.sortWithinPartitions("shard", "row").write.partitionBy("shard").option("compression", "zstd").parquet(f"{folder}/docs")
+    own.sortWithinPartitions("shard", "row").write.partitionBy("shard").parquet(f"{folder}/docs")
 
 
 def read_store(spark: SparkSession, folder: str) -> DataFrame:

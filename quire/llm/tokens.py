@@ -109,6 +109,9 @@ class Encoder:
         return b"".join([four[t.id] for t in self.merge(shown)])
 
     def _piece(self, piece: str) -> bytes:
+        if piece.isalpha() and piece.isascii() and piece.islower():  # most are plain words
+            four = self.four
+            return b"".join([four[t.id] for t in self.merge(piece)])
         if "<|" in piece or not (piece.isprintable() if piece.isascii() else _SIMPLE(piece)):
             return self._whole(piece)
         lowered = piece.lower()
