@@ -1,7 +1,10 @@
 import hashlib
 
+import pytest
 from pyspark.sql import functions as F
 
+
+from quire.llm.common import shared_folder
 from quire.llm.exact_dedup import drop_copies, exact_dedup
 
 ROWS = [
@@ -39,3 +42,23 @@ def test_drop_copies_keeps_columns_and_one_row_a_group(spark):
 def test_empty_table(spark):
     empty = frame(spark).filter(F.lit(False))
     assert exact_dedup(empty).count() == 0 and drop_copies(empty).count() == 0
+
+
+class Conf(dict):
+    set = dict.__setitem__
+
+
+@pytest.mark.parametrize("master", ["yarn", "spark://host:7077", "local-cluster[2,1,1024]", "k8s://https://x"])
+def test_clusters_need_a_shared_folder(master):
+    session = type("Session", (), {"conf": Conf({"spark.master": master})})()
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        shared_folder(session)
+    session.conf["spark.checkpoint.dir"] = "hdfs://x/shared/"
+    assert shared_folder(session) == "hdfs://x/shared"
+
+
+def test_columns_of_any_type_survive(spark):
+    rows = [(1, "a b", {"k": 1}, None), (1, "a b", {"k": 1}, None), (1, "ab", {"k": 2}, "x"), (None, "ab", {}, "y"), (None, None, {}, "z"), (None, None, {"q": 3}, "z")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, meta map<string,int>, digest string")
+    left = drop_copies(df)
+    assert left.columns == df.columns and sorted((str(r["doc_id"]), r["text"] or "") for r in left.collect()) == [("1", "a b"), ("None", "")]
