@@ -17,7 +17,7 @@ QUESTION = "Question: Explain the key context, teachings, and significance of th
 
 
 def training_pairs(rows: DataFrame, docs: DataFrame, each: int = 10, most: int = 5000) -> DataFrame:
-    """Prompt, completion, messages and metadata of chunks: up to ``each`` a document and ``most`` in all, in order."""
+    """Prompt, completion, messages, metadata and place of chunks: up to ``each`` a document and ``most`` in all, in order."""
     chosen = rows.filter(F.trim("content") != "").withColumn("turn", F.row_number().over(Window.partitionBy("doc_uuid").orderBy("chunk_index"))).filter(F.col("turn") <= each)
     known = docs.select("doc_uuid", "doc_id", filled("title", "Untitled").alias("title"), filled("author", "Unknown").alias("author"), F.col("language").alias("doc_language"))
     chosen = chosen.join(known, "doc_uuid").orderBy("doc_id", "chunk_index").limit(most)
@@ -31,6 +31,7 @@ def training_pairs(rows: DataFrame, docs: DataFrame, each: int = 10, most: int =
         completion.alias("completion"),
         F.array(message("system", F.lit(SYSTEM)), message("user", prompt), message("assistant", completion)).alias("messages"),
         F.struct("doc_uuid", "title", "author", F.col("doc_language").alias("language"), page.alias("page_number"), chapter.alias("chapter_title"), filled("anchor_id", "").alias("anchor_id")).alias("metadata"),
+        "chunk_index",
     )
 
 

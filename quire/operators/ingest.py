@@ -49,6 +49,18 @@ def completed(docs: DataFrame, rows: DataFrame, now: Column) -> DataFrame:
     return out.withColumns({"page_count": pages, "status": F.lit("COMPLETED"), "expires_at": now + F.expr("interval 30 days")}).drop("n_chunks")
 
 
+def reembedded(docs: DataFrame, rows: DataFrame, edited: DataFrame, now: Column, provider=hashed_embedding) -> tuple[DataFrame, DataFrame]:
+    """Documents and chunks after edits: those of ``edited`` (``doc_uuid``) are chunked and embedded anew from
+    their refined, else raw text, all their old chunks go, and they are complete again. Others stay untouched."""
+    again = docs.join(edited.select("doc_uuid").distinct(), "doc_uuid", "left_semi")
+    text = content_of("refined_markdown", "raw_markdown") if "refined_markdown" in docs.columns else content_of("raw_markdown")
+    fresh = embedded(chunked(again.withColumn("text_to_chunk", text), "text_to_chunk"), provider=provider)
+    kept = rows.join(again.select("doc_uuid"), "doc_uuid", "left_anti")
+    done = completed(again, fresh, now).select(docs.columns)
+    others = docs.join(again.select("doc_uuid"), "doc_uuid", "left_anti")
+    return others.unionByName(done), kept.unionByName(fresh.select(rows.columns))
+
+
 def content_of(*columns: str) -> Column:
     """Refined, cleaned or raw text, whichever is first there."""
     return first_filled(*columns)

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,17 +14,63 @@ from quire.functions.vector import cosine_distance
 
 #: Constant of rank fusion.
 FUSION = 60
+#: Numbers of all query vectors together up to which they go to every task as one matrix (64 MB).
+MATRIX = 8_000_000
+
+
+def _best_of_blocks(names: list, matrix: np.ndarray, k: int):
+    """In each task the k nearest rows of each query: blocks of rows against all queries at once, then exact distances of the few that can count."""
+    lengths = np.sqrt((matrix * matrix).sum(axis=1))
+    asked = np.flatnonzero(lengths > 0)
+    unit = matrix[asked] / lengths[asked][:, None]
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: list[list[tuple]] = [[] for _ in asked]
+        key_type = None
+        for batch in batches:
+            key_type = batch.schema.field(0).type
+            batch = batch.filter(batch.column(1).is_valid())
+            if not batch.num_rows or not len(asked):
+                continue
+            rows = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(batch.num_rows, -1)
+            sizes = np.sqrt((rows * rows).sum(axis=1))
+            some = np.flatnonzero(sizes > 0)
+            rows, sizes, keys = rows[some], sizes[some], [batch.column(0)[i].as_py() for i in some]
+            rough = 1 - (rows / sizes[:, None]) @ unit.T
+            for q in range(len(asked) if len(some) else 0):
+                column = rough[:, q]
+                limit = np.partition(column, k - 1)[k - 1] if len(column) > k else np.inf
+                if len(best[q]) == k:
+                    limit = min(limit, best[q][-1][0])
+                found = np.flatnonzero(column <= limit + 1e-9)
+                v = matrix[asked[q]]
+                exact = [(1 - float(np.dot(rows[i], v)) / (float(sizes[i]) * float(lengths[asked[q]])), keys[i]) for i in found.tolist()]
+                best[q] = sorted(best[q] + exact)[:k]
+        out = [(names[asked[q]], key, distance) for q, some in enumerate(best) for distance, key in some]
+        if out:
+            ids, keys, distances = zip(*out, strict=True)
+            yield pa.record_batch([pa.array(ids), pa.array(keys, key_type), pa.array(distances, pa.float64())], ["query_id", "key", "distance"])
+
+    return near
 
 
 def nearest(queries: DataFrame, rows: DataFrame, k: int, key: str, vector: str = "embedding") -> DataFrame:
     """For each query the k rows at the least cosine distance, ties by key, zero vectors left out.
 
-    Queries (``query_id``, ``query_vector``) are a stated set: broadcast when counted few, else each
-    row meets them in a nested loop over shuffled blocks. Only k rows a query and task are shuffled.
+    Queries (``query_id``, ``query_vector``) are a stated set: counted small, they are a matrix that
+    blocks of rows meet in every task, which passes on k rows a query. Else each row meets them in a
+    nested loop over shuffled blocks. A query's rows are ranked within hash slices before the last cut.
     """
+    size = queries.agg(F.sum(F.size("query_vector"))).first()[0] or 0
+    best = Window.partitionBy("query_id").orderBy("distance", key)
+    if 0 < size <= MATRIX:
+        asked = queries.filter("query_vector is not null").select("query_id", "query_vector").collect()
+        kinds = [f"query_id {queries.schema['query_id'].dataType.simpleString()}", f"`key` {rows.schema[key].dataType.simpleString()}", "distance double"]
+        found = rows.select(F.col(key).alias("key"), vector).mapInArrow(_best_of_blocks([r[0] for r in asked], np.array([r[1] for r in asked], float), k), ", ".join(kinds))
+        found = found.withColumnRenamed("key", key)
+        return found.withColumn("place", F.row_number().over(best)).filter(F.col("place") <= k).select("query_id", key, "distance", "place")
     few = queries.count() <= 10_000
     pairs = rows.crossJoin(F.broadcast(queries) if few else queries).withColumn("distance", cosine_distance(F.col("query_vector"), F.col(vector)))
-    best = Window.partitionBy("query_id").orderBy("distance", key)
     # a first cut within hash slices of the rows keeps any query's rows out of one task
     sliced = Window.partitionBy("query_id", "slice").orderBy("distance", key)
     near = pairs.filter(F.col("distance").isNotNull()).select("query_id", key, "distance").withColumn("slice", F.pmod(F.xxhash64(key), F.lit(64)))

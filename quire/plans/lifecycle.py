@@ -7,7 +7,7 @@ import json
 from pyspark.sql import functions as F
 
 from quire.functions import text as T
-from quire.operators import changes, exports, ingest, spend
+from quire.operators import changes, exports, ingest, spend, upkeep
 from quire.plans.model import NOW, model, raw
 from quire.plans.queries import _CHUNKS, chunk_table
 from quire.plans.registry import query
@@ -138,3 +138,85 @@ def ag8_flush(spark, d):
     booked = spend.by_month(docs.filter("doc_id % 4 = 0")).agg(F.sum("cost_micro").alias("b"))
     live = docs.filter("doc_id % 4 <> 0").agg(F.sum("cost_micro").alias("l"))
     return booked.crossJoin(F.broadcast(live)).select((F.col("b") + F.col("l")).alias("cost_micro"))
+
+
+_ASKED = """SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'auto' WHEN 1 THEN 'google/gemini-2.5-flash' WHEN 2 THEN 'openrouter/free' ELSE 'other/model' END AS selected_model,
+    CASE event_id % 5 WHEN 0 THEN 'auto' WHEN 1 THEN 'USD' WHEN 2 THEN 'SAR' WHEN 3 THEN 'IDR' ELSE 'EUR' END AS currency,
+    CASE event_id % 7 WHEN 0 THEN '-1' WHEN 1 THEN 'ten' ELSE cast(event_id % 100 as string) END AS monthly_budget_usd FROM {0}"""
+_PROBLEM = "CASE WHEN selected_model = 'other/model' THEN 'model' WHEN currency = 'EUR' THEN 'currency' WHEN monthly_budget_usd IN ('-1', 'ten') THEN 'budget' END"
+
+
+@query("snk16_settings", f"WITH asked AS ({_ASKED.format('audit')}) SELECT event_id, {_PROBLEM} AS problem, event_id = (SELECT max(event_id) FROM asked WHERE {_PROBLEM} IS NULL) AS stands FROM asked")
+def snk16(spark, d):
+    """Each audit event as a request: why it is refused, and which one stands in the end."""
+    asked = spark.sql(_ASKED.format("{a}"), a=model(spark, d, "audit"))
+    problem = upkeep.settings_problem(F.col("selected_model"), F.col("currency"), F.col("monthly_budget_usd"))
+    rows = asked.withColumn("problem", problem)
+    keyed = asked.withColumn("openrouter_api_key", F.col("event_id").cast("string"))
+    stored = spark.createDataFrame([("auto", "auto", "10", "")], "selected_model string, currency string, monthly_budget_usd string, openrouter_api_key string")
+    last = upkeep.saved_settings(stored, keyed, "event_id").select(F.col("openrouter_api_key").cast("long").alias("last_id"))
+    return rows.join(F.broadcast(last)).select("event_id", "problem", (F.col("event_id") == F.col("last_id")).alias("stands"))
+
+
+@query("r11_invalidation", "SELECT doc_uuid, 'kept' AS entry FROM docs WHERE doc_id % 3 <> 0 UNION ALL SELECT doc_uuid, 'all kept' FROM docs")
+def r11(spark, d):
+    """Search cache entries go once a document is completed, and stay while documents only wait."""
+    docs = model(spark, d, "docs")
+    entries = docs.select("doc_uuid", F.concat(F.when(F.col("doc_id") % 3 == 0, F.lit(upkeep.CACHE_PREFIX)).otherwise("other:"), "doc_uuid").alias("cache_key"))
+    states = docs.select("status", F.lit(False).alias("deleted"))
+    gone, _ = upkeep.invalidated(entries, entries, states)
+    waiting, _ = upkeep.invalidated(entries, entries, states.filter("status = 'PENDING'"))
+    return gone.select("doc_uuid", F.lit("kept").alias("entry")).unionByName(waiting.select("doc_uuid", F.lit("all kept").alias("entry")))
+
+
+@query("m1_m4_cascade", "SELECT doc_uuid, CASE length(raw_markdown) % 3 WHEN 0 THEN 'small' WHEN 1 THEN 'large' END AS answer, length(raw_markdown) % 3 = 2 AS failed FROM docs")
+def m1(spark, d):
+    """Three models by turns: one is retired for some texts, the next is over its limit once, none takes the rest."""
+
+    def provider(texts):
+        busy = set()
+
+        def small(text):
+            if len(text) % 3:
+                raise ValueError("404 model not found")
+            return "small"
+
+        def large(text):
+            if len(text) % 3 == 2:
+                raise ValueError("broken")
+            if text not in busy:
+                busy.add(text)
+                raise ValueError("429: retry in 0.5s")
+            return "large"
+
+        out = []
+        for t in texts:
+            try:
+                out += upkeep.cascade({"small": small, "large": large}, sleep=lambda _: None)([t])
+            except ValueError:
+                out.append("")
+        return out
+
+    answers = ingest.generated(model(spark, d, "docs").select("doc_uuid", F.col("raw_markdown").alias("content")), provider)
+    return answers.select("doc_uuid", F.nullif("answer", F.lit("")).alias("answer"), (F.col("answer") == "").alias("failed"))
+
+
+@query(
+    "p5_reembed",
+    f"""WITH {_CHUNKS} SELECT chunks.doc_uuid, count(*) AS n, sum(length(content) + CASE WHEN chunks.doc_id % 50 = 0 THEN 0 ELSE 1 END) AS chars FROM chunks GROUP BY chunks.doc_uuid""",
+)
+def p5(spark, d):
+    """Every fiftieth document was edited (its stored chunks had a letter more): only its chunks are made anew."""
+    docs = model(spark, d, "docs")
+    stored = ingest.embedded(ingest.chunked(docs).withColumn("content", F.concat("content", F.lit("+"))))
+    wide = docs.withColumn("expires_at", F.timestamp_seconds("expires_s"))
+    _, rows = ingest.reembedded(wide, stored, docs.filter("doc_id % 50 = 0"), F.timestamp_seconds(F.lit(NOW)))
+    return rows.groupBy("doc_uuid").agg(F.count("*").alias("n"), F.sum(F.length("content")).alias("chars"))
+
+
+@query("snk17_stale_files", "SELECT doc_uuid FROM docs WHERE doc_id % 4 < 2 AND 1706745600 - created_s > 86400")
+def snk17(spark, d):
+    """Documents as listed files: temporary names that are older than a day."""
+    names = F.when(F.col("doc_id") % 4 == 0, "tmp_").when(F.col("doc_id") % 4 == 1, "pdf_export_").otherwise("report_")
+    listed = model(spark, d, "docs").select("doc_uuid", F.concat(F.lit("file:/srv/"), names, "doc_uuid").alias("path"), F.timestamp_seconds("created_s").alias("modificationTime"))
+    return upkeep.stale_files(listed, F.timestamp_seconds(F.lit(NOW))).select("doc_uuid")

@@ -176,9 +176,9 @@ def flt16(spark, d):
     return model(spark, d, "docs").select("doc_uuid", access.may_change("u1").alias("change"), access.may_change("u1", ownerless=True).alias("read"))
 
 
-@query("flt17_admin_list", "SELECT doc_uuid FROM docs WHERE status = 'FAILED' AND language = 'English' AND document_type = 'PDF' AND lower(title) LIKE '%th%'")
+@query("flt17_admin_list", "SELECT doc_uuid FROM docs WHERE status = 'FAILED' AND language = 'English' AND document_type = 'TXT' AND lower(title) LIKE '%th%'")
 def flt17(spark, d):
-    rows = model(spark, d, "docs").filter("status = 'FAILED' AND language = 'English' AND document_type = 'PDF'")
+    rows = model(spark, d, "docs").filter("status = 'FAILED' AND language = 'English' AND document_type = 'TXT'")
     return access.matching(rows, "th", ["title"]).select("doc_uuid")
 
 
@@ -679,7 +679,7 @@ def _vectors(spark: SparkSession, d: str, ids: str) -> tuple[DataFrame, DataFram
     return rows, rows.filter(ids).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
 
 
-@query("r1_cosine_distance", f"SELECT e.vec_id, round({_COS}, 6) AS distance FROM embeddings e, embeddings q WHERE q.vec_id = 0")
+@query("r1_cosine_distance", f"SELECT q.vec_id AS query_id, e.vec_id, round({_COS}, 6) AS distance FROM embeddings e, embeddings q WHERE q.vec_id % 50 = 0")
 def r1(spark, d):
     from quire.functions.vector import cosine_distance
 
@@ -707,16 +707,19 @@ def sr7(spark, d):
 
 @query(
     "sr6_st1_fusion",
-    f"""WITH a AS (SELECT e.vec_id, row_number() OVER (ORDER BY {_COS}, e.vec_id) AS place FROM embeddings e, embeddings q WHERE q.vec_id = 0 QUALIFY place <= 10),
-    b AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) AS place FROM embeddings WHERE label = 1 QUALIFY place <= 10)
-    SELECT vec_id, round(sum(1.0 / (60 + place)), 9) AS score FROM (SELECT vec_id, place, 0 AS l FROM a UNION ALL SELECT vec_id, place, 1 FROM b) GROUP BY vec_id ORDER BY sum(1.0 / (60 + place)) DESC, min(l * 1000 + place) LIMIT 5""",
+    f"""WITH a AS (SELECT q.vec_id AS query_id, e.vec_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY {_COS}, e.vec_id) AS place FROM embeddings e, embeddings q WHERE q.vec_id % 50 = 0 QUALIFY place <= 10),
+    b AS (SELECT q.vec_id AS query_id, e.vec_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY e.vec_id) AS place FROM embeddings e JOIN embeddings q ON e.label = q.label WHERE q.vec_id % 50 = 0 QUALIFY place <= 10),
+    s AS (SELECT query_id, vec_id, sum(1.0 / (60 + place)) AS score, min(l * 1000 + place) AS seen FROM (SELECT query_id, vec_id, place, 0 AS l FROM a UNION ALL SELECT query_id, vec_id, place, 1 FROM b) GROUP BY query_id, vec_id)
+    SELECT query_id, vec_id, round(score, 9) AS score FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, seen) <= 5""",
 )
 def sr6(spark, d):
-    rows, one = _vectors(spark, d, "vec_id = 0")
-    dense = retrieval.nearest(one, rows, 10, "vec_id")
-    labelled = raw(spark, d, "embeddings").filter("label = 1").orderBy("vec_id").limit(10)
-    sparse = labelled.withColumn("place", F.row_number().over(Window.orderBy("vec_id")))
-    return retrieval.fused(dense, sparse, 5, "vec_id").select("vec_id", F.round("score", 9).alias("score"))
+    """For all ids divisible by 50: the vectors nearest to theirs, and the first of their label as the other list."""
+    rows, some = _vectors(spark, d, "vec_id % 50 = 0")
+    dense = retrieval.nearest(some, rows, 10, "vec_id")
+    labels = raw(spark, d, "embeddings").select("vec_id", "label")
+    firsts = labels.withColumn("place", F.row_number().over(Window.partitionBy("label").orderBy("vec_id"))).filter("place <= 10")
+    sparse = labels.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "label").join(firsts, "label").select("query_id", "vec_id", "place")
+    return retrieval.fused(dense, sparse, 5, "vec_id").select("query_id", "vec_id", F.round("score", 9).alias("score"))
 
 
 @query("r5_exact_cache", "SELECT item_id, 'rag_search_cache:u1:' || sha256(lower(trim(text))) AS key FROM benchmark")
@@ -764,10 +767,7 @@ def r4(spark, d):
 def wn5(spark, d):
     rows = chunk_table(spark, d)
     pairs = exports.training_pairs(rows, model(spark, d, "docs"), each=2, most=300)
-    pairs = pairs.select(F.col("metadata.doc_uuid").alias("doc_uuid"), "completion")
-    turn = F.row_number().over(Window.partitionBy("doc_uuid").orderBy("chunk_index")) - 1
-    first = rows.select("doc_uuid", "chunk_index", "content").withColumn("chunk_index", turn.cast("long"))
-    return pairs.join(first, (pairs["doc_uuid"] == first["doc_uuid"]) & F.col("completion").endswith(F.col("content"))).select(pairs["doc_uuid"], "chunk_index", "completion")
+    return pairs.select(F.col("metadata.doc_uuid").alias("doc_uuid"), F.col("chunk_index").cast("long").alias("chunk_index"), "completion")
 
 
 @query("jn8_price_match", "SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN 3 END AS level FROM documents")

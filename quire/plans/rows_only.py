@@ -13,6 +13,7 @@ from quire.plans.model import model, raw
 from quire.plans.queries import _CHUNKS, chunk_table
 from quire.plans.registry import query
 from quire.sources import files
+from quire.sources.tables import table
 from quire.streaming.limits import activity
 
 
@@ -21,7 +22,8 @@ def hybrid_search(spark: SparkSession, d: str) -> DataFrame:
     """The flagship: chunks of visible documents, embedded, searched by vector and whole text for all items divisible by 50, fused, with context blocks."""
     docs = access.scoped(model(spark, d, "docs").filter("status = 'COMPLETED'"), "u1")
     asked = raw(spark, d, "benchmark").filter("item_id % 50 = 0").select(F.col("item_id").alias("query_id"), hashed_embedding("text").alias("query_vector"), F.col("text").alias("query_text"))
-    best = retrieval.hybrid(ingest.embedded(ingest.chunked(docs)).drop("language"), asked, 5)
+    chunks = table(ingest.embedded(ingest.chunked(docs)).drop("language"), "chunks")  # both searches and the last join read them
+    best = retrieval.hybrid(chunks, asked, 5)
     best = retrieval.with_documents(best.drop("embedding"), docs)
     place = F.row_number().over(retrieval.Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id"))
     return best.withColumn("block", retrieval.block(place)).select("query_id", "chunk_id", "doc_uuid", "score", "block", retrieval.deep_link("doc_uuid", "anchor_id", "page_number").alias("deep_link"))
