@@ -2,41 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: ASCII to lower case, and everything ASCII that is no letter or digit to a space; bytes over 0x7F stay.
-_LOWER = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c > 127 else 32 for c in range(256))
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: ``spark.checkpoint.dir`` of the session.
+from quire.sources.tables import shared_folder, table
 
-    Only where that is unset on a local master, as in tests, a temporary folder is set for the session;
-    a cluster without one is refused, since executors would write where nobody else can read.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not spark.conf.get("spark.master", "local").split("[")[0] == "local":
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        folder = tempfile.mkdtemp(prefix="quire-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
+__all__ = ["ascii_words", "names_apart", "parallelism", "shared_folder", "small_or_shuffled", "table", "text_of"]
 
-
-def table(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
-    """``df`` written once as Parquet in the shared folder and read again, which cuts its lineage.
-
-    A lost executor costs no more than the tasks it ran: what was written stays readable for all.
-    Files stay until the folder is cleaned, as checkpoints do.
-    """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/quire-{uuid.uuid4().hex}/{name}"
-    df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+#: ASCII to lower case, and everything ASCII that is no letter or digit to a space; bytes over 0x7F stay.
+_LOWER = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c > 127 else 32 for c in range(256))
 
 
 def text_of(col: str | Column) -> Column:
