@@ -179,7 +179,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 def _finder(items: list[tuple[int, str]], rate: float):
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = Matcher(items, rate)
-        for batch in batches:
+        for batch in (b.slice(i, 200) for b in batches for i in range(0, b.num_rows, 200)):
             rows = [(doc, *hit) for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for hit in matcher.find(plain(text))]
             kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64()]
             columns = list(zip(*rows, strict=True)) or [()] * 5
@@ -200,10 +200,10 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "te
 
 
 def _holds(items: list[tuple[int, str]], rate: float):
-    @F.pandas_udf("boolean")
-    def holds(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("boolean")
+    def holds(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         matcher = Matcher(items, rate)
         for texts in batches:
-            yield pd.Series([bool(matcher.find(plain(t))) for t in texts], dtype=bool)
+            yield pa.array([bool(matcher.find(plain(t))) for i in range(0, len(texts), 200) for t in texts.slice(i, 200).to_pylist()], pa.bool_())
 
     return holds

@@ -295,5 +295,6 @@ def test_small_models_keep_the_strongest(spark):
 def test_logistic_separates():
     y = np.array([0, 0, 0, 1, 1.0])
     x = np.array([[0, 0], [0.1, 0], [0, 0.2], [1, 1], [2, 0.5]])
-    loss, (a, b, c) = tox.logistic(y, x, np.ones(5))
+    loss, (a, b, c), each = tox.logistic(y, x, np.ones(5))
+    assert abs(each.mean() - loss) < 1e-3
     assert loss < 0.1 and all((a + b * p + c * q > 0) == bool(k) for k, (p, q) in zip(y, x, strict=True))
