@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import functions as F
 
 from quire.functions import text as T
@@ -13,21 +11,26 @@ from quire.plans.queries import _CHUNKS, chunk_table
 from quire.plans.registry import query
 from quire.sources.files import price_list
 
-#: A snapshot of a price feed.
-FEED = [("Maker/Alpha-Pro", "0.00000125", "0.00001"), ("other/beta", "0.0000005", "0.000002"), ("free/gamma", "n/a", "0")]
-
-
 @query("src13_document_chunks", f"WITH {_CHUNKS} SELECT cast(chunk_index as bigint) AS chunk_index, content FROM chunks WHERE doc_uuid = '42' ORDER BY chunk_index LIMIT 5")
 def src13(spark, d):
     rows = ingest.chunked(model(spark, d, "docs").filter("doc_uuid = '42'"))
     return rows.orderBy("chunk_index").limit(5).select(F.col("chunk_index").cast("long").alias("chunk_index"), "content")
 
 
-@query("src14_price_list", "SELECT * FROM (VALUES (0, 'maker/alpha-pro', 1250, 10000), (1, 'other/beta', 500, 2000), (2, 'free/gamma', NULL, 0)) t(pos, model, prompt_nano, completion_nano)")
+@query(
+    "src14_price_list",
+    "SELECT row_number() OVER (ORDER BY n_nationkey) - 1 AS pos, 'maker/' || lower(n_name) AS model, n_nationkey * 1000 AS prompt_nano, CASE WHEN n_nationkey % 5 > 0 THEN n_nationkey * 2000 END AS completion_nano FROM nation",
+)
 def src14(spark, d):
-    feed = json.dumps({"data": [{"id": m, "pricing": {"prompt": p, "completion": c}} for m, p, c in FEED]})
+    """A feed of as many models as there are nations, in one JSON text; a price that is no number is null."""
+    n = F.col("n_nationkey").cast("decimal(10,0)")
+    dollars = lambda micro: (n * F.lit(micro) / 1_000_000).cast("decimal(20,9)").cast("string")
+    pricing = F.struct(dollars(1).alias("prompt"), F.when(F.col("n_nationkey") % 5 == 0, "n/a").otherwise(dollars(2)).alias("completion"))
+    one = F.struct("n_nationkey", F.concat(F.lit("Maker/"), "n_name").alias("id"), pricing.alias("pricing"))
+    listed = F.transform(F.array_sort(F.collect_list(one)), lambda x: F.struct(x["id"].alias("id"), x["pricing"].alias("pricing")))
+    feed = raw(spark, d, "nation").agg(F.to_json(F.struct(listed.alias("data"))).alias("value"))
     nano = lambda c: (F.col(c) * 1_000_000_000).cast("int").alias(f"{c}_nano")
-    return price_list(spark.createDataFrame([(feed,)], "value string")).select("pos", "model", nano("prompt"), nano("completion"))
+    return price_list(feed).select("pos", "model", nano("prompt"), nano("completion"))
 
 
 @query("src15_rates", "SELECT lang, CASE lang WHEN 'en' THEN 1.0::double ELSE 0.92::double END AS rate FROM documents GROUP BY lang")
@@ -124,11 +127,11 @@ def p18(spark, d):
     return changes.last_of_hash(model(spark, d, "docs"), gone).select("doc_uuid", "delete_file")
 
 
-@query("m5_cheapest_model", "SELECT 'other/beta' AS model")
+@query("m5_cheapest_model", "SELECT p_brand AS brand, arg_min(p_partkey, {'p': p_retailprice, 'k': p_partkey}) AS model FROM part GROUP BY p_brand")
 def m5(spark, d):
-    rows = spark.createDataFrame([(n, m.lower(), p) for n, (m, p, _) in enumerate(FEED)], "pos int, model string, prompt string")
-    priced = rows.withColumn("price", F.col("prompt").try_cast("decimal(20,12)")).filter("price is not null")
-    return priced.orderBy("price", "pos").limit(1).select("model")
+    """Parts as models of makers: of each maker the cheapest, the first of equals; prices that are none do not count."""
+    priced = raw(spark, d, "part").withColumn("price", F.col("p_retailprice").cast("string").try_cast("decimal(20,12)")).filter("price is not null")
+    return priced.groupBy(F.col("p_brand").alias("brand")).agg(F.min_by("p_partkey", F.struct("price", "p_partkey")).alias("model"))
 
 
 @query("ag8_flush_before_delete", "SELECT cast(sum(cost_micro) as bigint) AS cost_micro FROM docs")

@@ -604,9 +604,20 @@ def snk11(spark, d):
     return changes.inserted(old, new)
 
 
-@query("snk15_csv_export", r"""SELECT doc_uuid, title, author, page_count, round(cost_micro / 1e6, 6) AS cost_usd, strftime(make_timestamp(created_s * 1000000), '%Y-%m-%dT%H:%M:%SZ') AS created_at FROM docs""")
+def _guarded(c: str, default: str = "") -> str:
+    text = f"coalesce(nullif({c}, ''), '{default}')"
+    return f"CASE WHEN regexp_matches({text}, '^\\s*[=+@-]') THEN chr(39) || {text} ELSE {text} END"
+
+
+@query(
+    "snk15_csv_export",
+    rf"""SELECT doc_uuid, {_guarded("title", "Untitled")} AS title, {_guarded("author", "Unknown")} AS author, {_guarded("language", "en")} AS language, {_guarded("document_type", "PDF")} AS document_type,
+    {_guarded("publisher")} AS publisher, {_guarded("publication_year")} AS publication_year, {_guarded("doi")} AS doi, {_guarded("license_type")} AS license_type, {_guarded("file_hash")} AS file_hash,
+    coalesce(nullif(page_count, 0), 1) AS page_count, round(cost_micro / 1e6, 6) AS cost_usd, input_tokens, output_tokens, strftime(make_timestamp(created_s * 1000000), '%Y-%m-%dT%H:%M:%SZ') AS created_at,
+    {_guarded("e")} AS excerpt FROM (SELECT *, trim(regexp_replace(CASE WHEN length(raw_markdown) > 500 THEN left(raw_markdown, 500) || '...' ELSE coalesce(raw_markdown, '') END, '\s+', ' ', 'g')) AS e FROM docs)""",
+)
 def snk15(spark, d):
-    return exports.csv_rows(model(spark, d, "docs")).select("doc_uuid", "title", "author", "page_count", F.round("cost_usd", 6).alias("cost_usd"), "created_at")
+    return exports.csv_rows(model(spark, d, "docs")).withColumn("cost_usd", F.round("cost_usd", 6))
 
 
 @query("snk19_restore_memories", "SELECT user_id, count(*) AS n FROM memories WHERE role = 'user' AND user_id IN ('u0', 'u1', 'u2') GROUP BY user_id")
