@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -172,17 +173,17 @@ def _column(batch: pa.RecordBatch, name: str) -> pa.Array:
 def _own_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Leaves in ``ids`` only the chunks that are not shared."""
     for batch in batches:
-        kept = _column(batch, "ids").to_pylist()
-        some = np.flatnonzero(_column(batch, "shared").is_valid().to_numpy(zero_copy_only=False))
-        few = batch.take(pa.array(some))
-        for n, chunks, shared in zip(some.tolist(), _column(few, "chunks").to_pylist(), _column(few, "shared").to_pylist(), strict=True):
-            ids, out, at, drop = widen(kept[n]), [], 0, {m["pos"] for m in shared}
+        some = _column(batch, "shared").is_valid()
+        few, kept = batch.filter(some), []
+        for stored, chunks, shared in zip(*(_column(few, c).to_pylist() for c in ("ids", "chunks", "shared")), strict=True):
+            ids, out, at, drop = widen(stored), [], 0, {m["pos"] for m in shared}
             for pos, chunk in enumerate(chunks):
                 if pos not in drop:
                     out.append(ids[at : at + chunk["n"]])
                 at += chunk["n"]
-            kept[n] = narrow(np.concatenate(out)) if out else b"\2"
-        yield batch.set_column(batch.schema.get_field_index("ids"), "ids", pa.array(kept, pa.binary()))
+            kept.append(narrow(np.concatenate(out)) if out else b"\2")
+        ids = pc.replace_with_mask(_column(batch, "ids"), some, pa.array(kept, _column(batch, "ids").type))
+        yield batch.set_column(batch.schema.get_field_index("ids"), "ids", ids)
 
 
 def _shared_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -247,6 +248,9 @@ def read_store(spark: SparkSession, folder: str) -> DataFrame:
                 digests, sizes = flat.field("digest").to_pylist(), flat.field("n").to_pylist()
                 for n, own in enumerate(stored):
                     own, at, parts = widen(own).tobytes(), 0, []
+                    if fetched[n] is None and len(own) == 4 * totals[n] and merkle(digests[edges[n] : edges[n + 1]]) == roots[n] and _whole(own, digests[edges[n] : edges[n + 1]], sizes[edges[n] : edges[n + 1]]):
+                        out.append(own)
+                        continue
                     got = {f["pos"]: widen(f["ids"]).tobytes() for f in fetched[n] or ()}
                     for k, (wanted, size) in enumerate(zip(digests[edges[n] : edges[n + 1]], sizes[edges[n] : edges[n + 1]], strict=True)):
                         ids = got.get(k)
@@ -290,6 +294,16 @@ def _found(rows: list[tuple]) -> pa.RecordBatch:
     return pa.record_batch([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], ["shard", "found", "found_docs", "found_tokens"])
 
 
+def _whole(ids: bytes, digests: list[bytes], sizes: list[int]) -> bool:
+    """Whether ids are just the chunks of these digests and sizes."""
+    view, at = memoryview(ids), 0
+    for wanted, size in zip(digests, sizes, strict=True):
+        if digest(view[at : at + 4 * size]) != wanted:
+            return False
+        at += 4 * size
+    return at == len(ids)
+
+
 def check_manifest(spark: SparkSession, folder: str) -> DataFrame:
     """Shards whose documents differ from the manifest in root, number or ids, or that it does not know: none in a sound store."""
     docs = spark.read.schema(_DOCS).parquet(f"{folder}/docs").select("shard", "row", "root", "n_tokens")
