@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import ascii_words, table, text_of
+from quire.llm.common import ascii_words, table, text_batches, text_of
 
 #: Edits per character of an item that still count as the item.
 RATE = 0.05
@@ -169,7 +169,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     texts hold none; items whose plain form is empty are left out (``skipped_items``), those of under
     FEWEST_WORDS words that allow no edit are found between word boundaries only; repeated rows are reported each. An empty benchmark gives no rows.
     """
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    texts = text_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     schema = "doc_id long, item_id long, edits int, first_char long, last_char long"
     found = (texts.mapInArrow(_finder(some, rate), schema) for some in item_blocks(benchmark, block_chars))
     first = next(found)
@@ -194,6 +194,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "te
     Null and empty texts hold no item and stay, as do all rows if the benchmark is empty; repeated rows
     stand or fall together. What a block leaves is written before the next block is read.
     """
+    docs = text_batches(docs)
     for n, some in enumerate(item_blocks(benchmark, block_chars)):
         docs = (table(docs, "left") if n else docs).filter(~_holds(some, rate)(F.col(text_col).cast("string")))
     return docs

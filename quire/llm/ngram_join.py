@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import ascii_words, small_or_shuffled, table, text_of
+from quire.llm.common import ascii_words, small_or_shuffled, table, text_batches, text_of
 from quire.llm.hashes import mix, word_shingles
 
 WORDS, SIMILARITY = 5, 0.8
@@ -252,7 +252,7 @@ def ngram_join(
     reached by links and classes. Texts of fewer words than ``size`` are one n-gram; texts without
     words (null ones too) share a class only with equal texts and have no links. Null ids stay.
     """
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.unhex(F.sha2(text_of(text_col), 256)).alias("digest"), text_of(text_col).alias("text"))
+    texts = text_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.unhex(F.sha2(text_of(text_col), 256)).alias("digest"), text_of(text_col).alias("text"))
     signed = table(_signatures(texts, size, trees, depth), "signatures")
     rep = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "digest")
     classes = signed.groupBy("key").agg(F.min(rep).alias("rep"), F.count("*").alias("size"), F.min_by("paths", rep).alias("paths"), F.max("n").alias("n"))

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.llm.common import table
+from quire.llm.common import table, text_batches
 from quire.llm.tokens import END_ID, encoder
 
 CAPACITY = 2048
@@ -48,7 +48,7 @@ def cut_pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
                 ["doc_id", "start", "length", "ids", "doc_tokens"],
             )
 
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    texts = text_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return texts.mapInArrow(pieces, "doc_id long, start long, length long, ids binary, doc_tokens long")
 
 

@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quire.llm.common import parallelism, table
+from quire.llm.common import parallelism, table, text_batches
 from quire.llm.tokens import END_ID, encoder
 
 #: A cut falls where the rolling hash has this many zero bits: a chunk has about 2 ** BITS ids.
@@ -139,7 +139,7 @@ def _stage(docs: DataFrame, path: str, id_col: str, text_col: str, shards: int)
                 )
                 row, start = row + len(stored), start + int(edges[-1])
 
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    texts = text_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     ordered = texts.repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id", "text")
     return ordered.select(F.spark_partition_id().alias("shard"), "doc_id", "text").mapInArrow(encode, _STAGED)
 

@@ -20,7 +20,7 @@ from functools import lru_cache
 import numpy as np
 
 #: Pieces that a worker remembers anew; when so many are, those before them are forgotten.
-PIECES = 400_000
+PIECES = 300_000
 #: Longer pieces are encoded but not remembered.
 LONGEST = 40
 #: The id that ends each document.

@@ -213,3 +213,13 @@ def test_repeats_against_search(spark):
         got = sorted((str(r["doc_id"]), r["n_bytes"], sum(s["b"] - s["a"] for s in r["spans"]), len(r["spans"]), r["kept_sha256"]) for r in found)
         assert got == want
     assert repeated_passages(df.filter(F.lit(False))).count() == 0
+
+
+def test_very_long_texts_repeat_within(spark):
+    """A megabyte of one letter, of one unit between other text, and a long text without repeats."""
+    random.seed(16)
+    plain = "".join(random.choices("abcdefgh", k=400_000))
+    rows = [(1, "q" * 1_000_000), (2, "x" * 150 + "0123456789" * 50_000 + "y" * 150), (3, plain), (None, "y" + plain[1000:1500] + "z")]
+    found = {r["doc_id"]: r for r in repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    spans = {i: [(s["a"], s["b"]) for s in r["spans"]] for i, r in found.items()}
+    assert spans == {1: [(0, 1_000_000)], 2: [(150, 500_150)], 3: [(1000, 1500)], None: [(1, 501)]}
