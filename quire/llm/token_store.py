@@ -32,6 +32,8 @@ from quire.llm.tokens import END_ID, encoder
 
 #: A cut falls where the rolling hash has this many zero bits: a chunk has about 2 ** BITS ids.
 BITS, SHORTEST, LONGEST = 9, 64, 4096
+#: Pieces that the encoder of a store remembers (some 200 bytes each, twice): no other stage shares its workers.
+PIECES = 800_000
 #: Marks up to this many rows are broadcast (some 100 bytes each); more are joined by a shuffle.
 BROADCAST_ROWS = 300_000
 
@@ -110,7 +112,7 @@ def _stage(docs: DataFrame, path: str, id_col: str, text_col: str, shards: int)
     end = np.array([END_ID], dtype="<u4").tobytes()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        to_ids = encoder(path).encode
+        to_ids = encoder(path, PIECES).encode
         row, start, tree = 0, 0, Merkle()
         for batch in batches:
             for part in (batch.slice(i, 500) for i in range(0, batch.num_rows, 500)):

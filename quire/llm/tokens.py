@@ -89,7 +89,7 @@ class Memory(dict):
 class Encoder:
     """Texts to little-endian unsigned 32-bit ids, without special tokens. Null and empty texts have none."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, pieces: int = PIECES):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -97,7 +97,7 @@ class Encoder:
         self.merge = self.tokenizer.model.tokenize
         self.letters = _byte_letters()
         self.four = [n.to_bytes(4, "little") for n in range(self.tokenizer.get_vocab_size())]
-        self.pieces = Memory(self._piece, PIECES)
+        self.pieces = Memory(self._piece, pieces)
         self.simple = _as_written_for(json.loads(self.tokenizer.to_str()))
 
     def _whole(self, text: str) -> bytes:
@@ -127,7 +127,7 @@ class Encoder:
         return b"".join(map(self.pieces.__getitem__, text.split()))
 
 
-@lru_cache(maxsize=4)
-def encoder(path: str) -> Encoder:
-    """The encoder of this process; Spark reuses Python workers, so its memory serves many tasks."""
-    return Encoder(path)
+@lru_cache(maxsize=1)
+def encoder(path: str, pieces: int = PIECES) -> Encoder:
+    """The encoder of this process; Spark reuses Python workers, so its memory serves many tasks. One is held at a time."""
+    return Encoder(path, pieces)

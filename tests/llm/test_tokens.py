@@ -6,7 +6,6 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quire.llm import tokens
 from quire.llm.packing import closest_fill, cut_pieces, minimum_bin_slack, pack
 from quire.llm.token_counts import length_histogram, length_quantile, truncated_totals
 from quire.llm.token_store import check_manifest, cuts, merkle, read_store, write_store
@@ -167,10 +166,9 @@ def test_shortcut_is_decided_by_settings(tmp_path):
     assert not one.simple and np.frombuffer(one.encode("Some Words HERE"), "<u4").tolist() == other.encode("Some Words HERE", add_special_tokens=False).ids
 
 
-def test_memory_keeps_what_is_met(monkeypatch):
-    monkeypatch.setattr(tokens, "PIECES", 50)
+def test_memory_keeps_what_is_met():
     random.seed(5)
-    whole, small = Encoder(word_bpe()), Encoder(word_bpe())
+    whole, small = Encoder(word_bpe()), Encoder(word_bpe(), 50)
     for _ in range(200):
         text = " ".join(random.choices(["the", "cat's", "Ünïcode", "x1y2", "don't,", "a<|b"] + [f"w{n}" for n in range(200)], k=60))
         assert small.encode(text) == whole._whole(text)
