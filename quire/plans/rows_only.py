@@ -132,7 +132,7 @@ def t25(spark, d):
     return model(spark, d, "docs").select("doc_uuid", T.money(cost, currency, rate).alias("shown"))
 
 
-@query("t32_composed")
+@query("t32_composed", "SELECT doc_id, length(nfc_normalize(text)) AS n FROM documents")
 def t32(spark, d):
     return raw(spark, d, "documents").select("doc_id", F.length(markup.composed("text")).alias("n"))
 
