@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+from bisect import bisect_right
+from itertools import pairwise
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -9,8 +13,9 @@ from pyspark.sql import functions as F
 from quire.functions.text import chunk_anchor, chunk_chapter, chunk_page, chunk_size, chunks, first_filled, word_count
 from quire.functions.vector import hashed_embedding
 
-#: What marks a piece border of an over-long text.
-BREAKS = ["\n## ", "\n# ", "\n### ", "\n\n"]
+#: What marks a piece border of an over-long text, a heading of three levels or a blank line.
+BREAK = re.compile(r"\n(?=(#{1,3} |\n))")
+SOLID = re.compile(r"\S")
 
 
 def chunked(docs: DataFrame, text: str = "raw_markdown", most: Column | None = None) -> DataFrame:
@@ -73,13 +78,15 @@ def split_long(text: str, most: int = 600_000) -> list[str]:
     """
     if len(text) <= most:
         return [text]
-    out, rest = [], text
-    while len(rest) > most:
-        border = max(rest.rfind(mark, int(most * 0.8), most) for mark in BREAKS)
-        cut = border if border > 0 else most
-        out.append(rest[:cut].strip())
-        rest = rest[cut:].strip()
-    return [*out, rest] if rest else out
+    borders = [(m.end(1), m.start()) for m in BREAK.finditer(text)]  # a later border ends later
+    edges, at, end, filled = [0], 0, len(text), len(text.rstrip())
+    while end - at > most:
+        last = bisect_right(borders, (at + most, len(text))) - 1
+        border = borders[last][1] if last >= 0 else -1
+        edges.append(border if border >= at + max(1, int(most * 0.8)) else at + most)
+        begin = SOLID.search(text, edges[-1])
+        at, end = (begin.start(), filled) if begin else (len(text), len(text))
+    return [p for n, (a, b) in enumerate(pairwise([*edges, len(text)])) if (p := text[a:b].strip()) or n < len(edges) - 1]
 
 
 def pieces(docs: DataFrame, text: str = "raw_markdown", most: int = 600_000) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import time
 from collections.abc import Callable
+from itertools import count
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,7 +21,8 @@ MODELS = [
 CURRENCIES = ["auto", "USD", "IDR", "SAR"]
 MASKED = "•" * 16
 CACHE_PREFIX = "rag_search_cache:"
-TEMPORARY = ["tmpx", "tmp", "aetheromni_", "pdf_export_"]
+#: Neutral prefixes of temporary files; a caller names those of its own programs.
+TEMPORARY = ["tmp", "pdf_export_"]
 DAY = 86_400
 
 
@@ -59,7 +61,7 @@ def invalidated(entries: DataFrame, answers: DataFrame, changed: DataFrame) -> t
 
 
 def stale_files(files: DataFrame, now: Column, prefixes: list[str] = TEMPORARY, seconds: int = DAY) -> DataFrame:
-    """Of listed files (``path``, ``modificationTime``, as a scan of binary files gives) those with a known prefix that are older."""
+    """Of listed files (``path``, ``modificationTime``, as a scan of binary files gives) those with one of the prefixes that are older."""
     name = F.element_at(F.split("path", "/"), -1)
     known = F.lit(False)
     for prefix in prefixes:
@@ -77,18 +79,26 @@ def _holds(error: Exception, terms: list[str]) -> bool:
     return any(t in str(error).lower() for t in terms)
 
 
+def _outcome(call: Callable, args: tuple) -> tuple[object, Exception | None]:
+    try:
+        return call(*args), None
+    except Exception as error:
+        return None, error
+
+
 def with_backoff(call: Callable, *args, tries: int = 5, first: float = 5, sleep: Callable[[float], None] = time.sleep):
     """The call's result; on a rate limit again, after the time that the error names and 1.5 seconds, else after 5, 10, 20, ... seconds."""
-    delay = first
-    for attempt in range(1, tries + 1):
-        try:
-            return call(*args)
-        except Exception as error:
-            if attempt == tries or not _holds(error, RATE_LIMIT_TERMS):
-                raise
-            asked = wait_for(str(error))
-            sleep(delay if asked is None else asked + 1.5)
-            delay = delay if asked is not None else 2 * delay
+    planned = (first * 2**n for n in count())  # only waits that no error replaces are used up
+    value, error = _outcome(call, args)
+    for _ in range(tries - 1):
+        if error is None or not _holds(error, RATE_LIMIT_TERMS):
+            break
+        named = wait_for(str(error))
+        sleep(next(planned) if named is None else named + 1.5)
+        value, error = _outcome(call, args)
+    if error is not None:
+        raise error
+    return value
 
 
 def cascade(models: dict[str, Callable[[str], str]], sleep: Callable[[float], None] = time.sleep) -> Callable[[list[str]], list[str]]:

@@ -293,7 +293,7 @@ def ag1(spark, d):
     return spend.totals(access.scoped(model(spark, d, "docs"), "u1"))
 
 
-@query("ag2_status_counts", f"SELECT status, (SELECT count(*) FROM docs WHERE docs.status = s.status AND doc_id % 20 <> 15) AS n FROM (SELECT unnest({STATUSES}) AS status) s")
+@query("ag2_status_counts", f"SELECT status, (SELECT count(*) FROM docs WHERE docs.status = s.status) AS n FROM (SELECT unnest({STATUSES}) AS status) s")
 def ag2(spark, d):
     return spend.status_counts(model(spark, d, "docs"), STATUSES)
 
@@ -467,7 +467,7 @@ def t16(spark, d):
     return model(spark, d, "audit").select("event_id", T.compact_number(F.col("event_id") * 398 + 1).alias("short"))
 
 
-@query("t18_csv_guard", "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN '''' || v ELSE v END AS guarded FROM (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN ' =' ELSE '' END || left(text, 20) AS v FROM documents)")
+@query("t18_csv_guard", "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN '''' || v ELSE v END AS guarded FROM (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN ' =' ELSE '' END || text AS v FROM documents)")
 def t18(spark, d):
     value = F.concat(F.when(F.col("doc_id") % 3 == 0, " =").otherwise(""), "text")
     return raw(spark, d, "documents").select("doc_id", T.csv_guard(value).alias("guarded"))
@@ -478,7 +478,7 @@ def t19(spark, d):
     return raw(spark, d, "documents").select("doc_id", T.excerpt("text").alias("excerpt"))
 
 
-@query("t20_content", "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN left(text, 9) ELSE left(text, 5) END AS content FROM documents")
+@query("t20_content", "SELECT doc_id, text AS content FROM documents")
 def t20(spark, d):
     refined = F.when(F.col("doc_id") % 2 == 0, F.col("text")).otherwise("")
     return raw(spark, d, "documents").select("doc_id", T.first_filled(refined, F.lit(None).cast("string"), F.col("text")).alias("content"))

@@ -93,3 +93,13 @@ def test_triggered_job(spark, tmp_path):
     finally:
         query.stop()
     assert len(runs) >= 2 and set(runs) == {3}
+
+
+def test_long_texts_are_cut_at_borders_in_the_last_fifth():
+    assert ingest.split_long("abc", 3) == ["abc"] and ingest.split_long("abcdefg", 3) == ["abc", "def", "g"]
+    assert ingest.split_long("aaaaaaaa\n# bbbbbbbb", 10) == ["aaaaaaaa\n#", "bbbbbbbb"]  # the border must end within the window
+    assert ingest.split_long("aaaaaaaa\n\nbbbbb\n## cc", 10) == ["aaaaaaaa", "bbbbb\n## c", "c"]
+    assert ingest.split_long("a\n\naaaaaaaaa", 10) == ["a\n\naaaaaaa", "aa"]  # too early
+    assert ingest.split_long("aaaaaaaaaa" + " " * 30, 10) == ["aaaaaaaaaa"] and ingest.split_long(" " * 30, 10) == [""]
+    long = "word " * 300_000
+    assert "".join(ingest.split_long(long, 1000)).replace(" ", "") == long.replace(" ", "")
