@@ -3,11 +3,11 @@
 Each document has, for each tree of the forest, a path of ``depth`` steps in a prefix trie: its
 MinHash values, as bytes, so that a prefix of the bytes is a node of the trie and rows in the order of
 the bytes are the sorted trie. Two documents meet in a node if their paths share that prefix in some
-tree. First only whole paths meet. The pairs found there are verified, and their similarities tell at
-which similarities links exist; then prefixes are shortened to the longest at which, for each of these
-similarities, the share of pairs that meet in some tree reaches the target. A shorter prefix compares
-only pairs that did not meet at the longer one, each in the first tree in which it meets, with the
-exact sets of n-grams. So a corpus of close copies never groups by short prefixes.
+tree. First only whole paths meet: close copies are compared there, in narrow nodes. Then prefixes are
+shortened to the longest at which pairs of the asked similarity, the least likely to meet of all
+that count, reach the target share. That depth depends on nothing but similarity, trees and target: no other row
+of a table can take a link away. A shorter prefix compares only pairs that did not meet at the longer one, each in
+the first tree in which it meets, with the exact sets of n-grams.
 
 Equal sets are one class, compared once. A prefix with many classes is split into blocks, and each
 pair of blocks is a group of its own, so no group grows with the corpus. No pairs are written: each
@@ -29,7 +29,7 @@ from quire.llm.common import ascii_words, small_or_shuffled, table, text_batches
 from quire.llm.hashes import mix, word_shingles
 
 WORDS, SIMILARITY = 5, 0.8
-#: Trees and steps of a full path, bytes of a step; share of pairs, at each similarity that occurs, that must meet.
+#: Trees and steps of a full path, bytes of a step; share of pairs at the asked similarity that must meet.
 TREES, DEPTH, STEP, TARGET = 16, 8, 4, 0.9999
 #: Classes of a prefix that are compared in one group.
 BLOCK = 512
@@ -40,9 +40,9 @@ def recall(similarity: float, depth: int, trees: int = TREES) -> float:
     return 1 - (1 - similarity**depth) ** trees
 
 
-def prefix_depth(similarities: list[float], trees: int = TREES, depth: int = DEPTH, target: float = TARGET) -> int:
-    """The longest prefix with which pairs of each of the similarities meet the target recall."""
-    while depth > 1 and any(recall(s, depth, trees) < target for s in similarities):
+def prefix_depth(similarity: float, trees: int = TREES, depth: int = DEPTH, target: float = TARGET) -> int:
+    """The longest prefix with which pairs of the similarity, and so those above it, meet the target recall."""
+    while depth > 1 and recall(similarity, depth, trees) < target:
         depth -= 1
     return depth
 
@@ -184,11 +184,11 @@ def _connected(n: int, pairs: np.ndarray) -> np.ndarray:
     return label
 
 
-_LINKS = "class long, links long, docs long, least long, lowest double"
+_LINKS = "class long, links long, docs long, least long"
 
 
 def _verify(similarity: float, trees: int):
-    """Of each class with a link in a group: its links, and the least similarity among them."""
+    """Of each class with a link in a group: its links and the least class they connect it to."""
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in _groups(batches):
@@ -211,11 +211,9 @@ def _verify(similarity: float, trees: int):
             links = np.bincount(a, minlength=n) + np.bincount(b, minlength=n)
             docs = np.bincount(a, sizes[b], minlength=n) + np.bincount(b, sizes[a], minlength=n)
             least = ids[_connected(n, np.column_stack([a, b]))]
-            lowest = np.ones(n)
-            np.minimum.at(lowest, a, shared[i, j] / whole[i, j])
-            has = (links > 0) | (lowest < 1)
+            has = links > 0
             if has.any():
-                yield pa.record_batch([pa.array(ids[has]), pa.array(links[has]), pa.array(docs[has].astype(np.int64)), pa.array(least[has]), pa.array(lowest[has])], ["class", "links", "docs", "least", "lowest"])
+                yield pa.record_batch([pa.array(ids[has]), pa.array(links[has]), pa.array(docs[has].astype(np.int64)), pa.array(least[has])], ["class", "links", "docs", "least"])
 
     return verify
 
@@ -249,7 +247,8 @@ def ngram_join(
 
     ``class_id``: least id with the same set of n-grams, ``class_size`` rows. ``n_links``: other classes
     whose similarity is at least ``similarity``, of ``n_linked_docs`` rows. ``group_id``: least id
-    reached by links and classes. Texts of fewer words than ``size`` are one n-gram; texts without
+    reached by links and classes. Words are parted by spaces and signs, so a text in a script without
+    spaces is few long words, and only equal ones share n-grams. Texts of fewer words than ``size`` are one n-gram; texts without
     words (null ones too) share a class only with equal texts and have no links. Null ids stay.
     """
     texts = text_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.unhex(F.sha2(text_of(text_col), 256)).alias("digest"), text_of(text_col).alias("text"))
@@ -257,21 +256,10 @@ def ngram_join(
     rep = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "digest")
     classes = signed.groupBy("key").agg(F.min(rep).alias("rep"), F.count("*").alias("size"), F.min_by("paths", rep).alias("paths"), F.max("n").alias("n"))
     classes = table(classes.withColumn("class", F.monotonically_increasing_id()), "classes")
-    full, links, before = depth, None, None
-    while True:
-        found = _level(texts, classes, size, similarity, trees, full, depth, before, block)
-        links = found if links is None else links.unionByName(found)
-        # similarities at which links exist, by hundredths: the least of each class and node
-        hundredth = F.floor(F.greatest(F.col("lowest"), F.lit(similarity)) * 100) / 100
-        told = found.groupBy(hundredth.cast("double").alias("s")).agg(F.sum("links").alias("n")).collect()  # one row per hundredth
-        met = [max(t["s"], similarity) for t in told]
-        # of n links none below a similarity: fewer than 3 / n of all links are there, so many must be known to leave it out
-        if sum(t["n"] for t in told) * (1 - target) < 3 * (1 - recall(similarity, depth, trees)):
-            met.append(similarity)
-        shorter = prefix_depth(met, trees, depth, target)
-        if shorter == depth:
-            break
-        depth, before = shorter, depth
+    links = _level(texts, classes, size, similarity, trees, depth, depth, None, block)
+    shorter = prefix_depth(similarity, trees, depth, target)
+    if shorter < depth:
+        links = links.unionByName(_level(texts, classes, size, similarity, trees, depth, shorter, depth, block))
     group = components(links.select(F.col("class").alias("a"), F.col("least").alias("b")))
     heads = classes.select("class", "rep").join(group.withColumnRenamed("node", "class"), "class")
     firsts = heads.groupBy("label").agg(F.min("rep").alias("first"))

@@ -20,7 +20,7 @@ from quire.llm.suffix_dedup import repeated_passages
 from quire.llm.token_counts import length_histogram
 from quire.llm.token_store import read_store, write_store
 from quire.llm.tokens import word_bpe
-from quire.llm.toxicity import THRESHOLD, fit, held_out, labelled, toxicity
+from quire.llm.toxicity import THRESHOLD, fit, held_out, labelled, scored
 from quire.llm.url_filter import LIMIT, RULES, Vocabulary, filter_urls
 from quire.llm.vector_codes import books_digest, compress, with_label_errors
 
@@ -46,8 +46,8 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
     labels = _read(spark, sf_dir, "labels")
     model = fit(labelled(docs, labels))
-    scored = docs.select("doc_id", held_out().alias("held_out"), toxicity(model).alias("score"))
-    return scored.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
+    rows = scored(docs.select("doc_id", "text", held_out().alias("held_out")), model).drop("text")
+    return rows.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

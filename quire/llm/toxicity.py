@@ -1,22 +1,30 @@
-"""Toxicity by class-conditional Kneser-Ney models of word stems.
-
-One model of toxic texts and one of ordinary ones. An expression is a word cut to STEM bytes, so
-inflected forms count together. As in Kneser-Ney smoothing, an expression counts by its different
-contexts, here the texts that hold it: neither one long text nor copies make it frequent. Absolute
-discounting takes from each count what the counts of counts say, ``n1 / (n1 + 2 n2)``, for each class
-and for the shared counts; what it frees goes to counts that both classes share, gathered from all
-documents. By chance a rare word is in texts of one class only, so an expression whose counts tell the
-classes apart by less than ``evidence`` (in nats, of the log-likelihood of two rates against one) has
-the shared probability in both models; about that value its own ratio takes over smoothly.
-
-A text is judged by its log-likelihoods under both models, normalised by length: for the whole text,
-and for its most toxic window of WINDOW words (in a long text a few insults drown). A logistic curve
-joins the two into a score. Its three numbers, and ``evidence`` among a few values, are fitted on at
-most ``sample`` texts a class, each seen without its own counts. Everything else is counted on all.
+"""Toxicity by class-conditional Kneser-Ney models of words and word pairs.
+
+One model of toxic texts and one of ordinary ones. An expression is a word after the word before it.
+A word alone counts, as in Kneser-Ney smoothing, by its different contexts, the words it was seen
+after; its discounted probability in a class is interpolated with counts that both classes share,
+gathered from all documents: by texts that hold the word, with the discount that the counts of counts
+give. A pair's discounted probability in a class is interpolated with the one that both classes share,
+which is tilted by how much likelier the word alone is in that class. Class counts go by texts
+too, so neither one long text nor copies make an expression frequent. Both classes are discounted by the same *rate*: ``d`` of the
+smaller class's counts, in proportion more of the larger one's. Counts up to the discount are
+taken whole, so a rare expression has in both classes what the shared counts say, and the model
+needs to hold only expressions above it; that leaves out nothing that would change a score. ``d`` is
+chosen, with the curve below, among a few values.
+
+A text is judged by its log-likelihood ratio, normalised by length: in its most toxic window of WINDOW
+words, and over the TOP share of its most telling words (in a long text a few insults drown). A logistic curve joins both
+into a score. Its numbers, and ``d``, are fitted on at most ``sample`` texts a class, each seen
+without its own counts. Everything else is counted on all.
+
+Words are runs of letters and digits, whole; scripts without spaces count by character. A model of up
+to MODEL expressions goes to the tasks; of a larger one the tasks know the words most texts have, and
+the other words of the texts meet their expressions by a shuffle (``scored``).
 """
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -31,14 +39,20 @@ from quire.llm.common import ascii_words, small_or_shuffled, table, text_batches
 
 #: Training texts of each class at most that the logistic curve's three numbers are fitted on; counts take all.
 SAMPLE = 4000
-#: Bytes of a word that are its stem, and words of a window.
-STEM, WINDOW = 7, 64
-#: Values of ``evidence`` to choose from, and expressions that a model has at most: lesser evidence is left out where it would give more.
-EVIDENCE, MODEL = (4.0, 6.0, 8.0, 12.0, 16.0, 24.0, 32.0), 200_000
+#: Words of a window, and one in so many words that is among the most telling.
+WINDOW, TOP = 16, 50
+#: Discounts to choose from, in counts of the smaller class.
+DISCOUNTS = (2.0, 4.0, 8.0)
+#: Expressions of a model that goes to all tasks.
+MODEL = 500_000
 #: Different expressions that a task holds before it passes their counts on.
 HELD = 200_000
 #: A score from which a text counts as toxic.
 THRESHOLD = 0.3
+#: Characters of scripts without spaces: each is a word.
+ALONE = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
+#: What a text's first word is seen after.
+START = b""
 
 
 def held_out(id_col: str = "doc_id") -> Column:
@@ -46,86 +60,192 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def stems_of(text: str | None) -> list[bytes]:
-    return [w[:STEM] for w in ascii_words((text or "").lower())]
+def words_of(text: str | None) -> list[bytes]:
+    text = (text or "").lower()
+    if not text.isascii() and ALONE.search(text):
+        text = ALONE.sub(" \\g<0> ", text)
+    return ascii_words(text)
 
 
-def log_ratio(n: np.ndarray, totals: np.ndarray, types: np.ndarray, discounts: np.ndarray) -> np.ndarray:
-    """Log-likelihood ratio (toxic over ordinary) of expressions with counts ``n`` (rows: ordinary, toxic, shared).
+def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """By word the texts that hold it, and by pair (two words and a space) the labelled texts of each class."""
+    classes, shared = (Counter(), Counter()), Counter()
 
-    Each class has its discounted count and, with what discounting frees, the shared probability; that
-    one in turn has what it frees spread evenly over its expressions and an unseen one.
-    """
-    freed = discounts * types / totals
-    shared = np.maximum(n[2] - discounts[2], 0) / totals[2] + freed[2] / (types[2] + 1)
-    p = [np.maximum(n[y] - discounts[y], 0) / totals[y] + freed[y] * shared for y in (0, 1)]
-    return np.log(p[1] / p[0])
+    def record() -> pa.RecordBatch:
+        pairs = list(classes[0].keys() | classes[1].keys())
+        none = [0]
+        columns = [[c[p] for p in pairs] + none * len(shared) for c in classes]
+        return pa.record_batch(
+            [pa.array(pairs + list(shared), pa.binary()), *(pa.array(c, pa.int64()) for c in columns), pa.array(none * len(pairs) + list(shared.values()), pa.int64())],
+            ["gram", "n0", "n1", "n2"],
+        )
+
+    for batch in (b.slice(i, 200) for b in batches for i in range(0, b.num_rows, 200)):
+        for y, text, counted in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            words = words_of(text)
+            if counted:
+                shared.update(set(words))
+            if y is not None:
+                classes[y].update({a + b" " + b for a, b in zip([START, *words], words, strict=False)})
+        if len(shared) + len(classes[0]) + len(classes[1]) > HELD:
+            yield record()
+            for c in (*classes, shared):
+                c.clear()
+    yield record()
 
 
-def weight_of(nats: np.ndarray, evidence: float) -> np.ndarray:
-    """Share of an expression's own ratio that counts; none below half of ``evidence``."""
-    return np.where(nats >= evidence / 2, 1 / (1 + np.exp(np.clip(2 * (evidence - nats), -50, 50))), 0)
+@dataclass
+class Counts:
+    """What all probabilities need: pairs' and words' tables, totals of both classes, and the shared counts' numbers."""
 
+    pairs: DataFrame
+    words: DataFrame
+    types: np.ndarray
+    tokens: np.ndarray
+    shared: tuple[float, float, float]
+    #: Discount of pairs in the counts that both classes share.
+    pooled: float
 
-def evidence_of(n: np.ndarray, totals: np.ndarray) -> np.ndarray:
-    """Nats by which two rates explain the counts of both classes better than one rate."""
-    both = n[0] + n[1]
-    out = np.zeros(n.shape[1])
-    for y in (0, 1):
-        with np.errstate(divide="ignore", invalid="ignore"):
-            out += np.where(n[y] > 0, n[y] * np.log(n[y] / (both * totals[y] / (totals[0] + totals[1]))), 0)
-    return out
+    def discounts(self, d: float) -> tuple[np.ndarray, np.ndarray]:
+        """Of words' contexts and of pairs: ``d`` in the class with fewer, as large a share in the other."""
+        return d * self.types / self.types.min(), d * self.tokens / self.tokens.min()
+
+
+def counted(texts: DataFrame) -> Counts | None:
+    """Counts of ``label, text, shared``; None without pairs of both classes."""
+    sums = [F.sum(f"n{k}").alias(f"n{k}") for k in range(3)]
+    grams = table(texts.select("label", "text", "shared").mapInArrow(_counts, "gram binary, n0 long, n1 long, n2 long").groupBy("gram").agg(*sums), "grams", "zstd")
+    space = F.locate(" ", F.decode("gram", "ISO-8859-1"))
+    split = grams.withColumn("space", space)
+    word = F.substring(F.col("gram"), F.col("space") + 1, F.lit(1 << 30))
+    pairs = split.filter("space > 0").select(F.substring(F.col("gram"), F.lit(1), F.col("space") - 1).alias("before"), word.alias("word"), "n0", "n1")
+    some = lambda c: F.sum((F.col(c) > 0).cast("long"))
+    ends = pairs.groupBy("word").agg(some("n0").alias("k0"), some("n1").alias("k1"))
+    texts_of = split.filter("space = 0").select(F.col("gram").alias("word"), F.col("n2").alias("texts"))
+    words = table(texts_of.join(ends, "word", "full").na.fill(0, ["texts", "k0", "k1"]), "words", "zstd")
+    one = lambda n: F.sum((F.col("texts") == n).cast("long"))
+    k0, k1, total, types, n1, n2 = (float(x or 0) for x in words.agg(F.sum("k0"), F.sum("k1"), F.sum("texts"), some("texts"), one(1), one(2)).first())
+    both = [F.sum((F.col("n0") + F.col("n1") == n).cast("long")) for n in (1, 2)]
+    t0, t1, b1, b2 = (float(x or 0) for x in pairs.agg(F.sum("n0"), F.sum("n1"), *both).first())
+    if not (k0 and k1 and t0 and t1):
+        return None
+    usual = lambda once, twice: min(max(once / max(once + 2 * twice, 1), 0.1), 0.9)
+    return Counts(pairs, words, np.array([k0, k1]), np.array([t0, t1]), (total, types, usual(n1, n2)), usual(b1, b2))
+
+
+def shared_probability(texts: np.ndarray, shared: tuple[float, float, float]) -> np.ndarray:
+    """Of words in so many texts: discounted, what is freed spread evenly over all words and an unseen one."""
+    total, types, discount = shared
+    return np.maximum(texts - discount, 0) / total + discount * types / total / (types + 1)
 
 
 @dataclass
-class Model:
-    """Log-likelihood ratios of the expressions that differ between the classes; all others have 0."""
+class Level:
+    """Probabilities at one discount ``d``: what words and contexts free, by class."""
 
-    ids: dict[bytes, int] = field(default_factory=dict)
-    ratio: np.ndarray = field(default_factory=lambda: np.zeros(1))
-    curve: tuple[float, float, float] | None = None
+    word_discount: np.ndarray
+    pair_discount: np.ndarray
+    freed: np.ndarray
+    types: np.ndarray
+    tokens: np.ndarray
+    pooled: float
 
-    def numbers(self, text: str | None) -> np.ndarray:
-        return np.fromiter(map(self.ids.get, stems_of(text), repeat(0)), np.int64)
+    def word(self, k: np.ndarray, p: np.ndarray) -> np.ndarray:
+        """Of words with contexts ``k`` (two rows: classes) and shared probabilities ``p``."""
+        return np.maximum(k - self.word_discount[:, None], 0) / self.types[:, None] + self.freed[:, None] * p
 
-    def score(self, text: str | None) -> float:
+    def pair(self, n: np.ndarray, context: np.ndarray, left: np.ndarray, kinds: np.ndarray, word: np.ndarray, p: np.ndarray) -> np.ndarray:
+        """Of pairs in ``n`` texts; their first words' pairs, of so many ``kinds``, sum to ``context`` and free ``left`` of it. ``word``: the second words' probabilities."""
+        seen, all_seen = np.maximum(context, 1), np.maximum(context.sum(axis=0), 1)
+        shared = np.maximum(n.sum(axis=0) - self.pooled, 0) / all_seen + self.pooled * kinds / all_seen * p
+        tilt = word / (self.tokens @ word / self.tokens.sum())
+        return np.maximum(n - self.pair_discount[:, None], 0) / seen + np.where(context > 0, left / seen, 1) * shared * tilt
+
+
+@dataclass
+class Model:
+    """The expressions above the discount; all others have what both classes share.
+
+    ``ids`` numbers words from 1. Arrays of words have the unknown word at 0: contexts ``k`` a class, ``shared`` probability, sums
+    ``context`` and what is freed of them ``left`` as first words, of so many ``kinds`` of pairs. ``keys`` are pairs in ascending order, ``n`` their texts a class.
+    """
+
+    level: Level | None = None
+    ids: dict[bytes, int] = field(default_factory=dict)
+    k: np.ndarray = field(default_factory=lambda: np.zeros((2, 1)))
+    shared: np.ndarray = field(default_factory=lambda: np.ones(1))
+    context: np.ndarray = field(default_factory=lambda: np.zeros((2, 1)))
+    left: np.ndarray = field(default_factory=lambda: np.zeros((2, 1)))
+    kinds: np.ndarray = field(default_factory=lambda: np.zeros(1))
+    keys: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
+    n: np.ndarray = field(default_factory=lambda: np.zeros((2, 0)))
+    curve: tuple[float, ...] | None = None
+    #: Where the model is larger: words, contexts and pairs as tables of log ratios, beside the ratio of an unknown word.
+    tables: tuple[DataFrame, DataFrame, DataFrame] | None = None
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"tables": None}  # tasks get what they hold, tables stay with the driver
+
+    def pairs_of(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Numbers of the words, of those before them, and the place of each pair among ``keys`` (-1: none)."""
+        known = np.fromiter(map(self.ids.get, words, repeat(0)), np.int64, len(words))
+        before = np.concatenate([[self.ids.get(START, 0)], known[:-1]]).astype(np.int64)
+        if not len(self.keys):
+            return known, before, np.full(len(known), -1)
+        key = before * len(self.shared) + known
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return known, before, np.where(self.keys[at] == key, at, -1)
+
+    def prepare(self) -> None:
+        """Log ratios (toxic over ordinary) of words, contexts and pairs, once for all texts."""
+        p = self.level.word(self.k, self.shared)
+        seen = np.maximum(self.context, 1)
+        through = np.where(self.context > 0, self.left / seen, 1)
+        self.of_word, self.of_context = np.log(p[1] / p[0]), np.log(through[1] / through[0])
+        first, second = np.divmod(self.keys, len(self.shared))
+        whole = self.level.pair(self.n, self.context[:, first], self.left[:, first], self.kinds[first], p[:, second], self.shared[second])
+        self.of_pair = np.log(whole[1] / whole[0])
+
+    def ratios(self, words: list[bytes]) -> np.ndarray:
+        known, before, at = self.pairs_of(words)
+        return np.where(at >= 0, self.of_pair[at] if len(self.keys) else 0, self.of_word[known] + self.of_context[before])
+
+    def ratios_without(self, words: list[bytes], y: int) -> np.ndarray:
+        """As a text of class ``y`` sees it without its own counts: each of its pairs one text less, each word as many contexts less as the text gives it."""
+        known, before, at = self.pairs_of(words)
+        own = np.array([[y == 0], [y == 1]])
+        pairs = np.unique(np.column_stack([before, known]), axis=0) if len(known) else np.zeros((0, 2), np.int64)
+        given, started = np.zeros(len(self.shared)), np.zeros(len(self.shared))
+        np.add.at(given, pairs[:, 1], 1)
+        np.add.at(started, pairs[:, 0], 1)
+        p = self.level.word(np.maximum(self.k[:, known] - own * given[known], 0), self.shared[known])
+        context = np.maximum(self.context[:, before] - own * started[before], 0)
+        left = np.minimum(self.left[:, before], context)
+        through = np.where(context > 0, left / np.maximum(context, 1), 1)
+        out = np.log(p[1] / p[0]) + np.log(np.maximum(through[1], 1e-9) / np.maximum(through[0], 1e-9))
+        if len(held := np.flatnonzero(at >= 0)):
+            n = np.maximum(self.n[:, at[held]] - own, 0)
+            whole = self.level.pair(n, context[:, held], left[:, held], self.kinds[before[held]], p[:, held], self.shared[known[held]])
+            out[held] = np.log(whole[1] / whole[0])
+        return out
+
+    def score_of(self, ratios: np.ndarray) -> float:
         if self.curve is None:
             return 0.0
-        a, b, c = self.curve
-        mean, most = features(self.ratio[self.numbers(text)])
-        return float(1 / (1 + np.exp(-np.clip(a + b * mean + c * most, -30, 30))))
+        at = self.curve[0] + float(np.dot(self.curve[1:], features(ratios)))
+        return float(1 / (1 + np.exp(-min(max(at, -30.0), 30.0))))
+
+    def score(self, text: str | None) -> float:
+        return self.score_of(self.ratios(words_of(text))) if self.curve else 0.0
 
 
 def features(ratios: np.ndarray) -> tuple[float, float]:
-    """Ratio per word, of the whole text and of its most toxic window; 0 without words."""
+    """Ratio per word in the most toxic window, and over the most telling words; 0 without words."""
     n = len(ratios)
-    if not n or not ratios.any():
+    if not n:
         return 0.0, 0.0
-    sums, size = np.concatenate([[0], np.cumsum(ratios)]), min(n, WINDOW)
-    return float(sums[-1] / n), float((sums[size:] - sums[:-size]).max() / size)
-
-
-def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """By expression the texts that hold it: ordinary, toxic and all."""
-    counts = (Counter(), Counter(), Counter())
-
-    def record() -> pa.RecordBatch:
-        stems = list(counts[2])
-        columns = [pa.array([c[s] for s in stems], pa.int64()) for c in counts]
-        return pa.record_batch([pa.array(stems, pa.binary()), *columns], ["stem", "n0", "n1", "n2"])
-
-    for batch in (b.slice(i, 200) for b in batches for i in range(0, b.num_rows, 200)):
-        for y, text, shared in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            held = set(stems_of(text))
-            if shared:
-                counts[2].update(held)
-            if y is not None:
-                counts[y].update(held)
-        if len(counts[2]) > HELD:
-            yield record()
-            for c in counts:
-                c.clear()
-    yield record()
+    sums, size, top = np.concatenate([[0], np.cumsum(ratios)]), min(n, WINDOW), max(1, n // TOP)
+    return float((sums[size:] - sums[:-size]).max() / size), float(np.partition(ratios, n - top)[n - top :].mean())
 
 
 def _different(texts: DataFrame) -> tuple[DataFrame, dict[int, int]]:
@@ -145,55 +265,81 @@ def _different(texts: DataFrame) -> tuple[DataFrame, dict[int, int]]:
     return marked.select(F.when(F.col("several").isNull(), F.col("label")).alias("label"), "text", shared).unionByName(first), sizes
 
 
-def fit(texts: DataFrame, sample: int = SAMPLE, model: int = MODEL) -> Model:
+def _level(counts: Counts, d: float) -> Level:
+    words, pairs = counts.discounts(d)
+    freed = counts.words.agg(*(F.sum(F.least(F.col(f"k{y}").cast("double"), F.lit(float(words[y])))) for y in (0, 1))).first()
+    return Level(words, pairs, np.array([float(x) for x in freed]) / counts.types, counts.types, counts.tokens, counts.pooled)
+
+
+def _parts(counts: Counts, d: float) -> tuple[DataFrame, DataFrame]:
+    """Of the model at ``d``: words (with what they are as contexts) and pairs, each above the discount in some class or needed by one that is."""
+    word_d, pair_d = counts.discounts(d)
+    above = lambda names, limits: (F.col(names[0]) > float(limits[0])) | (F.col(names[1]) > float(limits[1]))
+    pairs = counts.pairs.filter(above(("n0", "n1"), pair_d))
+    freed = [F.sum(F.least(F.col(f"n{y}").cast("double"), F.lit(float(pair_d[y])))).alias(f"left{y}") for y in (0, 1)]
+    contexts = counts.pairs.groupBy(F.col("before").alias("word")).agg(F.sum("n0").alias("c0"), F.sum("n1").alias("c1"), F.count("*").alias("kinds"), *freed)
+    contexts = contexts.filter((F.col("left0") < F.col("c0")) | (F.col("left1") < F.col("c1")))
+    named = pairs.select("word").distinct().withColumn("named", F.lit(True))
+    words = counts.words.join(contexts, "word", "full").join(named, "word", "left").filter(above(("k0", "k1"), word_d) | F.col("c0").isNotNull() | F.col("named"))
+    return words.drop("named").na.fill(0, ["texts", "k0", "k1", "c0", "c1", "left0", "left1", "kinds"]), pairs
+
+
+def _collected(level: Level, counts: Counts, words: DataFrame, pairs: DataFrame) -> Model:
+    """The model of rows that were counted to be few."""
+    rows = words.orderBy("word").collect()
+    ids = {bytes(r["word"]): i for i, r in enumerate(rows, 1)}
+    column = lambda *names: np.array([[0.0] * len(names), *([float(r[n]) for n in names] for r in rows)]).T
+    found = sorted((ids[bytes(r["before"])] * (len(ids) + 1) + ids[bytes(r["word"])], float(r["n0"]), float(r["n1"])) for r in pairs.collect())
+    numbers = np.array(found, float).reshape(-1, 3)
+    model = Model(level, ids, column("k0", "k1"), shared_probability(column("texts")[0], counts.shared), column("c0", "c1"), column("left0", "left1"), column("kinds")[0], np.array([f[0] for f in found], np.int64), numbers[:, 1:].T)
+    model.prepare()
+    return model
+
+
+def _of_sample(texts: DataFrame, words: DataFrame, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The words and pairs that occur in a bounded sample of texts."""
+
+    def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = {w for t in batch.column(0).to_pylist() for w in words_of(t)} | {START}
+            yield pa.record_batch([pa.array(list(found), pa.binary())], ["word"])
+
+    known = table(texts.select("text").mapInArrow(held, "word binary").distinct(), "known")
+    both = pairs.join(known, "word", "left_semi").join(known.withColumnRenamed("word", "before"), "before", "left_semi")
+    return words.join(known, "word", "left_semi"), both
+
+
+def fit(texts: DataFrame, sample: int = SAMPLE, discounts: tuple[float, ...] = DISCOUNTS, most: int = MODEL) -> Model:
     """The model of all rows ``label, text`` (as ``labelled`` gives: label null where it is unknown or must not be learned).
 
     Of equal texts of a class one counts for it; for the shared counts each row does.
-    At most ``sample`` texts a class, drawn by a hash, give the curve. Without both classes every score is 0.
+    At most ``sample`` texts a class, drawn by a hash, give the curve and the discount. Without both classes every score is 0.
     """
     texts, sizes = _different(text_batches(texts))
-    if len(sizes) < 2:
-        return Model()
-    sums = [F.sum(f"n{k}").alias(f"n{k}") for k in range(3)]
-    words = table(texts.select("label", "text", "shared").mapInArrow(_counts, "stem binary, n0 long, n1 long, n2 long").groupBy("stem").agg(*sums), "words")
-    some = lambda k, what: F.sum(what(F.col(f"n{k}")).cast("long"))
-    asked = [what for k in range(3) for what in (F.sum(f"n{k}"), some(k, lambda c: c > 0), some(k, lambda c: c == 1), some(k, lambda c: c == 2))]
-    stats = np.array(words.agg(*asked).first(), float).reshape(3, 4)
-    if not stats[:2, 0].all():
+    counts = counted(texts) if len(sizes) == 2 else None
+    if counts is None:
         return Model()
-    totals, types = stats[:, 0], stats[:, 1]
-    discounts = np.clip(stats[:, 2] / np.maximum(stats[:, 2] + 2 * stats[:, 3], 1), 0.1, 0.9)
-
-    def nats(*n: Column) -> Column:
-        return sum(F.when(n[y] > 0, n[y] * F.log(n[y] * float(totals[:2].sum() / totals[y]) / (n[0] + n[1]))).otherwise(0.0) for y in (0, 1))
-
-    # also what tells the classes apart for a text whose own counts are taken out
-    once = [F.greatest(F.col(f"n{y}") - 1, F.lit(0)) for y in (0, 1)]
-    told = words.withColumn("nats", F.greatest(nats(F.col("n0"), F.col("n1")), nats(once[0], F.col("n1")), nats(F.col("n0"), once[1])))
-    many = told.agg(*[F.sum((F.col("nats") >= e / 2).cast("long")) for e in EVIDENCE]).first()
-    choices = [e for e, n in zip(EVIDENCE, many, strict=True) if n <= model] or [EVIDENCE[-1]]
-    # at most `model` rows, or those of overwhelming evidence that are left beyond the last choice
-    rows = told.filter(F.col("nats") >= choices[0] / 2).orderBy(F.desc("nats"), "stem").limit(model).collect()
-    ids = {bytes(r["stem"]): k for k, r in enumerate(rows, 1)}
-    n = np.array([[r["n0"], r["n1"], r["n2"]] for r in rows], float).reshape(-1, 3).T
-
-    def ratios(evidence: float, without: int | None = None) -> np.ndarray:
-        """With ``without``, as a text of that class sees it whose own counts are taken out."""
-        own = np.array([without == 0, without == 1, without is not None], float)[:, None]
-        less = np.maximum(n - own, 0)
-        return np.concatenate([[0.0], weight_of(evidence_of(less, totals), evidence) * log_ratio(less, totals, types, discounts)])
-
-    tried = [[ratios(e, y) for e in choices] for y in (0, 1)]
-    found = _features(_drawn(texts, sample), Model(ids), tried)
+    drawn = table(_drawn(texts, sample).select("label", "text"), "drawn")
+    levels, tried = [_level(counts, d) for d in discounts], []
+    for d, level in zip(discounts, levels, strict=True):
+        tried.append(_collected(level, counts, *_of_sample(drawn, *_parts(counts, d))))
+    found = _features(drawn, tried)
     y = found[:, 0]
     weight = np.where(y == 1, sizes[1] / max((y == 1).sum(), 1), sizes[0] / max((y == 0).sum(), 1))
-    fits = [logistic(y, found[:, 1 + 2 * k : 3 + 2 * k], weight) for k in range(len(choices))]
-    best = min(fits, key=lambda f: f[0])
-    for k, (loss, curve, each) in enumerate(fits):
-        # the least evidence, which leaves out fewest expressions, that is no worse than the best by more than chance
-        if loss - best[0] <= (each - best[2]).std() / len(each) ** 0.5:
-            return Model(ids, ratios(choices[k]), curve)
-    raise AssertionError("the best is among them")
+    fits = [logistic(y, found[:, 1 + 2 * k : 3 + 2 * k], weight) for k in range(len(tried))]
+    least = min(fits, key=lambda f: f[0])
+    # the largest discount that is no worse than the best by more than chance
+    fair = [k for k, (loss, _, each) in enumerate(fits) if loss - least[0] <= (each - least[2]).std() / len(each) ** 0.5]
+    best = max(fair, key=lambda k: discounts[k])
+    words, pairs = (table(part, "model", "zstd") for part in _parts(counts, discounts[best]))
+    if words.count() + pairs.count() <= most:
+        model = _collected(levels[best], counts, words, pairs)
+    else:
+        head = words.orderBy(F.desc("texts"), "word").limit(most // 2)
+        model = _collected(levels[best], counts, head, pairs.filter("false"))
+        model.tables = _ratio_tables(levels[best], counts, words, pairs)
+    model.curve = fits[best][1]
+    return model
 
 
 def _drawn(texts: DataFrame, sample: int) -> DataFrame:
@@ -203,21 +349,21 @@ def _drawn(texts: DataFrame, sample: int) -> DataFrame:
     return texts.filter(F.col("drawn") <= F.when(F.col("label") == 0, edges[0]).otherwise(edges[1])).drop("drawn")
 
 
-def _features(texts: DataFrame, model: Model, tried: list[list[np.ndarray]]) -> np.ndarray:
-    """Label, and both features for each of the tried ratios, of the bounded sample."""
+def _features(texts: DataFrame, tried: list[Model]) -> np.ndarray:
+    """Label, and both features under each of the tried models without the text's own counts, of the bounded sample."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (b.slice(i, 200) for b in batches for i in range(0, b.num_rows, 200)):
             out = []
             for y, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = model.numbers(text)
-                out.append([x for ratio in tried[y] for x in features(ratio[ids])])
+                words = words_of(text)
+                out.append([x for model in tried for x in features(model.ratios_without(words, y))])
             yield pa.record_batch([batch.column(0), pa.array(out, pa.list_(pa.float64()))], ["label", "x"])
 
     return np.array([[r[0], *r[1]] for r in texts.mapInArrow(rows, "label int, x array<double>").collect()], float)
 
 
-def logistic(y: np.ndarray, x: np.ndarray, weight: np.ndarray) -> tuple[float, tuple[float, float, float], np.ndarray]:
+def logistic(y: np.ndarray, x: np.ndarray, weight: np.ndarray) -> tuple[float, tuple[float, ...], np.ndarray]:
     """Weighted logistic regression with a small ridge: mean loss, its three numbers, and each row's loss by its weight."""
     x, weight = np.column_stack([np.ones(len(y)), x]), weight / weight.sum()
     sign, theta, ridge = 2 * y - 1, np.zeros(3), np.array([1e-9, 1e-6, 1e-5])
@@ -238,7 +384,9 @@ def logistic(y: np.ndarray, x: np.ndarray, weight: np.ndarray) -> tuple[float, t
 
 
 def toxicity(model: Model, text_col: str = "text") -> Column:
-    """The score of each whole text; null and empty texts have the curve's value at ratio 0."""
+    """The score of each whole text under a model that the tasks hold; null and empty texts have the curve's value at ratio 0."""
+    if model.tables is not None:
+        raise ValueError("this model is larger than a task holds: use scored")
 
     @F.arrow_udf("double")
     def scores(texts: pa.Array) -> pa.Array:
@@ -247,6 +395,74 @@ def toxicity(model: Model, text_col: str = "text") -> Column:
     return scores(F.col(text_col).cast("string"))
 
 
+def _ratio_tables(level: Level, counts: Counts, words: DataFrame, pairs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``word, ratio``, ``before, through`` and ``before, word, whole``: the log ratios of a large model, by built-in functions."""
+    total, types, discount = counts.shared
+    shared = lambda n: F.greatest(n - discount, F.lit(0.0)) / total + discount * types / total / (types + 1)
+    p = [F.greatest(F.col(f"k{y}") - float(level.word_discount[y]), F.lit(0.0)) / float(level.types[y]) + float(level.freed[y]) * shared(F.col("texts")) for y in (0, 1)]
+    through = [F.when(F.col(f"c{y}") > 0, F.col(f"left{y}") / F.col(f"c{y}")).otherwise(1.0) for y in (0, 1)]
+    told = words.select("word", p[0].alias("p0"), p[1].alias("p1"), shared(F.col("texts")).alias("p"), through[0].alias("t0"), through[1].alias("t1"), "c0", "c1", "kinds")
+    first = told.select(F.col("word").alias("before"), "t0", "t1", "c0", "c1", "kinds")
+    both = pairs.join(told.select("word", "p0", "p1", "p"), "word").join(first, "before")
+    seen = F.greatest(F.col("c0") + F.col("c1"), F.lit(1))
+    pooled = F.greatest(F.col("n0") + F.col("n1") - level.pooled, F.lit(0.0)) / seen + level.pooled * F.col("kinds") / seen * F.col("p")
+    usual = (float(level.tokens[0]) * F.col("p0") + float(level.tokens[1]) * F.col("p1")) / float(level.tokens.sum())
+    own = [F.greatest(F.col(f"n{y}") - float(level.pair_discount[y]), F.lit(0.0)) / F.greatest(F.col(f"c{y}"), F.lit(1)) for y in (0, 1)]
+    q = [own[y] + F.col(f"t{y}") * pooled * F.col(f"p{y}") / usual for y in (0, 1)]
+    return (
+        table(told.select("word", F.log(F.col("p1") / F.col("p0")).alias("ratio")), "words"),
+        table(first.select("before", F.log(F.col("t1") / F.col("t0")).alias("through")), "contexts"),
+        table(both.select("before", "word", F.log(q[1] / q[0]).alias("whole")), "pairs"),
+    )
+
+
+def scored(docs: DataFrame, model: Model, text_col: str = "text", as_col: str = "score") -> DataFrame:
+    """``docs`` with the score of each whole text as ``as_col``, by a model of any size.
+
+    A model that the tasks hold scores texts where they are read. Beyond that each text's words are
+    numbered by their place and meet the tables of ratios by shuffles, but for the words most texts have,
+    whose own ratio the tasks know; a text's ratios come together again, no more than its words.
+    """
+    if model.tables is None:
+        return docs.withColumn(as_col, toxicity(model, text_col))
+    row = "_" * (1 + max((len(c) for c in docs.columns), default=0)) + "row"
+    rows = table(text_batches(docs).withColumn(row, F.monotonically_increasing_id()), "rows")
+    unknown = float(model.of_word[0])
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (b.slice(i, 50) for b in batches for i in range(0, b.num_rows, 50)):
+            owner, place, before, words = [], [], [], []
+            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                found = words_of(text)
+                owner += [key] * len(found)
+                place += range(len(found))
+                words += found
+                before += [START, *found[:-1]] if found else []
+            own = [None if (i := model.ids.get(w)) is None else float(model.of_word[i]) for w in words]
+            kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.float64()]
+            for i in range(0, len(words), 100_000):
+                yield pa.record_batch([pa.array(c[i : i + 100_000], t) for c, t in zip((owner, place, before, words, own), kinds, strict=True)], ["owner", "place", "before", "word", "own"])
+
+    of_word, of_context, of_pair = model.tables
+    tokens = rows.select(row, F.col(text_col).cast("string")).mapInArrow(cut, "owner long, place long, before binary, word binary, own double")
+    # frequent words are spread by their place, and their few rows copied to each part
+    parts = 16
+    spread = lambda df, *names: df.join(df.sparkSession.range(parts).select(F.col("id").alias("part")))  # noqa: E731, ARG005
+    tokens = tokens.withColumn("part", F.pmod(F.hash("owner", "place"), F.lit(parts)).cast("long"))
+    met = tokens.filter("own is null").join(spread(of_word), ["word", "part"], "left").select("owner", "place", "part", "before", "word", F.coalesce("ratio", F.lit(unknown)).alias("own"))
+    both = tokens.filter("own is not null").select(met.columns).unionByName(met)
+    both = both.join(spread(of_context), ["before", "part"], "left").join(spread(of_pair), ["before", "word", "part"], "left")
+    ratio = F.coalesce("whole", F.col("own") + F.coalesce("through", F.lit(0.0)))
+    lists = both.groupBy("owner").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", ratio.alias("ratio")))), lambda x: x["ratio"]).alias("ratios"))
+
+    @F.arrow_udf("double")
+    def judged(lists: pa.Array) -> pa.Array:
+        return pa.array([model.score_of(np.array(r or [], float)) for r in lists.to_pylist()], pa.float64())
+
+    found = lists.select(F.col("owner").alias(row), judged("ratios").alias("found_score"))
+    return rows.join(found, row, "left").withColumn(as_col, F.coalesce("found_score", F.lit(model.score_of(np.zeros(0))))).drop(row, "found_score")
+
+
 def labelled(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
     """``label, text`` of all rows; the label is null where there is none to learn from.
 

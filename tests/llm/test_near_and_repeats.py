@@ -75,11 +75,11 @@ def test_join_against_all_pairs(spark):
 
 
 def test_depth_meets_target_at_each_similarity():
-    assert prefix_depth([0.8]) == 3 and prefix_depth([0.95, 0.8, 0.99]) == 3
+    assert prefix_depth(0.8) == 3
     for s in (0.8, 0.85, 0.9, 0.97):
-        d = prefix_depth([s])
+        d = prefix_depth(s)
         assert recall(s, d) >= 0.9999 and (d == 8 or recall(s, d + 1) < 0.9999)
-    assert prefix_depth([0.99]) == 8 == prefix_depth([])
+    assert prefix_depth(0.99) == 8
 
 
 def test_forest_paths_share_prefixes_as_expected():
@@ -94,23 +94,32 @@ def test_forest_paths_share_prefixes_as_expected():
         assert abs(hits[d] / n - recall(0.9, d)) < 0.03
 
 
-def test_close_copies_need_no_short_prefixes(spark, monkeypatch):
-    random.seed(21)
-    words = [f"w{n}" for n in range(5000)]
-    rows = []
-    for g in range(60):
-        base = random.choices(words, k=600)
-        for n in range(12):  # one word of 600 differs, at either end
-            rows.append((len(rows), " ".join([f"a{n}", *base] if n % 2 else [*base, f"b{n}"])))
-    depths = []
-    real = near._level
-    monkeypatch.setattr(near, "_level", lambda *a: depths.append(a[6]) or real(*a))
-    df = spark.createDataFrame(rows, "doc_id long, text string")
-    groups = {r["group_id"] for r in ngram_join(df, target=0.99).collect()}
-    assert depths == [8] and groups == {12 * g for g in range(60)}
-    rows += [(5000, " ".join(words[:500])), (5001, " ".join(words[:445]))]
-    found = {r["doc_id"]: r["n_links"] for r in ngram_join(spark.createDataFrame(rows, "doc_id long, text string"), target=0.9999).collect()}
-    assert depths[1] == 8 and depths[-1] == 3 and found[5000] == found[5001] == 1 and found[0] == 11
+def test_unrelated_rows_take_no_link_away(spark):
+    """Single pairs of a similarity of 0.80 to 0.82 that share no whole path, beside a family of 200 near copies."""
+    r = random.Random(21)
+    words = [f"w{n}" for n in range(20_000)]
+    pairs, forest = [], Forest(16, 8)
+    while len(pairs) < 12:
+        base = r.choices(words, k=240)
+        other = base[:215] + r.choices(words, k=25)
+        a, b = (shingles_of(" ".join(t)) for t in (base, other))
+        similarity = len(np.intersect1d(a, b)) / len(np.union1d(a, b))
+        paths = [np.frombuffer(forest.paths(x), ">u4").reshape(16, 8) for x in (a, b)]
+        if 0.8 <= similarity <= 0.82 and not (paths[0] == paths[1]).all(axis=1).any():
+            pairs.append((" ".join(base), " ".join(other)))
+    rows = [(2 * n + k, t) for n, p in enumerate(pairs) for k, t in enumerate(p)]
+    base = r.choices(words, k=600)
+    family = [(1000 + n, " ".join([f"a{n}", *base] if n % 2 else [*base, f"b{n}"])) for n in range(200)]
+    found = {x["doc_id"]: (x["group_id"], x["n_links"]) for x in ngram_join(spark.createDataFrame(rows + family, "doc_id long, text string")).collect()}
+    assert all(found[i] == (i - i % 2, 1) for i, _ in rows)
+    assert all(found[i] == (1000, 199) for i, _ in family)
+
+
+def test_very_long_text_and_a_script_without_spaces(spark):
+    long = " ".join(f"w{n}" for n in range(60_000))
+    rows = [(1, long), (2, long + " end"), (3, "\u6f22\u5b57" * 300), (4, "\u6f22\u5b57" * 300 + "\u6587"), (5, "\u6f22\u5b57" * 300)]
+    found = {x["doc_id"]: (x["class_id"], x["group_id"], x["n_links"]) for x in ngram_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found == {1: (1, 1, 1), 2: (2, 1, 1), 3: (3, 3, 0), 4: (4, 4, 0), 5: (3, 3, 0)}
 
 
 def test_overlaps_both_ways():

@@ -254,42 +254,81 @@ def test_toxicity_counts_all_rows(spark):
     twice, sizes = tox._different(df.unionAll(df))
     assert twice.filter("shared").count() == 2 * len(train + rest) and twice.filter("label is not null").count() == len(train) and sizes == {0: 300, 1: 2100}
 
-    # the same in plain loops: texts that hold each stem, discounts from counts of counts, both models
-    plain = [collections.Counter(), collections.Counter(), collections.Counter()]
-    for y, t in train + rest:
-        held = {w[:7] for w in t.lower().split()}
-        plain[2].update(held)
-        if y is not None:
-            plain[y].update(held)
-    total, types, discount = [sum(c.values()) for c in plain], [len(c) for c in plain], []
-    for c in plain:
-        once, two = sum(n == 1 for n in c.values()), sum(n == 2 for n in c.values())
-        discount.append(min(max(once / max(once + 2 * two, 1), 0.1), 0.9))
-
-    def probability(stem, y):
-        shared = max(plain[2][stem] - discount[2], 0) / total[2] + discount[2] * types[2] / total[2] / (types[2] + 1)
-        return max(plain[y][stem] - discount[y], 0) / total[y] + discount[y] * types[y] / total[y] * shared
-
-    def nats(stem):
-        n = [plain[y][stem] for y in (0, 1)]
-        return sum(k * math.log(k / sum(n) * (total[0] + total[1]) / total[y]) for y, k in enumerate(n) if k)
-
+    # the same in plain loops: texts that hold each word, contexts of words, texts of pairs
+    labelled = [(y, t.lower().split()) for y, t in {(y, t) for y, t in train}]
+    held, pairs = collections.Counter(), [collections.Counter(), collections.Counter()]
+    for _, t in train + rest:
+        held.update(set(t.lower().split()))
+    for y, w in labelled:
+        pairs[y].update(set(zip([""] + w, w, strict=False)))
+    contexts = [collections.Counter(b for _, b in c) for c in pairs]
+    types, tokens = [len(c) for c in pairs], [sum(c.values()) for c in pairs]
+    usual = lambda c: min(max(c[1] / max(c[1] + 2 * c[2], 1), 0.1), 0.9)
+    shared_d, pooled = usual(collections.Counter(held.values())), pairs[0] + pairs[1]
+    pooled_d = usual(collections.Counter(pooled.values()))
+    total = sum(held.values())
     model = tox.fit(df, sample=500)
-    assert {b"badonei", b"rareins"} <= set(model.ids)
-    fits = {e: sum(abs(model.ratio[k] - math.log(probability(s.decode(), 1) / probability(s.decode(), 0)) * (1 / (1 + math.exp(min(50, 2 * (e - nats(s.decode()))))) if nats(s.decode()) >= e / 2 else 0)) for s, k in model.ids.items()) for e in tox.EVIDENCE}
-    assert min(fits.values()) < 1e-9
-    assert model.ratio[model.ids[b"badonei"]] > 2
-    # a window of 64 words of 300 decides beside the whole text
-    ratio = model.ratio[model.ids[b"badonei"]]
-    mean, most = tox.features(model.ratio[model.numbers("q " * 300 + "badoneish")])
-    assert abs(mean - ratio / 301) < 1e-9 and abs(most - ratio / 64) < 1e-9
-    assert model.score("q " * 20_000 + "badoneish") >= model.score("q") == model.score(None)
-
-
-def test_small_models_keep_the_strongest(spark):
-    df = spark.createDataFrame([(n % 2, f"{'bad' if n % 2 else 'fine'} odd{n % 7} all") for n in range(80)] , "label int, text string")
-    model = tox.fit(df.withColumn("text", F.concat("text", F.lit(" u"), F.monotonically_increasing_id())), model=2)
-    assert len(model.ids) <= 2 and set(model.ids) <= {b"bad", b"fine"}
+    word_d = [model.level.word_discount[1] * types[y] / types[1] for y in (0, 1)]
+    pair_d = [model.level.pair_discount[1] * tokens[y] / tokens[1] for y in (0, 1)]
+    if types[0] < types[1]:
+        word_d, pair_d = ([model.level.word_discount[0] * types[y] / types[0] for y in (0, 1)], [model.level.pair_discount[0] * tokens[y] / tokens[0] for y in (0, 1)])
+    freed = [sum(min(n, word_d[y]) for n in contexts[y].values()) / types[y] for y in (0, 1)]
+
+    def shared(word):
+        return max(held[word] - shared_d, 0) / total + shared_d * len(held) / total / (len(held) + 1)
+
+    def word_p(word, y):
+        return max(contexts[y][word] - word_d[y], 0) / types[y] + freed[y] * shared(word)
+
+    def ratio(a, b):
+        p = [word_p(b, y) for y in (0, 1)]
+        inner = [{k: n for k, n in pairs[y].items() if k[0] == a} for y in (0, 1)]
+        sums = [sum(i.values()) for i in inner]
+        left = [sum(min(n, pair_d[y]) for n in inner[y].values()) / sums[y] if sums[y] else 1 for y in (0, 1)]
+        whole = max(sum(sums), 1)
+        both = max(pooled[a, b] - pooled_d, 0) / whole + pooled_d * len(inner[0] | inner[1]) / whole * shared(b)
+        tilt = [x / (sum(t * q for t, q in zip(tokens, p, strict=True)) / sum(tokens)) for x in p]
+        q = [max(pairs[y][a, b] - pair_d[y], 0) / max(sums[y], 1) + left[y] * both * tilt[y] for y in (0, 1)]
+        above = any(pairs[y][a, b] > pair_d[y] for y in (0, 1))
+        return math.log(q[1] / q[0]) if above else math.log(p[1] / p[0]) + math.log(left[1] / left[0])
+
+    some = [t for _, t in train[:6] + train[-6:] + rest[:6]] + ["unknown words", "w1", "rareinsult badoneish w3 w4"]
+    for t in some:
+        w = t.lower().split()
+        want = [ratio(a, b) for a, b in zip([""] + w, w, strict=False)]
+        assert np.allclose(model.ratios(tox.words_of(t)), want, atol=1e-9), t
+    assert len(model.keys) > 3 and model.of_word[model.ids[b"badoneish"]] > 0.5
+    assert tox.features(np.zeros(0)) == (0, 0) and model.score(None) == model.score("")
+
+    # a model too large for the tasks gives the same scores by shuffles
+    large = tox.fit(df, sample=500, most=30)
+    assert large.tables is not None and len(large.ids) == 15
+    odd = ids.select("doc_id", "text", F.lit(1).alias("row"), F.lit(2).alias("found_scores")).limit(400).unionByName(spark.createDataFrame([(None, None, 1, 2), (1, "", 1, 2), (2, "badoneish " * 3000, 1, 2)], "doc_id long, text string, row int, found_scores int"))
+    near = {(r["text"], round(r["score"], 9)) for r in tox.scored(odd, model).collect()}
+    assert near == {(r["text"], round(r["score"], 9)) for r in tox.scored(odd, large).collect()} and tox.scored(odd, large).columns == [*odd.columns, "score"]
+    with pytest.raises(ValueError):
+        tox.toxicity(large)
+
+
+def test_own_counts_are_left_out(spark):
+    """The ratios that the curve is fitted on are near those of a model without the text (contexts that others share too count as its own)."""
+    r = random.Random(7)
+    texts = [(n % 3 == 0, " ".join(r.choices([f"w{k}" for k in range(300)], k=9)) + (" bad thing" if n % 3 == 0 else " good thing")) for n in range(120)]
+    rows = [(int(y), t) for y, t in texts]
+    df = lambda some: spark.createDataFrame(some, "label int, text string")
+    model = tox.fit(df(rows), discounts=(2.0,))
+    y, text = rows[0]
+    without, without_own = model.ratios_without(tox.words_of(text), y), tox.fit(df(rows[1:]), discounts=(2.0,)).ratios(tox.words_of(text))
+    assert np.abs(without - without_own).max() < 0.2 and abs(without[-2]) < abs(model.ratios(tox.words_of(text))[-2])
+
+
+def test_scripts_without_spaces_are_read_whole(spark):
+    chars = [chr(0x4E00 + n) for n in range(80)]
+    r = random.Random(5)
+    rows = [(int(n % 4 == 0), "".join(r.choices(chars, k=300)) + ("\u4f60\u58de\u86cb" if n % 4 == 0 else "\u4f60\u597d\u55ce") + "".join(r.choices(chars, k=300))) for n in range(300)]
+    assert len(tox.words_of(rows[0][1])) == 603 and tox.words_of("\u0e01\u0e02 Ab\u3042c") == [c.encode() for c in ("\u0e01", "\u0e02", "ab", "\u3042", "c")]
+    model = tox.fit(spark.createDataFrame(rows[60:], "label int, text string"))
+    assert np.mean([(model.score(t) >= tox.THRESHOLD) == bool(y) for y, t in rows[:60]]) > 0.95
 
 
 def test_logistic_separates():
