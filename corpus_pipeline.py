@@ -10,13 +10,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm.common import table
+from quire.llm.common import names_apart, table
 from quire.llm.decontam import drop_contaminated
 from quire.llm.exact_dedup import drop_copies
 from quire.llm.ngram_join import drop_near_copies
 from quire.llm.packing import cut_pieces, pack
 from quire.llm.tokens import word_bpe
-from quire.llm.toxicity import THRESHOLD, fit, labelled, toxicity
+from quire.llm.toxicity import THRESHOLD, fit, labelled, scored
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,7 +27,8 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = fit(labelled(docs, labels))
-    return docs.filter(toxicity(model) < THRESHOLD)
+    (score,) = names_apart(docs, "score")
+    return scored(docs, model, as_col=score).filter(F.col(score) < THRESHOLD).drop(score)
 
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
