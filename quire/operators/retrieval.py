@@ -6,56 +6,83 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions.text import any_term, filled
 from quire.functions.vector import cosine_distance
+from quire.sources.tables import small_by_count, table
 
 #: Constant of rank fusion.
 FUSION = 60
 #: Numbers of all query vectors together up to which they go to every task as one matrix (64 MB).
 MATRIX = 8_000_000
+#: Distances that a task computes at once (16 MB).
+PRODUCTS = 2_000_000
+
+
+class Best:
+    """The k nearest rows of each of some queries: blocks of rows against queries at once, then exact distances of the few that can count."""
+
+    def __init__(self, matrix: np.ndarray, k: int):
+        self.matrix, self.k = matrix, k
+        self.lengths = np.sqrt((matrix * matrix).sum(axis=1))
+        self.asked = np.flatnonzero(self.lengths > 0)
+        self.found: list[list[tuple]] = [[] for _ in matrix]
+
+    def add(self, keys: pa.Array, vectors: pa.Array, asked: np.ndarray | None = None) -> None:
+        """Rows for the queries of these numbers (all of them by default); rows without a vector of the queries' length count for none."""
+        asked = self.asked if asked is None else asked[self.lengths[asked] > 0]
+        width = self.matrix.shape[1] if self.matrix.ndim == 2 else 0
+        fits = pc.fill_null(pc.equal(pc.list_value_length(vectors), width), False)
+        keys, vectors = keys.filter(fits), vectors.filter(fits)
+        step = max(1, PRODUCTS // max(1, len(asked)))
+        for i in range(0, len(keys) if len(asked) else 0, step):
+            rows = vectors.slice(i, step).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, width)
+            self._add(keys.slice(i, step), rows, asked)
+
+    def _add(self, keys: pa.Array, rows: np.ndarray, asked: np.ndarray) -> None:
+        sizes = np.sqrt((rows * rows).sum(axis=1))
+        some = np.flatnonzero(sizes > 0)  # nulls within a vector too are no distance
+        if not len(some):
+            return
+        rows, sizes = rows[some], sizes[some]
+        rough = 1 - (rows / sizes[:, None]) @ (self.matrix[asked] / self.lengths[asked][:, None]).T
+        for at, q in enumerate(asked.tolist()):
+            column, best = rough[:, at], self.found[q]
+            limit = np.partition(column, self.k - 1)[self.k - 1] if len(column) > self.k else np.inf
+            if len(best) == self.k:
+                limit = min(limit, best[-1][0])
+            near = np.flatnonzero(column <= limit + 1e-9)
+            v, length = self.matrix[q], float(self.lengths[q])
+            exact = [(1 - float(np.dot(rows[i], v)) / (float(sizes[i]) * length), keys[int(some[i])].as_py()) for i in near.tolist()]
+            self.found[q] = sorted(best + exact)[: self.k]
+
+    def record(self, names: list, key_type: pa.DataType) -> pa.RecordBatch | None:
+        out = [(names[q], key, distance) for q, some in enumerate(self.found) for distance, key in some]
+        if not out:
+            return None
+        ids, keys, distances = zip(*out, strict=True)
+        return pa.record_batch([pa.array(ids), pa.array(keys, key_type), pa.array(distances, pa.float64())], ["query_id", "key", "distance"])
 
 
 def _best_of_blocks(names: list, matrix: np.ndarray, k: int):
-    """In each task the k nearest rows of each query: blocks of rows against all queries at once, then exact distances of the few that can count."""
-    lengths = np.sqrt((matrix * matrix).sum(axis=1))
-    asked = np.flatnonzero(lengths > 0)
-    unit = matrix[asked] / lengths[asked][:, None]
+    """In each task the k nearest rows of each query."""
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best: list[list[tuple]] = [[] for _ in asked]
-        key_type = None
+        best, key_type = Best(matrix, k), None
         for batch in batches:
             key_type = batch.schema.field(0).type
-            batch = batch.filter(batch.column(1).is_valid())
-            if not batch.num_rows or not len(asked):
-                continue
-            rows = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(batch.num_rows, -1)
-            sizes = np.sqrt((rows * rows).sum(axis=1))
-            some = np.flatnonzero(sizes > 0)
-            rows, sizes, keys = rows[some], sizes[some], [batch.column(0)[i].as_py() for i in some]
-            rough = 1 - (rows / sizes[:, None]) @ unit.T
-            for q in range(len(asked) if len(some) else 0):
-                column = rough[:, q]
-                limit = np.partition(column, k - 1)[k - 1] if len(column) > k else np.inf
-                if len(best[q]) == k:
-                    limit = min(limit, best[q][-1][0])
-                found = np.flatnonzero(column <= limit + 1e-9)
-                v = matrix[asked[q]]
-                exact = [(1 - float(np.dot(rows[i], v)) / (float(sizes[i]) * float(lengths[asked[q]])), keys[i]) for i in found.tolist()]
-                best[q] = sorted(best[q] + exact)[:k]
-        out = [(names[asked[q]], key, distance) for q, some in enumerate(best) for distance, key in some]
-        if out:
-            ids, keys, distances = zip(*out, strict=True)
-            yield pa.record_batch([pa.array(ids), pa.array(keys, key_type), pa.array(distances, pa.float64())], ["query_id", "key", "distance"])
+            best.add(batch.column(0), batch.column(1))
+        if (found := best.record(names, key_type)) is not None:
+            yield found
 
     return near
 
 
 def nearest(queries: DataFrame, rows: DataFrame, k: int, key: str, vector: str = "embedding") -> DataFrame:
-    """For each query the k rows at the least cosine distance, ties by key, zero vectors left out.
+    """For each query the k rows at the least cosine distance, ties by key; zero vectors, and vectors of another length than the query's, are left out.
 
     Queries (``query_id``, ``query_vector``) are a stated set: counted small, they are a matrix that
     blocks of rows meet in every task, which passes on k rows a query. Else each row meets them in a
@@ -66,11 +93,22 @@ def nearest(queries: DataFrame, rows: DataFrame, k: int, key: str, vector: str =
     if 0 < size <= MATRIX:
         asked = queries.filter("query_vector is not null").select("query_id", "query_vector").collect()
         kinds = [f"query_id {queries.schema['query_id'].dataType.simpleString()}", f"`key` {rows.schema[key].dataType.simpleString()}", "distance double"]
-        found = rows.select(F.col(key).alias("key"), vector).mapInArrow(_best_of_blocks([r[0] for r in asked], np.array([r[1] for r in asked], float), k), ", ".join(kinds))
+        found = None
+        for length in sorted({len(r[1]) for r in asked}):  # queries of one length, as a rule
+            alike = [r for r in asked if len(r[1]) == length]
+            some = rows.select(F.col(key).alias("key"), vector).mapInArrow(_best_of_blocks([r[0] for r in alike], np.array([r[1] for r in alike], float), k), ", ".join(kinds))
+            found = some if found is None else found.unionByName(some)
         found = found.withColumnRenamed("key", key)
         return found.withColumn("place", F.row_number().over(best)).filter(F.col("place") <= k).select("query_id", key, "distance", "place")
     few = queries.count() <= 10_000
-    pairs = rows.crossJoin(F.broadcast(queries) if few else queries).withColumn("distance", cosine_distance(F.col("query_vector"), F.col(vector)))
+    alike = F.size("query_vector") == F.size(vector)
+    pairs = rows.join(F.broadcast(queries) if few else queries, alike).withColumn("distance", cosine_distance(F.col("query_vector"), F.col(vector)))
+    return ranked(pairs, k, key)
+
+
+def ranked(pairs: DataFrame, k: int, key: str) -> DataFrame:
+    """The k pairs (``query_id``, key, ``distance``) at the least distance of each query, ties by key, with their ``place``."""
+    best = Window.partitionBy("query_id").orderBy("distance", key)
     # a first cut within hash slices of the rows keeps any query's rows out of one task
     sliced = Window.partitionBy("query_id", "slice").orderBy("distance", key)
     near = pairs.filter(F.col("distance").isNotNull()).select("query_id", key, "distance").withColumn("slice", F.pmod(F.xxhash64(key), F.lit(64)))
@@ -78,6 +116,78 @@ def nearest(queries: DataFrame, rows: DataFrame, k: int, key: str, vector: str =
     return near.withColumn("place", F.row_number().over(best)).filter(F.col("place") <= k).select("query_id", key, "distance", "place")
 
 
+def nearest_of_owner(queries: DataFrame, rows: DataFrame, k: int, key: str, vector: str = "embedding", owner: str = "user_id", block: int = 4096) -> DataFrame:
+    """For each query the k nearest rows of its own owner, ties by key.
+
+    Queries (``query_id``, ``owner``, ``query_vector``) and rows are cut into blocks of about ``block``
+    by a hash, within their owner; every block of an owner's queries meets every block of the owner's
+    rows in a group of its own, so an owner of any share of the rows spreads over tasks. A block gives k rows a query, which
+    are ranked. Null owners are an owner of their own; filter what has expired before.
+    """
+    cut = lambda df, by: df.withColumn("of", F.col(owner).cast("string")).withColumn("hash", F.xxhash64(by))
+    asked = cut(queries.select("query_id", owner, "query_vector"), "query_id")
+    held = cut(rows.select(F.col(key).alias("key"), owner, F.col(vector).cast("array<double>").alias("vector")), "key")
+    many = lambda df, name: df.groupBy("of").agg(F.ceil(F.count("*") / block).cast("int").alias(name))
+    blocks = many(asked, "query_blocks").join(many(held, "row_blocks").withColumnRenamed("of", "row_of"), F.col("of").eqNullSafe(F.col("row_of"))).drop("row_of")
+    blocks = table(blocks, "owners")  # a row an owner
+    sized = small_by_count(blocks)
+    same = lambda df: df.join(sized.withColumnRenamed("of", "b_of"), F.col("of").eqNullSafe(F.col("b_of"))).drop("b_of")
+    own_block = lambda n: F.pmod("hash", F.col(n)).cast("int")
+    others = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    a = same(asked).withColumns({"query_block": own_block("query_blocks")}).withColumn("row_block", others("row_blocks"))
+    b = same(held).withColumns({"row_block": own_block("row_blocks")}).withColumn("query_block", others("query_blocks"))
+    names = [F.coalesce("of", F.lit("")).alias("of"), F.col("of").isNull().alias("none"), "query_block", "row_block"]
+    a, b = a.select(*names, "query_id", "query_vector"), b.select(*names, "key", "vector")
+
+    def meet(left: pa.Table, right: pa.Table) -> pa.Table:
+        kind = right.schema.field("key").type
+        vectors = left["query_vector"].to_pylist()
+        parts = []
+        for length in sorted({len(v) for v in vectors if v is not None}):
+            alike = [i for i, v in enumerate(vectors) if v is not None and len(v) == length]
+            best = Best(np.array([vectors[i] for i in alike], float), k)
+            for batch in right.select(["key", "vector"]).to_batches():
+                best.add(batch.column(0), batch.column(1))
+            ids = left["query_id"].to_pylist()
+            if (found := best.record([ids[i] for i in alike], kind)) is not None:
+                parts.append(found.cast(pa.schema([("query_id", left.schema.field("query_id").type), ("key", kind), ("distance", pa.float64())])))
+        return pa.Table.from_batches(parts) if parts else pa.table({"query_id": pa.array([], left.schema.field("query_id").type), "key": pa.array([], kind), "distance": pa.array([], pa.float64())})
+
+    on = ["of", "none", "query_block", "row_block"]
+    kinds = f"query_id {queries.schema['query_id'].dataType.simpleString()}, `key` {rows.schema[key].dataType.simpleString()}, distance double"
+    found = a.groupBy(on).cogroup(b.groupBy(on)).applyInArrow(meet, kinds).withColumnRenamed("key", key)
+    best = Window.partitionBy("query_id").orderBy("distance", key)
+    return found.withColumn("place", F.row_number().over(best)).filter(F.col("place") <= k)
+
+
+def recalled(queries: DataFrame, memories: DataFrame, now: Column, k: int = 5, most: float | None = None, key: str = "memory_id", text: str = "memory_text", owner: str = "user_id") -> DataFrame:
+    """Each query's nearest live memories of its owner as one block of bullets: ``query_id``, ``keys``, ``block``.
+
+    Live rows have no ``expires_at`` or one after ``now``; with ``most`` only those within that distance count. A query without any has no row.
+    """
+    live = memories.filter(F.col("expires_at").isNull() | (F.col("expires_at") > now)) if "expires_at" in memories.columns else memories
+    near = nearest_of_owner(queries, live, k, key, owner=owner)
+    near = near.filter(F.col("distance") <= most) if most is not None else near
+    told = near.join(live.select(key, text), key)
+    each = F.array_sort(F.collect_list(F.struct("place", F.col(key).alias("key"), F.concat(F.lit("- "), text).alias("line"))))  # k rows
+    return told.groupBy("query_id").agg(each.alias("all")).select("query_id", F.transform("all", lambda x: x["key"]).alias("keys"), F.array_join(F.transform("all", lambda x: x["line"]), "\n").alias("block"))
+
+
+def semantic_hits(queries: DataFrame, cached: DataFrame, now: Column, most: float = 0.15, key: str = "cache_id", owner: str = "user_id", allowed: DataFrame | None = None, sources: str = "sources") -> DataFrame:
+    """The nearest live cached answer of each query's owner, if near enough: ``query_id``, key, ``distance``.
+
+    The distance counts after the nearest is taken. With ``allowed`` (``doc_uuid``) a hit counts only
+    if all the documents its answer cites are among them.
+    """
+    live = cached.filter(F.col("expires_at").isNull() | (F.col("expires_at") > now))
+    near = nearest_of_owner(queries, live, 1, key, owner=owner).filter(F.col("distance") <= most).drop("place")
+    if allowed is None:
+        return near
+    cited = near.join(live.select(key, sources), key)
+    bad = cited.select("query_id", F.explode(sources).alias("doc_uuid")).join(allowed.select("doc_uuid").distinct(), "doc_uuid", "left_anti")
+    return near.join(bad.select("query_id").distinct(), "query_id", "left_anti")
+
+
 def nearest_within(queries: DataFrame, rows: DataFrame, most: float, key: str, vector: str = "embedding") -> DataFrame:
     """The nearest row of each query, if its distance is at most ``most``."""
     return nearest(queries, rows, 1, key, vector).filter(F.col("distance") <= most)

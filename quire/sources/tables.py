@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -33,3 +34,8 @@ def table(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     path = f"{shared_folder(spark)}/quire-{uuid.uuid4().hex}/{name}"
     df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def small_by_count(df: DataFrame, most: int = 300_000) -> DataFrame:
+    """``df`` marked for a broadcast if it is counted to have few rows; a table read from files, so counting is cheap."""
+    return F.broadcast(df) if df.count() <= most else df
