@@ -12,10 +12,13 @@ taken whole, so a rare expression has in both classes what the shared counts say
 needs to hold only expressions above it; that leaves out nothing that would change a score. ``d`` is
 chosen, with the curve below, among a few values.
 
+The class models are fitted on at most LABELLED different texts a class, those of least hashes; the
+shared counts are of all documents and grow with them.
+
 A text is judged by its log-likelihood ratio, normalised by length: in its most toxic window of WINDOW
 words, and over the TOP share of its most telling words (in a long text a few insults drown). A logistic curve joins both
 into a score. Its numbers, and ``d``, are fitted on at most ``sample`` texts a class, each seen
-without its own counts. Everything else is counted on all.
+without its own counts.
 
 Words are runs of letters and digits, whole; scripts without spaces count by character. A model of up
 to MODEL expressions goes to the tasks; of a larger one the tasks know the words most texts have, and
@@ -37,8 +40,8 @@ from pyspark.sql import functions as F
 
 from quire.llm.common import ascii_words, small_or_shuffled, table, text_batches, text_of
 
-#: Training texts of each class at most that the logistic curve's three numbers are fitted on; counts take all.
-SAMPLE = 4000
+#: Different labelled texts of each class at most that the class models are fitted on, and of those the ones for the curve's three numbers.
+LABELLED, SAMPLE = 16_384, 4000
 #: Words of a window, and one in so many words that is among the most telling.
 WINDOW, TOP = 16, 50
 #: Discounts to choose from, in counts of the smaller class.
@@ -46,7 +49,7 @@ DISCOUNTS = (2.0, 4.0, 8.0)
 #: Expressions of a model that goes to all tasks.
 MODEL = 500_000
 #: Different expressions that a task holds before it passes their counts on.
-HELD = 200_000
+HELD = 300_000
 #: A score from which a text counts as toxic.
 THRESHOLD = 0.3
 #: Characters of scripts without spaces: each is a word.
@@ -68,17 +71,20 @@ def words_of(text: str | None) -> list[bytes]:
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """By word the texts that hold it, and by pair (two words and a space) the labelled texts of each class."""
+    """By word the texts that hold it (``before`` null), and by pair the labelled texts of each class."""
     classes, shared = (Counter(), Counter()), Counter()
 
-    def record() -> pa.RecordBatch:
-        pairs = list(classes[0].keys() | classes[1].keys())
-        none = [0]
-        columns = [[c[p] for p in pairs] + none * len(shared) for c in classes]
-        return pa.record_batch(
-            [pa.array(pairs + list(shared), pa.binary()), *(pa.array(c, pa.int64()) for c in columns), pa.array(none * len(pairs) + list(shared.values()), pa.int64())],
-            ["gram", "n0", "n1", "n2"],
-        )
+    def records() -> Iterator[pa.RecordBatch]:
+        names, none = ["before", "word", "n0", "n1", "n2"], lambda n: pa.array(np.zeros(n, np.int64))
+        for y, c in enumerate(classes):
+            if c:
+                before, word = zip(*c, strict=True)
+                n = pa.array(list(c.values()), pa.int64())
+                yield pa.record_batch([pa.array(before, pa.binary()), pa.array(word, pa.binary()), *((none(len(c)), n) if y else (n, none(len(c)))), none(len(c))], names)
+        columns = [pa.nulls(len(shared), pa.binary()), pa.array(list(shared), pa.binary()), none(len(shared)), none(len(shared)), pa.array(list(shared.values()), pa.int64())]
+        yield pa.record_batch(columns, names)
+        for c in (*classes, shared):
+            c.clear()
 
     for batch in (b.slice(i, 200) for b in batches for i in range(0, b.num_rows, 200)):
         for y, text, counted in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -86,51 +92,60 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if counted:
                 shared.update(set(words))
             if y is not None:
-                classes[y].update({a + b" " + b for a, b in zip([START, *words], words, strict=False)})
+                classes[y].update(set(zip([START, *words], words, strict=False)))
         if len(shared) + len(classes[0]) + len(classes[1]) > HELD:
-            yield record()
-            for c in (*classes, shared):
-                c.clear()
-    yield record()
+            yield from records()
+    yield from records()
 
 
 @dataclass
 class Counts:
-    """What all probabilities need: pairs' and words' tables, totals of both classes, and the shared counts' numbers."""
+    """What all probabilities need: the expressions above the least discount as small tables, totals of both classes, and the shared counts' numbers."""
 
-    pairs: DataFrame
     words: DataFrame
-    types: np.ndarray
-    tokens: np.ndarray
+    pairs: DataFrame
+    levels: list[Level]
     shared: tuple[float, float, float]
-    #: Discount of pairs in the counts that both classes share.
-    pooled: float
 
-    def discounts(self, d: float) -> tuple[np.ndarray, np.ndarray]:
-        """Of words' contexts and of pairs: ``d`` in the class with fewer, as large a share in the other."""
-        return d * self.types / self.types.min(), d * self.tokens / self.tokens.min()
 
+def _usual(once: float, twice: float) -> float:
+    """The discount that the counts of counts give."""
+    return min(max(once / max(once + 2 * twice, 1), 0.1), 0.9)
 
-def counted(texts: DataFrame) -> Counts | None:
-    """Counts of ``label, text, shared``; None without pairs of both classes."""
+
+def counted(texts: DataFrame, discounts: tuple[float, ...]) -> Counts | None:
+    """Counts of ``label, text, shared``; None without pairs of both classes.
+
+    Every pair and word is counted; what no discount leaves anything of is then dropped, as it changes no score.
+    """
     sums = [F.sum(f"n{k}").alias(f"n{k}") for k in range(3)]
-    grams = table(texts.select("label", "text", "shared").mapInArrow(_counts, "gram binary, n0 long, n1 long, n2 long").groupBy("gram").agg(*sums), "grams", "zstd")
-    space = F.locate(" ", F.decode("gram", "ISO-8859-1"))
-    split = grams.withColumn("space", space)
-    word = F.substring(F.col("gram"), F.col("space") + 1, F.lit(1 << 30))
-    pairs = split.filter("space > 0").select(F.substring(F.col("gram"), F.lit(1), F.col("space") - 1).alias("before"), word.alias("word"), "n0", "n1")
+    grams = table(texts.select("label", "text", "shared").mapInArrow(_counts, "before binary, word binary, n0 long, n1 long, n2 long").groupBy("before", "word").agg(*sums), "grams", "zstd")
+    pairs = grams.filter("before is not null")
     some = lambda c: F.sum((F.col(c) > 0).cast("long"))
-    ends = pairs.groupBy("word").agg(some("n0").alias("k0"), some("n1").alias("k1"))
-    texts_of = split.filter("space = 0").select(F.col("gram").alias("word"), F.col("n2").alias("texts"))
-    words = table(texts_of.join(ends, "word", "full").na.fill(0, ["texts", "k0", "k1"]), "words", "zstd")
+    # a word's contexts are the pairs that end with it
+    words = table(grams.groupBy("word").agg(F.sum("n2").alias("texts"), some("n0").alias("k0"), some("n1").alias("k1")), "words", "zstd")
     one = lambda n: F.sum((F.col("texts") == n).cast("long"))
-    k0, k1, total, types, n1, n2 = (float(x or 0) for x in words.agg(F.sum("k0"), F.sum("k1"), F.sum("texts"), some("texts"), one(1), one(2)).first())
+    k0, k1, total, kinds, n1, n2 = (float(x or 0) for x in words.agg(F.sum("k0"), F.sum("k1"), F.sum("texts"), some("texts"), one(1), one(2)).first())
     both = [F.sum((F.col("n0") + F.col("n1") == n).cast("long")) for n in (1, 2)]
     t0, t1, b1, b2 = (float(x or 0) for x in pairs.agg(F.sum("n0"), F.sum("n1"), *both).first())
     if not (k0 and k1 and t0 and t1):
         return None
-    usual = lambda once, twice: min(max(once / max(once + 2 * twice, 1), 0.1), 0.9)
-    return Counts(pairs, words, np.array([k0, k1]), np.array([t0, t1]), (total, types, usual(n1, n2)), usual(b1, b2))
+    types, tokens = np.array([k0, k1]), np.array([t0, t1])
+    at = lambda d, of: [float(x) for x in d * of / of.min()]  # noqa: E731  ``d`` in the class with fewer, as large a share in the other
+    freed = lambda c, d: F.sum(F.least(F.col(c).cast("double"), F.lit(d)))
+    told = words.agg(*(freed(f"k{y}", at(d, types)[y]) for d in discounts for y in (0, 1))).first()
+    levels = [Level(np.array(at(d, types)), np.array(at(d, tokens)), np.array(told[2 * i : 2 * i + 2], float) / types, types, tokens, _usual(b1, b2)) for i, d in enumerate(discounts)]
+    least = min(levels, key=lambda level: level.word_discount[0])
+    above = lambda names, limits: (F.col(names[0]) > float(limits[0])) | (F.col(names[1]) > float(limits[1]))
+    kept_pairs = table(pairs.filter(above(("n0", "n1"), least.pair_discount)).drop("n2"), "pairs", "zstd")
+    left = [freed(f"n{y}", at(d, tokens)[y]).alias(f"left{y}_{i}") for i, d in enumerate(discounts) for y in (0, 1)]
+    # pairs of a first word none of which is above the discount free all of it, as an unseen one does
+    firsts = kept_pairs.select("before").distinct()
+    contexts = pairs.join(firsts, "before", "left_semi").groupBy(F.col("before").alias("word")).agg(F.sum("n0").alias("c0"), F.sum("n1").alias("c1"), F.count("*").alias("kinds"), *left)
+    named = kept_pairs.select("word").union(firsts).distinct().withColumn("named", F.lit(True))
+    kept = words.join(named, "word", "full").filter(above(("k0", "k1"), least.word_discount) | F.col("named")).drop("named")
+    kept = table(kept.join(contexts, "word", "left").na.fill(0), "kept", "zstd")
+    return Counts(kept, kept_pairs, levels, (total, kinds, _usual(n1, n2)))
 
 
 def shared_probability(texts: np.ndarray, shared: tuple[float, float, float]) -> np.ndarray:
@@ -265,35 +280,31 @@ def _different(texts: DataFrame) -> tuple[DataFrame, dict[int, int]]:
     return marked.select(F.when(F.col("several").isNull(), F.col("label")).alias("label"), "text", shared).unionByName(first), sizes
 
 
-def _level(counts: Counts, d: float) -> Level:
-    words, pairs = counts.discounts(d)
-    freed = counts.words.agg(*(F.sum(F.least(F.col(f"k{y}").cast("double"), F.lit(float(words[y])))) for y in (0, 1))).first()
-    return Level(words, pairs, np.array([float(x) for x in freed]) / counts.types, counts.types, counts.tokens, counts.pooled)
-
-
-def _parts(counts: Counts, d: float) -> tuple[DataFrame, DataFrame]:
-    """Of the model at ``d``: words (with what they are as contexts) and pairs, each above the discount in some class or needed by one that is."""
-    word_d, pair_d = counts.discounts(d)
+def _parts(counts: Counts, i: int) -> tuple[DataFrame, DataFrame]:
+    """Words and pairs of the model at the i-th discount: those above it in some class, and the words of those pairs."""
+    level = counts.levels[i]
     above = lambda names, limits: (F.col(names[0]) > float(limits[0])) | (F.col(names[1]) > float(limits[1]))
-    pairs = counts.pairs.filter(above(("n0", "n1"), pair_d))
-    freed = [F.sum(F.least(F.col(f"n{y}").cast("double"), F.lit(float(pair_d[y])))).alias(f"left{y}") for y in (0, 1)]
-    contexts = counts.pairs.groupBy(F.col("before").alias("word")).agg(F.sum("n0").alias("c0"), F.sum("n1").alias("c1"), F.count("*").alias("kinds"), *freed)
-    contexts = contexts.filter((F.col("left0") < F.col("c0")) | (F.col("left1") < F.col("c1")))
-    named = pairs.select("word").distinct().withColumn("named", F.lit(True))
-    words = counts.words.join(contexts, "word", "full").join(named, "word", "left").filter(above(("k0", "k1"), word_d) | F.col("c0").isNotNull() | F.col("named"))
-    return words.drop("named").na.fill(0, ["texts", "k0", "k1", "c0", "c1", "left0", "left1", "kinds"]), pairs
-
-
-def _collected(level: Level, counts: Counts, words: DataFrame, pairs: DataFrame) -> Model:
-    """The model of rows that were counted to be few."""
-    rows = words.orderBy("word").collect()
-    ids = {bytes(r["word"]): i for i, r in enumerate(rows, 1)}
-    column = lambda *names: np.array([[0.0] * len(names), *([float(r[n]) for n in names] for r in rows)]).T
-    found = sorted((ids[bytes(r["before"])] * (len(ids) + 1) + ids[bytes(r["word"])], float(r["n0"]), float(r["n1"])) for r in pairs.collect())
-    numbers = np.array(found, float).reshape(-1, 3)
-    model = Model(level, ids, column("k0", "k1"), shared_probability(column("texts")[0], counts.shared), column("c0", "c1"), column("left0", "left1"), column("kinds")[0], np.array([f[0] for f in found], np.int64), numbers[:, 1:].T)
-    model.prepare()
-    return model
+    pairs = counts.pairs.filter(above(("n0", "n1"), level.pair_discount))
+    named = pairs.select("word").union(pairs.select("before")).distinct().withColumn("named", F.lit(True))
+    words = counts.words.join(named, "word", "left").filter(above(("k0", "k1"), level.word_discount) | F.col("named")).drop("named")
+    return words, pairs
+
+
+def _collected(counts: Counts, words: DataFrame, pairs: DataFrame) -> list[Model]:
+    """The model of rows that were counted, or are bounded by a sample, to be few: one a discount, with the same expressions."""
+    rows = words.orderBy("word").toArrow()
+    ids = {w: i for i, w in enumerate(rows["word"].to_pylist(), 1)}
+    column = lambda *names: np.array([np.concatenate([[0.0], rows[n].to_numpy().astype(float)]) for n in names])
+    found = pairs.toArrow()
+    number = lambda name: np.array([ids[w] for w in found[name].to_pylist()], np.int64)
+    keys = number("before") * (len(ids) + 1) + number("word")
+    order = np.argsort(keys)
+    n = np.array([found[c].to_numpy().astype(float)[order] for c in ("n0", "n1")])
+    shared = shared_probability(column("texts")[0], counts.shared)
+    out = []
+    for i, level in enumerate(counts.levels):
+        out.append(Model(level, ids, column("k0", "k1"), shared, column("c0", "c1"), column(f"left0_{i}", f"left1_{i}"), column("kinds")[0], keys[order], n))
+    return out
 
 
 def _of_sample(texts: DataFrame, words: DataFrame, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -309,20 +320,36 @@ def _of_sample(texts: DataFrame, words: DataFrame, pairs: DataFrame) -> tuple[Da
     return words.join(known, "word", "left_semi"), both
 
 
-def fit(texts: DataFrame, sample: int = SAMPLE, discounts: tuple[float, ...] = DISCOUNTS, most: int = MODEL) -> Model:
+def _edges(texts: DataFrame, sizes: dict[int, int], most: int) -> dict[int, int | None]:
+    """For each class the hash up to which ``most`` texts lie; None where all do."""
+    edge = lambda y: texts.filter(F.col("label") == y).select(F.xxhash64("text").alias("h")).orderBy("h").limit(most).agg(F.max("h")).first()[0]
+    return {y: edge(y) if n > most else None for y, n in sizes.items()}
+
+
+def _within(edges: dict[int, int | None]) -> Column:
+    """Whether a labelled text is among those of its class up to the edge."""
+    beyond = F.lit(False)
+    for y, edge in edges.items():
+        if edge is not None:
+            beyond = beyond | ((F.col("label") == y) & (F.xxhash64("text") > edge))
+    return F.col("label").isNotNull() & ~beyond
+
+
+def fit(texts: DataFrame, sample: int = SAMPLE, discounts: tuple[float, ...] = DISCOUNTS, most: int = MODEL, labelled: int = LABELLED) -> Model:
     """The model of all rows ``label, text`` (as ``labelled`` gives: label null where it is unknown or must not be learned).
 
-    Of equal texts of a class one counts for it; for the shared counts each row does.
-    At most ``sample`` texts a class, drawn by a hash, give the curve and the discount. Without both classes every score is 0.
+    Of equal texts of a class one counts for it, and of different ones those of the ``labelled`` least hashes; for the shared counts each row does.
+    At most ``sample`` texts a class, again those of the least hashes, give the curve and the discount. Without both classes every score is 0.
     """
     texts, sizes = _different(text_batches(texts))
-    counts = counted(texts) if len(sizes) == 2 else None
+    if len(sizes) < 2:
+        return Model()
+    within = _within(_edges(texts, sizes, labelled))
+    counts = counted(texts.withColumn("label", F.when(within, F.col("label"))), discounts)
     if counts is None:
         return Model()
-    drawn = table(_drawn(texts, sample).select("label", "text"), "drawn")
-    levels, tried = [_level(counts, d) for d in discounts], []
-    for d, level in zip(discounts, levels, strict=True):
-        tried.append(_collected(level, counts, *_of_sample(drawn, *_parts(counts, d))))
+    drawn = table(texts.filter(_within(_edges(texts, sizes, min(sample, labelled)))).select("label", "text"), "drawn")
+    tried = _collected(counts, *_of_sample(drawn, counts.words, counts.pairs))
     found = _features(drawn, tried)
     y = found[:, 0]
     weight = np.where(y == 1, sizes[1] / max((y == 1).sum(), 1), sizes[0] / max((y == 0).sum(), 1))
@@ -331,24 +358,18 @@ def fit(texts: DataFrame, sample: int = SAMPLE, discounts: tuple[float, ...] = D
     # the largest discount that is no worse than the best by more than chance
     fair = [k for k, (loss, _, each) in enumerate(fits) if loss - least[0] <= (each - least[2]).std() / len(each) ** 0.5]
     best = max(fair, key=lambda k: discounts[k])
-    words, pairs = (table(part, "model", "zstd") for part in _parts(counts, discounts[best]))
+    words, pairs = (table(part, "model", "zstd") for part in _parts(counts, best))
     if words.count() + pairs.count() <= most:
-        model = _collected(levels[best], counts, words, pairs)
+        model = _collected(counts, words, pairs)[best]
     else:
         head = words.orderBy(F.desc("texts"), "word").limit(most // 2)
-        model = _collected(levels[best], counts, head, pairs.filter("false"))
-        model.tables = _ratio_tables(levels[best], counts, words, pairs)
+        model = _collected(counts, head, pairs.filter("false"))[best]
+        model.tables = _ratio_tables(counts.levels[best], best, counts, words, pairs)
+    model.prepare()
     model.curve = fits[best][1]
     return model
 
 
-def _drawn(texts: DataFrame, sample: int) -> DataFrame:
-    """About ``sample`` labelled texts a class: those with the least hashes."""
-    texts = texts.filter("label is not null").withColumn("drawn", F.xxhash64("text"))
-    edges = [texts.filter(F.col("label") == y).select("drawn").orderBy("drawn").limit(sample).agg(F.max("drawn")).first()[0] for y in (0, 1)]
-    return texts.filter(F.col("drawn") <= F.when(F.col("label") == 0, edges[0]).otherwise(edges[1])).drop("drawn")
-
-
 def _features(texts: DataFrame, tried: list[Model]) -> np.ndarray:
     """Label, and both features under each of the tried models without the text's own counts, of the bounded sample."""
 
@@ -395,12 +416,12 @@ def toxicity(model: Model, text_col: str = "text") -> Column:
     return scores(F.col(text_col).cast("string"))
 
 
-def _ratio_tables(level: Level, counts: Counts, words: DataFrame, pairs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _ratio_tables(level: Level, i: int, counts: Counts, words: DataFrame, pairs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """``word, ratio``, ``before, through`` and ``before, word, whole``: the log ratios of a large model, by built-in functions."""
     total, types, discount = counts.shared
     shared = lambda n: F.greatest(n - discount, F.lit(0.0)) / total + discount * types / total / (types + 1)
     p = [F.greatest(F.col(f"k{y}") - float(level.word_discount[y]), F.lit(0.0)) / float(level.types[y]) + float(level.freed[y]) * shared(F.col("texts")) for y in (0, 1)]
-    through = [F.when(F.col(f"c{y}") > 0, F.col(f"left{y}") / F.col(f"c{y}")).otherwise(1.0) for y in (0, 1)]
+    through = [F.when(F.col(f"c{y}") > 0, F.col(f"left{y}_{i}") / F.col(f"c{y}")).otherwise(1.0) for y in (0, 1)]
     told = words.select("word", p[0].alias("p0"), p[1].alias("p1"), shared(F.col("texts")).alias("p"), through[0].alias("t0"), through[1].alias("t1"), "c0", "c1", "kinds")
     first = told.select(F.col("word").alias("before"), "t0", "t1", "c0", "c1", "kinds")
     both = pairs.join(told.select("word", "p0", "p1", "p"), "word").join(first, "before")

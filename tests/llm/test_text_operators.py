@@ -322,6 +322,17 @@ def test_own_counts_are_left_out(spark):
     assert np.abs(without - without_own).max() < 0.2 and abs(without[-2]) < abs(model.ratios(tox.words_of(text))[-2])
 
 
+def test_bounded_labels_and_whole_shared_counts(spark):
+    rows = [(int(n % 4 == 0), f"all u{n} {'bad' if n % 4 == 0 else 'good'}") for n in range(400)]
+    df = spark.createDataFrame(rows, "label int, text string")
+    assert tox._edges(df, {0: 300, 1: 100}, 100)[1] is None
+    for bound in (50, 100):
+        assert df.filter(tox._within(tox._edges(df, {0: 300, 1: 100}, bound))).groupBy("label").count().select("count").distinct().collect() == [(bound,)]
+    model = tox.fit(df, labelled=50)
+    assert abs(model.level.tokens - [150, 150]).max() == 0 and model.shared[model.ids[b"good"]] > 2 * model.shared[model.ids[b"bad"]]
+    assert model.score("bad") > 0.5 > model.score("good")
+
+
 def test_scripts_without_spaces_are_read_whole(spark):
     chars = [chr(0x4E00 + n) for n in range(80)]
     r = random.Random(5)
