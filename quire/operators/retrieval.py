@@ -215,8 +215,16 @@ def keyword_hits_each(queries: DataFrame, rows: DataFrame, k: int, order: list[s
 
 def fused(dense: DataFrame, sparse: DataFrame, k: int, key: str, constant: int = FUSION) -> DataFrame:
     """Reciprocal rank fusion of two ranked lists (``key``, ``place`` from 1); ties: dense list before sparse. With ``query_id`` in both, for each query."""
-    each = ["query_id"] if "query_id" in dense.columns and "query_id" in sparse.columns else []
-    both = dense.select(*each, key, "place", F.lit(0).alias("list")).unionByName(sparse.select(*each, key, "place", F.lit(1).alias("list")))
+    return fused_lists([dense, sparse], k, key, constant)
+
+
+def fused_lists(lists: list[DataFrame], k: int, key: str, constant: int = FUSION) -> DataFrame:
+    """Reciprocal rank fusion of ranked lists; ties go to the earlier list, then the earlier place. With ``query_id`` in all, for each query."""
+    each = ["query_id"] if all("query_id" in one.columns for one in lists) else []
+    numbered = [one.select(*each, key, F.col("place").cast("int").alias("place"), F.lit(n).alias("list")) for n, one in enumerate(lists)]
+    both = numbered[0]
+    for one in numbered[1:]:
+        both = both.unionByName(one)
     scored = both.groupBy(*each, key).agg(F.sum(1 / (constant + F.col("place"))).alias("score"), F.min(F.struct("list", "place")).alias("seen"))
     if not each:
         return scored.orderBy(F.desc("score"), "seen").limit(k).select(key, "score")
