@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_right
+from concurrent.futures import ThreadPoolExecutor
 from itertools import pairwise
 
 import pandas as pd
@@ -100,20 +101,27 @@ def pieces(docs: DataFrame, text: str = "raw_markdown", most: int = 600_000) ->
     return docs.select("doc_uuid", F.posexplode(cut_text).alias("piece", "content"))
 
 
-def generated(rows: DataFrame, provider=None, text: str = "content") -> DataFrame:
-    """``answer`` of a model for each row, by ``provider(list of texts) -> list of texts`` in Arrow batches.
+def generated(rows: DataFrame, provider=None, text: str = "content", calls: int = 4) -> DataFrame:
+    """``answer`` of a model for each row, by ``provider(list of texts) -> list of texts``, asked for one text at a time.
 
-    Without one the text itself comes back. A failed batch keeps the texts and says so in ``failed``.
+    A task makes up to ``calls`` calls at once. Without a provider the text itself comes back. A call that fails
+    keeps its text and says so in ``failed``; other rows are not touched by it. Null texts are not asked.
     """
 
+    def one(asked: str | None) -> tuple[str | None, bool]:
+        if provider is None or asked is None:
+            return asked, False
+        try:
+            return provider([asked])[0], False
+        except Exception:  # a model's failure is data, not the job's
+            return asked, True
+
     def run(batches):
-        for batch in batches:
-            texts = batch[text].tolist()
-            try:
-                batch["answer"], batch["failed"] = (provider(texts) if provider else texts), False
-            except Exception as error:  # a model's failure is data, not the job's
-                batch["answer"], batch["failed"] = texts, bool(str(error) or True)
-            yield batch
+        with ThreadPoolExecutor(calls) as pool:
+            for batch in batches:
+                found = list(pool.map(one, batch[text].tolist()))
+                batch["answer"], batch["failed"] = [a for a, _ in found], [f for _, f in found]
+                yield batch
 
     schema = ", ".join(f"`{c}` {t}" for c, t in rows.dtypes)
     return rows.mapInPandas(run, f"{schema}, answer string, failed boolean")

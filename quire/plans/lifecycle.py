@@ -192,16 +192,10 @@ def m1(spark, d):
                 raise ValueError("429: retry in 0.5s")
             return "large"
 
-        out = []
-        for t in texts:
-            try:
-                out += upkeep.cascade({"small": small, "large": large}, sleep=lambda _: None)([t])
-            except ValueError:
-                out.append("")
-        return out
+        return upkeep.cascade({"small": small, "large": large}, sleep=lambda _: None)(texts)
 
     answers = ingest.generated(model(spark, d, "docs").select("doc_uuid", F.col("raw_markdown").alias("content")), provider)
-    return answers.select("doc_uuid", F.nullif("answer", F.lit("")).alias("answer"), (F.col("answer") == "").alias("failed"))
+    return answers.select("doc_uuid", F.when(~F.col("failed"), F.col("answer")).alias("answer"), "failed")
 
 
 @query(

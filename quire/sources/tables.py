@@ -39,3 +39,17 @@ def table(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
 def small_by_count(df: DataFrame, most: int = 300_000) -> DataFrame:
     """``df`` marked for a broadcast if it is counted to have few rows; a table read from files, so counting is cheap."""
     return F.broadcast(df) if df.count() <= most else df
+
+
+def joined_spread(rows: DataFrame, known: DataFrame, key: str, parts: int = 32) -> DataFrame:
+    """A left join with a table of unique keys, in which a key may hold any share of the rows (a table read from files).
+
+    Keys of over a thousandth of the rows, at most a thousand, are named to all tasks; their rows are dealt to
+    ``parts``, each of which has its copy of what is known of the key. Null keys stay without.
+    """
+    rows, n = rows.withColumn("_n", F.monotonically_increasing_id()), rows.count()
+    hot = table(rows.groupBy(key).count().filter(F.col(key).isNotNull() & (F.col("count") * 1000 > n)).select(key, F.lit(True).alias("_hot")), "hot")
+    named = lambda df: df.join(F.broadcast(hot), key, "left")
+    dealt = named(rows).withColumn("_part", F.when(F.col("_hot"), F.pmod(F.xxhash64("_n"), F.lit(parts)).cast("int")).otherwise(0))
+    copies = named(known).withColumn("_part", F.explode(F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(parts - 1))).otherwise(F.array(F.lit(0)))))
+    return dealt.drop("_hot", "_n").join(copies.drop("_hot"), [key, "_part"], "left").drop("_part")

@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from quire.sources.tables import table
+
 _STATE = "count long, until long"
 
 
@@ -58,6 +62,104 @@ def judged(requests: DataFrame, limit: Limit, key: str = "key") -> DataFrame:
     return requests.repartition(key).sortWithinPartitions(key, "at_s", "event_id").mapInPandas(run, f"{schema}, allowed boolean")
 
 
+def judged_spread(requests: DataFrame, limit: Limit, key: str = "key") -> DataFrame:
+    """Like ``judged``, for keys of any share of the rows: one key's requests spread over all tasks.
+
+    A request that opens a window says which one opens the next: a pointer. Where each window begins is
+    the path of pointers from a key's first request; it is followed by doubling: each round doubles
+    how far all pointers reach and so the known part of the path. Requests are numbered within their key by a
+    range-partitioned sort, and pointers meet their targets in another. Equal requests go in one order throughout.
+    """
+    given = table(requests.withColumn("_row", F.monotonically_increasing_id()), "requests")
+    known, key = key, "_key"  # a null key is one of its own
+    keyed = given.withColumn(key, F.coalesce(F.concat(F.lit("="), F.col(known).cast("string")), F.lit("")))
+    order = [F.col(key), F.col("at_s"), F.col("event_id"), F.col("_row")]
+    parts = table(keyed.select(key, "at_s", "event_id", "_row").repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "parts")
+    before = Window.partitionBy(key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row a part
+    starts = parts.groupBy(key, "_part").agg(F.count("*").alias("n")).withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
+    within = F.row_number().over(Window.partitionBy(key, "_part").orderBy("at_s", "event_id", "_row"))
+    placed = parts.withColumn("within", within).join(table(starts, "starts"), [key, "_part"])
+    placed = table(placed.select(key, "at_s", "_row", (F.col("start") + F.col("within") - 1).alias("n")), "placed")
+
+    pointers = table(_pointers(placed, limit, key), "pointers")
+    opened = placed.filter("n = 0").select(key, "n")
+    # only requests that some pointer names can be on the path
+    named = pointers.select(key, F.col("next").alias("n")).union(opened).distinct()
+    pointers = table(pointers.join(named, [key, "n"], "left_semi"), "pointers")
+    while True:
+        further = table(opened.join(pointers, [key, "n"]).select(key, F.col("next").alias("n")), "further")
+        if further.isEmpty():
+            break
+        opened = table(opened.unionByName(further), "opened")
+        ahead = pointers.select(key, F.col("n").alias("next"), F.col("next").alias("after"))
+        pointers = table(pointers.join(ahead, [key, "next"]).select(key, "n", F.col("after").alias("next")), "pointers")
+    accepted = opened.select(key, F.explode(F.sequence(F.col("n"), F.col("n") + limit.most - 1)).alias("n")).distinct().withColumn("allowed", F.lit(True))
+    told = placed.join(accepted, [key, "n"], "left").select("_row", F.coalesce("allowed", F.lit(False)).alias("allowed"))
+    return given.join(told, "_row").drop("_row")
+
+
+def _pointers(placed: DataFrame, limit: Limit, key: str) -> DataFrame:
+    """key, ``n, next``: if a window opened at the n-th request of a key, which request would open the next; no row where none does."""
+    shifted = lambda by: placed.select(key, (F.col("n") - by).alias("n"), F.col("at_s").alias("then"))
+    if not limit.rearm:
+        return _first_from(placed, placed.select(key, "n", (F.col("at_s") + limit.seconds).alias("from_s")), key)
+    # a pause of a whole window ends it early; else it is over a window's length after the last one that it accepts
+    paused = placed.join(shifted(-1), [key, "n"]).filter(F.col("at_s") - F.col("then") >= limit.seconds).select(key, F.col("n").alias("next"))
+    reach = F.sequence(F.greatest(F.col("next") - limit.most + 1, F.lit(0)), F.col("next") - 1)
+    early = paused.filter(F.lit(limit.most > 1)).select(key, F.explode(reach).alias("n"), "next").groupBy(key, "n").agg(F.min("next").alias("next"))
+    full = placed.join(early, [key, "n"], "left_anti").join(shifted(limit.most - 1), [key, "n"]).select(key, "n", (F.col("then") + limit.seconds).alias("from_s"))
+    return early.unionByName(_first_from(placed, full, key))
+
+
+def _first_from(placed: DataFrame, asked: DataFrame, key: str) -> DataFrame:
+    """key, ``n, next``: the first request of the key at or after ``from_s``; both are sorted together, and what a part cannot tell is told by those after it."""
+    both = asked.select(F.col(key).alias("key"), F.col("from_s").alias("s"), F.lit(0).alias("event"), "n").unionByName(placed.select(F.col(key).alias("key"), F.col("at_s").alias("s"), F.lit(1).alias("event"), "n"))
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: pa.RecordBatch | None = None
+        headed = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            if rest is not None and rest.num_rows:
+                batch = pa.Table.from_batches([rest, batch]).combine_chunks().to_batches()[0]
+            event = batch.column(2).to_numpy(zero_copy_only=False) == 1
+            n = batch.column(3).to_numpy(zero_copy_only=False)
+            names = batch.column(0).dictionary_encode()
+            codes = names.indices.to_numpy(zero_copy_only=False)
+            # the first request of each key in this part, for questions that the parts before leave open
+            firsts = np.flatnonzero(event)[np.unique(codes[event], return_index=True)[1]]
+            firsts = firsts[[batch.column(0)[int(i)].as_py() != headed for i in firsts]]
+            if len(firsts):
+                heads = pa.array(firsts)
+                yield pa.record_batch([batch.column(0).take(heads), pa.nulls(len(firsts), pa.int64()), batch.column(3).take(heads), batch.column(3).take(heads)], ["key", "s", "n", "next"])
+                headed = batch.column(0)[int(firsts.max())].as_py()
+            places = np.arange(len(n))
+            ahead = np.minimum.accumulate(np.where(event, places, len(n))[::-1])[::-1]
+            told = np.where(ahead < len(n), codes[np.minimum(ahead, len(n) - 1)] == codes, False)
+            # another key's event, or none, follows: settled if a later key has begun, else wait for more rows
+            open_ = ~told & (codes == codes[-1]) & ~event
+            yield _answers(batch, ~event & ~open_, np.where(told, n[np.minimum(ahead, len(n) - 1)], -1))
+            rest = batch.take(pa.array(np.flatnonzero(open_)))
+        if rest is not None and rest.num_rows:
+            yield _answers(rest, np.ones(rest.num_rows, bool), np.full(rest.num_rows, -1))
+
+    def _answers(batch: pa.RecordBatch, some: np.ndarray, following: np.ndarray) -> pa.RecordBatch:
+        at = np.flatnonzero(some)
+        found = following[at]
+        return pa.record_batch([batch.column(0).take(pa.array(at)), batch.column(1).take(pa.array(at)), batch.column(3).take(pa.array(at)), pa.array(found, pa.int64(), mask=found < 0)], ["key", "s", "n", "next"])
+
+    sorted_ = both.repartitionByRange("key", "s", "event", "n").sortWithinPartitions("key", "s", "event", "n")
+    filled = table(sorted_.mapInArrow(fill, "`key` string, s long, n long, next long").withColumn("part", F.spark_partition_id()), "filled")
+    told = filled.filter("s is not null")
+    # open at the end of a part: the key's first request in a later one; a key has few such parts and questions
+    heads = filled.filter("s is null").select("key", F.col("part").alias("later"), F.col("next").alias("first"))
+    late = told.filter("next is null").select("key", "n", "part")
+    resolved = late.join(heads, "key").filter("later > part").groupBy("key", "n").agg(F.min("first").alias("next"))
+    out = told.filter("next is not null").select("key", "n", "next").unionByName(resolved)
+    return out.select(F.col("key").alias(key), "n", "next")
+
+
 def judged_stream(requests: DataFrame, limit: Limit, key: str = "key") -> DataFrame:
     """Stream form: state per key, dropped when its window has passed."""
 
