@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions.text import csv_guard, excerpt, filled, slug
+from quire.sources.tables import table
 
 # The wording of training pairs.
 SYSTEM = "You are a knowledgeable archival research assistant specializing in historical, literary, and classical religious documents."
@@ -51,9 +52,9 @@ def csv_rows(docs: DataFrame) -> DataFrame:
 
 
 def numbered(docs: DataFrame, order: str = "doc_id") -> DataFrame:
-    """``ordinal`` from 1 in the order, by range partitions: counts of the partitions before, then ranks within."""
+    """``ordinal`` from 1 in the order, by range partitions, written once: counts of the partitions before, then ranks within."""
     parts = docs.repartitionByRange(order).sortWithinPartitions(order).withColumn("part", F.spark_partition_id())
-    ranked = parts.withColumn("rank", F.row_number().over(Window.partitionBy("part").orderBy(order)))
+    ranked = table(parts.withColumn("rank", F.row_number().over(Window.partitionBy("part").orderBy(order))), "ranked")
     sizes = ranked.groupBy("part").agg(F.count("*").alias("n"))
     before = sizes.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
     return ranked.join(F.broadcast(before), "part").withColumn("ordinal", F.col("rank") + F.col("before")).drop("part", "rank", "before")

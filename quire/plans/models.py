@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from quire.operators.archive import EMPTY, archived, files, master
 from quire.operators.refinement import AnswerStore, preferences, refined
 from quire.plans.model import model, raw
 from quire.plans.queries import _WINDOWED
@@ -82,3 +83,45 @@ def p13(spark, d):
 @query("p14_spread_export_limit", _WINDOWED.format(s=3600 * 12, m=1, rearm="false"))
 def p14(spark, d):
     return _spread(spark, d, Limit(EXPORT.most, 3600 * 12))
+
+
+_AT = "2024-02-01T00:00:00+00:00"
+_SLUG = r"trim(regexp_replace(regexp_replace(lower(nfc_normalize({0})), '[^\p{{L}}\p{{N}}_\s-]', '', 'g'), '[-\s]+', '-', 'g'), '-_')"
+_ARCHIVED = f"""made AS (SELECT *, row_number() OVER (ORDER BY doc_id) AS ordinal, CASE WHEN doc_id % 3 = 0 THEN 'refined ' || doc_uuid ELSE coalesce(nullif(raw_markdown, ''), '{EMPTY}') END AS body FROM docs WHERE status = 'COMPLETED'),
+    named AS (SELECT *, printf('%03d_', ordinal) || coalesce(nullif({_SLUG.format("coalesce(nullif(title, ''), original_filename)")}, ''), 'document_' || doc_uuid) AS base,
+      '---' || chr(10) || 'title: "' || title || '"' || chr(10) || 'author: "' || author || '"' || chr(10) || 'language: "' || language || '"' || chr(10) || 'document_type: "' || document_type || '"' || chr(10)
+      || 'source_hash: "' || file_hash || '"' || chr(10) || 'exported_at: "{_AT}"' || chr(10) || '---' || chr(10) || chr(10) || body AS content FROM made)"""
+
+
+def _archive(spark, d):
+    docs = model(spark, d, "docs").filter("status = 'COMPLETED'")
+    return archived(docs.withColumn("refined_markdown", F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("refined "), F.col("doc_uuid")))), _AT)
+
+
+@query(
+    "snk12_archive_files",
+    f"""WITH {_ARCHIVED} SELECT unnest(['documents/' || base || '.md', 'Language/' || {_SLUG.format("language")} || '/' || base || '.md', 'Author/' || {_SLUG.format("author")} || '/' || base || '.md']) AS path, sha256(content) AS hash FROM named""",
+)
+def snk12(spark, d):
+    """Every file of the archive of completed documents, refined text before raw text."""
+    return files(_archive(spark, d)).select("path", F.sha2("content", 256).alias("hash"))
+
+
+@query(
+    "snk12_archive_manifest",
+    f"""WITH {_ARCHIVED} SELECT doc_id AS id, original_filename AS filename, title, author, language, document_type AS type, page_count, cost_micro / 1e6 AS cost_usd, file_hash AS hash, 'documents/' || base || '.md' AS export_path FROM named""",
+)
+def snk12_manifest(spark, d):
+    """The manifest's entries."""
+    return _archive(spark, d).select("entry.*")
+
+
+@query(
+    "snk12_archive_master",
+    f"""WITH {_ARCHIVED} SELECT ordinal, sha256('<!-- SOURCE_START_' || ordinal || ': ' || title || ' by ' || author || ' (' || language || ') [Type: ' || document_type || ', Hash: ' || file_hash || '] -->' || chr(10) || chr(10)
+    || '# SOURCE: ' || title || chr(10) || chr(10) || '**Author:** ' || author || '  ' || chr(10) || '**Language:** ' || language || '  ' || chr(10) || '**Document Type:** ' || document_type || chr(10) || chr(10) || body || chr(10) || chr(10)
+    || '<!-- SOURCE_END_' || ordinal || ' -->' || chr(10) || chr(10) || '---' || chr(10) || chr(10)) AS hash FROM named""",
+)
+def snk12_master(spark, d):
+    """The sections of the master text."""
+    return master(_archive(spark, d)).select("ordinal", F.sha2("section", 256).alias("hash"))
