@@ -6,8 +6,10 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from quire.functions.metadata import described
 from quire.operators.archive import EMPTY, archived, files, master
 from quire.operators.refinement import AnswerStore, preferences, refined
+from quire.operators.routing import routed_models
 from quire.plans.model import model, raw
 from quire.plans.queries import _WINDOWED
 from quire.plans.registry import query
@@ -125,3 +127,44 @@ def snk12_manifest(spark, d):
 def snk12_master(spark, d):
     """The sections of the master text."""
     return master(_archive(spark, d)).select("ordinal", F.sha2("section", 256).alias("hash"))
+
+
+_PARSED = """SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN title WHEN 1 THEN 'Unknown' WHEN 2 THEN NULL ELSE repeat(title || '-', 9) END AS title,
+    CASE doc_id % 5 WHEN 0 THEN author WHEN 1 THEN 'n/a' WHEN 2 THEN 'Divinely revealed' WHEN 3 THEN '' ELSE 'By ' || author END AS author, CASE WHEN doc_id % 3 = 0 THEN language END AS language,
+    CASE doc_id % 4 WHEN 0 THEN 'c. ' || publication_year || ' AD' WHEN 1 THEN 'none' ELSE publication_year END AS publication_year, CASE doc_id % 3 WHEN 0 THEN 'https://doi.org/' || doi || ' ' WHEN 1 THEN doi END AS doi,
+    CASE WHEN doc_id % 2 = 0 THEN publisher END AS publisher, CASE WHEN doc_id % 2 = 0 THEN license_type ELSE 'undefined' END AS license_type, CASE WHEN doc_id % 2 = 0 THEN '' ELSE document_type END AS document_type,
+    CASE WHEN doc_id % 6 = 0 THEN 'sahih_' ELSE 'a-b_' END || original_filename AS filename FROM {docs}"""
+
+
+@query(
+    "t14_described",
+    f"""WITH p AS ({_PARSED.format(docs="docs")}), k AS (SELECT doc_id, filename, {", ".join(f"CASE WHEN lower(trim({c})) IN ('unknown', 'n/a', 'none', 'null', 'undefined', '') THEN NULL ELSE {c} END AS {c}" for c in ("title", "author", "language", "publication_year", "doi", "publisher", "license_type"))}, document_type FROM p)
+    SELECT doc_id, coalesce(left(title, 255), trim(replace(replace(regexp_replace(filename, '[.][^.]*$', ''), '_', ' '), '-', ' '))) AS title,
+      CASE WHEN contains(filename, 'sahih') AND (author IS NULL OR contains(lower(author), 'divinely')) THEN 'Sahih International' ELSE coalesce(author, 'Anonymous') END AS author, coalesce(language, 'English') AS language,
+      coalesce(nullif(regexp_extract(publication_year, '[0-9]{{4}}'), ''), 'old') AS publication_year, coalesce(trim(replace(doi, 'https://doi.org/', '')), 'old') AS doi, coalesce(publisher, 'old') AS publisher, coalesce(license_type, 'old') AS license_type, coalesce(nullif(document_type, ''), 'old') AS document_type FROM k""",
+)
+def t14(spark, d):
+    """Metadata after a parse that names some fields, denies others and leaves the rest open."""
+    rows = spark.sql(_PARSED.format(docs="{t}"), t=model(spark, d, "docs"))
+    names = ["title", "author", "language", "publication_year", "doi", "publisher", "license_type", "document_type"]
+    parsed = {n: F.col(n) for n in names} | {"semantic_signature": F.lit(None).cast("string")}
+    found = described(parsed, dict.fromkeys([*names, "semantic_signature"], F.lit("old")), F.col("filename"))
+    return rows.select("doc_id", *(found[n].alias(n) for n in names))
+
+
+_ASKED = "CASE doc_id % 6 WHEN 0 THEN 'google/m' || cast(doc_id % 300 as string) WHEN 1 THEN 'm' || cast(doc_id as string) || 'x' WHEN 2 THEN 'maker/model' WHEN 3 THEN 'auto' WHEN 4 THEN NULL ELSE 'm' || cast(doc_id % 300 as string) END"
+
+
+@query(
+    "m5_routed_models",
+    f"""WITH prices AS (SELECT 'm' || cast(p_partkey as string) AS model, p_retailprice AS price, p_size % 2 = 0 AS vision FROM part),
+    best AS (SELECT (SELECT model FROM prices ORDER BY price, model LIMIT 1) AS any_model, (SELECT model FROM prices WHERE vision ORDER BY price, model LIMIT 1) AS vision_model),
+    asked AS (SELECT doc_id, coalesce(replace({_ASKED}, 'google/', ''), 'auto') AS name, doc_id % 4 = 0 AS vision, doc_id % 5 = 0 AS has_key FROM documents)
+    SELECT doc_id, CASE WHEN name = 'auto' THEN CASE WHEN vision THEN vision_model WHEN has_key THEN 'openrouter/free' ELSE any_model END WHEN contains(name, '/') OR name IN (SELECT model FROM prices) THEN name ELSE any_model END AS final_model,
+      contains(name, '/') OR (name = 'auto' AND NOT vision AND has_key) AS router FROM asked, best""",
+)
+def m5(spark, d):
+    """Requests of known, stale, foreign, automatic and missing models against parts as a price list."""
+    prices = raw(spark, d, "part").select(F.concat(F.lit("m"), F.col("p_partkey").cast("string")).alias("model"), F.col("p_retailprice").alias("price"), (F.col("p_size") % 2 == 0).alias("vision"))
+    asked = raw(spark, d, "documents").selectExpr("doc_id", f"{_ASKED} AS model", "doc_id % 4 = 0 AS vision", "doc_id % 5 = 0 AS has_key")
+    return routed_models(asked, prices).select("doc_id", "final_model", "router")
