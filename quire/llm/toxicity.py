@@ -49,7 +49,7 @@ DISCOUNTS = (2.0, 4.0, 8.0)
 #: Expressions of a model that goes to all tasks.
 MODEL = 500_000
 #: Different expressions that a task holds before it passes their counts on.
-HELD = 300_000
+HELD = 100_000
 #: A score from which a text counts as toxic.
 THRESHOLD = 0.3
 #: Characters of scripts without spaces: each is a word.
