@@ -211,7 +211,7 @@ def id_list(x: str | Column) -> Column:
 def log_line(method: str | Column, url: str | Column, status: str | Column, latency: str | Column) -> Column:
     path, query = F.try_parse_url(_c(url), F.lit("PATH")), F.try_parse_url(_c(url), F.lit("QUERY"))
     asked = F.concat(F.coalesce(path, F.lit("/")), F.coalesce(F.concat(F.lit("?"), query), F.lit("")))
-    return F.concat(F.lit("HTTP "), _c(method), F.lit(" "), asked, F.lit(" - Status "), _c(status).cast("string"), F.lit(" - Latency "), _c(latency).cast("string"))
+    return F.concat(F.lit("HTTP "), _c(method), F.lit(" "), asked, F.lit(" - Status: "), _c(status).cast("string"), F.lit(" - Latency: "), _c(latency).cast("string"))
 
 
 def quoted_yaml(x: str | Column) -> Column:

@@ -534,7 +534,7 @@ def t35(spark, d):
     return model(spark, d, "memories").filter("turn = 0").select("conv_id", total.alias("total"))
 
 
-@query("t36_log_line", r"SELECT page_id, 'HTTP GET ' || regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1) || regexp_extract(url, '(\?[^#]*)', 1) || ' - Status 200 - Latency 0.1s' AS line FROM pages")
+@query("t36_log_line", r"SELECT page_id, 'HTTP GET ' || regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1) || regexp_extract(url, '(\?[^#]*)', 1) || ' - Status: 200 - Latency: 0.1s' AS line FROM pages")
 def t36(spark, d):
     return raw(spark, d, "pages").select("page_id", T.log_line(F.lit("GET"), "url", F.lit(200), F.lit("0.1s")).alias("line"))
 

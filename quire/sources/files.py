@@ -178,9 +178,9 @@ def markdown(df: DataFrame, pdf_provider=None, ocr_cache: DataFrame | None = Non
     return rows.drop("content")
 
 
-def price_list(snapshots: DataFrame, column: str = "value") -> DataFrame:
-    """``pos, model, prompt, completion`` (decimals per token) of a JSON price list, ids in lower case."""
+def price_list(snapshots: DataFrame, column: str = "value", *kept: str) -> DataFrame:
+    """``pos, model, prompt, completion`` (decimals per token) of a JSON price list, ids in lower case, after the columns to keep."""
     kind = "data array<struct<id:string,pricing:struct<prompt:string,completion:string>>>"
-    items = snapshots.select(F.posexplode(F.from_json(column, kind)["data"]).alias("pos", "item"))
+    items = snapshots.select(*kept, F.posexplode(F.from_json(column, kind)["data"]).alias("pos", "item"))
     dec = lambda c: F.col(f"item.pricing.{c}").try_cast("decimal(20,12)").alias(c)
-    return items.select("pos", F.lower("item.id").alias("model"), dec("prompt"), dec("completion"))
+    return items.select(*kept, "pos", F.lower("item.id").alias("model"), dec("prompt"), dec("completion"))

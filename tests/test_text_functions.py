@@ -89,7 +89,7 @@ def test_excerpt_slug_ids(spark):
     assert one(spark, T.slug("x"), "Hello,  World -- x_1!", "  ") == ["hello-world-x_1", ""]
     assert one(spark, T.id_list("x"), "1, 2,,x, 3", None) == [[1, 2, 3], []]
     assert one(spark, T.quoted_yaml("x"), "title: A \"b\"\nlist:\n  - x\nauthor: 'Me'") == ['title: "A \\"b\\""\nlist:\n  - x\nauthor: "Me"']
-    assert one(spark, T.log_line(F.lit("GET"), "x", F.lit(200), F.lit("5ms")), "http://h/p?q=1") == ["HTTP GET /p?q=1 - Status 200 - Latency 5ms"]
+    assert one(spark, T.log_line(F.lit("GET"), "x", F.lit(200), F.lit("5ms")), "http://h/p?q=1") == ["HTTP GET /p?q=1 - Status: 200 - Latency: 5ms"]
     assert one(spark, T.known("x"), "N/A", " none ", "Nature", "") == [None, None, "Nature", None]
 
 
