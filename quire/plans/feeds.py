@@ -11,6 +11,7 @@ from quire.plans.model import model, raw
 from quire.plans.registry import query
 from quire.sources import feeds
 from quire.sources.tables import shared_folder
+from quire.streaming import entries
 
 
 def _written(snapshots: DataFrame, name: str) -> DataFrame:
@@ -57,3 +58,49 @@ def src16(spark: SparkSession, d: str) -> DataFrame:
     days = rows.groupBy(day.alias("snapshot")).agg(F.to_json(F.collect_list(entry)).alias("value"))
     found = feeds.newest_entries(feeds.log_entries(_written(days, "logs")))
     return found.select(F.unix_timestamp("at").alias("at_s"), "message")
+
+
+_ROCKS = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
+
+
+def _streamed(spark: SparkSession, d: str, name: str, build) -> DataFrame:
+    """What a stream over all events tells, run until it has read them; the session's state store is as before afterwards."""
+    path = f"{shared_folder(spark)}/quire-{uuid.uuid4().hex}/{name}"
+    given = raw(spark, d, "events")
+    given.write.parquet(f"{path}/in")  # a stream reads folders
+    events = spark.readStream.schema(given.schema).parquet(f"{path}/in")
+    before = {k: spark.conf.get(k, None) for k in _ROCKS}
+    try:
+        for k, v in _ROCKS.items():
+            spark.conf.set(k, v)
+        told = build(events)
+        told.writeStream.option("checkpointLocation", f"{path}/marks").format("parquet").option("path", f"{path}/told").trigger(availableNow=True).start().awaitTermination()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
+    return spark.read.schema(told.schema).parquet(f"{path}/told")
+
+
+@query(
+    "p11_status_feed",
+    """SELECT user_id AS doc_id, "before", status, at_ms FROM (SELECT user_id, event_type AS status, epoch_ms(ts) AS at_ms, lag(event_type) OVER (PARTITION BY user_id ORDER BY epoch_ms(ts), event_id) AS "before" FROM events) WHERE status IS DISTINCT FROM "before" """,
+)
+def p11(spark: SparkSession, d: str) -> DataFrame:
+    """Changes of status as a stream tells them: events as what was seen of a document."""
+    told = _streamed(spark, d, "status", lambda e: entries.status_feed(e.select(F.col("user_id").cast("string").alias("doc_uuid"), F.col("event_type").alias("status"), F.col("ts").cast("timestamp").alias("at"), "event_id")))
+    return told.select(F.col("doc_uuid").cast("long").alias("doc_id"), "before", "status", F.unix_millis("at").alias("at_ms"))
+
+
+@query(
+    "snk7_snk9_entries_stream",
+    """WITH w AS (SELECT user_id, event_id, epoch_ms(ts) AS ms, CASE WHEN user_id % 3 > 0 THEN epoch_ms(ts) + (user_id % 10) * 86400000 END AS until FROM events),
+    l AS (SELECT user_id, max(event_id) FILTER (WHERE r = 1) AS event_id, max(until) FILTER (WHERE r = 1) AS until FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ms DESC, event_id DESC) AS r FROM w) GROUP BY user_id)
+    SELECT user_id, event_id, 'set' AS change FROM l UNION ALL SELECT user_id, event_id, 'purged' FROM l WHERE until <= (SELECT max(ms) FROM w) - 60000""",
+)
+def snk7(spark: SparkSession, d: str) -> DataFrame:
+    """Key-value writes with a time to live as a stream: what takes effect, and what is purged when its time is over."""
+    ttl = F.when(F.col("user_id") % 3 > 0, F.col("user_id") % 10 * 86_400)
+    told = _streamed(
+        spark, d, "entries", lambda e: entries.entries_stream(e.select(F.col("user_id").cast("string").alias("cache_key"), F.col("event_id").cast("string").alias("value"), ttl.alias("ttl_s"), F.col("ts").cast("timestamp").alias("at"), "event_id"))
+    )
+    return told.select(F.col("cache_key").cast("long").alias("user_id"), F.col("value").cast("long").alias("event_id"), "change")
