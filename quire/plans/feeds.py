@@ -83,7 +83,7 @@ def _streamed(spark: SparkSession, d: str, name: str, build) -> DataFrame:
 
 @query(
     "p11_status_feed",
-    """SELECT user_id AS doc_id, "before", status, at_ms FROM (SELECT user_id, event_type AS status, epoch_ms(ts) AS at_ms, lag(event_type) OVER (PARTITION BY user_id ORDER BY epoch_ms(ts), event_id) AS "before" FROM events) WHERE status IS DISTINCT FROM "before" """,
+    """SELECT user_id AS doc_id, "before", status, at_ms FROM (SELECT user_id, event_type AS status, epoch_us(ts) // 1000 AS at_ms, lag(event_type) OVER (PARTITION BY user_id ORDER BY epoch_us(ts) // 1000, event_id) AS "before" FROM events) WHERE status IS DISTINCT FROM "before" """,
 )
 def p11(spark: SparkSession, d: str) -> DataFrame:
     """Changes of status as a stream tells them: events as what was seen of a document."""
@@ -93,7 +93,7 @@ def p11(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "snk7_snk9_entries_stream",
-    """WITH w AS (SELECT user_id, event_id, epoch_ms(ts) AS ms, CASE WHEN user_id % 3 > 0 THEN epoch_ms(ts) + (user_id % 10) * 86400000 END AS until FROM events),
+    """WITH w AS (SELECT user_id, event_id, epoch_us(ts) // 1000 AS ms, CASE WHEN user_id % 3 > 0 THEN epoch_us(ts) // 1000 + (user_id % 10) * 86400000 END AS until FROM events),
     l AS (SELECT user_id, max(event_id) FILTER (WHERE r = 1) AS event_id, max(until) FILTER (WHERE r = 1) AS until FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ms DESC, event_id DESC) AS r FROM w) GROUP BY user_id)
     SELECT user_id, event_id, 'set' AS change FROM l UNION ALL SELECT user_id, event_id, 'purged' FROM l WHERE until <= (SELECT max(ms) FROM w) - 60000""",
 )
