@@ -37,6 +37,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from quire.llm.common import ascii_words, small_or_shuffled, table, text_batches, text_of
 
@@ -445,7 +446,15 @@ def scored(docs: DataFrame, model: Model, text_col: str = "text", as_col: str =
     whose own ratio the tasks know; a text's ratios come together again, no more than its words.
     """
     if model.tables is None:
-        return docs.withColumn(as_col, toxicity(model, text_col))
+        at = docs.columns.index(text_col)
+
+        def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in (b.slice(i, 200) for b in batches for i in range(0, b.num_rows, 200)):
+                texts = batch.column(at).cast(pa.string()).to_pylist()
+                yield pa.record_batch([*batch.columns, pa.array([model.score(t) for t in texts], pa.float64())], [*batch.schema.names, as_col])
+
+        # whole rows, as workers of column functions load more libraries than these, and stay
+        return text_batches(docs).mapInArrow(score, StructType([*docs.schema.fields, StructField(as_col, DoubleType())]))
     row = "_" * (1 + max((len(c) for c in docs.columns), default=0)) + "row"
     rows = table(text_batches(docs).withColumn(row, F.monotonically_increasing_id()), "rows")
     unknown = float(model.of_word[0])
