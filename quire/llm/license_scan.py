@@ -27,14 +27,21 @@ BASE = {"gnu general public license": "gpl", "apache license": "apache", "cc by"
 COMMONS = {"by": "Attribution", "nc": "NonCommercial", "nd": "NoDerivatives", "sa": "ShareAlike"}
 COMMONS_KINDS = ("by", "by-sa", "by-nd", "by-nc", "by-nc-sa", "by-nc-nd")
 COMMONS_VERSIONS = ("4.0 International", "3.0 Unported", "2.0 Generic")
+#: Identifiers of licence lines in source files, and the label of each.
+IDENTIFIERS = {
+    "MIT": "mit", "Apache-2.0": "apache", "GPL-2.0": "gpl", "GPL-3.0": "gpl", "LGPL-2.1": "lgpl", "LGPL-3.0": "lgpl", "AGPL-3.0": "agpl", "MPL-2.0": "mpl", "BSD-2-Clause": "bsd-2-clause", "BSD-3-Clause": "bsd-3-clause",
+    "ISC": "isc", "EPL-2.0": "epl", "BSL-1.0": "boost", "Zlib": "zlib", "Unlicense": "unlicense", "CC0-1.0": "cc0",
+}
 #: Words of a match that counts, words between matches that a chain bridges, and covered share and words that make a label.
 SHORTEST, BRIDGE, SHARE, LEAST = 3, 12, 0.6, 5
 
 
 def templates_of(path: Path = Path(__file__).with_name("data") / "license_templates.tsv") -> list[tuple[str, str]]:
-    """``(label, text)`` of short notices and the openings of public licences: lines of a file, and those of Creative Commons by rule."""
+    """``(label, text)`` of names, short notices and the openings of public licences: lines of a file, and licence lines and those of Creative Commons by rule."""
     out = [tuple(line.split("\t", 1)) for line in path.read_text(encoding="utf-8").splitlines() if line]
+    out += [(label, f"SPDX-License-Identifier: {name}") for name, label in IDENTIFIERS.items()]
     for kind in COMMONS_KINDS:
+        out += [(f"cc-{kind}", f"SPDX-License-Identifier: CC-{kind.upper()}-{version.split()[0]}") for version in COMMONS_VERSIONS]
         name = "-".join(COMMONS[k] for k in kind.split("-"))
         for version in COMMONS_VERSIONS:
             out.append((f"cc-{kind}", f"This work is licensed under a Creative Commons {name} {version} License."))
@@ -196,7 +203,8 @@ class Scanner:
         for t, first, last, covered in self.chains(ids) if len(ids) else ():
             # share of the template that is covered, less for foreign words within the span
             share = covered / self.sizes[t] * covered / max(covered, last - first + 1)
-            if covered >= LEAST and share >= SHARE:
+            # a template of few words counts only whole
+            if covered >= min(LEAST, self.sizes[t]) and share >= (SHARE if self.sizes[t] >= LEAST else 1):
                 spans.append({"label": self.labels[t], "first_word": first, "last_word": last, "share": share, "covered": covered})
         spans = _best_of_relatives(spans)
         spans.sort(key=lambda s: (s["first_word"], s["last_word"], s["label"], s["share"]))
@@ -221,7 +229,7 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """One row per document: words, places of the base phrases, labels, score and the covered spans.
 
     A label comes from a base phrase or from a chain that covers SHARE of a template and LEAST of
-    its words, and more of them than chains of other templates at the same place. ``score`` is the
+    its words (all of them where it has fewer), and more of them than chains of other templates at the same place. ``score`` is the
     largest share covered, and 0.5 at least with a base phrase. Null and empty texts have no words,
     empty labels and score 0. Whole texts are scanned, whatever their length. Repeated rows are judged
     each; null ids stay null; an empty table gives no rows; columns beyond the two are not read.

@@ -59,6 +59,12 @@ def test_relatives_have_their_own_labels():
         ("licensed under CC BY-NC 4.0", "cc-by,cc-by-nc"),  # the first by its phrase
         ("Permission is hereby granted, free of charge, to any person", ""),
         ("this work is about the general public and its license", ""),
+        ("See the GNU Lesser General Public License version 3 for details", "lgpl"),
+        ("under the Mozilla Public License 2.0, the BSD 3-Clause License", "bsd-3-clause,mpl"),
+        ("# SPDX-License-Identifier: MIT", "mit"),
+        ("# SPDX-License-Identifier: CC-BY-SA-4.0", "cc-by,cc-by-sa"),  # the first by its phrase
+        ("This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation.", "agpl"),
+        ("the identifier of a license clause, 3 of 2", ""),
     ):
         assert scanner.scan(text)["labels"] == labels, text
     # an edited notice: some words put in and left out
