@@ -104,9 +104,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 _BLANK = "regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]', '', 'g')"
 
 
-def _terms(words, weights: dict[str, float] | None = None) -> str:
-    one = "regexp_matches(lower(coalesce(url, '')), '(^|[^\\p{{L}}\\p{{N}}]){0}($|[^\\p{{L}}\\p{{N}}])')::bigint"
-    return " + ".join(one.format(w) + (f" * {weights[w]}::double" if weights else "") for w in sorted(words))
+def _terms(words, weights: dict[tuple[str, ...], float] | None = None) -> str:
+    one = "regexp_matches(lower(coalesce(url, '')), '(^|[^\\p{{L}}\\p{{N}}])({0})($|[^\\p{{L}}\\p{{N}}])')::bigint"
+    return " + ".join(one.format("|".join(w)) + (f" * {weights[w]}::double" if weights else "") for w in sorted(words))
 
 
 def _rules(what: int) -> str:
@@ -153,7 +153,7 @@ def oracle_sql() -> dict[str, str]:
                 translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
                 regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM cut),
             hits AS (SELECT page_id, host, path, {_rules(0)} AS rule, {_rules(1)} AS told,
-                {_terms(terms.strict)} AS strict_hits, {_terms(terms.soft)} AS soft_hits, {_terms(terms.soft, terms.soft)} AS soft_weight FROM parts)
+                {_terms((w,) for w in terms.strict)} AS strict_hits, {_terms(terms.families())} AS soft_hits, {_terms(terms.families(), terms.families())} AS soft_weight FROM parts)
             SELECT page_id, host, path, rule,
                 coalesce(told, CASE WHEN strict_hits >= 1 OR soft_hits >= 2 AND soft_weight >= {LIMIT} THEN 'block' ELSE 'allow' END) AS verdict,
                 strict_hits, soft_hits, soft_weight FROM hits""",
