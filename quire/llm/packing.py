@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.llm.common import table, text_batches
+from quire.llm.common import names_apart, table, text_batches
 from quire.llm.tokens import END_ID, encoder
 
 CAPACITY = 2048
@@ -120,25 +120,26 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
     Windows are gapless from 0. Ids of windows are unique, not consecutive. No pieces, no rows.
     """
-    rows = table(pieces.withColumn("piece", F.monotonically_increasing_id()), "pieces")
+    piece, part_name, within_name, before_name, place_name = names_apart(pieces, "piece", "part", "within", "before", "place")
+    rows = table(pieces.withColumn(piece, F.monotonically_increasing_id()), "pieces")
     rest = rows.filter(F.col("length") < capacity)
     histogram = {r[0]: r[1] for r in rest.groupBy("length").count().collect()}  # at most capacity - 1 rows
     places = _Places(minimum_bin_slack(histogram, capacity))
     # ranks by length without gathering a length: within each written part, plus the counts of the parts before
-    part = F.shiftright("piece", 33)
-    parts = rest.withColumn("part", part).groupBy("length", "part").count()
-    before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    parts = parts.select("length", "part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("before"))
-    within = F.row_number().over(Window.partitionBy("length", "part").orderBy("piece")) - 1
-    ranked = rest.withColumn("part", part).withColumn("within", within).join(parts, ["length", "part"])
+    part = F.shiftright(piece, 33)
+    parts = rest.withColumn(part_name, part).groupBy("length", part_name).count()
+    before = Window.partitionBy("length").orderBy(part_name).rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select("length", part_name, F.coalesce(F.sum("count").over(before), F.lit(0)).alias(before_name))
+    within = F.row_number().over(Window.partitionBy("length", part_name).orderBy(piece)) - 1
+    ranked = rest.withColumn(part_name, part).withColumn(within_name, within).join(parts, ["length", part_name])
 
     @F.pandas_udf("sequence_id long, offset long")
     def place(length: pd.Series, rank: pd.Series) -> pd.DataFrame:
         window, offset = places.of(length.to_numpy(), rank.to_numpy())
         return pd.DataFrame({"sequence_id": window, "offset": offset})
 
-    placed = ranked.withColumn("place", place("length", F.col("within") + F.col("before")))
-    full = rows.filter(F.col("length") == capacity).withColumns({"sequence_id": F.col("piece") + places.windows, "offset": F.lit(0).cast("long")})
+    placed = ranked.withColumn(place_name, place("length", F.col(within_name) + F.col(before_name)))
+    full = rows.filter(F.col("length") == capacity).withColumns({"sequence_id": F.col(piece) + places.windows, "offset": F.lit(0).cast("long")})
     columns = [*pieces.columns, "sequence_id", "offset"]
-    placed = placed.withColumns({"sequence_id": F.col("place.sequence_id"), "offset": F.col("place.offset")})
+    placed = placed.withColumns({"sequence_id": F.col(place_name)["sequence_id"], "offset": F.col(place_name)["offset"]})
     return full.select(*columns).unionByName(placed.select(*columns))

@@ -188,3 +188,18 @@ def test_cuts_follow_content():
     chunks = lambda x: [x[a:b].tobytes() for a, b in zip([0, *cuts(x)], cuts(x))]
     assert b"".join(chunks(one)) == one.tobytes() and len(set(chunks(one)) & set(chunks(two))) >= 3
     assert merkle([b"a", b"b", b"c"]) != merkle([b"a", b"c", b"b"])
+
+
+def test_packing_leaves_other_columns_alone(spark):
+    names = ["piece", "part", "within", "before", "place"]
+    pieces = spark.range(40).select(((F.col("id") * 37) % 16 + 1).alias("length"), *(F.concat(F.lit(n), F.col("id").cast("string")).alias(n) for n in names))
+    found = pack(pieces, capacity=16)
+    assert found.columns == ["length", *names, "sequence_id", "offset"]
+    rows = found.collect()
+    assert len(rows) == 40 and all(len({r[n][len(n) :] for n in names}) == 1 for r in rows)
+    filled = {}
+    for r in rows:
+        filled.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for places in filled.values():
+        places.sort()
+        assert places[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(places, places[1:], strict=False)) and sum(n for _, n in places) <= 16
