@@ -203,9 +203,8 @@ def write_store(docs: DataFrame, folder: str, path: str, id_col: str = "doc_id",
     Null texts count as empty; null ids come first; rows of one id follow each other by text.
     """
     spark = docs.sparkSession
-    staged_at = f"{folder}/staged"
-    _stage(docs, path, id_col, text_col, shards or parallelism(spark)).write.parquet(staged_at)
-    staged = spark.read.schema(_STAGED).parquet(staged_at)
+    # beside the store, which holds no id twice
+    staged = table(_stage(docs, path, id_col, text_col, shards or parallelism(spark)), "staged")
     places = staged.select("row", F.posexplode("chunks").alias("pos", "chunk")).select("row", "pos", F.col("chunk.digest").alias("digest"))
     repeated = places.groupBy("digest").agg(F.count("*").alias("n"), F.min(F.struct("row", "pos")).alias("first")).filter("n > 1")
     first = (F.col("row") == F.col("first.row")) & (F.col("pos") == F.col("first.pos"))
