@@ -9,6 +9,7 @@ from quire.functions import text as T
 from quire.operators import access, changes, exports, ingest, retrieval, spend
 from quire.plans.model import NOW, STATUSES, at, model, raw
 from quire.plans.registry import query
+from quire.sources.tables import small_by_count
 from quire.streaming.limits import EXPORT, SEARCH, Limit, judged
 
 # Networks of trusted callers.
@@ -94,7 +95,7 @@ def flt3(spark, d):
     AND (lower(details) LIKE '%7%' OR lower(ip_address) LIKE '%7%')""",
 )
 def flt4(spark, d):
-    rows = model(spark, d, "audit").join(F.broadcast(model(spark, d, "users")), "user_id")
+    rows = model(spark, d, "audit").join(small_by_count(model(spark, d, "users")), "user_id")
     rows = rows.filter((T.action_name("action") == "PURCHASE") & F.col("username").contains("3"))
     return access.matching(rows, "7", ["details", "ip_address"]).select("event_id", "user_id")
 
@@ -188,7 +189,7 @@ def flt17(spark, d):
 @query("jn2_owner_name", "SELECT doc_uuid, coalesce(username, 'system') AS owner FROM docs LEFT JOIN users ON uploaded_by_id = user_id")
 def jn2(spark, d):
     users = model(spark, d, "users").withColumnRenamed("user_id", "uploaded_by_id")
-    return model(spark, d, "docs").join(F.broadcast(users), "uploaded_by_id", "left").select("doc_uuid", T.filled("username", "system").alias("owner"))
+    return model(spark, d, "docs").join(small_by_count(users), "uploaded_by_id", "left").select("doc_uuid", T.filled("username", "system").alias("owner"))
 
 
 @query(
@@ -197,7 +198,7 @@ def jn2(spark, d):
     FROM audit LEFT JOIN users USING (user_id) LEFT JOIN docs ON audit.doc_uuid = docs.doc_uuid""",
 )
 def jn3(spark, d):
-    rows = model(spark, d, "audit").join(F.broadcast(model(spark, d, "users")), "user_id", "left")
+    rows = model(spark, d, "audit").join(small_by_count(model(spark, d, "users")), "user_id", "left")
     rows = rows.join(model(spark, d, "docs").select("doc_uuid", "original_filename"), "doc_uuid", "left")
     gone = F.concat(F.lit("Deleted Document ("), F.left("doc_uuid", F.lit(8)), F.lit(")"))
     return rows.select("event_id", "username", F.coalesce("original_filename", gone).alias("file"))
@@ -384,8 +385,9 @@ def wn2(spark, d):
 
 @query("wn3_batch_duplicates", "SELECT doc_id, row_number() OVER (PARTITION BY file_hash ORDER BY doc_id) > 1 AS duplicate FROM docs")
 def wn3(spark, d):
-    turn = F.row_number().over(Window.partitionBy("file_hash").orderBy("doc_id"))
-    return model(spark, d, "docs").select("doc_id", (turn > 1).alias("duplicate"))
+    rows = model(spark, d, "docs").select("doc_id", "file_hash")
+    firsts = rows.groupBy(F.col("file_hash").alias("hash")).agg(F.min("doc_id").alias("first"))  # combined before the shuffle
+    return rows.join(firsts, F.col("file_hash").eqNullSafe(F.col("hash"))).select("doc_id", (F.col("doc_id") > F.col("first")).alias("duplicate"))
 
 
 @query("wn4_export_ordinal", "SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS ordinal FROM docs")
@@ -543,8 +545,9 @@ def t36(spark, d):
 def t37(spark, d):
     email = F.concat(F.lit("p"), (F.col("conv_id") % 50).cast("string"), F.lit("@"), F.concat_ws(".", "conv_id", "turn"))
     rows = model(spark, d, "memories").select("conv_id", "turn", email.alias("email")).withColumn("base", F.left(F.split_part("email", F.lit("@"), F.lit(1)), F.lit(150)))
-    first = F.row_number().over(Window.partitionBy("base").orderBy("conv_id", "turn")) == 1
-    return rows.select("conv_id", "turn", F.when(first, F.col("base")).otherwise(F.concat("base", F.lit("_"), F.left(F.sha2("email", 256), F.lit(8)))).alias("username"))
+    firsts = rows.groupBy("base").agg(F.min(F.struct("conv_id", "turn")).alias("first"))
+    first = F.struct("conv_id", "turn") == F.col("first")
+    return rows.join(firsts, "base").select("conv_id", "turn", F.when(first, F.col("base")).otherwise(F.concat("base", F.lit("_"), F.left(F.sha2("email", 256), F.lit(8)))).alias("username"))
 
 
 # ---- changes and the state machine ------------------------------------------------------------------------
@@ -787,4 +790,4 @@ def jn8(spark, d):
     name = F.element_at(F.array(F.lit("gamma-mini"), F.lit("beta"), F.lit("gamma-mini-2025"), F.lit("nothing")), (F.col("doc_id") % 4 + 1).cast("int"))
     docs = raw(spark, d, "documents").select("doc_id", name.alias("model"))
     matched = retrieval.prices_matched(docs.select("model").distinct(), prices)
-    return docs.join(F.broadcast(matched), "model").select("doc_id", "level")
+    return docs.join(small_by_count(matched), "model").select("doc_id", "level")
