@@ -17,6 +17,15 @@ from quire.sources.tables import table
 from quire.streaming.limits import activity
 
 
+#: A text's embedding in parts of eight values, not yet of length 1: signed numbers of SHA-256 of the text and a counter.
+_SIGNED = r"""digests AS (SELECT content, unnest(range(96)) AS k FROM (SELECT DISTINCT content FROM chunks)),
+    numbers AS (SELECT content, k, list_transform(range(8), lambda i: ('0x' || substr(sha256(encode(content) || from_hex(printf('%08x', k))), i * 8 + 1, 8))::bigint) AS v FROM digests),
+    signed AS (SELECT content, k, list_transform(v, lambda x: (x - CASE WHEN x >= 2147483648 THEN 4294967296 ELSE 0 END) / 2147483648.0::double) AS v FROM numbers)"""
+_HASHED = rf"""{_SIGNED},
+    firsts AS (SELECT content, any_value(v[1]) FILTER (WHERE k = 0) / sqrt(sum(list_sum(list_transform(v, lambda x: x * x)))) AS first FROM signed GROUP BY content),
+    told AS (SELECT doc_uuid || '_' || cast(chunk_index as string) AS chunk_id, round(first, 6) AS first FROM chunks JOIN firsts USING (content))"""
+
+
 @query("r3_hybrid_search")
 def hybrid_search(spark: SparkSession, d: str) -> DataFrame:
     """The flagship: chunks of visible documents, embedded, searched by vector and whole text for all items divisible by 50, fused, with context blocks."""
@@ -29,20 +38,26 @@ def hybrid_search(spark: SparkSession, d: str) -> DataFrame:
     return best.withColumn("block", retrieval.block(place)).select("query_id", "chunk_id", "doc_uuid", "score", "block", retrieval.deep_link("doc_uuid", "anchor_id", "page_number").alias("deep_link"))
 
 
-@query("r2_m3_embedding")
+@query("r2_m3_embedding", f"WITH {_CHUNKS}, {_HASHED} SELECT chunk_id, cast(768 as int) AS n, first FROM told")
 def r2(spark, d):
     rows = ingest.embedded(chunk_table(spark, d))
     return rows.select("chunk_id", F.size("embedding").alias("n"), F.round(F.element_at("embedding", 1), 6).alias("first"))
 
 
-@query("jn6_embedding_reuse")
+@query("jn6_embedding_reuse", f"WITH {_CHUNKS}, {_HASHED} SELECT chunk_id, first FROM told")
 def jn6(spark, d):
     rows = chunk_table(spark, d).select("chunk_id", "content")
     known = ingest.embedded(rows.filter(F.pmod(F.xxhash64("chunk_id"), F.lit(2)) == 0))
     return ingest.embedded_reusing(rows, known).select("chunk_id", F.round(F.element_at("embedding", 1), 6).alias("first"))
 
 
-@query("r7_memory_recall")
+@query(
+    "r7_memory_recall",
+    f"""WITH chunks AS (SELECT text AS content FROM benchmark UNION ALL SELECT memory_text FROM memories WHERE role = 'user'), {_SIGNED},
+    vectors AS MATERIALIZED (SELECT content, flatten(list(v ORDER BY k)) AS x FROM signed GROUP BY content),
+    asked AS (SELECT item_id AS query_id, x AS y FROM benchmark JOIN vectors ON text = content), held AS (SELECT conv_id || '-' || turn AS memory_id, x FROM memories JOIN vectors ON memory_text = content WHERE role = 'user')
+    SELECT query_id, memory_id, cast(row_number() OVER (PARTITION BY query_id ORDER BY round(list_cosine_similarity(x, y), 12) DESC, memory_id) as int) AS place FROM asked, held QUALIFY place <= 5""",
+)
 def r7(spark, d):
     rows = model(spark, d, "memories").filter("role = 'user'").select(F.concat_ws("-", "conv_id", "turn").alias("memory_id"), "memory_text")
     asked = raw(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), hashed_embedding("text").alias("query_vector"))
@@ -104,7 +119,7 @@ def t10(spark, d):
     return raw(spark, d, "documents").select("doc_id", markup.rendered("text").alias("html"))
 
 
-@query("t11_front_matter")
+@query("t11_front_matter", r"SELECT doc_uuid, regexp_replace(raw_markdown, '^\s+|\s+$', '', 'g') AS text, regexp_replace('title: ' || title, '\s+$', '') AS yaml, cast(0 as int) AS pairs FROM docs")
 def t11(spark, d):
     text = F.concat(F.lit("---\ntitle: "), F.col("title"), F.lit("\n---\n"), F.col("raw_markdown"))
     return model(spark, d, "docs").select("doc_uuid", markup.split_front_matter(text).alias("x")).select("doc_uuid", "x.text", "x.yaml", F.size("x.pairs").alias("pairs"))
@@ -124,7 +139,19 @@ def t12(spark, d):
     return model(spark, d, "docs").select("doc_uuid", T.quoted_yaml(text).alias("yaml"))
 
 
-@query("t25_money")
+#: Half-even rounding in whole units: the units of ``unit`` in a number, then with so many decimals.
+_UNITS = "(({0}) // {1} + CASE WHEN ({0}) % {1} * 2 > {1} OR (({0}) % {1} * 2 = {1} AND ({0}) // {1} % 2 = 1) THEN 1 ELSE 0 END)"
+_FIXED = "printf('%d.%0{2}d', cast({0} // {1} as bigint), cast({0} % {1} as bigint))"
+_USD = f"'$' || CASE WHEN c > 0 AND c < 100000 THEN {_FIXED.format(_UNITS.format('c', 100), 10000, 4)} ELSE {_FIXED.format(_UNITS.format('c', 10000), 100, 2)} END"
+_PLACE = lambda values: f"{values}[doc_id % {len(T.RATES)} + 1]"
+
+
+@query(
+    "t25_money",
+    f"""WITH p AS (SELECT doc_uuid, cast(cost_micro as hugeint) AS c, {_PLACE([*T.RATES])} AS currency, {_PLACE([round(r * 10_000) for r in T.RATES.values()])} AS rate, {_PLACE([T.SYMBOLS[c] for c in T.RATES])} AS symbol FROM docs)
+    SELECT doc_uuid, CASE WHEN currency = 'USD' THEN {_USD} ELSE symbol || CASE WHEN currency = 'IDR' THEN format('{{:,}}', cast(c * rate // 10000000000 as bigint)) ELSE {_FIXED.format(_UNITS.format("c * rate", 100_000_000), 100, 2)} END
+      || ' (~' || {_USD} || ')' END AS shown FROM p""",
+)
 def t25(spark, d):
     cost = F.col("cost_micro").cast("decimal(18,0)") / F.lit(1000000)
     currency = F.element_at(F.array(*(F.lit(c) for c in T.RATES)), (F.col("doc_id") % len(T.RATES) + 1).cast("int"))
@@ -137,7 +164,12 @@ def t32(spark, d):
     return raw(spark, d, "documents").select("doc_id", F.length(markup.composed("text")).alias("n"))
 
 
-@query("src8_file_router")
+@query(
+    "src8_file_router",
+    r"""WITH f AS (SELECT doc_uuid, doc_id, raw_markdown, original_filename || CASE WHEN doc_id % 2 = 0 THEN '.csv' ELSE '' END AS path, CASE WHEN doc_id % 2 = 0 THEN 'a,b' || chr(10) || '"' || replace(raw_markdown, '"', '""') || '",2' || chr(10) ELSE raw_markdown END AS content FROM docs)
+    SELECT doc_uuid, path, CASE WHEN doc_id % 2 = 0 THEN 'csv' ELSE 'txt' END AS ext, sha256(content) AS file_hash, cast(1 as int) AS page_count,
+      CASE WHEN doc_id % 2 = 0 THEN '| a | b |' || chr(10) || '| --- | --- |' || chr(10) || '| ' || replace(replace(replace(raw_markdown, '|', '\|'), chr(13) || chr(10), '<br>'), chr(10), '<br>') || ' | 2 |' ELSE raw_markdown END AS raw_markdown FROM f""",
+)
 def src8(spark, d):
     content = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("a,b\n"), F.lit('"'), F.replace("raw_markdown", F.lit('"'), F.lit('""')), F.lit('",2\n'))).otherwise(F.col("raw_markdown"))
     path = F.concat("original_filename", F.when(F.col("doc_id") % 2 == 0, ".csv").otherwise(""))
