@@ -1,9 +1,12 @@
-"""Scalar functions over text, as built-in expressions that stay in generated code."""
+"""Scalar functions over text, as built-in expressions that stay in generated code, but for the chunker."""
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable, Iterable
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -231,33 +234,43 @@ def chunk_size(language: str | Column) -> Column:
     return F.when(F.lower(F.coalesce(_c(language), F.lit(""))).contains("ar"), 500).otherwise(1200)
 
 
-def _packed(parts: Column, most: Column, glue: str, split_long) -> Column:
-    """Parts in order, joined while they fit; the first part of a chunk is counted without its glue if it was flushed to."""
-    none = F.array().cast("array<string>")
-    state = lambda out, cur, n: F.struct(out.alias("out"), cur.alias("cur"), n.cast("int").alias("n"))
-    flushed = lambda a: F.when(F.size(a["cur"]) > 0, F.array_append(a["out"], F.array_join(a["cur"], glue))).otherwise(a["out"])
+_BLOCKS = re.compile(rf"{BLOCK_BREAK}|\n(?=#{{2,3}}{WS})")
+_SENTENCES = re.compile(f"{SENTENCE_END}{WS}+")
 
-    def step(a: Column, p: Column) -> Column:
-        fits = state(a["out"], F.array_append(a["cur"], p), a["n"] + F.length(p) + len(glue))
-        alone = state(flushed(a), F.array(p), F.length(p))
-        if split_long is not None:
-            alone = F.when(F.length(p) > most, state(F.concat(flushed(a), split_long(p)), none, F.lit(0))).otherwise(alone)
-        return F.when(a["n"] + F.length(p) <= most, fits).otherwise(alone)
 
-    return F.aggregate(parts, state(none, none, F.lit(0)), step, flushed)
+def _packed(parts: Iterable[str], most: int, glue: str, parted: Callable[[str], list[str]] | None = None) -> list[str]:
+    """Parts in order, joined while they fit; a part that opens a chunk after another is counted without its glue."""
+    out, held, size = [], [], 0
+    for part in parts:
+        if size + len(part) <= most:
+            held.append(part)
+            size += len(part) + len(glue)
+            continue
+        if held:
+            out.append(glue.join(held))
+        held, size = [part], len(part)
+        if parted and size > most:
+            out += parted(part)
+            held, size = [], 0
+    return [*out, glue.join(held)] if held else out
 
 
-def sentences(x: Column, most: Column) -> Column:
-    """A long paragraph in chunks of whole sentences; an over-long sentence stays whole."""
-    return _packed(F.split(x, f"{SENTENCE_END}{WS}+"), most, " ", None)
+def chunk_text(text: str, most: int) -> list[str]:
+    """A text in chunks: blocks at rules and headings, then paragraphs, packed up to ``most`` characters; a longer
+    paragraph goes by whole sentences, of which an over-long one stays whole. Linear in the text."""
+    blocks = (b.strip() for b in _BLOCKS.split(text))
+    paragraphs = (p for block in blocks if block for part in block.split("\n\n") if (p := part.strip()))
+    return _packed(paragraphs, most, "\n\n", lambda p: _packed(_SENTENCES.split(p), most, " "))
 
 
 def chunks(x: str | Column, most: Column) -> Column:
-    """A text in chunks: blocks at rules and headings, then paragraphs, packed up to ``most`` characters."""
-    tidy = lambda parts: F.filter(F.transform(parts, strip), lambda p: p != "")
-    blocks = tidy(F.split(F.coalesce(_c(x), F.lit("")), rf"{BLOCK_BREAK}|\n(?=#{{2,3}}{WS})"))
-    paragraphs = tidy(F.flatten(F.transform(blocks, lambda b: F.split(b, "\n\n"))))
-    return _packed(paragraphs, most, "\n\n", lambda p: sentences(p, most))
+    """``chunk_text`` of a column, in Arrow batches: folded in expressions, a chunk's arrays were copied for each paragraph."""
+
+    @F.arrow_udf("array<string>")
+    def cut(texts: pa.Array, sizes: pa.Array) -> pa.Array:
+        return pa.array([chunk_text(t or "", n) for t, n in zip(texts.to_pylist(), sizes.to_pylist(), strict=True)], pa.list_(pa.string()))
+
+    return cut(_c(x).cast("string"), most.cast("int"))
 
 
 def chunk_page(x: str | Column) -> Column:

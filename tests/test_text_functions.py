@@ -162,3 +162,10 @@ def test_render_and_front_matter():
     assert markup.front_matter("---\ntitle: x\n---\nbody") == {"text": "body", "yaml": "title: x", "pairs": []}
     assert markup.front_matter("```yaml\na: 1\n```\nbody")["yaml"] == "a: 1"
     assert markup.slug_unicode("Tafsir  القرآن, 2!") == "tafsir-القرآن-2"
+
+
+def test_long_texts_are_chunked_in_linear_time():
+    found = T.chunk_text("word one.\n\n" * 150_000, 1200)
+    assert "\n\n".join(found) == "\n\n".join(["word one."] * 150_000) and max(map(len, found)) <= 1200
+    sentence = "a" * 50 + ". "
+    assert max(map(len, T.chunk_text(sentence * 30_000, 500))) <= 500 and T.chunk_text("b" * 5000, 500) == ["b" * 5000]
