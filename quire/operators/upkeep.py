@@ -26,6 +26,16 @@ TEMPORARY = ["tmp", "pdf_export_"]
 DAY = 86_400
 
 
+#: What holds where nothing is stored.
+DEFAULTS = {"monthly_budget_micro": 10_000_000, "selected_model": "auto", "currency": "auto"}
+
+
+def current_settings(stored: DataFrame, order: str) -> DataFrame:
+    """The one row of settings: the first stored one, and defaults for what it leaves open or where there is none."""
+    first = stored.agg(*(F.min_by(c, order).alias(c) for c in DEFAULTS))  # one row, null where nothing is stored
+    return first.select(*(F.coalesce(c, F.lit(v).cast(first.schema[c].dataType)).alias(c) for c, v in DEFAULTS.items()))
+
+
 def settings_problem(model: Column, currency: Column, budget: Column) -> Column:
     """Why asked settings are refused: the model, the currency or the budget; null if they are fine."""
     amount = budget.try_cast("decimal(20,6)")

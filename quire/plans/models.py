@@ -9,11 +9,13 @@ from pyspark.sql import functions as F
 from quire.functions.metadata import described
 from quire.operators.archive import EMPTY, archived, files, master
 from quire.operators.refinement import AnswerStore, preferences, refined
+from quire.operators.retrieval import prices_matched
 from quire.operators.routing import routed_models
+from quire.operators.upkeep import current_settings
 from quire.plans.model import model, raw
 from quire.plans.queries import _WINDOWED
 from quire.plans.registry import query
-from quire.sources.tables import shared_folder, table
+from quire.sources.tables import joined_spread, shared_folder, table
 from quire.streaming.limits import EXPORT, SEARCH, Limit, judged_spread
 
 
@@ -168,3 +170,35 @@ def m5(spark, d):
     prices = raw(spark, d, "part").select(F.concat(F.lit("m"), F.col("p_partkey").cast("string")).alias("model"), F.col("p_retailprice").alias("price"), (F.col("p_size") % 2 == 0).alias("vision"))
     asked = raw(spark, d, "documents").selectExpr("doc_id", f"{_ASKED} AS model", "doc_id % 4 = 0 AS vision", "doc_id % 5 = 0 AS has_key")
     return routed_models(asked, prices).select("doc_id", "final_model", "router")
+
+
+_CATALOG = "SELECT cast(row_number() OVER (ORDER BY t) - 1 as int) AS pos, CASE WHEN length(t) % 2 = 0 THEN 'maker/' ELSE '' END || t AS model, cast(length(t) as string) AS prompt, '0' AS completion FROM (SELECT DISTINCT lower(replace(p_type, ' ', '-')) AS t FROM {part})"
+_NAMED = "SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'maker/' || t WHEN 1 THEN t WHEN 2 THEN t || '-2025' ELSE 'no-' || cast(p_partkey % 5 as string) END AS model FROM (SELECT p_partkey, lower(replace(p_type, ' ', '-')) AS t FROM {part})"
+
+
+@query(
+    "jn8_catalog_match",
+    f"""WITH c AS ({_CATALOG.format(part="part")}), m AS ({_NAMED.format(part="part")}), n AS (SELECT DISTINCT model FROM m),
+    l AS (SELECT n.model, pos, c.model AS price_model, CASE WHEN n.model = c.model THEN 1 WHEN n.model = split_part(c.model, '/', -1) THEN 2
+      WHEN contains(n.model, c.model) OR contains(c.model, n.model) OR contains(c.model, split_part(n.model, '/', -1)) THEN 3 END AS level FROM n, c),
+    b AS (SELECT model, first(level ORDER BY level, pos) AS level, first(price_model ORDER BY level, pos) AS price_model FROM l WHERE level IS NOT NULL GROUP BY model)
+    SELECT p_partkey, level, price_model FROM m LEFT JOIN b USING (model)""",
+)
+def jn8(spark, d):
+    """Names of every part's type, whole, without a maker, with a suffix or unknown, against a catalog of all types."""
+    part = raw(spark, d, "part")
+    named = spark.sql(_NAMED.format(part="{t}"), t=part)
+    found = table(prices_matched(named.select("model").distinct(), spark.sql(_CATALOG.format(part="{t}"), t=part)), "matched")
+    return joined_spread(table(named, "named"), found.select("model", "level", "price_model"), "model").select("p_partkey", "level", "price_model")
+
+
+@query(
+    "src18_stored_settings",
+    """SELECT 'stored' AS kind, cast(r_regionkey * 1000 + 5 as bigint) AS monthly_budget_micro, lower(r_name) AS selected_model, 'auto' AS currency FROM region WHERE r_regionkey = (SELECT min(r_regionkey) FROM region)
+    UNION ALL SELECT 'none', 10000000, 'auto', 'auto'""",
+)
+def src18(spark, d):
+    """The one row of settings where some are stored (the first counts), and the defaults where none are."""
+    stored = raw(spark, d, "region").select(F.col("r_regionkey").alias("id"), (F.col("r_regionkey") * 1000 + 5).cast("long").alias("monthly_budget_micro"), F.lower("r_name").alias("selected_model"), F.lit(None).cast("string").alias("currency"))
+    kinds = lambda some, kind: current_settings(some, "id").select(F.lit(kind).alias("kind"), "monthly_budget_micro", "selected_model", "currency")
+    return kinds(stored, "stored").unionByName(kinds(stored.filter("id < 0"), "none"))

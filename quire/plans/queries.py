@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quire.functions import text as T
-from quire.operators import access, changes, exports, ingest, retrieval, spend
+from quire.operators import access, changes, exports, ingest, retrieval, spend, upkeep
 from quire.plans.model import NOW, STATUSES, at, model, raw
 from quire.plans.registry import query
 from quire.sources.tables import small_by_count
@@ -53,9 +53,9 @@ def src16(spark, d):
 
 @query("src18_settings", "SELECT 10000000 AS monthly_budget_micro, 'auto' AS selected_model, 'auto' AS currency")
 def src18(spark, d):
-    stored = spark.createDataFrame([], "monthly_budget_micro int, selected_model string, currency string")
-    one = spark.range(1).drop("id").join(stored, how="left")
-    return one.select(F.coalesce("monthly_budget_micro", F.lit(10_000_000)).alias("monthly_budget_micro"), T.filled("selected_model", "auto").alias("selected_model"), T.filled("currency", "auto").alias("currency"))
+    """No region stores settings here, so the defaults hold."""
+    stored = raw(spark, d, "region").filter("r_name = 'settings'").select(F.col("r_regionkey").alias("id"), F.lit(1).alias("monthly_budget_micro"), F.col("r_name").alias("selected_model"), F.col("r_name").alias("currency"))
+    return upkeep.current_settings(stored, "id")
 
 
 # ---- filters ----------------------------------------------------------------------------------------------

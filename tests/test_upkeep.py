@@ -95,6 +95,12 @@ def test_triggered_job(spark, tmp_path):
     assert len(runs) >= 2 and set(runs) == {3}
 
 
+def test_current_settings(spark):
+    stored = spark.createDataFrame([(2, 5, "m2", "USD"), (1, None, "m1", None)], "id int, monthly_budget_micro long, selected_model string, currency string")
+    assert tuple(upkeep.current_settings(stored, "id").first()) == (10_000_000, "m1", "auto")
+    assert tuple(upkeep.current_settings(stored.filter("id > 5"), "id").first()) == (10_000_000, "auto", "auto")
+
+
 def test_long_texts_are_cut_at_borders_in_the_last_fifth():
     assert ingest.split_long("abc", 3) == ["abc"] and ingest.split_long("abcdefg", 3) == ["abc", "def", "g"]
     assert ingest.split_long("aaaaaaaa\n# bbbbbbbb", 10) == ["aaaaaaaa\n#", "bbbbbbbb"]  # the border must end within the window
