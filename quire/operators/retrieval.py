@@ -116,6 +116,17 @@ def ranked(pairs: DataFrame, k: int, key: str) -> DataFrame:
     return near.withColumn("place", F.row_number().over(best)).filter(F.col("place") <= k).select("query_id", key, "distance", "place")
 
 
+#: What a query without any hit is told.
+NO_CONTEXT = "No relevant source context found in the knowledge database."
+
+
+def answerable(queries: DataFrame, hits: DataFrame) -> DataFrame:
+    """``query_id, n_hits, problem`` of all queries: one without hits is refused, as no answer could be grounded."""
+    counts = hits.groupBy("query_id").agg(F.count("*").alias("n_hits"))
+    told = queries.select("query_id").join(counts, "query_id", "left").withColumn("n_hits", F.coalesce("n_hits", F.lit(0)))
+    return told.withColumn("problem", F.when(F.col("n_hits") == 0, NO_CONTEXT))
+
+
 def nearest_of_owner(queries: DataFrame, rows: DataFrame, k: int, key: str, vector: str = "embedding", owner: str = "user_id", block: int = 4096) -> DataFrame:
     """For each query the k nearest rows of its own owner, ties by key.
 

@@ -202,3 +202,19 @@ def src18(spark, d):
     stored = raw(spark, d, "region").select(F.col("r_regionkey").alias("id"), (F.col("r_regionkey") * 1000 + 5).cast("long").alias("monthly_budget_micro"), F.lower("r_name").alias("selected_model"), F.lit(None).cast("string").alias("currency"))
     kinds = lambda some, kind: current_settings(some, "id").select(F.lit(kind).alias("kind"), "monthly_budget_micro", "selected_model", "currency")
     return kinds(stored, "stored").unionByName(kinds(stored.filter("id < 0"), "none"))
+
+
+def _edited(texts: list[str]) -> list[str]:
+    return [f'---\ntitle: T{len(t)}\nauthor: A\n---\nBody {len(t)}\n\n```json\n[{{"question": "q{len(t)}", "answer": "a"}}, {{"question": "r", "answer": "b"}}]\n```' for t in texts]
+
+
+@query(
+    "m6_editorial_answers",
+    """SELECT doc_uuid, 'Body ' || length(raw_markdown) AS refined_markdown, 'title: T' || length(raw_markdown) || chr(10) || 'author: A' AS yaml_metadata, 'q' || length(raw_markdown) AS first_question, cast(2 as int) AS n_pairs
+    FROM docs WHERE trim(raw_markdown) <> ''""",
+)
+def m6(spark, d):
+    """An editor's answers parted into text, metadata and questions."""
+    docs = model(spark, d, "docs").filter(F.trim("raw_markdown") != "").select("doc_uuid", "raw_markdown")
+    found = refined(docs, _store(spark, "editor"), _edited)
+    return found.select("doc_uuid", "refined_markdown", "yaml_metadata", F.col("pairs")[0]["question"].alias("first_question"), F.size("pairs").alias("n_pairs"))

@@ -127,6 +127,18 @@ def flt2(spark, d):
     return SubstringIndex.build(docs, _folder(spark, "grams"), "doc_id").search(asked)
 
 
+@query(
+    "r9_answerable",
+    f"""WITH h AS (SELECT b.item_id AS query_id, count(*) AS n FROM benchmark b JOIN documents d ON contains(lower(d.text), lower(b.text)) WHERE b.item_id % 50 = 0 AND b.text <> '' GROUP BY b.item_id)
+    SELECT item_id AS query_id, coalesce(n, 0) AS n_hits, CASE WHEN n IS NULL THEN '{retrieval.NO_CONTEXT}' END AS problem FROM benchmark LEFT JOIN h ON item_id = query_id WHERE item_id % 50 = 0""",
+)
+def r9(spark, d):
+    """Which items divisible by 50 have a document that holds them; the others are refused."""
+    docs = raw(spark, d, "documents").select("doc_id", F.col("text").alias("content"))
+    asked = raw(spark, d, "benchmark").filter("item_id % 50 = 0").select(F.col("item_id").alias("query_id"), F.col("text").alias("query_text"))
+    return retrieval.answerable(asked, SubstringIndex.build(docs, _folder(spark, "grams"), "doc_id").search(asked))
+
+
 def indexed_hybrid(chunks: DataFrame, asked: DataFrame, k: int, vectors: VectorIndex, substrings: SubstringIndex, words: TextIndex, candidates: int = 10) -> DataFrame:
     """For each query the best k chunks: nearest by the vector index, first that hold the whole text by the substring
     index, and, as texts longer than a chunk are in none, best by words; fused in this order."""

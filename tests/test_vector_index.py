@@ -90,6 +90,12 @@ def test_nearest_of_each_owner(spark, monkeypatch):
     assert retrieval.nearest_of_owner(asked.filter("false"), live, 4, "memory_id").count() == 0
 
 
+def test_queries_without_hits_are_refused(spark):
+    asked = spark.createDataFrame([(1,), (2,)], "query_id long")
+    hits = spark.createDataFrame([(1, "a"), (1, "b"), (3, "c")], "query_id long, chunk_id string")
+    assert sorted(tuple(r) for r in retrieval.answerable(asked, hits).collect()) == [(1, 2, None), (2, 0, retrieval.NO_CONTEXT)]
+
+
 def test_recall_and_semantic_cache(spark):
     rows = [("m1", "a", "likes tea", [1.0, 0.0], 10), ("m2", "a", "likes cake", [1.0, 0.1], None), ("m3", "a", "gone", [1.0, 0.0], 5), ("m4", "b", "other", [1.0, 0.0], None), ("m5", "a", "far", [-1.0, 0.0], None)]
     df = spark.createDataFrame(rows, "memory_id string, user_id string, memory_text string, embedding array<double>, expires_at int")
