@@ -86,7 +86,7 @@ def test_run_and_queries(spark, corpus):
     folder, _ = corpus
     assert corpus_pipeline.run(spark, folder).count() > 0
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "exact_dedup", "ngram_join", "decontamination", "packing"]
-    assert sorted(int(k.split("_")[0][2:]) for k in queries()) == list(range(1, 11)) and set(oracle_sql()) <= set(queries())
+    assert sorted(int(k.split("_")[0][2:]) for k in queries()) == list(range(1, 14)) and set(oracle_sql()) <= set(queries())
     rows = {r["doc_id"]: r for r in queries()["op10_suffix_array_dedup"](spark, folder).collect()}
     assert rows[900]["n_bytes"] == 0 and rows[900]["kept_sha256"] == hashlib.sha256(b"").hexdigest()
     scored = queries()["op4_toxicity"](spark, folder).collect()
