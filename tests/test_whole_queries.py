@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from quire.operators import retrieval, spend
-from quire.plans import queries, rows_only  # noqa: F401
+from quire.plans import lifecycle, queries, rows_only  # noqa: F401
 from quire.plans.model import STATUSES, model
 from quire.plans.registry import QUERIES
 from quire.sources.files import csv_markdown
@@ -50,3 +50,16 @@ def test_whole_texts_are_guarded_chosen_and_routed(spark):
     routed = {int(r["doc_uuid"]): len(r["raw_markdown"] or "") for r in QUERIES["src8_file_router"](spark, SMALL).select("doc_uuid", "raw_markdown").collect()}
     assert all(n >= 0.9 * len(texts[i].strip()) for i, n in routed.items()) and max(routed.values()) > 1000
     assert len(csv_markdown(("a,b\n" + "x" * 200_000 + ",2\n").encode())) > 200_000
+
+
+def _documents(spark, folder, rows):
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{folder}/documents.parquet")
+    return str(folder)
+
+
+def test_months_of_several_years_are_booked_as_the_sql_has_them(spark, tmp_path):
+    year = 366 * 48  # a document each half hour from 2024 on
+    folder = _documents(spark, tmp_path, [(i, "x", "en", "s", 400) for i in (0, year, year + 1, 40 * 48)])
+    found = [tuple(r) for r in QUERIES["ag8_spend_by_month"](spark, folder).orderBy("month").collect()]
+    assert found == [(2024, 1, 3 * 425, 300, 75), (2024, 2, 425, 100, 25)]
+    assert {r["year"] for r in spend.by_month(model(spark, folder, "docs")).collect()} == {2024, 2025}
