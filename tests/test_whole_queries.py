@@ -63,3 +63,8 @@ def test_months_of_several_years_are_booked_as_the_sql_has_them(spark, tmp_path)
     found = [tuple(r) for r in QUERIES["ag8_spend_by_month"](spark, folder).orderBy("month").collect()]
     assert found == [(2024, 1, 3 * 425, 300, 75), (2024, 2, 425, 100, 25)]
     assert {r["year"] for r in spend.by_month(model(spark, folder, "docs")).collect()} == {2024, 2025}
+
+
+def test_only_every_third_text_is_guarded(spark, tmp_path):
+    folder = _documents(spark, tmp_path, [(0, "+1", "en", "s", 2), (1, "+1", "en", "s", 2), (3, None, "en", "s", 0)])
+    assert {r["doc_id"]: r["guarded"] for r in QUERIES["t18_csv_guard"](spark, folder).collect()} == {0: "' =+1", 1: "+1", 3: None}
