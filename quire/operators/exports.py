@@ -17,11 +17,13 @@ SYSTEM = "You are a knowledgeable archival research assistant specializing in hi
 QUESTION = "Question: Explain the key context, teachings, and significance of this excerpt."
 
 
-def training_pairs(rows: DataFrame, docs: DataFrame, each: int = 10, most: int = 5000) -> DataFrame:
-    """Prompt, completion, messages, metadata and place of chunks: up to ``each`` a document and ``most`` in all, in order."""
+def training_pairs(rows: DataFrame, docs: DataFrame, each: int = 10, most: int | None = 5000) -> DataFrame:
+    """Prompt, completion, messages, metadata and place of chunks: up to ``each`` a document and ``most`` in all, in order; None: all, unsorted."""
     chosen = rows.filter(F.trim("content") != "").withColumn("turn", F.row_number().over(Window.partitionBy("doc_uuid").orderBy("chunk_index"))).filter(F.col("turn") <= each)
     known = docs.select("doc_uuid", "doc_id", filled("title", "Untitled").alias("title"), filled("author", "Unknown").alias("author"), F.col("language").alias("doc_language"))
-    chosen = chosen.join(known, "doc_uuid").orderBy("doc_id", "chunk_index").limit(most)
+    chosen = chosen.join(known, "doc_uuid")
+    if most is not None:
+        chosen = chosen.orderBy("doc_id", "chunk_index").limit(most)
     page, chapter = F.coalesce("page_number", F.lit(1)), filled("chapter_title")
     where = F.concat(F.lit(" (Page "), page.cast("string"), F.when(chapter != "", F.concat(F.lit(", "), chapter)).otherwise(""), F.lit("):\n\n"))
     prompt = F.concat(F.lit("Context from '"), "title", F.lit("' by "), "author", where, "content", F.lit(f"\n\n{QUESTION}"))

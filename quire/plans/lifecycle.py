@@ -55,7 +55,7 @@ def snk10(spark, d):
 
 @query("snk13_training_lines", "SELECT doc_uuid, least(count(*), 3) AS n FROM (WITH {0} SELECT doc_uuid FROM chunks) GROUP BY doc_uuid".format(_CHUNKS))
 def snk13(spark, d):
-    pairs = exports.training_pairs(chunk_table(spark, d), model(spark, d, "docs"), each=3, most=1_000_000)
+    pairs = exports.training_pairs(chunk_table(spark, d), model(spark, d, "docs"), each=3, most=None)
     lines = pairs.select(F.to_json(F.struct("prompt", "completion", "messages", "metadata")).alias("line"))
     return lines.groupBy(F.get_json_object("line", "$.metadata.doc_uuid").alias("doc_uuid")).agg(F.count("*").alias("n"))
 

@@ -65,6 +65,12 @@ def test_months_of_several_years_are_booked_as_the_sql_has_them(spark, tmp_path)
     assert {r["year"] for r in spend.by_month(model(spark, folder, "docs")).collect()} == {2024, 2025}
 
 
+def test_training_lines_have_no_limit(spark, tmp_path):
+    folder = _documents(spark, tmp_path, [(i, "One line.", "en", "s", 9) for i in range(5)])
+    lines = QUERIES["snk13_training_lines"](spark, folder)
+    assert lines.count() == 5 and "GlobalLimit" not in lines._jdf.queryExecution().toString()
+
+
 def test_only_every_third_text_is_guarded(spark, tmp_path):
     folder = _documents(spark, tmp_path, [(0, "+1", "en", "s", 2), (1, "+1", "en", "s", 2), (3, None, "en", "s", 0)])
     assert {r["doc_id"]: r["guarded"] for r in QUERIES["t18_csv_guard"](spark, folder).collect()} == {0: "' =+1", 1: "+1", 3: None}
