@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.sources.tables import shared_folder, table
+from quire.sources.tables import shared_folder, table, text_batches
 
 __all__ = ["ascii_words", "names_apart", "parallelism", "shared_folder", "small_or_shuffled", "table", "text_batches", "text_of"]
 
@@ -13,19 +13,6 @@ __all__ = ["ascii_words", "names_apart", "parallelism", "shared_folder", "small_
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c > 127 else 32 for c in range(256))
 
 
-#: Rows of a batch between the JVM and Python where texts are in it: texts are long, and both sides hold whole batches.
-TEXT_ROWS = 1000
-
-
-def text_batches(df: DataFrame) -> DataFrame:
-    """``df``, in whose session Arrow batches hold at most TEXT_ROWS rows from now on (fewer if the session says so)."""
-    name, conf = "spark.sql.execution.arrow.maxRecordsPerBatch", df.sparkSession.conf
-    held = int(conf.get(name))
-    if held <= 0 or held > TEXT_ROWS:
-        conf.set(name, str(TEXT_ROWS))
-    return df
-
-
 def text_of(col: str | Column) -> Column:
     """The text, empty where it is null."""
     return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit(""))

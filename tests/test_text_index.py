@@ -143,3 +143,12 @@ def test_hybrid_over_three_indexes(spark, tmp_path):
     assert got[1] == [("a_0", round(2 / 61, 9)), ("a_1", round(2 / 62, 9))]
     # 2: no chunk holds the whole text; words put c_0 first, vectors second
     assert got[2][0] == ("c_0", round(1 / 61 + 1 / 62, 9)) and got[3] == [("a_0", round(1 / 61, 9)), ("a_1", round(1 / 62, 9))]
+
+
+def test_no_posting_becomes_a_row_for_a_query(spark, small):
+    """A slice's postings and the queries meet as they are; equal queries are one."""
+    asked = spark.createDataFrame([(1, "w0 w1"), (2, "w1 W0"), (3, "w0 w1")], "query_id long, query_text string")
+    found = small.search(asked, 3)
+    assert "explode(arrays_zip" not in found._jdf.queryExecution().toString()
+    places = {q: [r["doc_id"] for r in found.filter(f"query_id = {q}").orderBy("place").collect()] for q in (1, 2, 3)}
+    assert places[1] == places[2] == places[3] == plain_bm25(corpus(), "w0 w1", 3)
