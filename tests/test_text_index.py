@@ -152,3 +152,12 @@ def test_no_posting_becomes_a_row_for_a_query(spark, small):
     assert "explode(arrays_zip" not in found._jdf.queryExecution().toString()
     places = {q: [r["doc_id"] for r in found.filter(f"query_id = {q}").orderBy("place").collect()] for q in (1, 2, 3)}
     assert places[1] == places[2] == places[3] == plain_bm25(corpus(), "w0 w1", 3)
+
+
+def test_common_grams_are_no_rows_either(spark, tmp_path):
+    df = spark.createDataFrame([(i, f"the same {i}") for i in range(30)], "doc_id long, text string")
+    index = SubstringIndex.build(df, str(tmp_path / "index"), "doc_id", "text")
+    asked = spark.createDataFrame([(1, "the same 1"), (2, "The Same 1"), (3, "same 29")], "query_id long, query_text string")
+    assert "explode(keys" not in index.candidates(asked.filter("query_id <> 2"))._jdf.queryExecution().toString()
+    found = {(r["query_id"], r["doc_id"]) for r in index.search(asked).collect()}
+    assert found == {(q, i) for q in (1, 2) for i in (1, *range(10, 20))} | {(3, 29)}
