@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from quire.operators import retrieval, spend
+from quire.operators import ingest, retrieval, spend
 from quire.plans import lifecycle, queries, rows_only  # noqa: F401
 from quire.plans.model import STATUSES, model
 from quire.plans.registry import QUERIES
@@ -74,3 +74,19 @@ def test_training_lines_have_no_limit(spark, tmp_path):
 def test_only_every_third_text_is_guarded(spark, tmp_path):
     folder = _documents(spark, tmp_path, [(0, "+1", "en", "s", 2), (1, "+1", "en", "s", 2), (3, None, "en", "s", 0)])
     assert {r["doc_id"]: r["guarded"] for r in QUERIES["t18_csv_guard"](spark, folder).collect()} == {0: "' =+1", 1: "+1", 3: None}
+
+
+def test_texts_go_to_python_in_small_batches(spark):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    docs = spark.range(3000).selectExpr("cast(id as string) AS doc_uuid", "'English' AS language", "'text' AS raw_markdown", "'text' AS content").coalesce(1)
+    batch = F.pandas_udf(lambda texts: texts.map(lambda _: [float(len(texts))]), "array<double>")
+    try:
+        for step in (ingest.chunked, ingest.pieces, ingest.generated, ingest.embedded):
+            spark.conf.set(name, "10000")
+            step(docs, **({"provider": batch} if step is ingest.embedded else {}))
+            assert spark.conf.get(name) == "1000"
+        spark.conf.set(name, "10000")
+        assert ingest.embedded(docs, provider=batch).agg(F.max(F.col("embedding")[0])).first()[0] == 1000
+    finally:
+        spark.conf.set(name, before)
