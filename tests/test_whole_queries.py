@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from quire.functions.vector import cosine_distance
 from quire.operators import ingest, retrieval, spend
 from quire.plans import lifecycle, queries, rows_only  # noqa: F401
 from quire.plans.model import STATUSES, model
@@ -90,3 +91,16 @@ def test_texts_go_to_python_in_small_batches(spark):
         assert ingest.embedded(docs, provider=batch).agg(F.max(F.col("embedding")[0])).first()[0] == 1000
     finally:
         spark.conf.set(name, before)
+
+
+def test_distances_of_blocks_equal_the_expression(spark):
+    vectors = [[1.0, 0.0], [3.0, 4.0], [0.0, 0.0], [1.0, None], [1.0], [], None, [float("nan"), 1.0], [1e200, 1e200], [-3.0, -4.0], [1e-170, 1e-170], [float("inf"), 1.0], [2.0, 6.0]]
+    ties = [[float(a), float(b)] for a in range(1, 30) for b in (0, 7, 24)]  # some distances are at the middle of two roundings
+    rows = spark.createDataFrame(list(enumerate([*vectors, *ties, *vectors])), "vec_id long, embedding array<double>").union(spark.createDataFrame([(None, [1.0, 2.0]), (1, [3.0, 4.0])], "vec_id long, embedding array<double>"))
+    some = rows.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
+    plain = rows.crossJoin(some).select("query_id", "vec_id", F.round(cosine_distance(F.col("query_vector"), F.col("embedding")), 6).alias("distance"))
+    found = retrieval.distances(some, rows, "vec_id")
+    told = lambda df: sorted(tuple(map(str, r)) for r in df.collect())
+    assert "NestedLoop" not in found._jdf.queryExecution().toString() and "CartesianProduct" not in found._jdf.queryExecution().toString()
+    assert found.columns == plain.columns and told(found) == told(plain)
+    assert retrieval.distances(some.filter("false"), rows, "vec_id").count() == retrieval.distances(some, rows.filter("false"), "vec_id").count() == 0
