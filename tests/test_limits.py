@@ -3,6 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from quire.streaming import limits
 from quire.streaming.limits import EXPORT, SEARCH, Limit, judged_spread
 
 
@@ -43,3 +44,13 @@ def test_a_key_without_pauses_spreads(spark):
         assert df.repartitionByRange("key", "at_s").filter("key = 'busy'").select(F.spark_partition_id()).distinct().count() > 1
     finally:
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+
+
+def test_tasks_grow_with_the_requests(spark, monkeypatch):
+    """No join broadcasts requests or leaves them to as few tasks as their bytes would need."""
+    monkeypatch.setattr(limits, "TASK_ROWS", 100)
+    rows = busy_rows(3)
+    got = judged_spread(spark.createDataFrame(rows, "key string, at_s long, event_id long"), SEARCH)
+    plan = got._jdf.queryExecution().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan and f"{-(-len(rows) // 100)}, REPARTITION_BY_NUM" in plan.replace("), ", ", ")
+    assert {(r["key"], r["at_s"], r["event_id"]): r["allowed"] for r in got.collect()} == plain(rows, SEARCH)
