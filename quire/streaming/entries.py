@@ -9,43 +9,42 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
 
-_CHANGE = "cache_key string, value string, expires_at timestamp, change string"
+_CHANGE = "cache_key string, value string, expires_ms long, change string"
 
 
 class Entries(StatefulProcessor):
-    """A key's entry: its value, until when, and which write it is from; a timer ends it."""
+    """A key's entry: its value, until when, and which write it is from; a timer ends it.
+
+    Rows, not frames, since a key has few of them, and each call to the state is a message: a new key takes one to read, one to write and one for its timer.
+    """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.entry = handle.getValueState("entry", "value string, expires_ms long, written_ms long, event_id long")
 
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
-        writes = pd.concat(list(rows)).sort_values(["written_ms", "event_id"])
-        last = writes.iloc[-1]
-        held = self.entry.get() if self.entry.exists() else None
-        if held is not None and (held[2], held[3]) >= (int(last["written_ms"]), int(last["event_id"])):
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: TimerValues) -> Iterator[Row]:
+        last = max(rows, key=lambda r: (r["written_ms"], r["event_id"]))
+        held = self.entry.get()
+        if held is not None and (held[2], held[3]) >= (last["written_ms"], last["event_id"]):
             return
-        for ms in self.handle.listTimers():
-            self.handle.deleteTimer(ms)
-        expires = None if pd.isna(last["expires_ms"]) else int(last["expires_ms"])
-        self.entry.update((last["value"], expires, int(last["written_ms"]), int(last["event_id"])))
+        if held is not None and held[1] is not None:  # only such an entry has a timer
+            for ms in list(self.handle.listTimers()):
+                self.handle.deleteTimer(ms)
+        expires = last["expires_ms"]
+        self.entry.update((last["value"], expires, last["written_ms"], last["event_id"]))
         if expires is not None:
             self.handle.registerTimer(max(expires, timerValues.getCurrentWatermarkInMs() + 1))
-        yield self._told(key, last["value"], expires, "set")
+        yield Row(cache_key=key[0], value=last["value"], expires_ms=expires, change="set")
 
-    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if self.entry.exists():
-            value, expires, *_ = self.entry.get()
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[Row]:
+        held = self.entry.get()
+        if held is not None:
             self.entry.clear()
-            yield self._told(key, value, expires, "purged")
-
-    def _told(self, key: tuple, value: str, expires: int | None, change: str) -> pd.DataFrame:
-        at = pd.NaT if expires is None else pd.Timestamp(expires, unit="ms")
-        return pd.DataFrame({"cache_key": [key[0]], "value": [value], "expires_at": pd.Series([at], dtype="datetime64[ns]"), "change": [change]})
+            yield Row(cache_key=key[0], value=held[0], expires_ms=held[1], change="purged")
 
     def close(self) -> None:
         pass
@@ -58,7 +57,7 @@ def entries_stream(writes: DataFrame, late: str = "1 minute") -> DataFrame:
     """
     ms = (F.unix_micros("at") / 1000).cast("long")
     rows = writes.withWatermark("at", late).select("cache_key", "value", "at", "event_id", ms.alias("written_ms"), (ms + F.col("ttl_s") * 1000).alias("expires_ms"))
-    return rows.groupBy("cache_key").transformWithStateInPandas(Entries(), _CHANGE, "Append", "EventTime")
+    return rows.groupBy("cache_key").transformWithState(Entries(), _CHANGE, "Append", "EventTime").select("cache_key", "value", F.timestamp_millis("expires_ms").alias("expires_at"), "change")
 
 
 def live_entries(writes: DataFrame, now_s: int) -> DataFrame:

@@ -1,9 +1,10 @@
 import random
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
-from quire.streaming.entries import entries_stream, live_entries, status_changes, status_feed
+from quire.streaming.entries import Entries, entries_stream, live_entries, status_changes, status_feed
 
 KINDS = "cache_key string, value string, ttl_s long, at_s long, event_id long"
 
@@ -65,3 +66,34 @@ def test_status_feed_as_in_batch_after_a_restart(rocks, tmp_path):
     want = status_changes(spark.createDataFrame(seen, kinds).withColumn("at", F.timestamp_seconds("at_s")))
     key = lambda df: sorted((x["doc_uuid"], x["at"], str(x["before"]), x["status"]) for x in df.collect())
     assert key(got) == key(want)
+
+
+def test_a_new_key_takes_few_calls_to_its_state():
+    calls, held = [], []
+
+    class Handle:
+        def __getattr__(self, name):
+            return lambda *a: calls.append((name, *a)) or ([] if name == "listTimers" else self)
+
+        def get(self):
+            calls.append(("get",))
+            return held[-1] if held else None
+
+        def update(self, value):
+            calls.append(("update", value))
+            held.append(value)
+
+    class Times:
+        def getCurrentWatermarkInMs(self):
+            return 0
+
+    entries = Entries()
+    entries.init(Handle())
+    calls.clear()
+    row = Row("value", "event_id", "written_ms", "expires_ms")
+    told = list(entries.handleInputRows(("k",), iter([row("b", 2, 10, 50), row("a", 1, 10, 90), row("c", 3, 9, None)]), Times()))
+    assert [tuple(r) for r in told] == [("k", "b", 50, "set")] and [c[0] for c in calls] == ["get", "update", "registerTimer"]
+    assert not list(entries.handleInputRows(("k",), iter([row("b", 2, 10, 50)]), Times()))
+    calls.clear()
+    assert [tuple(r) for r in entries.handleInputRows(("k",), iter([row("d", 4, 11, None)]), Times())] == [("k", "d", None, "set")]
+    assert [c[0] for c in calls] == ["get", "listTimers", "update"]
