@@ -106,3 +106,24 @@ def test_recall_and_semantic_cache(spark):
     hits = lambda allowed=None: {r["query_id"]: r["cache_id"] for r in retrieval.semantic_hits(asked, cached, F.lit(7), allowed=allowed).collect()}
     assert hits() == {1: "m1"}
     assert hits(spark.createDataFrame([("m2",)], "doc_uuid string")) == {} and hits(spark.createDataFrame([("m1",)], "doc_uuid string")) == {1: "m1"}
+
+
+def test_only_the_drawn_vectors_reach_the_driver(spark, tmp_path):
+    """Each of 12 tasks has more rows than are drawn; hashes are chosen before vectors move, with ties and rows that are left out."""
+    rows = [(i, v.tolist()) for i, v in enumerate(clustered(3600, width=100))] + [(-1, None), (-2, [0.0] * 100), (-3, [1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(12).localCheckpoint()
+    conf, name = spark.sparkContext._jsc.sc().conf(), "spark.driver.maxResultSize"
+    before = conf.get(name, "1g")
+    conf.set(name, "1m")  # the sample is 0.16 MB, and the least of each task together are 1.9 MB
+    try:
+        index = VectorIndex.build(df, str(tmp_path / "index"), "vec_id", sample=200)
+    finally:
+        conf.set(name, before)
+    drawn = df.filter("vec_id >= 0").orderBy(F.xxhash64("vec_id")).limit(200).collect()
+    assert index.indexed == 3600 and np.allclose(index.centres, vector_index.fitted_centres(np.array([r["embedding"] for r in drawn]), 25))
+    twice = df.unionByName(df.filter("vec_id = 5"))
+    some = twice.select(F.col("vec_id").alias("key"), F.col("embedding").alias("vector"))
+    hashes = some.filter("key >= 0").select(F.xxhash64("key").alias("hash"))
+    for most in (1, 7, 5000):
+        want = [r["vector"] for r in some.filter("key >= 0").orderBy(F.xxhash64("key"), "key").limit(most).collect()]
+        assert np.array_equal(vector_index._drawn(some, hashes, most, 100), np.array(want))
