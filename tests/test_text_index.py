@@ -1,6 +1,7 @@
 import math
 import random
 import sqlite3
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,6 +10,7 @@ from quire.functions.stemming import stem, stems, words
 from quire.operators import substring_index, text_index
 from quire.operators.substring_index import SubstringIndex
 from quire.operators.text_index import TextIndex
+from quire.sources import tables
 
 #: Words and stems of the published examples.
 KNOWN = "caresses caress ponies poni ties ti cats cat feed feed agreed agre plastered plaster motoring motor sing sing conflated conflat hopping hop falling fall hissing hiss failing fail filing file happy happi sky sky relational relat conditional condit digitizer digit operator oper hopefulness hope electricity electr probate probat rate rate controlling control roll roll adoption adopt replacement replac".split()
@@ -161,3 +163,40 @@ def test_common_grams_are_no_rows_either(spark, tmp_path):
     assert "explode(keys" not in index.candidates(asked.filter("query_id <> 2"))._jdf.queryExecution().toString()
     found = {(r["query_id"], r["doc_id"]) for r in index.search(asked).collect()}
     assert found == {(q, i) for q in (1, 2) for i in (1, *range(10, 20))} | {(3, 29)}
+
+
+def test_many_substrings_are_found_in_one_pass_without_candidates(spark, tmp_path, monkeypatch):
+    """No pair is written before it is compared, and no text moves: all that a search shuffles or stores are its queries."""
+    r = random.Random(7)
+    word = lambda k: "".join(r.choice("abÉc dß中") for _ in range(k))
+    rows = [(i, word(r.choice([0, 1, 2, 5, 40, 300]))) for i in range(300)] + [(900, None), (901, "x" * 50_000 + "needle"), (902, "aaaa" * 50)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    index = SubstringIndex.build(df, str(tmp_path / "index"), "doc_id", "text")
+    asked = [(n, word(r.choice([1, 2, 3, 4, 5, 7, 8, 12]))) for n in range(150)] + [(500 + i, t[2:40].upper()) for i, t in rows[:200]]
+    asked += [(800, "xNeedle"), (801, ""), (802, None), (803, "zzz"), (804, "aaa"), (805, "AAA"), (806, "x" * 3000 + "needle"), (807, "x" * 50_001)]
+    want = sorted((q, i) for q, a in asked if a for i, t in rows if t is not None and a.lower() in t.lower())
+    queries = spark.createDataFrame(asked, "query_id long, query_text string")
+    written = []
+    monkeypatch.setattr(substring_index, "table", lambda df, name, keep=substring_index.table: written.append(name) or keep(df, name))
+    for piece, pairs, at_once in ((1 << 18, 1 << 16, 16_000_000), (100, 7, 3000)):
+        for name, value in (("PIECE", piece), ("PAIRS", pairs), ("ASKED_BYTES", at_once)):
+            monkeypatch.setattr(substring_index, name, value)
+        found = index.search(queries)
+        assert sorted((x["query_id"], x["doc_id"]) for x in found.collect()) == want and {(800, 901), (804, 902), (805, 902), (806, 901)} <= set(want)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and "Join" not in plan
+    assert set(written) == {"queries", "different"}
+
+
+def test_shuffles_go_when_a_table_is_written(spark, tmp_path):
+    manager, name = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager(), "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before, setting = set(str(manager.getAllFiles()).split(", ")), spark.conf.get(name)
+    out = tables.table(spark.range(10_000).repartition(3, "id"), "rows")
+    tables.stored(spark.range(100).repartition(2, "id").withColumn("b", F.lit(1)), str(tmp_path / "by"), by=("b",))
+    for _ in range(50):  # files go in the background
+        left = [x for x in set(str(manager.getAllFiles()).split(", ")) - before if "/shuffle_" in x]
+        if not left:
+            break
+        time.sleep(0.1)
+    assert not left and spark.conf.get(name) == setting
+    assert out.count() == 10_000 and spark.read.parquet(str(tmp_path / "by")).count() == 100
