@@ -127,3 +127,31 @@ def test_only_the_drawn_vectors_reach_the_driver(spark, tmp_path):
     for most in (1, 7, 5000):
         want = [r["vector"] for r in some.filter("key >= 0").orderBy(F.xxhash64("key"), "key").limit(most).collect()]
         assert np.array_equal(vector_index._drawn(some, hashes, most, 100), np.array(want))
+
+
+def test_vectors_are_made_for_the_index_and_kept_nowhere_else(spark, tmp_path, monkeypatch):
+    """In parts, one after the other; each row's vector is made twice and not again for filters, and the index is the same."""
+    odd = {3: None, 4: [0.0] * 6, 5: [1.0], 6: [float("nan")] * 6, 7: [None] * 6, 8: [], 9: [float("inf")] * 6}
+    known = {i: odd.get(i, v.tolist()) for i, v in enumerate(clustered(400, width=6))}
+    calls = spark.sparkContext.accumulator(0)
+
+    def vectors(texts):
+        calls.add(len(texts))
+        return texts.map(lambda t: known[int(t[1:])])
+
+    given = spark.createDataFrame([(f"t{i}", f"t{i}", v) for i, v in known.items()], "chunk_id string, content string, embedding array<double>").repartition(3).localCheckpoint()
+    plain = VectorIndex.build(given, str(tmp_path / "given"), "chunk_id")
+    monkeypatch.setattr(vector_index, "NUMBERS", 600)
+    fewer = VectorIndex.build(given, str(tmp_path / "parts"), "chunk_id")
+    made = VectorIndex.build(given.drop("embedding"), str(tmp_path / "made"), "chunk_id", embed=lambda rows: rows.withColumn("embedding", F.pandas_udf(vectors, "array<double>")("content")))
+    assert (plain.indexed, plain.left_out) == (fewer.indexed, fewer.left_out) == (made.indexed, made.left_out) == (393, 7)
+    assert np.array_equal(made.centres, fewer.centres) and 2 * 400 <= calls.value <= 2 * 400 + 120  # with the sample, and what is left out of it
+    lists = lambda index: sorted((r["key"], r["list"], tuple(r["vector"])) for r in index.rows(spark).collect())
+    assert lists(made) == lists(fewer) and {(k, v) for k, _, v in lists(plain)} == {(k, v) for k, _, v in lists(made)}
+
+
+def test_sizes_of_usable_vectors_equal_the_expression(spark):
+    some = [[1.0, 0.0], [0.0, -0.0], None, [], [None, 1.0], [float("nan"), 1.0], [float("-inf")], [2.0], [1.0, 2.0, 3.0]]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(some)], "key int, vector array<double>").coalesce(1)
+    want = {r["key"]: r["size"] for r in df.select("key", F.when(vector_index.usable("vector"), F.size("vector")).otherwise(0).alias("size")).collect()}
+    assert {r["key"]: r["size"] for r in df.mapInArrow(vector_index._sizes, "key int, size int").collect()} == want
